@@ -1,8 +1,9 @@
 """Query registry: each SURVEY §2 id maps to a Spark callable and (when the
 operator is SQL-expressible) the equivalent DuckDB SQL over the same tables.
 
-Floating outputs listed in ``dbl`` are rounded to 6 decimals on both sides
-(and -0.0 folded into 0.0) so the value hashes compare equal; ``arr`` lists array<double> columns rounded
+Floating outputs listed in ``dbl`` are rounded half-up to 6 decimals on both
+sides with the same arithmetic (and -0.0 folded into 0.0) so the value hashes
+compare equal; ``arr`` lists array<double> columns rounded
 element-wise.
 """
 from __future__ import annotations
@@ -16,6 +17,16 @@ from pyspark.sql import functions as F
 SparkFn = Callable[[SparkSession, str], DataFrame]
 
 
+def round6(x):
+    """Half-up at 6 decimals by the same IEEE operations DuckDB runs below, so
+    an identical double rounds identically in both engines (-0.0 -> 0.0)."""
+    return F.when(F.abs(x) < 1e9, F.floor(x * 1e6 + 0.5) / 1e6).otherwise(x)
+
+
+def round6_sql(c: str) -> str:
+    return f"CASE WHEN abs({c}) < 1e9 THEN floor({c} * 1e6 + 0.5) / 1e6 ELSE {c} END"
+
+
 @dataclass
 class Query:
     name: str
@@ -32,9 +43,9 @@ class Query:
             cols = []
             for c in df.columns:
                 if c in self.dbl:
-                    cols.append((F.round(F.col(c), 6) + F.lit(0.0)).alias(c))
+                    cols.append(round6(F.col(c)).alias(c))
                 elif c in self.arr:
-                    cols.append(F.transform(F.col(c), lambda x: F.round(x, 6) + F.lit(0.0)).alias(c))
+                    cols.append(F.transform(F.col(c), round6).alias(c))
                 else:
                     cols.append(F.col(c))
             df = df.select(*cols)
@@ -45,7 +56,9 @@ class Query:
             return None
         if not (self.dbl or self.arr):
             return self.sql
-        rep = [f"round({c}, 6) + 0.0 AS {c}" for c in self.dbl] + [f"list_transform({c}, x -> round(x, 6) + 0.0) AS {c}" for c in self.arr]
+        rep = [f"{round6_sql(c)} AS {c}" for c in self.dbl] + [
+            f"list_transform({c}, lambda x: {round6_sql('x')}) AS {c}" for c in self.arr
+        ]
         return f"SELECT * REPLACE ({', '.join(rep)}) FROM (\n{self.sql}\n) AS q"
 
 

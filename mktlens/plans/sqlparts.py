@@ -16,6 +16,12 @@ def blank_null_sql(x: str) -> str:
     return f"CASE WHEN length({strip_sql(x)}) > 0 THEN {strip_sql(x)} END"
 
 
+def seq_avg(x: str, frame: str) -> str:
+    """Mean over a window frame summed left to right, the order Spark's frame
+    aggregation uses, so both engines produce the same double."""
+    return f"(list_reduce(list({x}) OVER {frame}, lambda a, b: a + b) / count({x}) OVER {frame})"
+
+
 def norm_sql(x: str) -> str:
     """F1 normaliser."""
     return f"lower(trim(regexp_replace({x}, '[^0-9A-Za-zА-Яа-яЁё]+', ' ', 'g')))"
@@ -27,8 +33,8 @@ def price_features_sql(src: str = "bars", cfg: FeatureConfig = FeatureConfig())
   SELECT ticker, date, close, volume,
          close / nullif(lag(close, 1) OVER w, 0) - 1 AS r1,
          close / nullif(lag(close, 5) OVER w, 0) - 1 AS r5,
-         avg(close) OVER (w ROWS BETWEEN {s - 1} PRECEDING AND CURRENT ROW) AS sma_s,
-         avg(close) OVER (w ROWS BETWEEN {lw - 1} PRECEDING AND CURRENT ROW) AS sma_l,
+         {seq_avg("close", f"(w ROWS BETWEEN {s - 1} PRECEDING AND CURRENT ROW)")} AS sma_s,
+         {seq_avg("close", f"(w ROWS BETWEEN {lw - 1} PRECEDING AND CURRENT ROW)")} AS sma_l,
          avg(volume) OVER (w ROWS BETWEEN {lw - 1} PRECEDING AND CURRENT ROW) AS vmean,
          count(volume) OVER (w ROWS BETWEEN {lw - 1} PRECEDING AND CURRENT ROW) AS vn,
          min(volume) OVER (w ROWS BETWEEN {lw - 1} PRECEDING AND CURRENT ROW) AS vmin,
