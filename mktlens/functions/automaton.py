@@ -1,0 +1,54 @@
+"""Exact multi-pattern substring search (J3 for large alias sets).
+
+The alias dimension is compiled into an Aho-Corasick automaton once per task
+(shipped as a broadcast list); each text is scanned once, so cost is linear in
+text length whatever the number of aliases.  Rows stream through
+``mapInPandas`` in Arrow batches.
+"""
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def substring_hits(items: DataFrame, aliases: DataFrame, key: str, text_col: str, max_aliases: int = 5_000_000) -> DataFrame:
+    """(key, symbol) for every alias occurring in the text.
+
+    ``aliases`` (symbol, alias) is a registry-sized dimension: its row count is
+    checked against ``max_aliases`` before it is broadcast.
+    """
+    n = aliases.count()
+    if n > max_aliases:
+        raise ValueError(f"alias dimension too large to broadcast ({n} rows)")
+    pairs = [(r["alias"], r["symbol"]) for r in aliases.select("alias", "symbol").distinct().collect()]
+    bc = items.sparkSession.sparkContext.broadcast(pairs)
+    key_type = dict(items.dtypes)[key]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        auto = ahocorasick.Automaton()
+        by_alias: dict[str, list[str]] = {}
+        for alias, symbol in bc.value:
+            by_alias.setdefault(alias, []).append(symbol)
+        for alias, syms in by_alias.items():
+            auto.add_word(alias, tuple(syms))
+        if by_alias:
+            auto.make_automaton()
+        for pdf in batches:
+            keys, syms_out = [], []
+            if by_alias:
+                for k, text in zip(pdf[key], pdf[text_col]):
+                    if text is None:
+                        continue
+                    seen = set()
+                    for _, syms in auto.iter(text):
+                        seen.update(syms)
+                    for s in sorted(seen):
+                        keys.append(k)
+                        syms_out.append(s)
+            yield pd.DataFrame({key: pd.Series(keys, dtype="object"), "symbol": pd.Series(syms_out, dtype="object")})
+
+    return items.mapInPandas(scan, schema=f"{key} {key_type}, symbol string")

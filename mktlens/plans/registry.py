@@ -81,4 +81,6 @@ register = REGISTRY.add
 
 
 def with_ctes(*ctes: str, body: str) -> str:
+    if not ctes:
+        return body
     return "WITH " + ",\n".join(ctes) + "\n" + body
