@@ -13,10 +13,11 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def _ratio_udf(word: pd.Series, candidate: pd.Series) -> pd.Series:
     out = []
     for w, c in zip(word, candidate):

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mktlens.functions.exprs import strip_ws
 from mktlens.functions.similarity import multiset_overlap, sequence_ratio
@@ -414,5 +413,3 @@ def local_news(feed: DataFrame, matches: DataFrame) -> DataFrame:
 def is_valid_alias(name: Column) -> Column:
     return alias_is_valid(name)
 
-
-MATCH_STRUCT = T.StructType.fromDDL(MATCH_SCHEMA)

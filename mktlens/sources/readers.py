@@ -11,14 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NEWS_SCHEMA = T.StructType.fromDDL(
-    "ticker string, seen_datetime timestamp_ntz, date timestamp_ntz, title string, full_text string, url string, "
-    "language string, source string"
-)
-FEED_SCHEMA = T.StructType.fromDDL(
-    "published_at string, title string, summary string, link string, source_name string, language string"
-)
-SOURCES_SCHEMA = T.StructType.fromDDL("id string, name string, url string, language string, tags array<string>")
+S, TS = T.StringType(), T.TimestampNTZType()
+NEWS_SCHEMA = T.StructType([T.StructField(n, t) for n, t in [
+    ("ticker", S), ("seen_datetime", TS), ("date", TS), ("title", S), ("full_text", S), ("url", S), ("language", S), ("source", S)]])
+FEED_SCHEMA = T.StructType([T.StructField(n, S) for n in ("published_at", "title", "summary", "link", "source_name", "language")])
+SOURCES_SCHEMA = T.StructType([T.StructField(n, S) for n in ("id", "name", "url", "language")]
+                              + [T.StructField("tags", T.ArrayType(S))])
 
 
 def pick(df: DataFrame, *names: str) -> Column | None:
