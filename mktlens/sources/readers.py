@@ -7,6 +7,8 @@ the schema), coerces leniently (P3, ``try_cast``; T26) and parses timestamps
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,6 +134,6 @@ def wide_to_long(df: DataFrame, id_col: str, tickers: list[str], fields: list[st
     """(date, <ticker>|<field> columns) -> long (date, ticker, field...)."""
     value_cols = [f"{t}{sep}{f}" for t in tickers for f in fields if f"{t}{sep}{f}" in df.columns]
     long = df.unpivot([id_col], value_cols, "key", "value")
-    parts = F.split("key", F.lit(sep).cast("string"), 2)
+    parts = F.split("key", re.escape(sep), 2)
     long = long.select(id_col, parts[0].alias("ticker"), parts[1].alias("field"), "value")
     return long.groupBy(id_col, "ticker").pivot("field", fields).agg(F.first("value"))
