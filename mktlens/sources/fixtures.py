@@ -139,14 +139,16 @@ REGISTRY_RAW_SQL = """registry_raw AS (
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free-text company queries: names as is, each word, the name with its
-    second character removed, and the name with ', ' and '#' noise."""
+    """Free-text company queries: part names as is, each word, the name with
+    its second character removed, the name with ', ' and '#' noise, and every
+    customer name (so the query table grows with the data)."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     whole = names.select(F.col("p_name").alias("query"))
     words = names.select(F.explode(F.split("p_name", " ")).alias("query"))
     typo = names.select(F.concat(F.substring("p_name", 1, 1), F.expr("substring(p_name, 3)")).alias("query"))
     noisy = names.select(F.concat(F.lit("#"), F.regexp_replace("p_name", " ", ", ")).alias("query"))
-    return whole.union(words).union(typo).union(noisy).distinct()
+    cust = table(spark, sf_dir, "customer").select(F.col("c_name").alias("query"))
+    return whole.union(words).union(typo).union(noisy).union(cust).distinct()
 
 
 QUERIES_SQL = """queries AS (
@@ -154,7 +156,8 @@ QUERIES_SQL = """queries AS (
     SELECT p_name AS query FROM part
     UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part
     UNION ALL SELECT substr(p_name, 1, 1) || substr(p_name, 3) FROM part
-    UNION ALL SELECT '#' || replace(p_name, ' ', ', ') FROM part))"""
+    UNION ALL SELECT '#' || replace(p_name, ' ', ', ') FROM part
+    UNION ALL SELECT c_name FROM customer))"""
 
 
 # --------------------------------------------------------------------------
