@@ -32,9 +32,15 @@ def _ratio_udf(word: pd.Series, candidate: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+# Marked non-deterministic only so Catalyst never duplicates the call (a
+# filter on the score would otherwise be pushed below the projection and
+# evaluate the UDF twice); the function itself is pure.
+_ratio_once = _ratio_udf.asNondeterministic()
+
+
 def sequence_ratio(word: Column, candidate: Column) -> Column:
     """difflib ratio of ``candidate`` against ``word``."""
-    return _ratio_udf(word, candidate)
+    return _ratio_once(word, candidate)
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:

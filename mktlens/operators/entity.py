@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mktlens.functions.exprs import strip_ws
-from mktlens.functions.similarity import multiset_overlap, sequence_ratio
+from mktlens.session import cut_lineage
+from mktlens.functions.similarity import sequence_ratio
 from mktlens.functions.text import alias_is_valid, alias_list, candidate_symbols, normalise, normalise_symbol
 
 # ---------------------------------------------------------------------------
@@ -181,22 +182,81 @@ def tier_alias(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
     return _match(j, 2, F.lit(SCORE_ALIAS), F.col("row_id"))
 
 
+def _alphabet_rank(aliases: DataFrame) -> Column:
+    """Global character order for prefix filtering: rarest alias characters
+    first (characters absent from the aliases rank before all).  The alias
+    table is a registry-sized dimension; its alphabet is collected as a small
+    literal map."""
+    freq = aliases.select(F.explode(F.split("alias", "")).alias("ch")).groupBy("ch").count().collect()
+    ordered = sorted(((r["count"], r["ch"]) for r in freq))
+    if not ordered:
+        return F.create_map().cast("map<string,int>")
+    pairs = []
+    for rank, (_, ch) in enumerate(ordered, start=1):
+        pairs += [F.lit(ch), F.lit(rank)]
+    return F.create_map(*pairs)
+
+
+def _elements(s: Column, rank: Column) -> Column:
+    """Multiset of characters as unique (rank, char, occurrence) structs in
+    the global order (the k-th 'a' of a string is its own element)."""
+    chars = F.split(s, "")
+    el = F.transform(
+        chars,
+        lambda ch, i: F.struct(
+            F.coalesce(F.element_at(rank, ch), F.lit(0)).alias("r"),
+            ch.alias("ch"),
+            F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == ch)).alias("occ"),
+        ),
+    )
+    return F.array_sort(el)
+
+
+def _tags(elements: Column) -> Column:
+    """Elements as strings 'char<US>occurrence' for set operations."""
+    return F.transform(elements, lambda e: F.concat(e["ch"], F.lit("\u001f"), e["occ"].cast("string")))
+
+
 def fuzzy_candidates(tokens: DataFrame, aliases: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """J6 candidate pairs (query, pos, token, alias) that can reach ``cutoff``.
 
-    Lossless pruning: ratio <= 2*min(la,lb)/(la+lb) gives an admissible length
-    band, turned into an equi-join on alias length; ratio <= 2*overlap/(la+lb)
-    with overlap the character-multiset intersection.
+    Lossless pruning, all by equi-joins on distinct strings:
+    * ratio <= 2*min(la,lb)/(la+lb): an admissible length band;
+    * ratio <= 2*overlap/(la+lb) with overlap the character-multiset
+      intersection, so overlap >= T = ceil(c*(la+lb)/2); by the prefix-filter
+      lemma the first |s|-T+1 elements (global rarest-first order) of both
+      multisets then share an element — candidates come from an equi-join on
+      those prefix elements, and the exact bound is checked afterwards with
+      the multisets computed once per distinct string.
     """
     c = cutoff
-    t = tokens.withColumn("la", F.length("token"))
-    lo = F.ceil(F.col("la") * c / (2 - c))
-    hi = F.floor(F.col("la") * (2 - c) / c)
-    t = t.withColumn("lb", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
-    a = aliases.select("alias").distinct().withColumn("lb", F.length("alias"))
-    pairs = t.join(a, "lb")
-    bound = 2.0 * multiset_overlap(F.col("token"), F.col("alias")) / (F.col("la") + F.col("lb"))
-    return pairs.where(bound >= c).select("query", "pos", "token", "alias")
+    al = aliases.select("alias").distinct()
+    rank = _alphabet_rank(al)
+
+    def prefix_len(n: Column) -> Column:
+        lo = F.ceil(n * c / (2 - c))
+        t = F.ceil(c * (n + lo) / 2)
+        return F.greatest(n - t + 1, F.lit(0)).cast("int")
+
+    # Distinct strings with their multisets are read by several joins below:
+    # write them once to the shared checkpoint folder (cuts the lineage, so
+    # the query/alias pipelines are not recomputed per use).
+    dt = tokens.select("token").distinct().select("token", F.length("token").alias("la"), _tags(_elements(F.col("token"), rank)).alias("ta"))
+    dt = cut_lineage(dt.select("token", "la", "ta", F.slice("ta", 1, prefix_len(F.col("la"))).alias("pa")))
+    da = al.select("alias", F.length("alias").alias("lb"), _tags(_elements(F.col("alias"), rank)).alias("tb"))
+    da = cut_lineage(da.select("alias", "lb", "tb", F.slice("tb", 1, prefix_len(F.col("lb"))).alias("pb")))
+    te = dt.select("token", "la", F.explode("pa").alias("e"))
+    ae = da.select("alias", "lb", F.explode("pb").alias("e"))
+    band = (F.col("lb") >= F.ceil(F.col("la") * c / (2 - c))) & (F.col("lb") <= F.floor(F.col("la") * (2 - c) / c))
+    # The per-pair checks below are CPU work on little data: spread the pairs
+    # explicitly (AQE would coalesce such a small shuffle into one task); the
+    # distinct reuses this partitioning.
+    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    pairs = te.join(ae, "e").where(band).select("token", "alias").repartition(n, "token", "alias").distinct()
+    full = pairs.join(dt.select("token", "la", "ta"), "token").join(da.select("alias", "lb", "tb"), "alias")
+    bound = 2.0 * F.size(F.array_intersect("ta", "tb")) / (F.col("la") + F.col("lb"))
+    ok = full.where(bound >= c).select("token", "alias")
+    return tokens.select("query", "pos", "token").join(ok, "token")
 
 
 def tier_fuzzy(tokens: DataFrame, registry: DataFrame, n: int, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
@@ -376,17 +436,19 @@ def search_aliases(sym_aliases: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def match_text(items: DataFrame, aliases: DataFrame, text_col: str = "combined_norm", key: str = "item_id",
-               method: str = "auto", broadcast_limit: int = 2000) -> DataFrame:
+               method: str = "auto", join_limit: int = 32) -> DataFrame:
     """(item, symbol) pairs where any alias of the symbol is a substring
     of the item text (T18 raw substring semantics).
 
-    ``method``: 'join' = broadcast nested-loop join on instr(text, alias) > 0;
-    'automaton' = Aho-Corasick per task; 'auto' picks by alias count (the
-    alias table is a dimension; its size is checked before broadcasting).
+    ``method``: 'join' = broadcast nested-loop join on instr(text, alias) > 0
+    (cost items x aliases x text length); 'automaton' = one Aho-Corasick scan
+    per text (cost linear in text length); 'auto' uses the join only for a
+    handful of aliases (the alias table is a dimension; its size is checked
+    before it is broadcast either way).
     """
     if method == "auto":
         n = aliases.count()
-        method = "join" if n <= broadcast_limit else "automaton"
+        method = "join" if n <= join_limit else "automaton"
     if method == "join":
         j = items.select(key, text_col).join(F.broadcast(aliases), F.instr(F.col(text_col), F.col("alias")) > 0)
         return j.select(key, "symbol").distinct()

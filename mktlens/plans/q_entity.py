@@ -423,14 +423,14 @@ def _aliases_for_search(spark, sf_dir):
 
 @register("J3_alias_text_match", sql=with_ctes(*J3_CTES, body="SELECT item_id, symbol FROM hits"), bench=True)
 def j3_alias_text_match(spark, sf_dir):
-    """Feed items x companies where any company alias is a substring of the normalised text."""
-    return E.match_text(feed_items(spark, sf_dir), _aliases_for_search(spark, sf_dir), "combined_norm", "item_id", method="join")
+    """Feed items x companies where any company alias is a substring of the normalised text (automatic strategy)."""
+    return E.match_text(feed_items(spark, sf_dir), _aliases_for_search(spark, sf_dir), "combined_norm", "item_id", method="auto")
 
 
-@register("J3_alias_text_match_automaton", sql=with_ctes(*J3_CTES, body="SELECT item_id, symbol FROM hits"))
-def j3_alias_text_match_automaton(spark, sf_dir):
-    """Same pairs as J3 by an Aho-Corasick scan per task (for large alias sets)."""
-    return E.match_text(feed_items(spark, sf_dir), _aliases_for_search(spark, sf_dir), "combined_norm", "item_id", method="automaton")
+@register("J3_alias_text_match_join", sql=with_ctes(*J3_CTES, body="SELECT item_id, symbol FROM hits"))
+def j3_alias_text_match_join(spark, sf_dir):
+    """Same pairs as J3 by a broadcast nested-loop join on instr (small alias sets)."""
+    return E.match_text(feed_items(spark, sf_dir), _aliases_for_search(spark, sf_dir), "combined_norm", "item_id", method="join")
 
 
 X11_BODY = f"""SELECT symbol AS ticker, published_at AS seen_datetime, CAST(published_at AS DATE) AS date, title, full_text, url,
@@ -446,7 +446,7 @@ def x11_company_news(spark, sf_dir):
     """Per company: feed items of the last 60 days before as_of whose text mentions an alias, annotated."""
     items = feed_items(spark, sf_dir)
     recent = N.recent(items, F.lit(AS_OF).cast("timestamp"), DAYS, "published_at")
-    hits = E.match_text(recent, _aliases_for_search(spark, sf_dir), "combined_norm", "item_id", method="join")
+    hits = E.match_text(recent, _aliases_for_search(spark, sf_dir), "combined_norm", "item_id", method="auto")
     local = E.local_news(recent, hits)
     return N.annotate_news(local, "full_text", FIXTURE_LEXICON)
 
