@@ -13,6 +13,8 @@ substring test (J3) and the fuzzy score (J6) are not equi-joins:
 """
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -217,10 +219,21 @@ def _tags(elements: Column) -> Column:
     return F.transform(elements, lambda e: F.concat(e["ch"], F.lit("\u001f"), e["occ"].cast("string")))
 
 
+def _floordiv(a: Column, b: int) -> Column:
+    """Exact floor(a / b) for integer a and positive integer b."""
+    return ((a - F.pmod(a, F.lit(b))) / F.lit(b)).cast("long")
+
+
+def _ceildiv(a: Column, b: int) -> Column:
+    return _floordiv(a + F.lit(b - 1), b)
+
+
 def fuzzy_candidates(tokens: DataFrame, aliases: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """J6 candidate pairs (query, pos, token, alias) that can reach ``cutoff``.
 
-    Lossless pruning, all by equi-joins on distinct strings:
+    Lossless pruning, all by equi-joins on distinct strings (integer
+    arithmetic with the cutoff as a fraction p/q, so pairs exactly on the
+    cutoff are kept):
     * ratio <= 2*min(la,lb)/(la+lb): an admissible length band;
     * ratio <= 2*overlap/(la+lb) with overlap the character-multiset
       intersection, so overlap >= T = ceil(c*(la+lb)/2); by the prefix-filter
@@ -229,33 +242,38 @@ def fuzzy_candidates(tokens: DataFrame, aliases: DataFrame, cutoff: float = FUZZ
       those prefix elements, and the exact bound is checked afterwards with
       the multisets computed once per distinct string.
     """
-    c = cutoff
+    frac = Fraction(cutoff).limit_denominator(10_000)
+    p, q = frac.numerator, frac.denominator
     al = aliases.select("alias").distinct()
     rank = _alphabet_rank(al)
 
+    def band_lo(n: Column) -> Column:  # ceil(n * c / (2 - c))
+        return _ceildiv(n * p, 2 * q - p)
+
+    def band_hi(n: Column) -> Column:  # floor(n * (2 - c) / c)
+        return _floordiv(n * (2 * q - p), p)
+
     def prefix_len(n: Column) -> Column:
-        lo = F.ceil(n * c / (2 - c))
-        t = F.ceil(c * (n + lo) / 2)
+        t = _ceildiv((n + band_lo(n)) * p, 2 * q)  # smallest required overlap over the band
         return F.greatest(n - t + 1, F.lit(0)).cast("int")
 
     # Distinct strings with their multisets are read by several joins below:
     # write them once to the shared checkpoint folder (cuts the lineage, so
     # the query/alias pipelines are not recomputed per use).
-    dt = tokens.select("token").distinct().select("token", F.length("token").alias("la"), _tags(_elements(F.col("token"), rank)).alias("ta"))
+    dt = tokens.select("token").distinct().select("token", F.length("token").cast("long").alias("la"), _tags(_elements(F.col("token"), rank)).alias("ta"))
     dt = cut_lineage(dt.select("token", "la", "ta", F.slice("ta", 1, prefix_len(F.col("la"))).alias("pa")))
-    da = al.select("alias", F.length("alias").alias("lb"), _tags(_elements(F.col("alias"), rank)).alias("tb"))
+    da = al.select("alias", F.length("alias").cast("long").alias("lb"), _tags(_elements(F.col("alias"), rank)).alias("tb"))
     da = cut_lineage(da.select("alias", "lb", "tb", F.slice("tb", 1, prefix_len(F.col("lb"))).alias("pb")))
     te = dt.select("token", "la", F.explode("pa").alias("e"))
     ae = da.select("alias", "lb", F.explode("pb").alias("e"))
-    band = (F.col("lb") >= F.ceil(F.col("la") * c / (2 - c))) & (F.col("lb") <= F.floor(F.col("la") * (2 - c) / c))
+    band = (F.col("lb") >= band_lo(F.col("la"))) & (F.col("lb") <= band_hi(F.col("la")))
     # The per-pair checks below are CPU work on little data: spread the pairs
     # explicitly (AQE would coalesce such a small shuffle into one task); the
     # distinct reuses this partitioning.
     n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     pairs = te.join(ae, "e").where(band).select("token", "alias").repartition(n, "token", "alias").distinct()
     full = pairs.join(dt.select("token", "la", "ta"), "token").join(da.select("alias", "lb", "tb"), "alias")
-    bound = 2.0 * F.size(F.array_intersect("ta", "tb")) / (F.col("la") + F.col("lb"))
-    ok = full.where(bound >= c).select("token", "alias")
+    ok = full.where(2 * q * F.size(F.array_intersect("ta", "tb")) >= p * (F.col("la") + F.col("lb"))).select("token", "alias")
     return tokens.select("query", "pos", "token").join(ok, "token")
 
 
