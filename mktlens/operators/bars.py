@@ -5,9 +5,11 @@ plan has a single Exchange + Sort feeding every Window node.  Rows lacking a
 close or volume are removed *before* any lag/rolling (T7); row offsets are
 row counts, not calendar days (T8).
 
-Skew: a window partition is one task.  For series whose single ticker may hold
-a large share of all rows use ``mktlens.operators.chunked`` which splits a
-ticker into row-range chunks with a halo (exact for fixed-width frames).
+Skew: a window partition is one task.  Every operator takes ``strategy``;
+with 'auto' (default) a ticker holding more than ``chunked.HOT_KEY_ROWS`` rows
+switches the plan to ``mktlens.operators.chunked``: the series is split into
+row-range chunks with a halo (exact for fixed-width frames) and the expanding
+mean uses per-chunk prefix sums, so no task holds a whole hot series.
 """
 from __future__ import annotations
 
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mktlens.config import FeatureConfig
+from mktlens.operators.chunked import apply_windows, expanding_mean, use_chunks
 from mktlens.functions.exprs import (
     clip_lower,
     direction,
@@ -64,87 +67,123 @@ def forward_return_h(close: str, h: int, w: Window) -> Column:
 
 
 # ---------------------------------------------------------------- X1 price half
-def price_features(bars: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
+def price_features(bars: DataFrame, cfg: FeatureConfig = FeatureConfig(), strategy: str = "auto") -> DataFrame:
     """Price part of the feature matrix (reference ``_prepare_price_features``).
 
-    Input: conformed bars (ticker, date, close, volume).
+    Input: conformed bars (ticker, date, close, volume).  ``strategy``:
+    'simple' per-ticker windows, 'chunked' halo'd row chunks, 'auto' chunks
+    only when one ticker holds more than ``chunked.HOT_KEY_ROWS`` rows.
     """
-    w = series_window()
     s, lw, p = cfg.short_window, cfg.long_window, cfg.price_rolling_days
-    b = clean_bars(bars).select("ticker", "date", "close", "volume")
-    r1 = pct_change_n("close", 1, w)
-    b = b.withColumn("_r1", r1)
-    sma_s = F.avg("close").over(rows_frame(w, s))
-    sma_l = F.avg("close").over(rows_frame(w, lw))
-    vol_std = F.stddev_samp("_r1").over(rows_frame(w, p))
-    vol_mean = F.avg("volume").over(rows_frame(w, lw))
-    wl = rows_frame(w, lw)
-    z_mean = F.when(F.count("volume").over(wl) >= 2, F.avg("volume").over(wl))
-    z = safe_div(F.col("volume") - z_mean, zscore_std("volume", wl, 2))
-    fwd = forward_return_h("close", cfg.target_horizon_days, w)
-    out = b.select(
-        "ticker",
-        "date",
-        "close",
-        "volume",
-        zero_if_null("_r1").alias("return_1d"),
-        zero_if_null(pct_change_n("close", 5, w)).alias("return_5d"),
-        zero_if_null(vol_std).alias("vol_roll_std"),
-        zero_if_null(safe_div(sma_s, sma_l) - F.lit(1.0)).alias("sma_ratio"),
-        F.coalesce(vol_mean, F.col("volume")).alias("volume_roll_mean"),
-        zero_if_null(z).alias("volume_zscore"),
-        fwd.alias("target_return"),
-    )
+    h = cfg.target_horizon_days
+
+    def build(b: DataFrame, w: Window) -> DataFrame:
+        b = b.withColumn("_r1", pct_change_n("close", 1, w))
+        sma_s = F.avg("close").over(rows_frame(w, s))
+        sma_l = F.avg("close").over(rows_frame(w, lw))
+        vol_std = F.stddev_samp("_r1").over(rows_frame(w, p))
+        vol_mean = F.avg("volume").over(rows_frame(w, lw))
+        wl = rows_frame(w, lw)
+        z_mean = F.when(F.count("volume").over(wl) >= 2, F.avg("volume").over(wl))
+        z = safe_div(F.col("volume") - z_mean, zscore_std("volume", wl, 2))
+        fwd = forward_return_h("close", h, w)
+        keep = [c for c in b.columns if c.startswith("_") and c != "_r1"]
+        return b.select(
+            "ticker",
+            "date",
+            "close",
+            "volume",
+            zero_if_null("_r1").alias("return_1d"),
+            zero_if_null(pct_change_n("close", 5, w)).alias("return_5d"),
+            zero_if_null(vol_std).alias("vol_roll_std"),
+            zero_if_null(safe_div(sma_s, sma_l) - F.lit(1.0)).alias("sma_ratio"),
+            F.coalesce(vol_mean, F.col("volume")).alias("volume_roll_mean"),
+            zero_if_null(z).alias("volume_zscore"),
+            fwd.alias("target_return"),
+            *keep,
+        )
+
+    base = clean_bars(bars).select("ticker", "date", "close", "volume")
+    # lag 1 feeds a p-row std, so the deepest look back is max(lw - 1, p, 5).
+    out = apply_windows(base, build, lookback=max(lw - 1, p, 5), lookahead=h, strategy=strategy)
     return out.withColumn("target_direction", direction("target_return"))
 
 
 # ---------------------------------------------------------------- W3-W6 single ops
-def rolling_mean(bars: DataFrame, widths=(5, 15, 200), value: str = "close") -> DataFrame:
+def _keep(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith("_")]
+
+
+def rolling_mean(bars: DataFrame, widths=(5, 15, 200), value: str = "close", strategy: str = "auto") -> DataFrame:
     """Trailing mean with partial windows allowed (min_periods=1)."""
-    w = series_window()
-    cols = [F.avg(value).over(rows_frame(w, n)).alias(f"{value}_mean_{n}") for n in widths]
-    return clean_bars(bars).select("ticker", "date", value, *cols)
 
+    def build(b, w):
+        cols = [F.avg(value).over(rows_frame(w, n)).alias(f"{value}_mean_{n}") for n in widths]
+        return b.select("ticker", "date", value, *cols, *_keep(b))
 
-def rolling_std(bars: DataFrame, width: int = 15, value: str = "close") -> DataFrame:
+    return apply_windows(clean_bars(bars), build, lookback=max(widths) - 1, strategy=strategy)
+
+
+def rolling_std(bars: DataFrame, width: int = 15, value: str = "close", strategy: str = "auto") -> DataFrame:
     """Trailing sample std (NULL with one observation)."""
-    w = series_window()
-    return clean_bars(bars).select("ticker", "date", value, F.stddev_samp(value).over(rows_frame(w, width)).alias(f"{value}_std_{width}"))
 
+    def build(b, w):
+        return b.select("ticker", "date", value, F.stddev_samp(value).over(rows_frame(w, width)).alias(f"{value}_std_{width}"), *_keep(b))
+
+    return apply_windows(clean_bars(bars), build, lookback=width - 1, strategy=strategy)
 
-def rolling_zscore(bars: DataFrame, width: int = 15, value: str = "volume") -> DataFrame:
+
+def rolling_zscore(bars: DataFrame, width: int = 15, value: str = "volume", strategy: str = "auto") -> DataFrame:
     """(v - mean)/std over ``width`` rows, >= 2 observations, 0 when std is 0."""
-    w = rows_frame(series_window(), width)
-    mean = F.when(F.count(value).over(w) >= 2, F.avg(value).over(w))
-    z = safe_div(F.col(value) - mean, zscore_std(value, w, 2))
-    return clean_bars(bars).select("ticker", "date", value, zero_if_null(z).alias(f"{value}_zscore_{width}"))
+
+    def build(b, w0):
+        w = rows_frame(w0, width)
+        mean = F.when(F.count(value).over(w) >= 2, F.avg(value).over(w))
+        z = safe_div(F.col(value) - mean, zscore_std(value, w, 2))
+        return b.select("ticker", "date", value, zero_if_null(z).alias(f"{value}_zscore_{width}"), *_keep(b))
+
+    return apply_windows(clean_bars(bars), build, lookback=width - 1, strategy=strategy)
 
 
 # ---------------------------------------------------------------- notebook history
-def enrich_history(bars: DataFrame, n: int = 200, bands: float = 2.0) -> DataFrame:
+def enrich_history(bars: DataFrame, n: int = 200, bands: float = 2.0, strategy: str = "auto") -> DataFrame:
     """X8 = W8 strict n-row moving average, W9 +-2 sigma bands (low clipped at
     0), W10 expanding mean."""
-    w = series_window()
-    wn = rows_frame(w, n)
-    ma = strict(F.avg("close"), "close", wn, n)
-    sd = strict(F.stddev_samp("close"), "close", wn, n)
-    expanding = F.avg("close").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    base = clean_bars(bars).select("ticker", "date", "close", "volume")
+    chunked = use_chunks(base, "ticker", strategy)
+
+    def build(b, w):
+        wn = rows_frame(w, n)
+        ma = strict(F.avg("close"), "close", wn, n)
+        sd = strict(F.stddev_samp("close"), "close", wn, n)
+        cols = [ma.alias(f"ma_{n}"), sd.alias("_sd")]
+        if chunked:
+            cols.append(F.col("ma"))  # from the chunked expanding mean
+        else:
+            cols.append(F.avg("close").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("ma"))
+        return b.select("ticker", "date", "close", "volume", *cols, *_keep(b))
+
+    if chunked:
+        out = apply_windows(expanding_mean(base, "close", "ma"), build, lookback=n - 1, strategy="chunked")
+        out = out.select("ticker", "date", "close", "volume", f"ma_{n}", "_sd", "ma")
+    else:
+        out = apply_windows(base, build, lookback=n - 1, strategy="simple")
     return (
-        clean_bars(bars)
-        .select("ticker", "date", "close", "volume", ma.alias(f"ma_{n}"), sd.alias("_sd"), expanding.alias("ma"))
-        .withColumn(f"ma_{n}_low", clip_lower(F.col(f"ma_{n}") - bands * F.col("_sd"), 0.0))
+        out.withColumn(f"ma_{n}_low", clip_lower(F.col(f"ma_{n}") - bands * F.col("_sd"), 0.0))
         .withColumn(f"ma_{n}_high", F.col(f"ma_{n}") + bands * F.col("_sd"))
         .drop("_sd")
     )
 
 
-def forward_extremes(df: DataFrame, n: int = 30, value: str = "close") -> DataFrame:
+def forward_extremes(df: DataFrame, n: int = 30, value: str = "close", strategy: str = "auto") -> DataFrame:
     """max/min over the current and next n-1 rows, strict (NULL when fewer
     than n rows remain)."""
-    w = series_window().rowsBetween(0, n - 1)
-    return df.withColumn("max_close", strict(F.max(value), value, w, n)).withColumn(
-        "min_close", strict(F.min(value), value, w, n)
-    )
+
+    def build(b, w0):
+        w = w0.rowsBetween(0, n - 1)
+        return b.withColumn("max_close", strict(F.max(value), value, w, n)).withColumn("min_close", strict(F.min(value), value, w, n))
+
+    return apply_windows(df, build, lookahead=n - 1, strategy=strategy)
 
 
 def three_class_outcome(max_close: Column, min_close: Column, close: Column, up: float = 1.15, down: float = 0.85) -> Column:
@@ -192,13 +231,12 @@ def distinct_count(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- W12
-def change_vs_lag(bars: DataFrame, lag_rows: int = 21) -> DataFrame:
+def change_vs_lag(bars: DataFrame, lag_rows: int = 21, strategy: str = "auto") -> DataFrame:
     """Latest close per ticker and its change against the row ``lag_rows``
     before it, only when more than ``lag_rows`` rows exist and the base is
     non-zero."""
-    w = series_window()
     b = clean_bars(bars).select("ticker", "date", "close")
-    b = b.withColumn("_base", F.lag("close", lag_rows).over(w))
+    b = apply_windows(b, lambda x, w: x.withColumn("_base", F.lag("close", lag_rows).over(w)), lookback=lag_rows, strategy=strategy)
     latest = b.groupBy("ticker").agg(F.max_by(F.struct("close", "_base", "date"), "date").alias("s"))
     return latest.select(
         "ticker",

@@ -9,6 +9,9 @@ A running total over a *global* order is the one thing a plain
 3. prefix those totals (a window over #partitions rows),
 4. add the running total inside each partition.
 
+The partition tag is materialised once (see ``_range_parts``): range bounds
+come from sampling and could differ if the range shuffle were recomputed.
+
 Every step is a bounded-size task whatever the skew of the data.
 """
 from __future__ import annotations
@@ -23,12 +26,23 @@ def _parts(df: DataFrame, n: int | None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
 
 
+def _range_parts(df: DataFrame, n: int, cols: list[str]) -> DataFrame:
+    """Rows tagged with their range partition.  The range bounds are sampled
+    per execution, so the tagged frame is written once to the shared
+    checkpoint folder: every later use (counts, join back, several plan
+    branches) sees the same assignment, and a lost executor does not change
+    it."""
+    from mktlens.session import cut_lineage
+
+    return cut_lineage(df.repartitionByRange(n, *cols).withColumn("_part", F.spark_partition_id()))
+
+
 def ordered_prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[str], n_parts: int | None = None,
                         suffix: str = "_before") -> DataFrame:
     """For each row, the sum of each value column over all rows strictly
     before it in ``order_cols`` order (order_cols must be unique per row)."""
     n = _parts(df, n_parts)
-    r = df.repartitionByRange(n, *order_cols).withColumn("_part", F.spark_partition_id())
+    r = _range_parts(df, n, list(order_cols))
     tot = r.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in value_cols])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in value_cols])
@@ -45,7 +59,7 @@ def series_positions(df: DataFrame, key: str, order: list[str], n_parts: int | N
     length, computed with range partitioning on (key, order) so a single huge
     series is numbered by many tasks."""
     n = _parts(df, n_parts)
-    r = df.repartitionByRange(n, key, *order).withColumn("_part", F.spark_partition_id())
+    r = _range_parts(df, n, [key, *order])
     cnt = r.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_c"))
     wk = Window.partitionBy(key).orderBy("_part")
     offs = cnt.select(

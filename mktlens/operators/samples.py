@@ -10,16 +10,18 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mktlens.functions.exprs import col
 
 
-def _positions(df: DataFrame, key: str, order: str) -> DataFrame:
-    """0-based row position inside each series plus the series length."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+def _positions(df: DataFrame, key: str, order: str, strategy: str = "auto") -> DataFrame:
+    """0-based row position inside each series plus the series length (a
+    range-partitioned numbering when one series is hot)."""
+    from mktlens.operators.chunked import positions
+
+    return positions(df, key, order, strategy)
 
 
 def window_samples(df: DataFrame, value: str, label: str | None, key: str = "ticker", order: str = "date",
