@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mktlens.config import FeatureConfig
-from mktlens.operators.chunked import apply_windows, expanding_mean, use_chunks
+from mktlens.operators.chunked import apply_windows, expanding_mean, resolve
 from mktlens.functions.exprs import (
     clip_lower,
     direction,
@@ -149,8 +149,8 @@ def rolling_zscore(bars: DataFrame, width: int = 15, value: str = "volume", stra
 def enrich_history(bars: DataFrame, n: int = 200, bands: float = 2.0, strategy: str = "auto") -> DataFrame:
     """X8 = W8 strict n-row moving average, W9 +-2 sigma bands (low clipped at
     0), W10 expanding mean."""
-    base = clean_bars(bars).select("ticker", "date", "close", "volume")
-    chunked = use_chunks(base, "ticker", strategy)
+    base, strategy = resolve(clean_bars(bars).select("ticker", "date", "close", "volume"), "ticker", strategy)
+    chunked = strategy == "chunked"
 
     def build(b, w):
         wn = rows_frame(w, n)
@@ -196,7 +196,7 @@ def three_class_outcome(max_close: Column, min_close: Column, close: Column, up:
 
 
 def label_history(enriched: DataFrame, n_ma: int = 200, horizon: int = 30, live_days: int = 150,
-                  min_train: int = 150, min_live: int = 100) -> tuple[DataFrame, DataFrame]:
+                  min_train: int = 150, min_live: int = 100, strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
     """(train, live) from an enriched history.
 
     train: rows with a forward window, outcome class (P16), relative closes
@@ -206,7 +206,7 @@ def label_history(enriched: DataFrame, n_ma: int = 200, horizon: int = 30, live_
     """
     ma = f"ma_{n_ma}"
     base = enriched.where(F.col(ma).isNotNull()).select("ticker", "date", ma, "close")
-    base = forward_extremes(base, horizon).withColumn("relative_close", safe_div(F.col("close"), F.col(ma)))
+    base = forward_extremes(base, horizon, strategy=strategy).withColumn("relative_close", safe_div(F.col("close"), F.col(ma)))
 
     # One-row global max joined back (broadcast of a single row).
     max_date = base.agg(F.max("date").alias("_max_date"))

@@ -45,6 +45,18 @@ def use_chunks(df: DataFrame, key: str, strategy: str) -> bool:
     return max_key_rows(df, key) > HOT_KEY_ROWS
 
 
+def resolve(df: DataFrame, key: str, strategy: str) -> tuple[DataFrame, str]:
+    """Decide 'simple' or 'chunked' for ``strategy='auto'``.  The input is
+    written once to the shared checkpoint folder first, so the upstream plan
+    runs once for both the key-count check and the window job."""
+    if strategy != "auto":
+        return df, strategy
+    from mktlens.session import cut_lineage
+
+    m = cut_lineage(df)
+    return m, ("chunked" if max_key_rows(m, key) > HOT_KEY_ROWS else "simple")
+
+
 def with_halo(df: DataFrame, key: str, order: str, lookback: int, lookahead: int, chunk_rows: int) -> DataFrame:
     """Positions, chunk ids and halo copies (column ``_home`` marks the row's
     own copy; ``_i`` is the row position inside its series)."""
@@ -74,7 +86,8 @@ def apply_windows(df: DataFrame, build: Callable[[DataFrame, Window], DataFrame]
     """Run ``build(frame, window)`` either with the plain per-key window or on
     halo'd chunks (same result; see module doc)."""
     chunk_rows = chunk_rows or DEFAULT_CHUNK_ROWS
-    if not use_chunks(df, key, strategy):
+    df, strategy = resolve(df, key, strategy)
+    if strategy == "simple":
         return build(df, Window.partitionBy(key).orderBy(order))
     h = with_halo(df, key, order, lookback, lookahead, chunk_rows)
     out = build(h, chunk_window(key))
@@ -100,7 +113,8 @@ def expanding_mean(df: DataFrame, value: str, out: str, key: str = "ticker", ord
 
 def positions(df: DataFrame, key: str, order: str, strategy: str = "auto") -> DataFrame:
     """0-based position ``_i`` and series length ``_n`` per row."""
-    if use_chunks(df, key, strategy):
+    df, strategy = resolve(df, key, strategy)
+    if strategy == "chunked":
         return series_positions(df, key, [order])
     w = Window.partitionBy(key).orderBy(order)
     return df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))

@@ -259,7 +259,7 @@ def fuzzy_candidates(tokens: DataFrame, aliases: DataFrame, cutoff: float = FUZZ
 
     # Distinct strings with their multisets are read by several joins below:
     # write them once to the shared checkpoint folder (cuts the lineage, so
-    # the query/alias pipelines are not recomputed per use).
+    # the query and alias plans are not recomputed per use).
     dt = tokens.select("token").distinct().select("token", F.length("token").cast("long").alias("la"), _tags(_elements(F.col("token"), rank)).alias("ta"))
     dt = cut_lineage(dt.select("token", "la", "ta", F.slice("ta", 1, prefix_len(F.col("la"))).alias("pa")))
     da = al.select("alias", F.length("alias").cast("long").alias("lb"), _tags(_elements(F.col("alias"), rank)).alias("tb"))

@@ -142,7 +142,7 @@ def build_estimator(cfg: ModelConfig, n_rows: int | None = None, features_col: s
     raise ValueError(f"Unsupported estimator '{cfg.estimator}'")
 
 
-def training_pipeline(features: list[str], cfg: ModelConfig, n_rows: int | None = None) -> Pipeline:
+def estimator_stages(features: list[str], cfg: ModelConfig, n_rows: int | None = None) -> Pipeline:
     return Pipeline(stages=assembler_scaler(features) + [build_estimator(cfg, n_rows)])
 
 
@@ -167,7 +167,7 @@ def train(dataset: DataFrame, features: list[str], cfg: ModelConfig = ModelConfi
     s = cut_lineage(stratified_split(d, "label", list(keys), cfg.test_size, cfg.random_state))
     tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
     n = tr.count()
-    model = training_pipeline(features, cfg, n).fit(tr)
+    model = estimator_stages(features, cfg, n).fit(tr)
     scored = prob_up(model.transform(te))
     rep = binary_report(scored, F.col("label"), F.col("prediction"))
     auc = roc_auc(scored, F.col("label"), F.col("probability_up"))
