@@ -47,13 +47,17 @@ def use_chunks(df: DataFrame, key: str, strategy: str) -> bool:
 
 def resolve(df: DataFrame, key: str, strategy: str) -> tuple[DataFrame, str]:
     """Decide 'simple' or 'chunked' for ``strategy='auto'``.  The input is
-    written once to the shared checkpoint folder first, so the upstream plan
-    runs once for both the key-count check and the window job."""
+    written once as a table in the shared checkpoint folder (its rows counted
+    in the same job), so the upstream plan runs once for the check and the
+    window job; the per-key count runs only when the total could hide a hot
+    key."""
     if strategy != "auto":
         return df, strategy
-    from mktlens.session import cut_lineage
+    from mktlens.session import materialise
 
-    m = cut_lineage(df)
+    m, total = materialise(df, "window-input")
+    if total <= HOT_KEY_ROWS:
+        return m, "simple"
     return m, ("chunked" if max_key_rows(m, key) > HOT_KEY_ROWS else "simple")
 
 

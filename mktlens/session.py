@@ -48,6 +48,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def materialise(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
+    """Write ``df`` once as a parquet table in the shared checkpoint folder,
+    counting its rows in the same job (``observe``), and read it back.
+    Returns (re-read frame, row count)."""
+    import uuid
+
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/mktlens-tables/{name}-{uuid.uuid4().hex[:12]}"
+    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path), int(obs.get["n"])
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
