@@ -13,16 +13,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def substring_hits(items: DataFrame, aliases: DataFrame, key: str, text_col: str, max_aliases: int = 5_000_000) -> DataFrame:
+MAX_ALIASES = 5_000_000
+
+
+def collect_aliases(aliases: DataFrame, max_aliases: int = MAX_ALIASES) -> list[tuple[str, str]]:
+    """The (alias, symbol) dimension as a list, refusing more than
+    ``max_aliases`` rows (one bounded collect, no separate count job)."""
+    rows = aliases.select("alias", "symbol").distinct().limit(max_aliases + 1).collect()
+    if len(rows) > max_aliases:
+        raise ValueError(f"alias dimension too large to broadcast (> {max_aliases} rows)")
+    return [(r["alias"], r["symbol"]) for r in rows]
+
+
+def substring_hits(items: DataFrame, aliases: DataFrame | list[tuple[str, str]], key: str, text_col: str) -> DataFrame:
     """(key, symbol) for every alias occurring in the text.
 
-    ``aliases`` (symbol, alias) is a registry-sized dimension: its row count is
-    checked against ``max_aliases`` before it is broadcast.
+    ``aliases`` is the registry-sized (alias, symbol) dimension, as a
+    DataFrame or an already collected list; its size is bounded before it is
+    broadcast.
     """
-    n = aliases.count()
-    if n > max_aliases:
-        raise ValueError(f"alias dimension too large to broadcast ({n} rows)")
-    pairs = [(r["alias"], r["symbol"]) for r in aliases.select("alias", "symbol").distinct().collect()]
+    pairs = aliases if isinstance(aliases, list) else collect_aliases(aliases)
     bc = items.sparkSession.sparkContext.broadcast(pairs)
     key_type = dict(items.dtypes)[key]
 

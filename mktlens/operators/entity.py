@@ -464,15 +464,17 @@ def match_text(items: DataFrame, aliases: DataFrame, text_col: str = "combined_n
     handful of aliases (the alias table is a dimension; its size is checked
     before it is broadcast either way).
     """
+    from mktlens.functions.automaton import collect_aliases, substring_hits
+
+    pairs = None
     if method == "auto":
-        n = aliases.count()
-        method = "join" if n <= join_limit else "automaton"
+        pairs = collect_aliases(aliases)  # bounded dimension, collected once
+        method = "join" if len(pairs) <= join_limit else "automaton"
     if method == "join":
         j = items.select(key, text_col).join(F.broadcast(aliases), F.instr(F.col(text_col), F.col("alias")) > 0)
         return j.select(key, "symbol").distinct()
-    from mktlens.functions.automaton import substring_hits
-
-    return substring_hits(items.select(key, text_col), aliases, key, text_col).select(key, "symbol").distinct()
+    hits = substring_hits(items.select(key, text_col), pairs if pairs is not None else aliases, key, text_col)
+    return hits.select(key, "symbol").distinct()
 
 
 def local_news(feed: DataFrame, matches: DataFrame) -> DataFrame:
