@@ -30,6 +30,9 @@ def trigrams(text: Column) -> Column:
 
 def train_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, trigram, logp, log_unseen) with add-one smoothing."""
+    from mktlens.session import spread
+
+    docs = spread(docs)
     g = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(trigrams(F.col(text_col))).alias("trigram"))
     counts = g.groupBy("lang", "trigram").agg(F.count(F.lit(1)).alias("c"))
     vocab = counts.select("trigram").distinct().agg(F.count(F.lit(1)).alias("v"))
@@ -43,7 +46,9 @@ def train_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
 def tag_language(docs: DataFrame, profiles: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, detected_language) for every input row (NULL for empty text)."""
-    tg = docs.select(key, F.explode(trigrams(F.col(text_col))).alias("trigram"))
+    from mktlens.session import spread
+
+    tg = spread(docs).select(key, F.explode(trigrams(F.col(text_col))).alias("trigram"))
     tc = tg.groupBy(key, "trigram").agg(F.count(F.lit(1)).alias("cnt"))
     n = tc.groupBy(key).agg(F.sum("cnt").alias("n"))
     langs = profiles.select("lang", "log_unseen").distinct()  # one row per language

@@ -413,7 +413,9 @@ def feed_items(spark, sf_dir):
     """S4-conformed feed items with the combined normalised search text."""
     from mktlens.sources.readers import conform_feed
 
-    f = conform_feed(fx.feed(spark, sf_dir).withColumnRenamed("doc_id", "item_id"))
+    from mktlens.session import spread
+
+    f = conform_feed(spread(fx.feed(spark, sf_dir).withColumnRenamed("doc_id", "item_id")))
     return f.withColumn("combined_norm", TX.search_text("title", "summary"))
 
 

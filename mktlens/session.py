@@ -68,3 +68,15 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin an input that has fewer partitions than the cluster has
+    cores before CPU-heavy per-row work (text normalisation, automaton scans,
+    trigram explosion).  Large inputs already come in many splits and are
+    left untouched (no extra shuffle)."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
