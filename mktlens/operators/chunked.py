@@ -45,6 +45,18 @@ def use_chunks(df: DataFrame, key: str, strategy: str) -> bool:
     return max_key_rows(df, key) > HOT_KEY_ROWS
 
 
+_COSTLY_NODES = ("Join", "Aggregate", "Window", "Generate", "Sort", "Union", "Expand", "Python", "MapInPandas")
+
+
+def _cheap_to_rescan(df: DataFrame) -> bool:
+    """True when the optimized plan is only scans, filters and projections."""
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except Exception:  # noqa: BLE001 - e.g. a Connect session: take the safe path
+        return False
+    return not any(n in plan for n in _COSTLY_NODES)
+
+
 def resolve(df: DataFrame, key: str, strategy: str) -> tuple[DataFrame, str]:
     """Decide 'simple' or 'chunked' for ``strategy='auto'``.  The input is
     written once as a table in the shared checkpoint folder (its rows counted
@@ -53,6 +65,10 @@ def resolve(df: DataFrame, key: str, strategy: str) -> tuple[DataFrame, str]:
     key."""
     if strategy != "auto":
         return df, strategy
+    if _cheap_to_rescan(df):
+        # A scan with filters/projections: counting re-reads the files, which
+        # costs less than writing and reading a copy.
+        return df, ("chunked" if max_key_rows(df, key) > HOT_KEY_ROWS else "simple")
     from mktlens.session import materialise
 
     m, total = materialise(df, "window-input")
