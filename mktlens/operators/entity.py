@@ -387,6 +387,25 @@ def upsert_aliases(store: DataFrame, new: DataFrame) -> DataFrame:
     return old.withColumn("is_new", F.lit(False)).unionByName(added)
 
 
+def fold_alias_store(store: DataFrame) -> DataFrame:
+    """S6 write side: (symbol, alias) rows folded to symbol -> sorted names,
+    symbols without names dropped."""
+    st = store.select(normalise_symbol("symbol").alias("symbol"), strip_ws("alias").alias("alias")).where(
+        (F.col("symbol") != "") & F.col("alias").isNotNull() & (F.col("alias") != "")
+    )
+    return st.groupBy("symbol").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+
+def write_alias_store(store: DataFrame, path: str) -> None:
+    """Persist the folded store (overwrite through the commit protocol)."""
+    fold_alias_store(store).write.mode("overwrite").parquet(path)
+
+
+def read_alias_store(spark: SparkSession, path: str) -> DataFrame:
+    """Folded store back to (symbol, alias) rows."""
+    return spark.read.parquet(path).select("symbol", F.explode("aliases").alias("alias"))
+
+
 # ---------------------------------------------------------------- J9 / U5
 def symbol_aliases(registry: DataFrame, store: DataFrame) -> DataFrame:
     """Per symbol, first-registry-row aliases ∪ normalised dynamic aliases

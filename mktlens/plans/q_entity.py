@@ -372,11 +372,14 @@ def a17_alias_upsert(spark, sf_dir):
   SELECT upper({strip_sql('symbol')}) AS symbol, {strip_sql('alias')} AS alias FROM store UNION ALL SELECT symbol, term FROM seeds)""",
     body="SELECT symbol, list_sort(list_distinct(list(alias))) AS aliases FROM d WHERE alias <> '' GROUP BY symbol"))
 def s6_alias_store_read(spark, sf_dir):
-    """Alias store folded to symbol -> sorted names (store ∪ seeds)."""
-    st = store_df(spark, sf_dir).select(TX.normalise_symbol("symbol").alias("symbol"), TX.strip_ws("alias").alias("alias"))
+    """Alias store (store ∪ seeds) written folded to symbol -> sorted names and read back."""
+    from mktlens.plans.q_models import scratch
+
     seeds = E.seed_terms_table(spark).select("symbol", F.col("term").alias("alias"))
-    u = st.unionByName(seeds).where(F.col("alias") != "")
-    return u.groupBy("symbol").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    path = scratch(spark, "alias-store")
+    E.write_alias_store(store_df(spark, sf_dir).unionByName(seeds), path)
+    back = E.read_alias_store(spark, path)
+    return E.fold_alias_store(back)
 
 
 @register("J10_price_fallbacks", sql=with_ctes(fx.BARS_SQL, fx.NEWS_SQL, PRICE_FB_SQL, f"""r AS (
