@@ -33,7 +33,7 @@ from mktlens.config import ModelConfig
 from mktlens.functions.sentiment import signed_confidence
 from mktlens.functions.text import extractive_summary
 from mktlens.operators.metrics import binary_report, roc_auc
-from mktlens.session import cut_lineage
+from mktlens.session import cut_lineage, ensure_checkpoint_dir
 
 HASH_BUCKET_BITS = 16
 
@@ -151,6 +151,18 @@ def prob_up(prediction: DataFrame, out: str = "probability_up") -> DataFrame:
     return prediction.withColumn(out, vector_to_array("probability")[1])
 
 
+def detach(model: PipelineModel, spark) -> PipelineModel:
+    """Save a fitted pipeline to the shared checkpoint folder and load it back.
+    Fitted classifiers keep a training summary that refers to the session,
+    which cannot be shipped to executors; the reloaded model has no summary,
+    and the saved copy survives the loss of the driver's in-memory state."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/mktlens-models/{uuid.uuid4().hex[:12]}"
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
 # ---------------------------------------------------------------- M8
 def train(dataset: DataFrame, features: list[str], cfg: ModelConfig = ModelConfig(), keys=("ticker", "date"),
           target: str = "target_direction") -> tuple[PipelineModel, DataFrame, DataFrame]:
@@ -167,7 +179,7 @@ def train(dataset: DataFrame, features: list[str], cfg: ModelConfig = ModelConfi
     s = cut_lineage(stratified_split(d, "label", list(keys), cfg.test_size, cfg.random_state))
     tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
     n = tr.count()
-    model = estimator_stages(features, cfg, n).fit(tr)
+    model = detach(estimator_stages(features, cfg, n).fit(tr), dataset.sparkSession)
     scored = prob_up(model.transform(te))
     rep = binary_report(scored, F.col("label"), F.col("prediction"))
     auc = roc_auc(scored, F.col("label"), F.col("probability_up"))
@@ -225,7 +237,7 @@ def interval_forest(train_df: DataFrame, feature_cols: list[str], label: str = "
     """Random forest on interval statistics."""
     va = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, seed=seed)
-    return Pipeline(stages=[va, rf]).fit(train_df)
+    return detach(Pipeline(stages=[va, rf]).fit(train_df), train_df.sparkSession)
 
 
 def importances(model: PipelineModel, feature_cols: list[str]) -> list[tuple[str, float]]:
