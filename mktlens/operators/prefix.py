@@ -71,3 +71,38 @@ def series_positions(df: DataFrame, key: str, order: list[str], n_parts: int | N
     inside = Window.partitionBy(key, "_part").orderBy(*order)
     out = r.join(offs, [key, "_part"]).withColumn("_i", F.col("_off") + F.row_number().over(inside) - 1)
     return out.drop("_part", "_off")
+
+
+def group_median(df: DataFrame, keys: list[str], value: str, out: str = "median", n_parts: int | None = None) -> DataFrame:
+    """Exact median of ``value`` per ``keys`` group (NULLs ignored), with
+    Spark's ``median`` interpolation, without gathering a group in one task.
+
+    ``percentile`` merges a value -> count map per group in a single reducer,
+    so a hot group of continuous values is one unbounded buffer.  Instead:
+    distinct (key, value) counts (combined map-side), global prefix counts
+    over a range partitioning on (key, value) (a hot key spans many
+    partitions), each key's start offset and size (one aggregate), and the
+    (at most two) middle values picked by rank with a map-side-combined
+    ``max``.  The join of the prefix rows to the one-row-per-key table is
+    skewed only on the prefix side, which AQE's skew join splits."""
+    v = F.col(value)
+    vc = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    p = ordered_prefix_sums(vc, [*keys, value], ["_c"], n_parts)
+    stats = p.groupBy(*keys).agg(F.min("_c_before").alias("_start"), F.sum("_c").alias("_n"))
+    j = p.join(stats, keys)
+    first = F.col("_c_before") - F.col("_start")  # 0-based rank of the value's first row in its group
+    lo = F.floor((F.col("_n") - 1) / 2)
+    hi = F.ceil((F.col("_n") - 1) / 2)
+
+    def holds(rank):
+        return (first <= rank) & (rank < first + F.col("_c"))
+
+    mids = j.groupBy(*keys).agg(
+        F.max(F.when(holds(lo), v)).alias("_lo"),
+        F.max(F.when(holds(hi), v)).alias("_hi"),
+        F.first("_n").alias("_n"),
+    )
+    # percentile at 0.5: position (n-1)/2; odd n -> the middle value, even n ->
+    # (higher - pos) * lower + (pos - lower) * higher = 0.5 * lower + 0.5 * higher.
+    med = F.when(F.col("_n") % 2 == 1, F.col("_lo")).otherwise(F.lit(0.5) * F.col("_lo") + F.lit(0.5) * F.col("_hi"))
+    return mids.select(*keys, med.cast("double").alias(out))
