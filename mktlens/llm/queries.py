@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mktlens.llm import packing, sharding, tokens
+from mktlens.llm import decontamination, packing, sharding, simhash, tokens, warc
+from mktlens.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +30,29 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    # the archives are stored in the shared folder, then read back from there
+    archives = cut_lineage(warc.write_archives(pages))
+    kind = pages.schema["page_id"].dataType
+    return warc.read_archives(archives, with_payload=False).select(
+        F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"), "target_uri",
+    )
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3).drop("fp")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_sharding, op4_packing)}
+    return {f.__name__: f for f in (
+        op1_token_counts, op2_sharding, op4_packing, op7_decontamination, op9_warc, op10_simhash,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
