@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mktlens.llm import decontamination, packing, sharding, simhash, tokens, warc
+from mktlens.llm import decontamination, iblt, language, packing, sharding, simhash, tokens, warc
 from mktlens.session import cut_lineage
 
 
@@ -30,6 +30,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.held_out("doc_id")
+    model = language.train(docs.where(~held_out))
+    # the rows that are predicted carry nothing but the id (for the flag) and the text
+    return language.identify(docs, model).withColumn("held_out", held_out)
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -51,7 +63,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_counts, op2_sharding, op4_packing, op7_decontamination, op9_warc, op10_simhash,
+        op1_token_counts, op2_sharding, op4_packing, op5_language_id, op6_fingerprints, op7_decontamination,
+        op9_warc, op10_simhash,
     )}
 
 
