@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mktlens.llm import decontamination, iblt, language, packing, sharding, simhash, tokens, warc
+from mktlens.llm import decontamination, html, iblt, language, packing, sharding, simhash, tokens, warc
 from mktlens.session import cut_lineage
 
 
@@ -24,6 +24,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -63,7 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_counts, op2_sharding, op4_packing, op5_language_id, op6_fingerprints, op7_decontamination,
+        op1_token_counts, op2_sharding, op3_main_text, op4_packing, op5_language_id, op6_fingerprints, op7_decontamination,
         op9_warc, op10_simhash,
     )}
 
