@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mktlens.llm import decontamination, html, iblt, language, packing, sharding, simhash, tokens, warc
+from mktlens.llm import decontamination, html, iblt, language, packing, sharding, simhash, suffix, tokens, warc
 from mktlens.session import cut_lineage
 
 
@@ -50,6 +50,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents"), length=200, with_text=False)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     # the archives are stored in the shared folder, then read back from there
@@ -68,7 +72,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_token_counts, op2_sharding, op3_main_text, op4_packing, op5_language_id, op6_fingerprints, op7_decontamination,
-        op9_warc, op10_simhash,
+        op8_suffix_dedup, op9_warc, op10_simhash,
     )}
 
 
