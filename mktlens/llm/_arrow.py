@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 
@@ -55,6 +57,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = end
 
 
+def carried(df: DataFrame, name: str | None) -> tuple[list, str]:
+    """A column that an operator hands through as it is: (to select, for a schema)."""
+    if name is None:
+        return [], ""
+    return [F.col(name).alias("_carry")], f"_carry {df.schema[name].dataType.simpleString()}, "
+
+
 class Powers:
     """Powers of the base and of its inverse modulo 2**64, grown on demand."""
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mktlens.llm._arrow import BASE, MIX_A, RollingHash, mix, slices
+from mktlens.llm._arrow import BASE, MIX_A, RollingHash, carried, mix, slices
 from mktlens.session import cut_lineage
 
 #: Bytes of words: digits, letters (A-Z lower-cased) and all of non-ASCII.
@@ -64,7 +64,7 @@ def winnow(h: np.ndarray, woff: np.ndarray, n: int, k: int) -> tuple[np.ndarray,
     return start, least[start]
 
 
-def _windows(df: DataFrame, id_name: str, lengths: list[int] | None, longest: int, k: int, bits: int, filters) -> DataFrame:
+def _windows(df: DataFrame, id_name: str, lengths: list[int] | None, longest: int, k: int, bits: int, filters, carry: str | None = None) -> DataFrame:
     """Per row: its number of words and its windows.  ``lengths`` None: a row's own
     window length (items); else windows of these lengths whose fingerprint may be
     among those of ``filters`` (a bit per slot)."""
@@ -98,10 +98,12 @@ def _windows(df: DataFrame, id_name: str, lengths: list[int] | None, longest: in
             )
             ends = np.concatenate([[0], np.cumsum(np.bincount(row.astype(np.int64), minlength=len(count)))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), items)], names=["id", "n_words", "windows"]
+                [rows.column(0), *rows.columns[2:], pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), items)],
+                names=["id", *["_carry"] * bool(carry), "n_words", "windows"],
             )
 
-    return df.select(F.col(id_name).alias("id"), "text").mapInArrow(run, f"id {kind}, n_words long, windows {WINDOWS}")
+    extra, more = carried(df, carry)
+    return df.select(F.col(id_name).alias("id"), "text", *extra).mapInArrow(run, f"id {kind}, {more}n_words long, windows {WINDOWS}")
 
 
 def _filter(spark: SparkSession, items: DataFrame, bits: int):
@@ -118,7 +120,8 @@ def _filter(spark: SparkSession, items: DataFrame, bits: int):
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, k: int = 5, share: int = 20, bits: int = 1 << 22,
-                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+                  carry: str | None = None) -> DataFrame:
     """Which documents hold windows of benchmark items, and how many of their words.
 
     A window is ``n`` consecutive words of an item (a shorter item is one window).
@@ -136,7 +139,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, k: in
     windows are one row per distinct window with its items; a hot window is split
     on the document side of the join.  Other columns are ignored.  Columns: the
     id, n_words, n_hit, n_items, items (array of ids as strings), items_sha256,
-    contaminated.
+    contaminated, and the column ``carry`` as it is, if given.
     """
     spark = documents.sparkSession
     test = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text).cast("string").alias("text"))
@@ -144,10 +147,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, k: in
     lengths, filters = _filter(spark, item_rows, bits)
     items = item_rows.groupBy("n", "fp", "digest").agg(F.collect_set("id").alias("items"))
 
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    extra, _ = carried(documents, carry)
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
     # one narrow row per document, with its candidate windows only; the row key is
     # fixed by the checkpoint, so equal ids stay apart
-    base = cut_lineage(_windows(docs, "id", lengths, n, k, bits, filters).withColumn("_row", F.monotonically_increasing_id()))
+    base = cut_lineage(_windows(docs, "id", lengths, n, k, bits, filters, "_carry" if carry else None).withColumn("_row", F.monotonically_increasing_id()))
     found = (
         base.select("_row", F.explode("windows").alias("w")).select("_row", "w.n", "w.at", "w.fp", "w.digest")
         .join(items, ["n", "fp", "digest"])
@@ -165,11 +169,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, k: in
         F.aggregate(spans, zero, add, lambda a: a["sum"]).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    out = base.select("id", "n_words", "_row").join(hits, "_row", "left")
+    out = base.drop("windows").join(hits, "_row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"),
         F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), *[F.col("_carry").alias(carry)] * bool(carry),
     )

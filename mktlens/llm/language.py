@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mktlens.llm._arrow import slices
+from mktlens.llm._arrow import carried, slices
 
 BINS = 1 << 15  # hashed trigrams of a language
 SMOOTHING = 0.5
@@ -170,7 +170,7 @@ def infer(word_logs: np.ndarray, woff: np.ndarray, most: int, rounds: int) -> tu
     return full, best
 
 
-def identify(df: DataFrame, model: Model, most: int = 3, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, model: Model, most: int = 3, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """Language proportions of every whole text, its main language and its share.
 
     Each word is drawn from one of the text's languages; its likelihood under a
@@ -182,7 +182,8 @@ def identify(df: DataFrame, model: Model, most: int = 3, rounds: int = 30, id_co
     languages: ``und``, score 0, no proportions.  Empty tables give an empty
     result; other columns are ignored, repeated rows each give a row; languages of
     equal proportions: the first by name.  Columns: the id, lang_pred, score (the
-    main language's share of the words before selection), languages (map).
+    main language's share of the words before selection), languages (map), and the
+    column ``carry`` as it is, if given.
     """
     kind = df.schema[id_col].dataType.simpleString()
     spark = df.sparkSession
@@ -214,15 +215,16 @@ def identify(df: DataFrame, model: Model, most: int = 3, rounds: int = 30, id_co
                         items.append(float(best[i, j]))
                 ends.append(len(keys))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([names[j] if k else UNKNOWN for j, k in zip(main.tolist(), known.tolist())], pa.string()),
+                [rows.column(0), *rows.columns[2:], pa.array([names[j] if k else UNKNOWN for j, k in zip(main.tolist(), known.tolist())], pa.string()),
                  pa.array(np.where(known, np.clip(share, 0, 1), 0.0)), pa.MapArray.from_arrays(ends, pa.array(keys, pa.string()), pa.array(items, pa.float64()))],
-                names=["id", "lang_pred", "score", "languages"],
+                names=["id", *["_carry"] * bool(carry), "lang_pred", "score", "languages"],
             )
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, lang_pred string, score double, languages map<string,double>"
+    extra, more = carried(df, carry)
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra).mapInArrow(
+        run, f"id {kind}, {more}lang_pred string, score double, languages map<string,double>"
     )
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumnsRenamed({"id": id_col, "_carry": carry or "_carry"})
 
 
 def held_out(id_col: str = "doc_id"):

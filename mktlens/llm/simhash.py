@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mktlens.llm._arrow import slices
+from mktlens.llm._arrow import carried, slices
 from mktlens.llm._graph import components
 from mktlens.session import cut_lineage
 
@@ -73,7 +73,7 @@ def majority(h: np.ndarray, per: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """(id, fp long) of every row: SimHash over the XXH64 of its word shingles,
     repeats included.  Null, empty and blank texts: zero."""
     import xxhash
@@ -89,9 +89,12 @@ def fingerprints(df: DataFrame, words: int = 3, id_col: str = "doc_id", text_col
                 fp = majority(h, per)
             else:
                 fp = np.zeros(rows.num_rows, np.uint64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), *rows.columns[2:], pa.array(fp.view(np.int64))], names=["id", *["_carry"] * bool(carry), "fp"]
+            )
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    extra, more = carried(df, carry)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra).mapInArrow(run, f"id {kind}, {more}fp long")
 
 
 # --- trie self-join ------------------------------------------------------
@@ -229,7 +232,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     return keyed.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """Class of near-duplicates of every row.
 
     Rows whose fingerprints differ in at most ``distance`` bits are linked, and
@@ -241,14 +244,16 @@ def near_duplicates(df: DataFrame, words: int = 3, distance: int = 3, id_col: st
     Null, empty and blank texts have the fingerprint zero and are linked like any
     other.  Repeated rows each give a row.  Other columns are ignored; an empty
     table gives an empty result.  Columns: the id, fingerprint (16 hex digits),
-    component_id, fp (the same as a long).
+    component_id, fp (the same as a long), and the column ``carry`` as it is, if
+    given.
     """
-    base = cut_lineage(fingerprints(df, words, id_col, text_col))
+    base = cut_lineage(fingerprints(df, words, id_col, text_col, carry))
     nodes = base.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(nodes.select("fp"), distance)).withColumnsRenamed({"node": "fp"})
     classed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = classed.select("fp", "root").join(least, "root").select("fp", "component_id")
     return base.join(of_fp, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp"
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp",
+        *[F.col("_carry").alias(carry)] * bool(carry),
     )

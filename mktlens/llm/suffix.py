@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mktlens.llm._arrow import MIX_A, MIX_B, RollingHash, mix, slices
+from mktlens.llm._arrow import MIX_A, MIX_B, RollingHash, carried, mix, slices
 from mktlens.session import cut_lineage
 
 BATCH_BYTES = 2 << 20  # of segments sorted together
@@ -270,7 +270,7 @@ def _by_windows(groups: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(df: DataFrame, length: int = 200, keep_first: bool = False, bits: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text",
-            with_text: bool = True) -> DataFrame:
+            with_text: bool = True, carry: str | None = None) -> DataFrame:
     """Remove the bytes of every text that are covered by a string of ``length``
     bytes which also starts elsewhere, in this text or another; strings are judged
     on the input.  With ``keep_first`` only strings with an earlier copy (by id, a
@@ -290,7 +290,8 @@ def repeats(df: DataFrame, length: int = 200, keep_first: bool = False, bits: in
     Null ids come first.  Other columns are ignored; an empty table gives an empty
     result.  Columns: the id, n_bytes, n_removed, n_spans, kept_sha256, and with
     ``with_text`` kept (the text without the spans, a span beginning or ending
-    inside a character narrowed to whole characters; null for null).
+    inside a character narrowed to whole characters; null for null), and the column
+    ``carry`` as it is, if given.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
@@ -298,6 +299,8 @@ def repeats(df: DataFrame, length: int = 200, keep_first: bool = False, bits: in
         raise ValueError("strings of 32 bytes at least")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("rk", F.xxhash64("id", "text"))
+    extra, more = carried(df, carry)
+    whole_rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra).withColumn("rk", F.xxhash64("id", "text"))
 
     repeated = _repeated(spark, _hashes(docs, length), bits)
     order = F.struct("id", "rk", "lo")
@@ -323,11 +326,12 @@ def repeats(df: DataFrame, length: int = 200, keep_first: bool = False, bits: in
         .groupBy("id", "rk").agg(F.collect_list(F.struct((F.col("lo") + F.col("w.a")).alias("a"), (F.col("lo") + F.col("w.b") + length).alias("b"))).alias("spans"))
         .withColumnsRenamed({"id": "_id", "rk": "_rk"})
     )
-    joined = docs.join(spans, (F.col("rk") == F.col("_rk")) & F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "spans")
+    joined = whole_rows.join(spans, (F.col("rk") == F.col("_rk")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    joined = joined.select("id", "text", "spans", *["_carry"] * bool(carry))
     out = joined.mapInArrow(
-        lambda batches: _cut(batches, with_text), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
+        lambda batches: _cut(batches, with_text), f"id {kind}, {more}n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
     )
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumnsRenamed({"id": id_col, "_carry": carry or "_carry"})
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -371,4 +375,4 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
             rows.append(row)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: 5 if with_text else 4]
         names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(kinds)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds))], names=["id", *names])
+        yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[3:], *(pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds))], names=["id", *["_carry"] * (b.num_columns - 3), *names])
