@@ -41,6 +41,8 @@ CLOSES_P = BLOCK - {"body", "html"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 SCOPE = {"ul", "ol", "dl", "table", "body", "html"}
 CONTENT_SHARE = 0.8
+#: A page whose part under the host's path is less than this of its own best goes by the latter.
+LEAST_SHARE = 0.2
 
 
 class Element:
@@ -231,7 +233,7 @@ def extract(html: str, path: str | None) -> str:
     elif len(found) > 1:
         named = "." in found[0].key or found[0].hint
         found = [e for e in found if not any(e is not o and o.first <= e.first and e.last <= o.last for o in found)] if named else [max(found, key=lambda e: e.size)]
-    if sum(e.size for e in found) < 0.5 * own.size:
+    if sum(e.size for e in found) < LEAST_SHARE * own.size:
         found = [own]  # the consensus does not fit this page
     return text_of(found, pieces)
 
@@ -248,7 +250,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
        combined before the shuffle, whatever one host weighs; the path with most
        votes wins (then by text held, then by name).  3. Every page is extracted
        again under its host's path; a page that lacks it, or where it holds less
-       than half of the page's own best container, goes by the latter.
+       than LEAST_SHARE of the page's own best container, goes by the latter.
 
     Null or empty html: an empty text.  Pages without a host vote together.
     Repeated pages each give a row; other columns are ignored; an empty table gives
