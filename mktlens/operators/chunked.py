@@ -1,100 +1,66 @@
-"""Skew-safe row windows: a long series is split into row-range chunks.
+"""Row windows over long series, cut into row-range chunks.
 
 A ``Window.partitionBy(ticker)`` is one task per ticker: a ticker holding a
 third of all rows would be sorted and scanned by a single task.  Fixed-width
-row frames only look ``lookback`` rows back and ``lookahead`` rows ahead, so:
-
-1. every row gets its exact 0-based position inside its series from a range
-   partitioning on (key, order) (``prefix.series_positions``: many tasks per
-   hot key, per-partition counts prefixed on a tiny table);
-2. rows are cut into chunks of ``chunk_rows`` positions; the last
-   ``lookback`` rows of a chunk are copied into the next chunk and the first
-   ``lookahead`` rows into the previous one (halo);
-3. the window expressions run partitioned by (key, chunk) — bounded tasks —
-   and only each row's home copy is kept.
-
-The result equals the single-partition window whenever lookback and
-lookahead are at most ``chunk_rows`` (checked).  ``expanding_mean`` adds
-per-chunk prefix sums for the unbounded frame.
+row frames only look ``lookback`` rows back and ``lookahead`` rows ahead, so
+every series, short or long, goes the same way:
+
+1. rows are counted per (key, calendar bucket) (combined map-side); the running
+   sum of these few counts and a row number inside each bucket give every row
+   its exact 0-based position in its series;
+2. positions are cut into chunks of ``CHUNK_ROWS``; the last ``lookback`` rows of
+   a chunk also go to the next one and the first ``lookahead`` rows to the
+   previous one (halo, one ``explode``);
+3. the window expressions run partitioned by (key, chunk) — bounded tasks — and
+   only each row's home copy is kept.
+
+Everything is one lazy plan: no sampled bounds, no intermediate table, no job
+while it is built, and nothing depends on the size of the input.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mktlens.operators.prefix import series_positions
-
-# Rows per key above which the chunked strategy is used by 'auto'.
-HOT_KEY_ROWS = 2_000_000
-DEFAULT_CHUNK_ROWS = 1_000_000
-
-
-def max_key_rows(df: DataFrame, key: str) -> int:
-    """Largest number of rows of one key (one aggregate, one number back)."""
-    r = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).first()
-    return int(r["m"] or 0)
-
-
-def use_chunks(df: DataFrame, key: str, strategy: str) -> bool:
-    if strategy == "simple":
-        return False
-    if strategy == "chunked":
-        return True
-    return max_key_rows(df, key) > HOT_KEY_ROWS
-
-
-_COSTLY_NODES = ("Join", "Aggregate", "Window", "Generate", "Sort", "Union", "Expand", "Python", "MapInPandas")
-
-
-def _cheap_to_rescan(df: DataFrame) -> bool:
-    """True when the optimized plan is only scans, filters and projections."""
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan().toString()
-    except Exception:  # noqa: BLE001 - e.g. a Connect session: take the safe path
-        return False
-    return not any(n in plan for n in _COSTLY_NODES)
-
-
-def resolve(df: DataFrame, key: str, strategy: str) -> tuple[DataFrame, str]:
-    """Decide 'simple' or 'chunked' for ``strategy='auto'``.  The input is
-    written once as a table in the shared checkpoint folder (its rows counted
-    in the same job), so the upstream plan runs once for the check and the
-    window job; the per-key count runs only when the total could hide a hot
-    key."""
-    if strategy != "auto":
-        return df, strategy
-    if _cheap_to_rescan(df):
-        # A scan with filters/projections: counting re-reads the files, which
-        # costs less than writing and reading a copy.
-        return df, ("chunked" if max_key_rows(df, key) > HOT_KEY_ROWS else "simple")
-    from mktlens.session import materialise
-
-    m, total = materialise(df, "window-input")
-    if total <= HOT_KEY_ROWS:
-        return m, "simple"
-    return m, ("chunked" if max_key_rows(m, key) > HOT_KEY_ROWS else "simple")
-
-
-def with_halo(df: DataFrame, key: str, order: str, lookback: int, lookahead: int, chunk_rows: int) -> DataFrame:
-    """Positions, chunk ids and halo copies (column ``_home`` marks the row's
-    own copy; ``_i`` is the row position inside its series)."""
-    if lookback > chunk_rows or lookahead > chunk_rows:
-        raise ValueError("frame wider than a chunk")
-    p = series_positions(df, key, [order])
-    c = F.floor(F.col("_i") / chunk_rows).cast("long")
-    off = F.col("_i") - c * chunk_rows
-    home = p.withColumn("_chunk", c).withColumn("_home", F.lit(True))
-    parts = [home]
-    if lookback > 0:
-        parts.append(p.where(off >= chunk_rows - lookback).withColumn("_chunk", c + 1).withColumn("_home", F.lit(False)))
-    if lookahead > 0:
-        parts.append(p.where((off < lookahead) & (c > 0)).withColumn("_chunk", c - 1).withColumn("_home", F.lit(False)))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+CHUNK_ROWS = 16_384
+BUCKET_DAYS = 128
+
+
+def _bucket(order: str) -> Column:
+    return F.floor(F.unix_date(F.col(order).cast("date")) / BUCKET_DAYS).cast("int")
+
+
+def positions(df: DataFrame, key: str, order: str) -> DataFrame:
+    """0-based position ``_i`` of each row in its ``key`` series by the date or
+    timestamp ``order``, and the series length ``_n``; rows that carry theirs from
+    an earlier step keep them."""
+    if {"_i", "_n"} <= set(df.columns):
+        return df
+    b = df.withColumn("_b", _bucket(order))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (
+        b.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c"))
+        .select(key, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), F.sum("_c").over(Window.partitionBy(key)).alias("_n"))
+    )
+    inside = Window.partitionBy(key, "_b").orderBy(order)
+    return b.join(counts, [key, "_b"]).withColumn("_i", F.col("_off") + F.row_number().over(inside) - 1).drop("_b", "_off")
+
+
+def with_halo(df: DataFrame, key: str, order: str, lookback: int, lookahead: int) -> DataFrame:
+    """Rows with position, chunk and ``_home`` (false for halo copies)."""
+    size = max(CHUNK_ROWS, lookback, lookahead)
+    p = positions(df, key, order)
+    c = F.floor(F.col("_i") / size)
+    off = F.col("_i") - c * size
+    targets = [c]
+    if lookback:
+        targets.append(F.when((off >= size - lookback) & ((c + 1) * size < F.col("_n")), c + 1))
+    if lookahead:
+        targets.append(F.when((off < lookahead) & (c > 0), c - 1))
+    chunk = F.explode(F.filter(F.array(*targets), lambda x: x.isNotNull()))
+    return p.withColumn("_chunk", chunk).withColumn("_home", F.col("_chunk") == c)
 
 
 def chunk_window(key: str = "ticker") -> Window:
@@ -102,40 +68,28 @@ def chunk_window(key: str = "ticker") -> Window:
 
 
 def apply_windows(df: DataFrame, build: Callable[[DataFrame, Window], DataFrame], key: str = "ticker", order: str = "date",
-                  lookback: int = 0, lookahead: int = 0, strategy: str = "auto", chunk_rows: int | None = None) -> DataFrame:
-    """Run ``build(frame, window)`` either with the plain per-key window or on
-    halo'd chunks (same result; see module doc)."""
-    chunk_rows = chunk_rows or DEFAULT_CHUNK_ROWS
-    df, strategy = resolve(df, key, strategy)
-    if strategy == "simple":
-        return build(df, Window.partitionBy(key).orderBy(order))
-    h = with_halo(df, key, order, lookback, lookahead, chunk_rows)
-    out = build(h, chunk_window(key))
-    return out.where(F.col("_home")).drop("_home", "_chunk", "_i", "_n")
-
-
-def expanding_mean(df: DataFrame, value: str, out: str, key: str = "ticker", order: str = "date",
-                   chunk_rows: int | None = None) -> DataFrame:
-    """W10 on chunks: running mean = (sum of earlier chunks + running sum in
-    the chunk) / (position + 1)."""
-    chunk_rows = chunk_rows or DEFAULT_CHUNK_ROWS
-    p = series_positions(df, key, [order]).withColumn("_chunk", F.floor(F.col("_i") / chunk_rows).cast("long"))
-    tot = p.groupBy(key, "_chunk").agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    wk = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(key, "_chunk", F.coalesce(F.sum("_s").over(wk), F.lit(0.0)).alias("_s0"),
-                      F.coalesce(F.sum("_c").over(wk), F.lit(0)).alias("_c0"))
-    w = Window.partitionBy(key, "_chunk").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    j = p.join(offs, [key, "_chunk"])
-    run_s = F.col("_s0") + F.sum(value).over(w)
-    run_c = F.col("_c0") + F.count(value).over(w)
-    return j.withColumn(out, run_s / run_c).drop("_s0", "_c0", "_chunk", "_i", "_n")
-
-
-def positions(df: DataFrame, key: str, order: str, strategy: str = "auto") -> DataFrame:
-    """0-based position ``_i`` and series length ``_n`` per row."""
-    df, strategy = resolve(df, key, strategy)
-    if strategy == "chunked":
-        return series_positions(df, key, [order])
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-
+                  lookback: int = 0, lookahead: int = 0) -> DataFrame:
+    """Run ``build(frame, window)`` on chunks with a halo; ``build`` keeps the
+    columns that begin with an underscore.  Positions are dropped unless the rows
+    came with them."""
+    out = build(with_halo(df, key, order, lookback, lookahead), chunk_window(key)).where(F.col("_home"))
+    return out.drop("_home", "_chunk", *(set() if "_i" in df.columns else {"_i", "_n"}))
+
+
+def running(value: str, w: Window) -> tuple[Column, Column]:
+    """Sum and count of the values so far inside a chunk, halo copies left out."""
+    own = F.when(F.col("_home"), F.col(value))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum(own).over(so_far), F.count(own).over(so_far)
+
+
+def add_earlier_chunks(df: DataFrame, key: str, total: str, count: str) -> DataFrame:
+    """Running sums inside chunks (home rows) made running sums of the series: the
+    last of each chunk, summed in chunk order.  Always added in this order, so a
+    value does not depend on how Spark deals the rows."""
+    last = df.groupBy(key, "_chunk").agg(F.max_by(total, "_i").alias("_s"), F.max(count).alias("_c"))
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = last.select(
+        key, "_chunk", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s0"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0")
+    )
+    return df.join(offsets, [key, "_chunk"]).withColumn(total, F.col("_s0") + F.col(total)).withColumn(count, F.col("_c0") + F.col(count)).drop("_s0", "_c0")

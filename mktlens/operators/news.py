@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from mktlens.config import FeatureConfig
 from mktlens.functions.exprs import blank_to_null, rows_frame, zero_if_null
 from mktlens.functions.sentiment import Lexicon, lexicon_score, sentiment_label
+from mktlens.operators.chunked import apply_windows
+from mktlens.operators.prefix import group_median
 
 NEWS_FEATURE_COLUMNS = [
     "sentiment_mean",
@@ -62,20 +64,11 @@ def _numeric_or_zero(df: DataFrame, name: str) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def daily_news_aggregates(news: DataFrame, cfg: FeatureConfig = FeatureConfig(), median: str = "auto") -> DataFrame:
-    """Reference ``_prepare_news_features``: A1-A5 in one aggregate, W7 window
-    over days with news (T10), then the min-news filter (P12).
-
-    ``median``: 'local' is Spark's exact ``median`` (its per-group buffer
-    holds the group's distinct values: bounded for lexicon scores, whose
-    values are ratios of per-text hit counts); 'distributed' is
-    ``prefix.group_median`` (exact, no group in one task); 'auto' picks
-    'distributed' when the score is a raw numeric column (continuous values,
-    so a hot group's buffer would grow with the data)."""
+def daily_news_aggregates(news: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """Reference ``_prepare_news_features``: A1-A5 in one aggregate, the median by
+    value buckets (``prefix.group_median``: exact, no group in one task), W7 window
+    over days with news (T10), then the min-news filter (P12)."""
     score_src = "sentiment_score" if "sentiment_score" in news.columns else ("tone" if "tone" in news.columns else None)
-    if median not in ("auto", "local", "distributed"):
-        raise ValueError(f"Unknown median strategy '{median}'")
-    distributed = median == "distributed" or (median == "auto" and score_src == "tone")
     score = _numeric_or_zero(news, score_src) if score_src else F.lit(0.0)
     tone = _numeric_or_zero(news, "tone")
     rel = _numeric_or_zero(news, "relevance")
@@ -94,7 +87,6 @@ def daily_news_aggregates(news: DataFrame, cfg: FeatureConfig = FeatureConfig(),
     agg = base.groupBy("ticker", "date").agg(
         F.avg(s).alias("sentiment_mean"),
         zero_if_null(F.stddev_samp(s)).alias("sentiment_std"),
-        *([] if distributed else [F.median(s).alias("sentiment_median")]),
         F.avg((s > POS_CUT).cast("double")).alias("sentiment_pos_ratio"),
         F.avg((s < NEG_CUT).cast("double")).alias("sentiment_neg_ratio"),
         F.avg((F.abs(s) >= EXTREME_CUT).cast("double")).alias("sentiment_extreme_ratio"),
@@ -104,18 +96,13 @@ def daily_news_aggregates(news: DataFrame, cfg: FeatureConfig = FeatureConfig(),
         F.avg("impact").alias("news_impact_mean"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter("langs", lambda x: x.isNotNull()))))).alias("_langs"),
     )
-    if distributed:
-        from mktlens.operators.prefix import group_median
-
-        # Both sides hold one row per (ticker, date): an unskewed join.
-        med = group_median(base, ["ticker", "date"], "s", out="sentiment_median")
-        agg = agg.join(med, ["ticker", "date"], "left").select(*agg.columns[:4], "sentiment_median", *agg.columns[4:])
-    w = rows_frame(Window.partitionBy("ticker").orderBy("date"), cfg.sentiment_rolling_days)
-    out = (
-        agg.withColumn("languages", F.array_join("_langs", ","))
-        .withColumn("languages_count", F.size("_langs").cast("bigint"))
-        .drop("_langs")
-        .withColumn("sentiment_roll_mean", zero_if_null(F.avg("sentiment_mean").over(w)))
+    # both sides hold one row per (ticker, date): an unskewed join
+    med = group_median(base, ["ticker", "date"], "s", out="sentiment_median")
+    agg = agg.join(med, ["ticker", "date"], "left").select(*agg.columns[:4], "sentiment_median", *agg.columns[4:])
+    agg = agg.withColumn("languages", F.array_join("_langs", ",")).withColumn("languages_count", F.size("_langs").cast("bigint")).drop("_langs")
+    days = cfg.sentiment_rolling_days
+    out = apply_windows(
+        agg, lambda a, w: a.withColumn("sentiment_roll_mean", zero_if_null(F.avg("sentiment_mean").over(rows_frame(w, days)))), lookback=days - 1
     )
     return out.where(F.col("news_count") >= cfg.min_news_per_day)
 

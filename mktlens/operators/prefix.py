@@ -1,4 +1,4 @@
-"""Distributed ordered prefix sums and global row positions.
+"""Distributed ordered prefix sums and group medians.
 
 A running total over a *global* order is the one thing a plain
 ``Window.orderBy`` would do in a single task.  Instead:
@@ -54,52 +54,38 @@ def ordered_prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[s
     return out.drop("_part", *[f"_o_{c}" for c in value_cols])
 
 
-def series_positions(df: DataFrame, key: str, order: list[str], n_parts: int | None = None) -> DataFrame:
-    """0-based position of each row inside its ``key`` series and the series
-    length, computed with range partitioning on (key, order) so a single huge
-    series is numbered by many tasks."""
-    n = _parts(df, n_parts)
-    r = _range_parts(df, n, [key, *order])
-    cnt = r.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_c"))
-    wk = Window.partitionBy(key).orderBy("_part")
-    offs = cnt.select(
-        key,
-        "_part",
-        F.coalesce(F.sum("_c").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.sum("_c").over(Window.partitionBy(key)).alias("_n"),
-    )
-    inside = Window.partitionBy(key, "_part").orderBy(*order)
-    out = r.join(offs, [key, "_part"]).withColumn("_i", F.col("_off") + F.row_number().over(inside) - 1)
-    return out.drop("_part", "_off")
-
-
-def group_median(df: DataFrame, keys: list[str], value: str, out: str = "median", n_parts: int | None = None) -> DataFrame:
+def group_median(df: DataFrame, keys: list[str], value: str, out: str = "median", buckets: int = 4096) -> DataFrame:
     """Exact median of ``value`` per ``keys`` group (NULLs ignored), with
     Spark's ``median`` interpolation, without gathering a group in one task.
 
     ``percentile`` merges a value -> count map per group in a single reducer,
     so a hot group of continuous values is one unbounded buffer.  Instead:
-    distinct (key, value) counts (combined map-side), global prefix counts
-    over a range partitioning on (key, value) (a hot key spans many
-    partitions), each key's start offset and size (one aggregate), and the
-    (at most two) middle values picked by rank with a map-side-combined
-    ``max``.  The join of the prefix rows to the one-row-per-key table is
-    skewed only on the prefix side, which AQE's skew join splits."""
+    distinct (key, value) counts and each key's least and largest value (both
+    combined map-side), counts per equal-width value bucket with their running
+    sum (at most ``buckets`` + 1 rows per key), and a running count inside the one
+    or two buckets that hold the middle ranks.  One lazy plan."""
     v = F.col(value)
     vc = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    p = ordered_prefix_sums(vc, [*keys, value], ["_c"], n_parts)
-    stats = p.groupBy(*keys).agg(F.min("_c_before").alias("_start"), F.sum("_c").alias("_n"))
-    j = p.join(stats, keys)
-    first = F.col("_c_before") - F.col("_start")  # 0-based rank of the value's first row in its group
-    lo = F.floor((F.col("_n") - 1) / 2)
-    hi = F.ceil((F.col("_n") - 1) / 2)
-
-    def holds(rank):
-        return (first <= rank) & (rank < first + F.col("_c"))
-
-    mids = j.groupBy(*keys).agg(
-        F.max(F.when(holds(lo), v)).alias("_lo"),
-        F.max(F.when(holds(hi), v)).alias("_hi"),
+    span = vc.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = F.col("_hi") - F.col("_lo")
+    bucket = F.when(width > 0, F.floor((v - F.col("_lo")) / width * buckets)).otherwise(F.lit(0)).cast("int")
+    placed = vc.join(span, keys).select(*keys, value, "_c", bucket.alias("_b"))
+    per_key = Window.partitionBy(*keys)
+    before = per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc")).select(
+        *keys, "_b", "_bc", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_off"), F.sum("_bc").over(per_key).alias("_n")
+    )
+    lo, hi = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+
+    def holds(first, count, rank):
+        return (first <= rank) & (rank < first + count)
+
+    middle = per.where(holds(F.col("_off"), F.col("_bc"), lo) | holds(F.col("_off"), F.col("_bc"), hi))
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.join(middle, [*keys, "_b"]).withColumn("_first", F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    mids = ranked.groupBy(*keys).agg(
+        F.max(F.when(holds(F.col("_first"), F.col("_c"), lo), v)).alias("_lo"),
+        F.max(F.when(holds(F.col("_first"), F.col("_c"), hi), v)).alias("_hi"),
         F.first("_n").alias("_n"),
     )
     # percentile at 0.5: position (n-1)/2; odd n -> the middle value, even n ->

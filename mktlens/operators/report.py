@@ -8,13 +8,14 @@ rounds exact binary ties to even; the two differ only on such ties).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mktlens.config import ModelConfig
 from mktlens.functions.exprs import col, strip_ws
 from mktlens.functions.text import summarise_docs
 from mktlens.operators import news as N
+from mktlens.operators.chunked import apply_windows
 
 # ---------------------------------------------------------------------------
 # Fixed values of the reference (labels and report sentences).
@@ -139,8 +140,8 @@ def explanation(prob: Column, change: Column, sentiment: Column) -> Column:
 # ---------------------------------------------------------------- W12 on features
 def price_metrics(features: DataFrame, key: str = "ticker") -> DataFrame:
     """Latest close and change vs the 22nd-last close (W12) per key."""
-    w = Window.partitionBy(key).orderBy("date")
-    f = features.where(F.col("close").isNotNull()).select(key, "date", "close", F.lag("close", 21).over(w).alias("_base"))
+    f = features.where(F.col("close").isNotNull()).select(key, "date", "close")
+    f = apply_windows(f, lambda b, w: b.withColumn("_base", F.lag("close", 21).over(w)), key=key, lookback=21)
     last = f.groupBy(key).agg(F.max_by(F.struct("close", "_base"), "date").alias("s"))
     base = F.col("s._base")
     return last.select(

@@ -1,27 +1,20 @@
 """Strided window samples (W13, W14, X10), interval statistics (F16) and
 fixed-shape arrays (F19).
 
-W13 without collecting a whole series: every row belongs to at most
-ceil(length/step) windows, so rows are exploded to (ticker, window_no) and each
-window is gathered by a group-by whose groups hold exactly ``length`` rows.
-Group size is bounded whatever the length of a series.
+W13 without collecting a whole series: rows are gathered into blocks of ``step``
+rows and a window is a short row window over blocks.
 """
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mktlens.functions.exprs import col
+from mktlens.operators.chunked import positions
 
-
-def _positions(df: DataFrame, key: str, order: str, strategy: str = "auto") -> DataFrame:
-    """0-based row position inside each series plus the series length (a
-    range-partitioned numbering when one series is hot)."""
-    from mktlens.operators.chunked import positions
-
-    return positions(df, key, order, strategy)
+BLOCKS = 1024  # of a chunk
 
 
 def window_samples(df: DataFrame, value: str, label: str | None, key: str = "ticker", order: str = "date",
@@ -30,33 +23,40 @@ def window_samples(df: DataFrame, value: str, label: str | None, key: str = "tic
     start (W13), each with the key, the date and the label of its last row
     (W14; the reference names that date ``start_date`` although it is the end).
 
+    Rows are gathered into blocks of ``step`` rows, and a window is the blocks
+    from its own on: one row window over blocks, whose numbers are positions, in
+    halo'd chunks of blocks.  No row is copied length / step times.
+
     Output: key, window_no, end_date, label, values array<double>(length).
     Series shorter than ``length`` give no window (T28).
     """
     lab = F.col(label) if label else F.lit(None)
-    p = _positions(df.select(key, order, F.col(value).cast("double").alias("_v"), lab.alias("_label")), key, order)
-    p = p.where(F.col("_n") >= length)
-    k = F.floor((F.col("_n") - length) / step) + 1  # windows in the series
-    first = F.greatest(F.lit(0), F.ceil((F.col("_i") - (length - 1)) / step))
-    last = F.least(k - 1, F.floor(F.col("_i") / step))
-    ex = p.where(last >= first).withColumn("window_no", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-    is_end = F.col("_i") == F.col("window_no") * step + (length - 1)
-    g = ex.groupBy(key, "window_no").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_i"), F.col("_v")))).alias("_pts"),
-        F.max(F.when(is_end, F.col(order))).alias("end_date"),
-        F.max(F.when(is_end, F.col("_label"))).alias("label"),
+    known = [c for c in ("_i", "_n") if c in df.columns]
+    p = positions(df.select(key, F.col(order).alias("_at"), F.col(value).cast("double").alias("_v"), lab.alias("_label"), *known), key, "_at")
+    blocks = (
+        p.where(F.col("_n") >= length)
+        .groupBy(key, F.floor(F.col("_i") / step).alias("_block"))
+        .agg(F.array_sort(F.collect_list(F.struct("_i", "_v", "_at", "_label"))).alias("_pts"))
     )
-    out = g.select(key, "window_no", "end_date", "label", F.transform("_pts", lambda s: s["_v"]).alias("values"))
-    if label is None:
-        out = out.drop("label")
-    return out
+    many = -(-length // step)
+    size = max(BLOCKS, many)
+    chunk = F.floor(F.col("_block") / size)
+    back = F.when((F.col("_block") % size < many - 1) & (chunk > 0), chunk - 1)
+    dealt = blocks.withColumn("_chunk", F.explode(F.filter(F.array(chunk, back), lambda x: x.isNotNull()))).withColumn("_home", F.col("_chunk") == chunk)
+    w = Window.partitionBy(key, "_chunk").orderBy("_block").rowsBetween(0, many - 1)
+    whole = dealt.withColumn("_pts", F.slice(F.flatten(F.collect_list("_pts").over(w)), 1, length))
+    out = whole.where(F.col("_home") & (F.size("_pts") == length)).select(
+        key, F.col("_block").cast("int").alias("window_no"), F.element_at("_pts", length)["_at"].alias("end_date"),
+        F.element_at("_pts", length)["_label"].alias("label"), F.transform("_pts", lambda s: s["_v"]).alias("values"),
+    )
+    return out if label else out.drop("label")
 
 
 def window_labels(df: DataFrame, label: str, key: str = "ticker", order: str = "date", length: int = 100,
                   step: int = 10) -> DataFrame:
     """W14 alone: label/date/key at each window's last row, i.e. positions
     length-1, length-1+step, ... (no array gathering)."""
-    p = _positions(df.select(key, order, label), key, order)
+    p = positions(df.select(key, order, label, *[c for c in ("_i", "_n") if c in df.columns]), key, order)
     keep = (F.col("_i") >= length - 1) & (((F.col("_i") - (length - 1)) % step) == 0)
     return p.where(keep).select(key, ((F.col("_i") - (length - 1)) / step).cast("int").alias("window_no"),
                                 F.col(order).alias("end_date"), F.col(label).alias("label"))

@@ -16,6 +16,7 @@ from mktlens.operators import features as X
 from mktlens.operators import language as L
 from mktlens.operators import models as MD
 from mktlens.operators import news as N
+from mktlens.operators.chunked import apply_windows
 from mktlens.plans.q_features import annotated_news, x1_build_features
 from mktlens.plans.q_metrics import X1_CTES
 from mktlens.plans.q_models import scratch
@@ -122,10 +123,14 @@ FROM (SELECT ticker, date, volume,
 def p6_inf_to_zero(spark, sf_dir):
     """Infinite / missing ratios -> 0, volume mean falls back to volume."""
     c = RD.conform_prices(raw_prices(spark, sf_dir)).where(F.col("close").isNotNull())
-    w = Window.partitionBy("ticker").orderBy("date")
-    r = forward_return(F.lag("close").over(w), F.col("close"))
-    vm = F.avg("volume").over(w.rowsBetween(-2, 0))
-    return c.select("ticker", "date", zero_if_null(finite(r)).alias("ret"), F.coalesce(vm, F.col("volume")).alias("volume_mean"))
+
+    def build(b, w):
+        r = forward_return(F.lag("close").over(w), F.col("close"))
+        vm = F.avg("volume").over(w.rowsBetween(-2, 0))
+        keep = [k for k in b.columns if k.startswith("_")]
+        return b.select("ticker", "date", zero_if_null(finite(r)).alias("ret"), F.coalesce(vm, F.col("volume")).alias("volume_mean"), *keep)
+
+    return apply_windows(c, build, lookback=2)
 
 
 @register("P7_feed_projection", sql=with_ctes(fx.NEWS_SQL, fx.FEED_SQL, body="""SELECT 'FEED' AS ticker, TRY_CAST(published_at AS TIMESTAMP) AS seen_datetime,

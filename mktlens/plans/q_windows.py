@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mktlens.config import FeatureConfig
-from mktlens.functions.exprs import direction, safe_div, zero_if_null
 from mktlens.operators import bars as B
 from mktlens.operators import news as N
 from mktlens.operators import samples as S
@@ -23,10 +22,6 @@ def _rows(n: int) -> str:
     return f"({WIN} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
 
-def _bars_w(spark, sf_dir):
-    return B.clean_bars(fx.bars(spark, sf_dir)), B.series_window()
-
-
 # ---------------------------------------------------------------- W1
 @register(
     "W1_pct_change",
@@ -38,9 +33,7 @@ FROM bars WHERE {CLEAN}"""),
 )
 def w1_pct_change(spark, sf_dir):
     """n-row percentage change, n in {1, 5} (row offsets, not days)."""
-    b, w = _bars_w(spark, sf_dir)
-    return b.select("ticker", "date", "close", B.pct_change_n("close", 1, w).alias("return_1"),
-                    B.pct_change_n("close", 5, w).alias("return_5"))
+    return B.pct_changes(fx.bars(spark, sf_dir), (1, 5))
 
 
 # ---------------------------------------------------------------- W2 / P10
@@ -56,8 +49,7 @@ FWD_SQL = f"""CASE WHEN close <> 0 THEN lead(close, 1) OVER ({WIN}) / close - 1
 )
 def w2_forward_return(spark, sf_dir):
     """Forward return at horizon 1 (NULL at the series end)."""
-    b, w = _bars_w(spark, sf_dir)
-    return b.select("ticker", "date", "close", B.forward_return_h("close", 1, w).alias("target_return"))
+    return B.forward_returns(fx.bars(spark, sf_dir)).select("ticker", "date", "close", "target_return")
 
 
 @register(
@@ -67,8 +59,7 @@ FROM (SELECT ticker, date, {FWD_SQL} AS target_return FROM bars WHERE {CLEAN})""
 )
 def p10_direction_label(spark, sf_dir):
     """Direction label target_return > 0; a missing return is 0."""
-    b, w = _bars_w(spark, sf_dir)
-    return b.select("ticker", "date", direction(B.forward_return_h("close", 1, w)).alias("target_direction"))
+    return B.forward_returns(fx.bars(spark, sf_dir)).select("ticker", "date", "target_direction")
 
 
 # ---------------------------------------------------------------- W3 / W4 / W5 / W6
@@ -130,10 +121,7 @@ FROM bars WHERE {CLEAN}"""),
 )
 def p8_sma_ratio(spark, sf_dir):
     """sma_short / sma_long - 1, 0 when undefined."""
-    b, w = _bars_w(spark, sf_dir)
-    s = F.avg("close").over(w.rowsBetween(-(CFG.short_window - 1), 0))
-    lw = F.avg("close").over(w.rowsBetween(-(CFG.long_window - 1), 0))
-    return b.select("ticker", "date", zero_if_null(safe_div(s, lw) - F.lit(1.0)).alias("sma_ratio"))
+    return B.sma_ratio(fx.bars(spark, sf_dir), CFG.short_window, CFG.long_window)
 
 
 # ---------------------------------------------------------------- W7
@@ -219,15 +207,20 @@ LABEL_CTES = (fx.BARS_SQL, _ma_sql(), _label_sql())
 TRAIN_DBL = ("ma_200", "close", "max_close", "min_close", "relative_close", "relative_future_close")
 
 
+def _labelled(spark, sf_dir):
+    """(train, live), with positions."""
+    return B.label_history(B.averaged_history(fx.bars(spark, sf_dir), 200))
+
+
 def _train_live(spark, sf_dir):
-    return B.label_history(B.enrich_history(fx.bars(spark, sf_dir), 200))
+    return tuple(df.drop("_i", "_n") for df in _labelled(spark, sf_dir))
 
 
 @register("W11_forward_extremes", sql=with_ctes(*LABEL_CTES, body="SELECT ticker, date, max_close, min_close FROM fw"),
           dbl=("max_close", "min_close"))
 def w11_forward_extremes(spark, sf_dir):
     """Max/min over the current and next 29 rows, strict."""
-    h = B.enrich_history(fx.bars(spark, sf_dir), 200).where(F.col("ma_200").isNotNull()).select("ticker", "date", "close")
+    h = B.averaged_history(fx.bars(spark, sf_dir), 200)
     return B.forward_extremes(h, 30).select("ticker", "date", "max_close", "min_close")
 
 
@@ -260,7 +253,7 @@ def p17_relative_close(spark, sf_dir):
 @register("P18_live_split", sql=with_ctes(*LABEL_CTES, body="SELECT ticker, date FROM lv0"))
 def p18_live_split(spark, sf_dir):
     """Rows newer than the global max date - 150 days (before the count filter)."""
-    h = B.enrich_history(fx.bars(spark, sf_dir), 200).where(F.col("ma_200").isNotNull())
+    h = B.averaged_history(fx.bars(spark, sf_dir), 200)
     mx = h.agg(F.max("date").alias("_m"))
     return h.join(F.broadcast(mx), F.col("date") > F.date_sub("_m", 150)).select("ticker", "date")
 
@@ -275,7 +268,7 @@ def a8_distinct_closes(spark, sf_dir):
   count(DISTINCT close) > 150 AS train_ok FROM tr0 GROUP BY ticker"""))
 def p19_min_history(spark, sf_dir):
     """Per ticker: distinct closes among rows with a forward window, and the > 150 rule."""
-    h = B.enrich_history(fx.bars(spark, sf_dir), 200).where(F.col("ma_200").isNotNull()).select("ticker", "date", "close")
+    h = B.averaged_history(fx.bars(spark, sf_dir), 200)
     fw = B.forward_extremes(h, 30).where(F.col("max_close").isNotNull())
     c = B.distinct_count(fw, "close", "distinct_closes")
     return c.withColumn("train_ok", F.col("distinct_closes") > 150)
@@ -323,7 +316,7 @@ samples AS (
 @register("X10_window_samples", sql=with_ctes(*LABEL_CTES, SAMPLES_SQL, body="SELECT * FROM samples"), arr=("values",), bench=True)
 def x10_window_samples(spark, sf_dir):
     """Windows of 100 relative closes every 10 rows with the end row's label/date."""
-    train = _train_live(spark, sf_dir)[0]
+    train = _labelled(spark, sf_dir)[0]
     return S.window_samples(train, "relative_close", "relative_future_gain", "ticker", "date", 100, 10)
 
 
@@ -340,5 +333,5 @@ def w13_strided_windows(spark, sf_dir):
   WHERE i >= 99 AND (i - 99) % 10 = 0)""", body="SELECT * FROM lab"))
 def w14_window_labels(spark, sf_dir):
     """Label, date and ticker at each window's last row."""
-    train = _train_live(spark, sf_dir)[0]
+    train = _labelled(spark, sf_dir)[0]
     return S.window_labels(train, "relative_future_gain", "ticker", "date", 100, 10)
