@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 INF = float("inf")
 
+# The characters that Python's str.strip() and str.split() take as
+# white space, as a regular-expression class (literal, so that it reads the same
+# in every engine).
+WS = "[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -69,7 +74,7 @@ def clip_lower(x: str | Column, lower: float) -> Column:
 
 def strip_ws(x: str | Column) -> Column:
     """Python str.strip() removes every kind of surrounding whitespace."""
-    return F.regexp_replace(col(x), r"^\s+|\s+$", "")
+    return F.regexp_replace(col(x), f"^{WS}+|{WS}+$", "")
 
 
 def blank_to_null(x: str | Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mktlens.functions.exprs import col, strip_ws
+from mktlens.functions.exprs import WS, col, strip_ws
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference for equal results.
@@ -73,7 +73,7 @@ def clean_query(text: str | Column) -> Column:
     t = strip_ws(F.regexp_replace(t, f"^(?i)({prefixes})", ""))
     seps = "".join({"\n": "\\n", "\t": "\\t", "|": "\\|"}.get(c, c) for c in QUERY_SEPARATORS)
     t = F.regexp_replace(t, f"[{seps}]", " ")
-    toks = F.split(strip_ws(t), r"\s+")
+    toks = F.split(strip_ws(t), f"{WS}+")
     keep = F.filter(
         toks,
         lambda x: (F.length(x) > 0) & ~x.startswith("/") & (x.rlike(r"\p{L}") | x.rlike(r"^\p{Nd}+$")),

@@ -127,10 +127,6 @@ def price_features(bars: DataFrame, cfg: FeatureConfig = FeatureConfig()) -> Dat
 
 
 # ---------------------------------------------------------------- W3-W6 single ops
-def _positions(df: DataFrame) -> list[str]:
-    return [c for c in ("_i", "_n") if c in df.columns]
-
-
 def _keep(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("_")]
 
@@ -198,7 +194,7 @@ def averaged_history(bars: DataFrame, n: int = 200) -> DataFrame:
     """The rows of X8 that have a full window: all but the first n - 1 of each
     series, so their positions are known and go along (``_i``, ``_n``)."""
     rows = _averages(bars, n).where(F.col("_i") >= n - 1)
-    return rows.select("ticker", "date", "close", f"ma_{n}", (F.col("_i") - (n - 1)).alias("_i"), (F.col("_n") - (n - 1)).alias("_n"))
+    return rows.select("ticker", "date", "close", "volume", f"ma_{n}", (F.col("_i") - (n - 1)).alias("_i"), (F.col("_n") - (n - 1)).alias("_n"))
 
 
 def forward_extremes(df: DataFrame, n: int = 30, value: str = "close") -> DataFrame:
@@ -226,20 +222,20 @@ def label_history(enriched: DataFrame, n_ma: int = 200, horizon: int = 30, live_
     """(train, live) from an enriched history.
 
     train: rows with a forward window, outcome class (P16), relative closes
-    (P17), tickers with > ``min_train`` distinct closes (A8, P19); with positions
-    ``_i`` and ``_n`` if ``enriched`` has them (``averaged_history``).
+    (P17), tickers with > ``min_train`` distinct closes (A8, P19); with volume and
+    positions ``_i`` and ``_n`` as far as ``enriched`` has them.
     live: rows newer than global max date - ``live_days`` (P18, A9) of tickers
     with >= ``min_live`` distinct closes.
     """
     ma = f"ma_{n_ma}"
-    base = enriched.where(F.col(ma).isNotNull()).select("ticker", "date", ma, "close", *_positions(enriched))
+    base = enriched.where(F.col(ma).isNotNull()).select("ticker", "date", ma, "close", *[c for c in ("volume", "_i", "_n") if c in enriched.columns])
     base = forward_extremes(base, horizon).withColumn("relative_close", safe_div(F.col("close"), F.col(ma)))
 
     # One-row global max joined back (broadcast of a single row).
     max_date = base.agg(F.max("date").alias("_max_date"))
     live = base.join(F.broadcast(max_date), F.col("date") > F.date_sub(F.col("_max_date"), live_days)).drop("_max_date")
     live = live.join(distinct_count(live, "close", "count"), "ticker")
-    live = live.where(F.col("count") >= min_live).drop("_i", "_n")
+    live = live.where(F.col("count") >= min_live).drop("_i", "_n", "volume")
 
     # the last horizon - 1 rows of a series go, so positions stay and lengths shrink
     train = base.where(F.col("max_close").isNotNull())
@@ -260,6 +256,15 @@ def distinct_count(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.select("ticker", value).distinct().groupBy("ticker").agg(F.count(F.lit(1)).alias(name))
 
 
+def turnover_gain_bins(train: DataFrame, cuts=(0.0, 0.8, 1.2, 10_000.0)) -> DataFrame:
+    """Turnover (close x volume) and the future gain in right-closed bins."""
+    r = F.col("relative_future_close")
+    bins = F.lit(None).cast("int")
+    for k in range(len(cuts) - 1):
+        bins = F.when((r > cuts[k]) & (r <= cuts[k + 1]), F.lit(k)).otherwise(bins)
+    return train.select("ticker", "date", (F.col("close") * F.col("volume")).alias("turnover"), bins.alias("gain_bin"))
+
+
 # ---------------------------------------------------------------- W12
 def change_vs_lag(bars: DataFrame, lag_rows: int = 21) -> DataFrame:
     """Latest close per ticker and its change against the row ``lag_rows``

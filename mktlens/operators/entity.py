@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mktlens.functions.exprs import strip_ws
+from mktlens.functions.exprs import WS, strip_ws
 from mktlens.session import cut_lineage
 from mktlens.functions.similarity import sequence_ratio
 from mktlens.functions.text import alias_is_valid, alias_list, candidate_symbols, normalise, normalise_symbol
@@ -152,7 +152,7 @@ def query_tokens(queries: DataFrame, query_col: str = "query") -> DataFrame:
     first, then each '/'- or space-separated part by position; duplicates keep
     their first position; blanks dropped."""
     q = F.col(query_col)
-    parts = F.split(strip_ws(F.regexp_replace(q, "/", " ")), r"\s+")
+    parts = F.split(strip_ws(F.regexp_replace(q, "/", " ")), f"{WS}+")
     toks = F.concat(F.array(normalise(strip_ws(q))), F.transform(parts, normalise))
     ex = queries.select(query_col, F.posexplode(toks).alias("pos", "token")).where(F.col("token") != "")
     return ex.groupBy(query_col, "token").agg(F.min("pos").alias("pos"))
@@ -472,28 +472,50 @@ def search_aliases(sym_aliases: DataFrame, first: DataFrame) -> DataFrame:
     return j.select("symbol", F.explode(F.array_distinct(F.filter(allv, lambda x: x.isNotNull() & (x != "")))).alias("alias"))
 
 
-def match_text(items: DataFrame, aliases: DataFrame, text_col: str = "combined_norm", key: str = "item_id",
-               method: str = "auto", join_limit: int = 32) -> DataFrame:
-    """(item, symbol) pairs where any alias of the symbol is a substring
-    of the item text (T18 raw substring semantics).
+KEY = 4  # characters of an alias's join key
 
-    ``method``: 'join' = broadcast nested-loop join on instr(text, alias) > 0
-    (cost items x aliases x text length); 'automaton' = one Aho-Corasick scan
-    per text (cost linear in text length); 'auto' uses the join only for a
-    handful of aliases (the alias table is a dimension; its size is checked
-    before it is broadcast either way).
-    """
-    from mktlens.functions.automaton import collect_aliases, substring_hits
-
-    pairs = None
-    if method == "auto":
-        pairs = collect_aliases(aliases)  # bounded dimension, collected once
-        method = "join" if len(pairs) <= join_limit else "automaton"
-    if method == "join":
-        j = items.select(key, text_col).join(F.broadcast(aliases), F.instr(F.col(text_col), F.col("alias")) > 0)
-        return j.select(key, "symbol").distinct()
-    hits = substring_hits(items.select(key, text_col), pairs if pairs is not None else aliases, key, text_col)
-    return hits.select(key, "symbol").distinct()
+
+def _key_grams(text: Column) -> Column:
+    """Distinct runs of 1 to KEY characters of a text (the text is cut into
+    characters once; indexing a UTF-8 string by position would rescan it)."""
+    chars = F.split(text, "")
+    n = F.size(chars)
+
+    def runs(k: int) -> Column:
+        parts = [F.slice(chars, j + 1, F.greatest(n - k + 1, F.lit(0))).alias(f"c{j}") for j in range(k)]
+        return F.transform(F.arrays_zip(*parts), lambda z: F.concat(*[z[f"c{j}"] for j in range(k)]))
+
+    return F.array_distinct(F.concat(*[runs(k) for k in range(1, KEY + 1)]))
+
+
+def alias_keys(aliases: DataFrame) -> DataFrame:
+    """(gram, alias, symbol): each alias under one run of its characters, the whole
+    alias where it is shorter than KEY, else the run that the fewest aliases share
+    (then the first by text)."""
+    a = aliases.select("alias", "symbol").where(F.length("alias") > 0).distinct()
+    names = a.select("alias").distinct()
+    n = F.length("alias")
+    grams = F.when(n <= KEY, F.array("alias")).otherwise(F.transform(F.sequence(F.lit(1), n - KEY + 1), lambda i: F.substr("alias", i, F.lit(KEY))))
+    each = names.select("alias", F.explode(F.array_distinct(grams)).alias("gram"))
+    shared = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = each.join(shared, "gram").groupBy("alias").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return a.join(rare, "alias").select("gram", "alias", "symbol")
+
+
+def match_text(items: DataFrame, aliases: DataFrame, text_col: str = "combined_norm", key: str = "item_id") -> DataFrame:
+    """(item, symbol) pairs where any alias of the symbol is a substring of the
+    item text (T18 raw substring semantics).
+
+    Texts that can hold an alias share its key, a run of at most KEY characters:
+    the texts' distinct runs meet the alias keys in an equi-join (which Spark
+    broadcasts only after measuring the keys, and splits where a run is hot), and
+    the whole alias is looked for in the texts that are left.  One lazy plan, no
+    size limit.  ``key`` is unique among the items; null texts match nothing."""
+    keys = alias_keys(aliases)
+    grams = items.select(key, F.explode(_key_grams(F.col(text_col))).alias("gram"))
+    maybe = grams.join(keys, "gram").select(key, "alias", "symbol")
+    found = items.select(key, text_col).join(maybe, key).where(F.instr(F.col(text_col), F.col("alias")) > 0)
+    return found.select(key, "symbol").distinct()
 
 
 def local_news(feed: DataFrame, matches: DataFrame) -> DataFrame:

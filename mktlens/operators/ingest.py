@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from mktlens.operators.prefix import ordered_prefix_sums
 
 
-def append_new_rows(existing: DataFrame, incoming: DataFrame, key: str = "ticker", date: str = "date") -> DataFrame:
-    """Existing ∪ incoming rows after each key's high-water mark (keys
-    new to the table start after the global mark), like an incremental
-    refresh from max(date) + 1 day."""
+def append_new_rows(existing: DataFrame, incoming: DataFrame, key: str = "ticker", date: str = "date", per_key: bool = False) -> DataFrame:
+    """Existing ∪ incoming rows from the table's last date + 1 day on.  With
+    ``per_key`` each key has a mark of its own (keys new to the table start after
+    the table's)."""
+    if not per_key:
+        mark = existing.agg(F.max(date).alias("_hw"))  # one row
+        new = incoming.join(F.broadcast(mark), F.col(date) >= F.date_add("_hw", 1)).drop("_hw")
+        return existing.unionByName(new)
     hw = existing.groupBy(key).agg(F.max(date).alias("_hw"))
     ghw = existing.agg(F.max(date).alias("_ghw"))  # one row
     known = incoming.join(hw, key).where(F.col(date) >= F.date_add("_hw", 1)).drop("_hw")

@@ -65,14 +65,16 @@ def binary_report(df: DataFrame, truth: Column, pred: Column) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, truth: Column, score: Column, n_parts: int | None = None) -> DataFrame:
-    """Exact ROC-AUC, ties counted one half (Mann-Whitney)."""
+    """Exact ROC-AUC, ties counted one half (Mann-Whitney); NULL where only one
+    class is there."""
     per = df.select(truth.cast("int").alias("t"), score.cast("double").alias("s")).groupBy("s").agg(
         F.sum("t").cast("long").alias("pos"), F.sum(1 - F.col("t")).cast("long").alias("neg")
     )
     pre = ordered_prefix_sums(per, ["s"], ["neg"], n_parts)
     return pre.agg(
-        (F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg")))
-         / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("roc_auc")
+        F.try_divide(
+            F.sum(F.col("pos") * (F.col("neg_before") + 0.5 * F.col("neg"))), F.sum("pos").cast("double") * F.sum("neg").cast("double")
+        ).alias("roc_auc")
     )
 
 

@@ -160,17 +160,17 @@ def summary_docs(df: DataFrame, k: int = 12, key: str = "ticker", order_col: str
 
 
 # ---------------------------------------------------------------- U1
-def union_dedupe(primary: DataFrame, secondary: DataFrame, keys=("title", "url")) -> DataFrame:
+def union_dedupe(primary: DataFrame, secondary: DataFrame, keys=("title", "url"), order: str = "seen_datetime") -> DataFrame:
     """Primary ∪ secondary, duplicates by ``keys`` removed, first source
-    wins (then the earliest row inside a source by its own row order).
+    wins, then the row least in ``order`` (NULL last; rows equal in it: the least
+    of the other columns), so the result does not depend on how files are split.
 
     A ``min_by`` aggregate instead of a row_number window: it is combined
     map-side, so a key duplicated millions of times never lands whole in one
     task."""
-    a = primary.withColumn("_src", F.lit(0))
-    b = secondary.withColumn("_src", F.lit(1))
-    u = a.unionByName(b, allowMissingColumns=True).withColumn("_row", F.monotonically_increasing_id())
-    cols = [c for c in u.columns if c not in keys and c not in ("_src", "_row")]
-    g = u.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct("_src", "_row")).alias("_r"))
-    order = [c for c in primary.columns] + [c for c in secondary.columns if c not in primary.columns]
-    return g.select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in order])
+    u = primary.withColumn("_src", F.lit(0)).unionByName(secondary.withColumn("_src", F.lit(1)), allowMissingColumns=True)
+    cols = [c for c in u.columns if c not in keys and c != "_src"]
+    rank = F.struct("_src", F.col(order).isNull(), order, *[c for c in cols if c != order])
+    g = u.groupBy(*keys).agg(F.min_by(F.struct(*cols), rank).alias("_r"))
+    names = [c for c in primary.columns] + [c for c in secondary.columns if c not in primary.columns]
+    return g.select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in names])

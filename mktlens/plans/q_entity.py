@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mktlens.functions import text as TX
+from mktlens.functions.exprs import WS
 from mktlens.functions.sentiment import FIXTURE_LEXICON
 from mktlens.functions.similarity import edit_ratio
 from mktlens.operators import entity as E
@@ -117,7 +118,7 @@ def f4_candidate_symbols(spark, sf_dir):
 
 
 CLEAN_Q_SQL = f"""array_to_string(list_filter(string_split_regex({strip_sql(
-    "regexp_replace(" + strip_sql("regexp_replace(" + strip_sql("coalesce(q, '')") + ", '^(?i)(/start|/help|/predict|/news)', '')") + ", '[@#,;|\\n\\t]', ' ', 'g')")}, '\\s+'),
+    "regexp_replace(" + strip_sql("regexp_replace(" + strip_sql("coalesce(q, '')") + ", '^(?i)(/start|/help|/predict|/news)', '')") + ", '[@#,;|\\n\\t]', ' ', 'g')")}, '{WS}+'),
   lambda x: length(x) > 0 AND NOT starts_with(x, '/') AND (regexp_matches(x, '\\p{{L}}') OR regexp_full_match(x, '\\p{{Nd}}+'))), ' ')"""
 
 
@@ -130,10 +131,13 @@ def f5_clean_query(spark, sf_dir):
     return q.select("query", TX.clean_query("query").alias("cleaned"))
 
 
-@register("F14_symbol_normalise", sql=with_ctes(fx.QUERIES_SQL, body=f"SELECT query, upper({strip_sql('query')}) AS symbol FROM queries"))
+@register("F14_symbol_normalise", sql=with_ctes(fx.QUERIES_SQL, body=f"""SELECT query, upper({strip_sql('query')}) AS symbol
+FROM (SELECT query FROM queries UNION ALL SELECT '\u00a0\t' || query || ' \u3000\x1f' FROM queries)"""))
 def f14_symbol_normalise(spark, sf_dir):
-    """Symbol normalise: trim + upper."""
-    return fx.queries(spark, sf_dir).select("query", TX.normalise_symbol("query").alias("symbol"))
+    """Symbol normalise: trim (every kind of white space) + upper."""
+    q = fx.queries(spark, sf_dir).select("query")
+    padded = q.select(F.concat(F.lit("\u00a0\t"), "query", F.lit(" \u3000\x1f")).alias("query"))
+    return q.unionByName(padded).select("query", TX.normalise_symbol("query").alias("symbol"))
 
 
 @register("F15_alias_validity", sql=with_ctes(fx.QUERIES_SQL, STORE_SQL, body=f"""SELECT name,
@@ -160,7 +164,7 @@ toks AS (
     UNION ALL
     SELECT query, {norm_sql('part')} AS token, pos FROM (
       SELECT query, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS pos
-      FROM (SELECT query, string_split_regex({strip_sql("replace(query, '/', ' ')")}, '\\s+') AS parts FROM q)))
+      FROM (SELECT query, string_split_regex({strip_sql("replace(query, '/', ' ')")}, '{WS}+') AS parts FROM q)))
   WHERE token <> '' GROUP BY query, token)"""
 
 TIERS_SQL = f"""t1 AS (
@@ -416,9 +420,7 @@ def feed_items(spark, sf_dir):
     """S4-conformed feed items with the combined normalised search text."""
     from mktlens.sources.readers import conform_feed
 
-    from mktlens.session import spread
-
-    f = conform_feed(spread(fx.feed(spark, sf_dir).withColumnRenamed("doc_id", "item_id")))
+    f = conform_feed(fx.feed(spark, sf_dir).withColumnRenamed("doc_id", "item_id"))
     return f.withColumn("combined_norm", TX.search_text("title", "summary"))
 
 
@@ -428,14 +430,8 @@ def _aliases_for_search(spark, sf_dir):
 
 @register("J3_alias_text_match", sql=with_ctes(*J3_CTES, body="SELECT item_id, symbol FROM hits"), bench=True)
 def j3_alias_text_match(spark, sf_dir):
-    """Feed items x companies where any company alias is a substring of the normalised text (automatic strategy)."""
-    return E.match_text(feed_items(spark, sf_dir), _aliases_for_search(spark, sf_dir), "combined_norm", "item_id", method="auto")
-
-
-@register("J3_alias_text_match_join", sql=with_ctes(*J3_CTES, body="SELECT item_id, symbol FROM hits"))
-def j3_alias_text_match_join(spark, sf_dir):
-    """Same pairs as J3 by a broadcast nested-loop join on instr (small alias sets)."""
-    return E.match_text(feed_items(spark, sf_dir), _aliases_for_search(spark, sf_dir), "combined_norm", "item_id", method="join")
+    """Feed items x companies where any company alias is a substring of the normalised text."""
+    return E.match_text(feed_items(spark, sf_dir), _aliases_for_search(spark, sf_dir), "combined_norm", "item_id")
 
 
 X11_BODY = f"""SELECT symbol AS ticker, published_at AS seen_datetime, CAST(published_at AS DATE) AS date, title, full_text, url,
@@ -451,7 +447,7 @@ def x11_company_news(spark, sf_dir):
     """Per company: feed items of the last 60 days before as_of whose text mentions an alias, annotated."""
     items = feed_items(spark, sf_dir)
     recent = N.recent(items, F.lit(AS_OF).cast("timestamp"), DAYS, "published_at")
-    hits = E.match_text(recent, _aliases_for_search(spark, sf_dir), "combined_norm", "item_id", method="auto")
+    hits = E.match_text(recent, _aliases_for_search(spark, sf_dir), "combined_norm", "item_id")
     local = E.local_news(recent, hits)
     return N.annotate_news(local, "full_text", FIXTURE_LEXICON)
 

@@ -43,12 +43,12 @@ def p9_recency_filter(spark, sf_dir):
 # ---------------------------------------------------------------- O2 / O3 / O4 / O5
 @register("O2_recent_news", sql=with_ctes(fx.NEWS_SQL, fx.ANNOTATED_SQL, f"""r AS (
   SELECT ticker, title, url, sentiment_score, source, language, date, {NEWEST_SQL} AS rn
-  FROM annotated WHERE CAST(date AS TIMESTAMP) >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY)""",
+  FROM annotated WHERE CAST(date AS TIMESTAMP) >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY)""",
     body="""SELECT ticker, CAST(rn AS INTEGER) AS rank, strftime(date, '%Y-%m-%d') AS date, title, url,
   sentiment_score AS sentiment, source, language FROM r WHERE rn <= 5"""), dbl=("sentiment",))
 def o2_recent_news(spark, sf_dir):
-    """Per ticker, news of the last 3 days before as_of, newest 5."""
-    n = N.recent(annotated_news(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), 3, "date")
+    """Per ticker, news of the last 30 days before as_of, newest 5."""
+    n = N.recent(annotated_news(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), 30, "date")
     top = N.newest_k(n, 5)
     return top.select("ticker", F.col("_rn").alias("rank"), TX.iso_date("date").alias("date"), "title", "url",
                       F.col("sentiment_score").alias("sentiment"), "source", "language")
@@ -314,9 +314,9 @@ QUALIFY row_number() OVER (PARTITION BY ticker, title, url ORDER BY src, doc_id)
 def u1_union_dedupe(spark, sf_dir):
     """Fetched ∪ local news, duplicates by (ticker, title, url) removed, first source wins."""
     n = fx.news(spark, sf_dir).select("ticker", "title", "url", "source", "doc_id")
-    fetched = n.where(F.col("doc_id") % 2 == 0).orderBy("doc_id")
-    local = n.where(F.col("doc_id") % 3 == 0).orderBy("doc_id")
-    return N.union_dedupe(fetched, local, ("ticker", "title", "url"))
+    fetched = n.where(F.col("doc_id") % 2 == 0)
+    local = n.where(F.col("doc_id") % 3 == 0)
+    return N.union_dedupe(fetched, local, ("ticker", "title", "url"), order="doc_id")
 
 
 @register("U2_append_rows", sql=with_ctes(fx.BARS_SQL, fx.HOURLY_BARS_SQL, body="""SELECT ticker, CAST(date AS TIMESTAMP) AS date, close, volume, 'daily' AS freq FROM bars

@@ -4,7 +4,6 @@ feature-matrix parts (A1-A5, J1, J2, X3, F6-F8), sorts (O1, O7-O9) and the
 training run (X7)."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mktlens.config import FeatureConfig, ModelConfig
@@ -17,10 +16,11 @@ from mktlens.operators import language as L
 from mktlens.operators import models as MD
 from mktlens.operators import news as N
 from mktlens.operators.chunked import apply_windows
+from mktlens.plans.q_entity import J3_CTES, X11_BODY, x11_company_news
 from mktlens.plans.q_features import annotated_news, x1_build_features
 from mktlens.plans.q_metrics import X1_CTES
 from mktlens.plans.q_models import scratch
-from mktlens.plans.q_windows import LABEL_CTES, x9_label_history_train
+from mktlens.plans.q_windows import LABEL_CTES, labelled_history
 from mktlens.plans.registry import register, with_ctes
 from mktlens.plans.sqlparts import FEATURE_DOUBLES, news_aggregates_sql, price_features_sql, feature_matrix_sql
 from mktlens.sources import fixtures as fx
@@ -143,26 +143,30 @@ def p7_feed_projection(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- S2 / S3 / S4 / S7
-@register("S2_feature_table_read", sql=with_ctes(*X1_CTES, body="""SELECT ticker, count(*) AS n_rows, max(date) AS last_date,
-  CAST(sum(target_direction) AS BIGINT) AS n_up FROM x1 GROUP BY ticker"""))
+@register("S2_feature_table_read", sql=with_ctes(*X1_CTES, body="SELECT * REPLACE (CAST(date AS TIMESTAMP) AS date, nullif(languages, '') AS languages) FROM x1"),
+          dbl=FEATURE_DOUBLES)
 def s2_feature_table_read(spark, sf_dir):
-    """Feature matrix written as CSV and read back (dates parsed, bad dates dropped)."""
+    """Feature matrix written as CSV and read back (dates parsed, bad dates dropped; CSV has no empty text)."""
     path = scratch(spark, "features-csv")
     x1_build_features(spark, sf_dir).write.option("header", True).mode("overwrite").csv(path)
     f = RD.read_features(spark, path, "csv")
-    return f.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.to_date("date")).alias("last_date"),
-                                   F.sum(F.col("target_direction").cast("bigint")).alias("n_up"))
+    return f.withColumn("languages", F.when(F.col("languages") != "", F.col("languages")))
 
 
-@register("S3_news_table_read", sql=with_ctes(fx.NEWS_SQL, body="SELECT ticker, count(*) AS n_items, min(seen_datetime) AS first_seen FROM news GROUP BY ticker"))
+@register("S3_news_table_read", sql=with_ctes(fx.NEWS_SQL, body="""SELECT doc_id, ticker, title, url,
+  seen_datetime - to_minutes(CASE doc_id % 3 WHEN 1 THEN 180 WHEN 2 THEN -330 ELSE 0 END) AS seen_datetime,
+  CAST(date AS TIMESTAMP) AS date, CAST(NULL AS VARCHAR) AS tagged_by FROM news"""))
 def s3_news_table_read(spark, sf_dir):
-    """News table written and read back; a missing path gives an empty frame of the fixed schema."""
+    """News table written and read back, its times given with offsets and read as UTC; a missing path adds nothing."""
     path = scratch(spark, "news")
-    fx.news(spark, sf_dir).write.mode("overwrite").parquet(path)
-    n = RD.read_news(spark, path)
-    missing = RD.read_news(spark, path + "-absent")
-    u = n.select("ticker", "seen_datetime").unionByName(missing.select("ticker", "seen_datetime"))
-    return u.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_items"), F.min("seen_datetime").alias("first_seen"))
+    zone = F.when(F.col("doc_id") % 3 == 1, "+03:00").when(F.col("doc_id") % 3 == 2, "-0530").otherwise("Z")
+    text = F.concat(F.date_format("seen_datetime", "yyyy-MM-dd'T'HH:mm:ss"), zone)
+    fx.news(spark, sf_dir).withColumn("seen_datetime", text).write.mode("overwrite").parquet(path)
+    names = ["ticker", "title", "url", "seen_datetime", "date"]
+    n = RD.read_news(spark, path).select("doc_id", *names)
+    missing = RD.read_news(spark, path + "-absent").select(*names)
+    u = n.unionByName(missing, allowMissingColumns=True)
+    return u.withColumn("tagged_by", F.lit(None).cast("string"))
 
 
 @register("S4_feed_read", sql=with_ctes(fx.NEWS_SQL, fx.FEED_SQL, body="""SELECT TRY_CAST(published_at AS TIMESTAMP) AS published_at,
@@ -175,71 +179,81 @@ def s4_feed_read(spark, sf_dir):
     return RD.read_feed(spark, path)
 
 
-@register("S7_persist_features", sql=with_ctes(*X1_CTES, body="SELECT ticker, count(*) AS n_rows FROM x1 GROUP BY ticker"))
+@register("S7_persist_features", sql=with_ctes(*X1_CTES, body="SELECT * FROM x1"), dbl=FEATURE_DOUBLES)
 def s7_persist_features(spark, sf_dir):
-    """Features persisted partitioned by ticker; one partition read back with pruning."""
+    """Features persisted partitioned by ticker and read back."""
     path = scratch(spark, "features-parquet")
-    x1_build_features(spark, sf_dir).write.mode("overwrite").partitionBy("ticker").parquet(path)
-    back = spark.read.parquet(path)
-    return back.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"))
+    x = x1_build_features(spark, sf_dir)
+    x.write.mode("overwrite").partitionBy("ticker").parquet(path)
+    return spark.read.schema(x.schema).parquet(path).select(*x.columns)
 
 
 # ---------------------------------------------------------------- S10 / S11 / S12 / S13
 FILE_SQL = "CAST(substr(ticker, 7) AS INTEGER) % 3"
 
 
-@register("S10_history_files", sql=with_ctes(fx.BARS_SQL, f"""f AS (SELECT {FILE_SQL} AS file_no, ticker FROM bars)""",
-    body="""SELECT k.file_no, (SELECT count(DISTINCT ticker) FROM f WHERE f.file_no <= k.file_no) AS tickers_so_far,
-  (SELECT count(*) FROM f WHERE f.file_no = k.file_no) AS n_rows FROM (SELECT DISTINCT file_no FROM f) k"""))
+@register("S10_history_files", sql=with_ctes(fx.BARS_SQL, body=f"""SELECT {FILE_SQL} AS file_no, ticker AS Ticker, strftime(date, '%Y-%m-%d') AS Date,
+  close, CASE WHEN {FILE_SQL} <> 1 THEN volume END AS volume FROM bars"""), dbl=("close", "volume"))
 def s10_history_files(spark, sf_dir):
-    """Many history files in one scan: rows per file and running distinct tickers."""
+    """History files with their columns in different orders, one without volume, united by name."""
     root = scratch(spark, "history")
-    b = fx.bars(spark, sf_dir).withColumn("file_no", (F.substring("ticker", 7, 10).cast("int") % 3))
-    paths = []
-    for k in range(3):
-        p = f"{root}/part_{k}"
-        b.where(F.col("file_no") == k).drop("file_no").write.option("header", True).mode("overwrite").csv(p)
-        paths.append(p)
+    b = fx.bars(spark, sf_dir).select((F.substring("ticker", 7, 10).cast("int") % 3).alias("file_no"), F.col("ticker").alias("Ticker"),
+                                      F.date_format("date", "yyyy-MM-dd").alias("Date"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
+    headers = [("Date", "Ticker", "Close", "Volume"), ("Ticker", "Date", "Close"), ("Ticker", "Volume", "Date", "Close")]
+    paths = [f"{root}/part_{k}" for k in range(3)]
+    for k, names in enumerate(headers):
+        b.where(F.col("file_no") == k).select(*names).write.option("header", True).mode("overwrite").csv(paths[k])
     h = RD.read_history_files(spark, paths)
-    h = h.withColumn("file_no", F.regexp_extract("source_file", r"part_(\d+)", 1).cast("int"))
-    per = h.groupBy("file_no").agg(F.count(F.lit(1)).alias("n_rows"))
-    first_file = h.groupBy("ticker").agg(F.min("file_no").alias("first_file"))
-    new = first_file.groupBy(F.col("first_file").alias("file_no")).agg(F.count(F.lit(1)).alias("_new"))
-    w = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, 0)  # one row per file
-    out = per.join(new, "file_no", "left").withColumn("tickers_so_far", F.sum(F.coalesce("_new", F.lit(0))).over(w))
-    return out.select("file_no", "tickers_so_far", "n_rows")
-
+    return h.select(F.regexp_extract("source_file", r"part_(\d+)", 1).cast("int").alias("file_no"), "Ticker", "Date",
+                    F.col("Close").cast("double").alias("close"), F.col("Volume").cast("double").alias("volume"))
 
-WIDE_TICKERS = ["Brand#1", "Brand#2", "Brand#3"]
 
-
-@register("S11_wide_to_long", sql=with_ctes(fx.BARS_SQL, body=f"""SELECT date, ticker, close AS Close, volume AS Volume FROM bars
-WHERE ticker IN ({', '.join("'" + t + "'" for t in WIDE_TICKERS)})"""), dbl=("Close", "Volume"))
+@register("S11_wide_to_long", sql=with_ctes(fx.BARS_SQL, body="SELECT date, ticker, close AS Close, volume AS Volume FROM bars"), dbl=("Close", "Volume"))
 def s11_wide_to_long(spark, sf_dir):
-    """Wide (date x ticker|field) table reshaped back to long rows; all-missing rows dropped."""
-    b = fx.bars(spark, sf_dir).where(F.col("ticker").isin(WIDE_TICKERS))
-    wide = b.groupBy("date").pivot("ticker", WIDE_TICKERS).agg(F.first("close").alias("Close"), F.first("volume").alias("Volume"))
-    wide = wide.select("date", *[F.col(f"`{t}_{f}`").alias(f"{t}|{f}") for t in WIDE_TICKERS for f in ("Close", "Volume")])
-    long = RD.wide_to_long(wide, "date", WIDE_TICKERS, ["Close", "Volume"])
+    """Wide (date x ticker|field) table of all tickers reshaped back to long rows; all-missing rows dropped."""
+    b = fx.bars(spark, sf_dir)
+    brands = fx.table(spark, sf_dir, "part").select("p_brand").distinct()
+    # the columns of a wide table are its schema: read once, a bounded list
+    tickers = sorted(r[0] for r in brands.limit(10_001).collect())
+    if len(tickers) > 10_000:
+        raise ValueError("too many tickers for a wide table")
+    wide = b.groupBy("date").pivot("ticker", tickers).agg(F.first("close").alias("Close"), F.first("volume").alias("Volume"))
+    wide = wide.select("date", *[F.col(f"`{t}_{f}`").alias(f"{t}|{f}") for t in tickers for f in ("Close", "Volume")])
+    long = RD.wide_to_long(wide, "date", tickers, ["Close", "Volume"])
     return long.where(F.col("Close").isNotNull() | F.col("Volume").isNotNull())
 
 
-@register("S12_incremental_append", sql=with_ctes(fx.BARS_SQL, """old AS (SELECT * FROM bars WHERE date <= DATE '1998-01-01' AND ticker <> 'Brand#2'
+OLD_SQL = """old AS (SELECT * FROM bars WHERE date <= DATE '1998-01-01' AND ticker <> 'Brand#2'
   UNION ALL SELECT * FROM bars WHERE date <= DATE '1997-01-01' AND ticker = 'Brand#2'),
-hw AS (SELECT ticker, max(date) AS hw FROM old GROUP BY ticker),
-allr AS (SELECT * FROM old UNION ALL
-         SELECT b.* FROM bars b JOIN hw USING (ticker) WHERE b.date >= hw.hw + 1
-         UNION ALL SELECT * FROM bars WHERE date >= (SELECT max(date) FROM old) + 1 AND ticker NOT IN (SELECT ticker FROM hw))""",
-    body="SELECT ticker, count(*) AS n_rows, max(date) AS last_date FROM allr GROUP BY ticker"))
-def s12_incremental_append(spark, sf_dir):
-    """Append rows above the per-ticker high-water mark (new tickers above the global mark)."""
+hw AS (SELECT ticker, max(date) AS hw FROM old GROUP BY ticker)"""
+
+
+def old_bars(spark, sf_dir):
+    """A table to append to: one ticker ends a year before the others."""
     b = fx.bars(spark, sf_dir)
-    old = b.where((F.col("date") <= F.lit("1998-01-01").cast("date")) & (F.col("ticker") != "Brand#2")).unionByName(
+    return b, b.where((F.col("date") <= F.lit("1998-01-01").cast("date")) & (F.col("ticker") != "Brand#2")).unionByName(
         b.where((F.col("date") <= F.lit("1997-01-01").cast("date")) & (F.col("ticker") == "Brand#2")))
+
+
+@register("S12_incremental_append", sql=with_ctes(fx.BARS_SQL, OLD_SQL, body="""SELECT * FROM old
+UNION ALL SELECT * FROM bars WHERE date >= (SELECT max(date) FROM old) + 1"""), dbl=("close", "volume"))
+def s12_incremental_append(spark, sf_dir):
+    """Append the rows from the table's last date + 1 day on."""
+    from mktlens.operators.ingest import append_new_rows
+
+    b, old = old_bars(spark, sf_dir)
+    return append_new_rows(old, b)
+
+
+@register("S12_incremental_append_per_ticker", sql=with_ctes(fx.BARS_SQL, OLD_SQL, body="""SELECT * FROM old
+UNION ALL SELECT b.* FROM bars b JOIN hw USING (ticker) WHERE b.date >= hw.hw + 1
+UNION ALL SELECT * FROM bars WHERE date >= (SELECT max(date) FROM old) + 1 AND ticker NOT IN (SELECT ticker FROM hw)"""), dbl=("close", "volume"))
+def s12_incremental_append_per_ticker(spark, sf_dir):
+    """Append rows above each ticker's own last date (new tickers above the table's)."""
     from mktlens.operators.ingest import append_new_rows
 
-    out = append_new_rows(old, b)
-    return out.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.max("date").alias("last_date"))
+    b, old = old_bars(spark, sf_dir)
+    return append_new_rows(old, b, per_key=True)
 
 
 @register("S13_ticker_batches", sql=with_ctes(fx.BARS_SQL, body="""SELECT ticker, CAST(floor((rn - 1) / 10) AS INTEGER) AS batch FROM (
@@ -343,12 +357,12 @@ def j2_single_aggregate(spark, sf_dir):
     return N.daily_news_aggregates(annotated_news(spark, sf_dir), FeatureConfig())
 
 
-@register("P12_min_news_filter", sql=with_ctes(fx.NEWS_SQL, fx.ANNOTATED_SQL, news_aggregates_sql(),
-                                               body="SELECT ticker, date, news_count, sentiment_roll_mean FROM nagg WHERE news_count >= 5"),
+@register("P12_min_news_filter", sql=with_ctes(*J3_CTES, f"x11 AS (SELECT *, 0.0 AS tone, 0.0 AS relevance FROM ({X11_BODY}))", news_aggregates_sql("x11"),
+                                               body="SELECT ticker, date, news_count, sentiment_roll_mean FROM nagg WHERE news_count >= 40"),
           dbl=("sentiment_roll_mean",))
 def p12_min_news_filter(spark, sf_dir):
-    """Days with at least 5 items, rolling mean taken before the filter."""
-    agg = N.daily_news_aggregates(annotated_news(spark, sf_dir), FeatureConfig(min_news_per_day=5))
+    """Days with at least 40 items of a company's news, rolling mean taken before the filter."""
+    agg = N.daily_news_aggregates(x11_company_news(spark, sf_dir), FeatureConfig(min_news_per_day=40))
     return agg.select("ticker", "date", "news_count", "sentiment_roll_mean")
 
 
@@ -448,15 +462,12 @@ def p23_series_slice(spark, sf_dir):
     return b.where((F.col("ticker") == "Brand#7") & F.col("date").between(F.date_sub(ev, 100), F.date_add(ev, 30))).select("ticker", "date", "close")
 
 
-@register("P24_turnover_gain_bins", sql=with_ctes(*LABEL_CTES, body="""SELECT ticker, date, close * 1.0 AS turnover_proxy,
+@register("P24_turnover_gain_bins", sql=with_ctes(*LABEL_CTES, body="""SELECT t.ticker, t.date, t.close * b.volume AS turnover,
   CASE WHEN r > 0 AND r <= 0.8 THEN 0 WHEN r > 0.8 AND r <= 1.2 THEN 1 WHEN r > 1.2 AND r <= 10000 THEN 2 END AS gain_bin
-FROM (SELECT ticker, date, close, relative_future_close AS r FROM tr)"""), dbl=("turnover_proxy",))
+FROM (SELECT ticker, date, close, relative_future_close AS r FROM tr) t JOIN bars b ON t.ticker = b.ticker AND t.date = b.date"""), dbl=("turnover",))
 def p24_turnover_gain_bins(spark, sf_dir):
-    """Turnover-style product and the gain binned at 0.8 / 1.2 (right-closed bins)."""
-    t = x9_label_history_train(spark, sf_dir)
-    r = F.col("relative_future_close")
-    gain = F.when((r > 0) & (r <= 0.8), 0).when((r > 0.8) & (r <= 1.2), 1).when((r > 1.2) & (r <= 10000), 2)
-    return t.select("ticker", "date", (F.col("close") * 1.0).alias("turnover_proxy"), gain.alias("gain_bin"))
+    """Turnover (close x volume) and the gain binned at 0.8 / 1.2 (right-closed bins)."""
+    return B.turnover_gain_bins(labelled_history(spark, sf_dir)[0])
 
 
 # ---------------------------------------------------------------- O1 / O7 / O8 / O9

@@ -20,21 +20,25 @@ def _feed_dir(spark, sf_dir) -> str:
     return path
 
 
-def _news_stream(spark, sf_dir, recent: bool = True):
+def _news_table(spark, sf_dir) -> str:
+    """Path of the company news drained from the feed stream."""
     src = ST.feed_stream(spark, _feed_dir(spark, sf_dir))
-    # The alias dimension is static: materialise it once in the shared
-    # checkpoint folder (a plain scan for the stream-static join).
+    # The alias dimension is static: stored once for all micro-batches.
     aliases = cut_lineage(_aliases_for_search(spark, sf_dir))
-    if recent:
-        return ST.company_news_stream(src, aliases, FIXTURE_LEXICON, F.lit(AS_OF).cast("timestamp"), DAYS)
-    return ST.company_news_stream(src, aliases, FIXTURE_LEXICON)
+    news = ST.company_news_batch(aliases, FIXTURE_LEXICON, F.lit(AS_OF).cast("timestamp"), DAYS)
+    return ST.run_batches(src, news, scratch(spark, "x11-out"), scratch(spark, "x11-ckpt"))
+
+
+def _news_stream(spark, sf_dir):
+    """The news table as a stream of its own."""
+    path = _news_table(spark, sf_dir)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).drop("batch")
 
 
 @register("X11_company_news_stream", sql=with_ctes(*J3_CTES, body=X11_BODY), dbl=("sentiment_score",))
 def x11_company_news_stream(spark, sf_dir):
     """Company news as a streaming job (feed files -> alias match -> sentiment), drained to a table."""
-    s = _news_stream(spark, sf_dir, recent=True)
-    return ST.run_append(s, scratch(spark, "x11-out"), scratch(spark, "x11-ckpt"))
+    return spark.read.parquet(_news_table(spark, sf_dir)).drop("batch")
 
 
 DAILY_SQL = with_ctes(*J3_CTES, body=f"""SELECT date_trunc('day', seen_datetime) AS day, ticker, avg(sentiment_score) AS sentiment_mean,
@@ -45,15 +49,14 @@ FROM ({X11_BODY}) GROUP BY 1, 2""")
 
 @register("A1_daily_sentiment_stream", sql=DAILY_SQL, dbl=("sentiment_mean", "sentiment_pos_ratio", "sentiment_neg_ratio"))
 def a1_daily_sentiment_stream(spark, sf_dir):
-    """Daily per-company sentiment over event-time windows with a watermark (complete aggregates)."""
-    s = ST.daily_sentiment(_news_stream(spark, sf_dir, recent=True), "400 days")
-    return ST.run_complete(s, scratch(spark, "daily-out"), scratch(spark, "daily-ckpt"))
+    """Daily per-company sentiment over event-time windows with a watermark of a day (update mode, last row per day)."""
+    s = ST.daily_sentiment(_news_stream(spark, sf_dir))
+    path = ST.run_batches(s, lambda b: b, scratch(spark, "daily-out"), scratch(spark, "daily-ckpt"), "update")
+    return ST.latest(spark.read.parquet(path), ["day", "ticker"])
 
 
-@register("U1_dedupe_stream", sql=with_ctes(*J3_CTES, body=f"SELECT count(*) AS n_items FROM (SELECT DISTINCT ticker, title, url FROM ({X11_BODY}))"))
+@register("U1_dedupe_stream", sql=with_ctes(*J3_CTES, body=f"SELECT DISTINCT ticker, title, url FROM ({X11_BODY})"))
 def u1_dedupe_stream(spark, sf_dir):
-    """Duplicates by (ticker, title, url) dropped within the watermark on the stream: items kept."""
-    s = _news_stream(spark, sf_dir, recent=True)
-    d = ST.dedupe_within_watermark(s, "4000 days", ("ticker", "title", "url"))
-    out = ST.run_append(d, scratch(spark, "dedupe-out"), scratch(spark, "dedupe-ckpt"))
-    return out.agg(F.count(F.lit(1)).alias("n_items"))
+    """Duplicates by (ticker, title, url) dropped within a watermark of a day on the stream."""
+    d = ST.dedupe_within_watermark(_news_stream(spark, sf_dir), keys=("ticker", "title", "url"))
+    return ST.run_append(d, scratch(spark, "dedupe-out"), scratch(spark, "dedupe-ckpt")).select("ticker", "title", "url")

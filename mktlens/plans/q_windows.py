@@ -207,13 +207,13 @@ LABEL_CTES = (fx.BARS_SQL, _ma_sql(), _label_sql())
 TRAIN_DBL = ("ma_200", "close", "max_close", "min_close", "relative_close", "relative_future_close")
 
 
-def _labelled(spark, sf_dir):
-    """(train, live), with positions."""
+def labelled_history(spark, sf_dir):
+    """(train with volume and positions, live)."""
     return B.label_history(B.averaged_history(fx.bars(spark, sf_dir), 200))
 
 
 def _train_live(spark, sf_dir):
-    return tuple(df.drop("_i", "_n") for df in _labelled(spark, sf_dir))
+    return tuple(df.drop("_i", "_n", "volume") for df in labelled_history(spark, sf_dir))
 
 
 @register("W11_forward_extremes", sql=with_ctes(*LABEL_CTES, body="SELECT ticker, date, max_close, min_close FROM fw"),
@@ -316,7 +316,7 @@ samples AS (
 @register("X10_window_samples", sql=with_ctes(*LABEL_CTES, SAMPLES_SQL, body="SELECT * FROM samples"), arr=("values",), bench=True)
 def x10_window_samples(spark, sf_dir):
     """Windows of 100 relative closes every 10 rows with the end row's label/date."""
-    train = _labelled(spark, sf_dir)[0]
+    train = labelled_history(spark, sf_dir)[0]
     return S.window_samples(train, "relative_close", "relative_future_gain", "ticker", "date", 100, 10)
 
 
@@ -333,5 +333,5 @@ def w13_strided_windows(spark, sf_dir):
   WHERE i >= 99 AND (i - 99) % 10 = 0)""", body="SELECT * FROM lab"))
 def w14_window_labels(spark, sf_dir):
     """Label, date and ticker at each window's last row."""
-    train = _labelled(spark, sf_dir)[0]
+    train = labelled_history(spark, sf_dir)[0]
     return S.window_labels(train, "relative_future_gain", "ticker", "date", 100, 10)

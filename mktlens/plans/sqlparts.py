@@ -6,10 +6,11 @@ check each Spark plan against an independent engine.
 from __future__ import annotations
 
 from mktlens.config import FeatureConfig
+from mktlens.functions.exprs import WS
 
 
 def strip_sql(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
 def blank_null_sql(x: str) -> str:

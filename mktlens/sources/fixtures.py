@@ -140,15 +140,19 @@ REGISTRY_RAW_SQL = """registry_raw AS (
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text company queries: part names as is, each word, the name with
-    its second character removed, the name with ', ' and '#' noise, and every
-    customer name (so the query table grows with the data)."""
+    its second character removed, the name with ', ' and '#' noise, the company's
+    symbol in lower case, every customer name, and every customer key spelled in
+    letters that no symbol has (so the query table grows with the data)."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     whole = names.select(F.col("p_name").alias("query"))
     words = names.select(F.explode(F.split("p_name", " ")).alias("query"))
     typo = names.select(F.concat(F.substring("p_name", 1, 1), F.expr("substring(p_name, 3)")).alias("query"))
     noisy = names.select(F.concat(F.lit("#"), F.regexp_replace("p_name", " ", ", ")).alias("query"))
-    cust = table(spark, sf_dir, "customer").select(F.col("c_name").alias("query"))
-    return whole.union(words).union(typo).union(noisy).union(cust).distinct()
+    symbol = names.select(F.concat(F.lit(" "), F.lower(F.regexp_replace("p_name", " ", ""))).alias("query"))
+    customers = table(spark, sf_dir, "customer")
+    cust = customers.select(F.col("c_name").alias("query"))
+    keys = customers.select(F.translate(F.col("c_custkey").cast("string"), "0123456789", "абвгдежзик").alias("query"))
+    return whole.union(words).union(typo).union(noisy).union(symbol).union(cust).union(keys).distinct()
 
 
 QUERIES_SQL = """queries AS (
@@ -157,7 +161,9 @@ QUERIES_SQL = """queries AS (
     UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part
     UNION ALL SELECT substr(p_name, 1, 1) || substr(p_name, 3) FROM part
     UNION ALL SELECT '#' || replace(p_name, ' ', ', ') FROM part
-    UNION ALL SELECT c_name FROM customer))"""
+    UNION ALL SELECT ' ' || lower(replace(p_name, ' ', '')) FROM part
+    UNION ALL SELECT c_name FROM customer
+    UNION ALL SELECT translate(CAST(c_custkey AS VARCHAR), '0123456789', 'абвгдежзик') FROM customer))"""
 
 
 # --------------------------------------------------------------------------

@@ -42,6 +42,17 @@ def parse_ts(c: Column) -> Column:
     return F.try_to_timestamp(s).cast("timestamp_ntz")
 
 
+def parse_ts_utc(c: Column) -> Column:
+    """Lenient timestamp parse, shifted to UTC by its offset before the zone is
+    dropped (no suffix: taken as UTC)."""
+    s = c.cast("string")
+    suffix = F.regexp_extract(s, r"(Z|[+-]\d\d:?\d\d)$", 1)
+    sign = F.when(suffix.startswith("-"), -1).otherwise(1)
+    digits = F.regexp_replace(suffix, r"[^0-9]", "")
+    minutes = F.when(F.length(digits) == 4, sign * (F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int"))).otherwise(0)
+    return F.timestamp_add("MINUTE", -minutes, parse_ts(c))
+
+
 def conform_prices(df: DataFrame) -> DataFrame:
     """Accept Close/close and Volume/volume, parse date, coerce numbers.
     Rows lacking close or volume are kept here and dropped by the window
@@ -67,21 +78,28 @@ def read_prices(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 
 
 def read_features(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Feature table with a parsed date; rows with a bad date dropped."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    """Feature table with a parsed date; rows with a bad date dropped.  CSV
+    columns get the feature table's types (whole numbers for the flag and the
+    counts, text for ticker, date and languages); no extra pass to infer them."""
+    if fmt == "csv":
+        df = spark.read.option("header", True).csv(path)
+        whole = {"target_direction": "int", "news_count": "bigint", "languages_count": "bigint"}
+        df = df.select(*[F.col(c) if c in ("ticker", "date", "languages") else F.col(c).try_cast(whole.get(c, "double")).alias(c) for c in df.columns])
+    else:
+        df = spark.read.format(fmt).load(path)
     d = df.schema["date"].dataType
     date = F.col("date") if isinstance(d, (T.DateType, T.TimestampNTZType, T.TimestampType)) else parse_ts(F.col("date"))
     return df.withColumn("date", date).where(F.col("date").isNotNull())
 
 
 def conform_news(df: DataFrame) -> DataFrame:
-    """S3 body: parse date / seen_datetime, drop rows with a bad date, add
-    absent standard columns as NULL."""
+    """S3 body: parse date, and seen_datetime shifted to UTC, drop rows with a bad
+    date, add absent standard columns as NULL."""
     out = df
     if "date" in out.columns:
         out = out.withColumn("date", parse_ts(F.col("date"))).where(F.col("date").isNotNull())
     if "seen_datetime" in out.columns:
-        out = out.withColumn("seen_datetime", parse_ts(F.col("seen_datetime")))
+        out = out.withColumn("seen_datetime", parse_ts_utc(F.col("seen_datetime")))
     for f in NEWS_SCHEMA.fields:
         if f.name not in out.columns:
             out = out.withColumn(f.name, F.lit(None).cast(f.dataType))
@@ -89,12 +107,15 @@ def conform_news(df: DataFrame) -> DataFrame:
 
 
 def read_news(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """S3: a missing file gives an empty frame with the fixed schema."""
+    """S3: a missing file gives an empty frame with the fixed schema; any other
+    problem (no permission, nothing readable in it) is raised."""
     from pyspark.errors import AnalysisException
 
     try:
         df = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], NEWS_SCHEMA)
     return conform_news(df)
 
@@ -115,9 +136,18 @@ def read_feed(spark: SparkSession, path: str, streaming: bool = False) -> DataFr
 
 
 def read_history_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Many history CSV files in one scan, with the source file name."""
-    df = spark.read.option("header", True).csv(paths)
-    return df.withColumn("source_file", F.input_file_name())
+    """Many history CSV files united by column name, with the source file
+    name.  Files are grouped by their header, so each group is one scan; a column
+    that a file lacks is NULL."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for p in paths:
+        groups.setdefault(tuple(spark.read.option("header", True).csv(p).columns), []).append(p)
+    out = None
+    for names, own in groups.items():
+        schema = T.StructType([T.StructField(n, S) for n in names])
+        part = spark.read.option("header", True).schema(schema).csv(own).withColumn("source_file", F.input_file_name())
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def read_ucr(spark: SparkSession, path: str) -> DataFrame:

@@ -1,24 +1,28 @@
 """Structured Streaming wiring of the stateless news operators (§2.11).
 
-The feed conform (S4), search text (F3), alias match (J3, stream-static join
-against the alias dimension), recency (P9) and lexicon sentiment (F6/F7) are
-the same functions the batch plans use — they accept a streaming DataFrame
-unchanged.  Two stateful extras: duplicates by (title, url) dropped within a
-watermark (U1) and daily sentiment aggregates per company over event-time
-windows (A1-A4).
+The feed conform (S4), search text (F3), alias match (J3), recency (P9) and
+lexicon sentiment (F6/F7) are the functions of the batch plans, run on every
+micro-batch (``run_batches``).  Two stateful extras over the resulting news
+table: duplicates by (title, url) dropped within a watermark (U1) and daily
+sentiment aggregates per company over event-time windows (A1-A4).
 
 Sinks are fault tolerant: a checkpoint location in the shared checkpoint
-folder and either the file sink (append) or ``foreachBatch`` overwrite of a
-table (complete aggregates).
+folder and either the file sink (append) or ``foreachBatch`` into a folder per
+micro-batch, which a retry overwrites.  State is bounded by the watermark; no
+sink rewrites earlier results.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mktlens.functions.sentiment import Lexicon
 from mktlens.functions.text import search_text
+from mktlens.operators import entity as E
 from mktlens.operators import news as N
+from mktlens.session import cut_lineage
 from mktlens.sources.readers import read_feed
 
 
@@ -27,32 +31,18 @@ def feed_stream(spark: SparkSession, path: str) -> DataFrame:
     return read_feed(spark, path, streaming=True).withColumn("combined_norm", search_text("title", "summary"))
 
 
-def company_news_stream(feed: DataFrame, aliases: DataFrame, lexicon: Lexicon, as_of: Column | None = None,
-                        days: int | None = None) -> DataFrame:
-    """X11 on a stream: optional recency filter (P9), alias hits against the
-    static alias dimension (J3), news columns, lexicon sentiment (X3)."""
-    f = feed
-    if as_of is not None and days is not None:
-        f = N.recent(f, as_of, days, "published_at")
-    return N.annotate_news(_local_news_stream(f, aliases), "full_text", lexicon)
-
-
-def _local_news_stream(feed: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Stream-static join keeping each (item, symbol) once: aliases of one
-    symbol are collapsed per symbol into an array first, so the join emits one
-    row per matching symbol without a stateful de-duplication."""
-    per_symbol = aliases.groupBy("symbol").agg(F.collect_set("alias").alias("aliases"))
-    j = feed.join(F.broadcast(per_symbol), F.exists("aliases", lambda a: F.instr(F.col("combined_norm"), a) > 0))
-    return j.select(
-        F.col("symbol").alias("ticker"),
-        F.col("published_at").alias("seen_datetime"),
-        F.to_date("published_at").alias("date"),
-        "title",
-        F.col("summary").alias("full_text"),
-        F.col("link").alias("url"),
-        F.coalesce("language", F.lit("")).alias("language"),
-        F.col("source_name").alias("source"),
-    )
+def company_news_batch(aliases: DataFrame, lexicon: Lexicon, as_of: Column | None = None, days: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """X11 for one micro-batch of the feed: optional recency filter (P9), alias
+    hits (J3), news columns, lexicon sentiment (X3)."""
+
+    def news(batch: DataFrame) -> DataFrame:
+        f = batch.withColumn("item_id", F.monotonically_increasing_id())
+        if as_of is not None and days is not None:
+            f = N.recent(f, as_of, days, "published_at")
+        f = cut_lineage(f)  # the item ids are read twice
+        return N.annotate_news(E.local_news(f, E.match_text(f, aliases)), "full_text", lexicon)
+
+    return news
 
 
 def event_time(news: DataFrame) -> DataFrame:
@@ -88,15 +78,21 @@ def run_append(df: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
     return df.sparkSession.read.parquet(out_path)
 
 
-def run_complete(df: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
-    """Drain all available input with complete aggregates; each micro-batch
-    overwrites the result table (``foreachBatch``), which is idempotent on
-    retry."""
+def run_batches(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out_path: str, checkpoint: str, mode: str = "append") -> str:
+    """Drain all available input; each micro-batch, transformed as a batch plan, is
+    written to a folder of its own (``batch=<number>``), which a retry overwrites.
+    Returns the path of the table."""
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    def write(batch: DataFrame, number: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
-    q = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete")
-         .trigger(availableNow=True).start())
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.read.parquet(out_path)
+    return out_path
+
+
+def latest(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The last written row per key of a table of update-mode micro-batches."""
+    cols = [c for c in table.columns if c not in (*keys, "batch")]
+    g = table.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("_r"))
+    return g.select(*keys, "_r.*")
