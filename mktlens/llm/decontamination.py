@@ -175,5 +175,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, k: in
     return out.select(
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"),
         F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), *[F.col("_carry").alias(carry)] * bool(carry),
+        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"), *[F.col("_carry").alias(carry or "_carry")] * bool(carry),
     )

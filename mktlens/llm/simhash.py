@@ -255,5 +255,5 @@ def near_duplicates(df: DataFrame, words: int = 3, distance: int = 3, id_col: st
     of_fp = classed.select("fp", "root").join(least, "root").select("fp", "component_id")
     return base.join(of_fp, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp",
-        *[F.col("_carry").alias(carry)] * bool(carry),
+        *[F.col("_carry").alias(carry or "_carry")] * bool(carry),
     )
