@@ -118,10 +118,11 @@ class RollingHash:
         return mix(h)
 
     def all(self, k: int) -> np.ndarray:
-        """Hashes of every range of ``k`` bytes, by start."""
+        """Hashes of every range of ``k`` bytes, by start: sums of random byte values
+        times powers, which are spread evenly as they are."""
         n = len(self.sums) - 1 - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         h = self.sums[k:] - self.sums[:n]
         h *= self.down[:n]
-        return mix(h)
+        return h

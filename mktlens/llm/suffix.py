@@ -22,7 +22,8 @@ from mktlens.llm._arrow import MIX_A, MIX_B, RollingHash, carried, mix, slices
 from mktlens.session import cut_lineage
 
 BATCH_BYTES = 2 << 20  # of segments sorted together
-HOT = 1024  # distinct segments of an anchor that a suffix array takes; more go window by window
+MARK_BITS = 1 << 22  # of the tables that spare rows a join
+HOT = 16_384  # distinct segments of an anchor that a suffix array takes; more go window by window
 
 
 # --- anchors and segments ------------------------------------------------
@@ -38,9 +39,9 @@ def window_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(backward[: n - w + 1], forward[w - 1 : n])
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, off: np.ndarray, length: int, keep=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, segment hash, text, first and last window start inside the
-    text) of every anchor occurrence."""
+    text) of every anchor occurrence whose hash ``keep`` takes."""
     k = length // 4
     w = length - k + 1
     nothing = np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
@@ -59,9 +60,13 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     turn = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
     lo, hi = start[turn], start[np.append(turn[1:], len(start)) - 1]
     p = at[turn].astype(np.int64)
+    h = g[p]
+    if keep is not None:
+        kept = keep(h)
+        h, p, lo, hi = h[kept], p[kept], lo[kept], hi[kept]
     text = np.searchsorted(off, lo, side="right") - 1
     shape = (p - lo).astype(np.uint64) * np.uint64(MIX_A) + (hi - lo).astype(np.uint64)
-    return g[p], mix(rolling.of(lo, hi + length) + shape * np.uint64(MIX_B)), text, lo - off[text], hi - off[text]
+    return h, mix(rolling.of(lo, hi + length) + shape * np.uint64(MIX_B)), text, lo - off[text], hi - off[text]
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -101,11 +106,13 @@ def _occurrences(docs: DataFrame, length: int, bits: int, repeated, with_text: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(repeated.value, np.uint64)
-        for rows, raw, off in slices(batches, "text"):
-            h, seg, text, lo, hi = anchors(raw, off, length)
+
+        def may_repeat(h: np.ndarray) -> np.ndarray:
             slot = h & np.uint64(bits - 1)
-            keep = (seen[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-            h, seg, text, lo, hi = (x[keep] for x in (h, seg, text, lo, hi))
+            return (seen[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+        for rows, raw, off in slices(batches, "text"):
+            h, seg, text, lo, hi = anchors(raw, off, length, may_repeat)
             cols = [signed(h), signed(seg), rows.column(0).take(pa.array(text)), rows.column(1).take(pa.array(text)), pa.array(lo), pa.array(hi)]
             names = ["h", "seg", "id", "rk", "lo", "hi"]
             if with_text:
@@ -303,18 +310,23 @@ def repeats(df: DataFrame, length: int = 200, keep_first: bool = False, bits: in
     whole_rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra).withColumn("rk", F.xxhash64("id", "text"))
 
     repeated = _repeated(spark, _hashes(docs, length), bits)
-    order = F.struct("id", "rk", "lo")
-    segments = cut_lineage(
-        _occurrences(docs, length, bits, repeated, True).groupBy("h", "seg")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max("bytes").alias("bytes"))
-    )
+    grouped = _occurrences(docs, length, bits, repeated, True).groupBy("h", "seg")
+    counts = F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")
+    if keep_first:
+        segments = cut_lineage(grouped.agg(F.min(F.struct("id", "rk", "lo")).alias("first"), *counts))
+    else:  # which copy comes first does not matter
+        nobody = F.struct(F.lit(None).cast(kind).alias("id"), F.lit(0).cast("long").alias("rk"), F.lit(0).cast("long").alias("lo"))
+        segments = cut_lineage(grouped.agg(*counts)).withColumn("first", nobody)
     per = segments.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    mixed = segments.join(per, "h")
+    mixed = _marked(segments, "h", per).where("_has").drop("_has").join(per, "h")
     verdicts = _by_suffix_array(mixed.where(F.col("m") <= HOT), length).unionByName(_by_windows(mixed.where(F.col("m") > HOT), length))
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("bytes") - length).alias("b")))
-    judged = segments.join(verdicts, ["h", "seg"], "left").select(
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("wide").alias("b")))
+    narrow = segments.select("h", "seg", "first", "n", (F.octet_length("bytes") - length).alias("wide"))
+    judged = narrow.join(verdicts, ["h", "seg"], "left").select(
         "h", "seg", "first", "earlier", F.when(F.col("n") > 1, whole).otherwise(F.col("other")).alias("other")
     ).where("size(other) > 0")
+    # stored, so that both sides of the next join are dealt anew and a hot segment split
+    judged = cut_lineage(judged)
 
     place = _occurrences(docs, length, bits, repeated, False).join(judged, ["h", "seg"])
     if keep_first:
@@ -326,12 +338,31 @@ def repeats(df: DataFrame, length: int = 200, keep_first: bool = False, bits: in
         .groupBy("id", "rk").agg(F.collect_list(F.struct((F.col("lo") + F.col("w.a")).alias("a"), (F.col("lo") + F.col("w.b") + length).alias("b"))).alias("spans"))
         .withColumnsRenamed({"id": "_id", "rk": "_rk"})
     )
-    joined = whole_rows.join(spans, (F.col("rk") == F.col("_rk")) & F.col("id").eqNullSafe(F.col("_id")), "left")
-    joined = joined.select("id", "text", "spans", *["_carry"] * bool(carry))
-    out = joined.mapInArrow(
+    spans = cut_lineage(spans)
+    # documents without spans are done at once; only the others meet theirs in a join
+    marked = _marked(whole_rows, "rk", spans.withColumnsRenamed({"_rk": "rk"}))
+    has = F.col("_has")
+    text = F.coalesce("text", F.lit(""))
+    carry_out = ["_carry"] * bool(carry)
+    clean = marked.where(~has).select(
+        "id", *carry_out, F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
+        F.sha2(F.encode(text, "UTF-8"), 256).alias("kept_sha256"), *[F.col("text").alias("kept")] * with_text,
+    )
+    joined = marked.where(has).join(spans, (F.col("rk") == F.col("_rk")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    cut = joined.select("id", "text", "spans", *carry_out).mapInArrow(
         lambda batches: _cut(batches, with_text), f"id {kind}, {more}n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
     )
-    return out.withColumnsRenamed({"id": id_col, "_carry": carry or "_carry"})
+    return clean.unionByName(cut).withColumnsRenamed({"id": id_col, "_carry": carry or "_carry"})
+
+
+def _marked(rows: DataFrame, key: str, among: DataFrame) -> DataFrame:
+    """``rows`` with ``_has``: may their ``key`` (a hash) be one of those of
+    ``among``?  Told by a bit table of fixed size, so a bounded broadcast; a false
+    positive just goes the longer way."""
+    word = F.shiftright(F.col(key).bitwiseAND(F.lit(MARK_BITS - 1)), 6).alias("_w")
+    words = among.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 as int))")).alias("_bits"))
+    has = F.coalesce(F.expr(f"(shiftright(_bits, cast({key} & 63 as int)) & 1) = 1"), F.lit(False))
+    return rows.withColumn("_w", word).join(F.broadcast(words), "_w", "left").withColumn("_has", has).drop("_w", "_bits")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
