@@ -4,9 +4,8 @@ The registry and alias tables are dimensions (companies, not events).  They
 are joined by equality wherever the reference compares for equality; only the
 substring test (J3) and the fuzzy score (J6) are not equi-joins:
 
-* J3 keeps Spark's broadcast nested-loop join for small alias sets and offers
-  an Aho-Corasick scan (``mapInPandas``, one automaton per task) for large
-  ones — both exact substring semantics.
+* J3 joins on a short run of each alias's characters and then looks for the
+  whole alias (exact substring semantics, no size limit).
 * J6 generates candidate pairs with a length-band *equi*-join and a
   character-multiset upper bound (both lossless for a cutoff c), so the
   Ratcliff-Obershelp score (F12) is computed only for surviving pairs.
@@ -184,19 +183,13 @@ def tier_alias(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
     return _match(j, 2, F.lit(SCORE_ALIAS), F.col("row_id"))
 
 
-def _alphabet_rank(aliases: DataFrame) -> Column:
-    """Global character order for prefix filtering: rarest alias characters
-    first (characters absent from the aliases rank before all).  The alias
-    table is a registry-sized dimension; its alphabet is collected as a small
-    literal map."""
-    freq = aliases.select(F.explode(F.split("alias", "")).alias("ch")).groupBy("ch").count().collect()
-    ordered = sorted(((r["count"], r["ch"]) for r in freq))
-    if not ordered:
-        return F.create_map().cast("map<string,int>")
-    pairs = []
-    for rank, (_, ch) in enumerate(ordered, start=1):
-        pairs += [F.lit(ch), F.lit(rank)]
-    return F.create_map(*pairs)
+def _alphabet_rank(aliases: DataFrame) -> DataFrame:
+    """One row with the global character order for prefix filtering: rarest alias
+    characters first (characters absent from the aliases rank before all).  Its
+    size is bounded by the number of characters there are."""
+    freq = aliases.select(F.explode(F.split("alias", "")).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "ch")))
+    return freq.agg(F.map_from_entries(F.transform(ordered, lambda x, i: F.struct(x["ch"], i + 1))).alias("_rank"))
 
 
 def _elements(s: Column, rank: Column) -> Column:
@@ -245,7 +238,7 @@ def fuzzy_candidates(tokens: DataFrame, aliases: DataFrame, cutoff: float = FUZZ
     frac = Fraction(cutoff).limit_denominator(10_000)
     p, q = frac.numerator, frac.denominator
     al = aliases.select("alias").distinct()
-    rank = _alphabet_rank(al)
+    rank = F.broadcast(_alphabet_rank(al))  # one row
 
     def band_lo(n: Column) -> Column:  # ceil(n * c / (2 - c))
         return _ceildiv(n * p, 2 * q - p)
@@ -260,9 +253,10 @@ def fuzzy_candidates(tokens: DataFrame, aliases: DataFrame, cutoff: float = FUZZ
     # Distinct strings with their multisets are read by several joins below:
     # write them once to the shared checkpoint folder (cuts the lineage, so
     # the query and alias plans are not recomputed per use).
-    dt = tokens.select("token").distinct().select("token", F.length("token").cast("long").alias("la"), _tags(_elements(F.col("token"), rank)).alias("ta"))
+    dt = tokens.select("token").distinct().crossJoin(rank).select(
+        "token", F.length("token").cast("long").alias("la"), _tags(_elements(F.col("token"), F.col("_rank"))).alias("ta"))
     dt = cut_lineage(dt.select("token", "la", "ta", F.slice("ta", 1, prefix_len(F.col("la"))).alias("pa")))
-    da = al.select("alias", F.length("alias").cast("long").alias("lb"), _tags(_elements(F.col("alias"), rank)).alias("tb"))
+    da = al.crossJoin(rank).select("alias", F.length("alias").cast("long").alias("lb"), _tags(_elements(F.col("alias"), F.col("_rank"))).alias("tb"))
     da = cut_lineage(da.select("alias", "lb", "tb", F.slice("tb", 1, prefix_len(F.col("lb"))).alias("pb")))
     te = dt.select("token", "la", F.explode("pa").alias("e"))
     ae = da.select("alias", "lb", F.explode("pb").alias("e"))
@@ -289,7 +283,8 @@ def tier_fuzzy(tokens: DataFrame, registry: DataFrame, n: int, cutoff: float = F
     w = Window.partitionBy("query", "pos").orderBy(F.col("ratio").desc(), F.col("alias").desc())
     top = cand.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
     j = top.join(last, "alias")
-    return _match(j, 3, F.lit(SCORE_FUZZY), F.col("pos") * 1000 + F.col("k"))
+    # k is at most n, so this orders by (position, rank) for any n
+    return _match(j, 3, F.lit(SCORE_FUZZY), F.col("pos") * (n + 1) + F.col("k"))
 
 
 def tier_candidates(queries: DataFrame, first: DataFrame, fallbacks: DataFrame) -> DataFrame:

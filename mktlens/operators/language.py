@@ -2,11 +2,13 @@
 
 Training: lower-cased texts with a known language are exploded into
 character trigrams and counted per (language, trigram) — a group-by.
-Scoring: each text's trigram counts are joined to the profile on the trigram
-(equi-join); the log-likelihood of every language is
+Scoring: a text is exploded once; its trigram counts meet the profile of each
+trigram (one row with a value per language) in an equi-join, and the
+log-likelihood of every language is
     n_trigrams * log P(unseen | lang) + sum cnt * (log P(t | lang) - log P(unseen | lang))
-and the language with the largest score wins (``max_by``).  Empty texts get
-NULL.  Add-one smoothing over the shared vocabulary.
+with n_trigrams read off the text's length.  The language with the largest
+score wins (``max_by``).  Texts without a trigram get NULL.  Add-one smoothing
+over the shared vocabulary.
 """
 from __future__ import annotations
 
@@ -30,9 +32,6 @@ def trigrams(text: Column) -> Column:
 
 def train_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, trigram, logp, log_unseen) with add-one smoothing."""
-    from mktlens.session import spread
-
-    docs = spread(docs)
     g = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.explode(trigrams(F.col(text_col))).alias("trigram"))
     counts = g.groupBy("lang", "trigram").agg(F.count(F.lit(1)).alias("c"))
     vocab = counts.select("trigram").distinct().agg(F.count(F.lit(1)).alias("v"))
@@ -45,15 +44,21 @@ def train_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
 
 def tag_language(docs: DataFrame, profiles: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, detected_language) for every input row (NULL for empty text)."""
-    from mktlens.session import spread
-
-    tg = spread(docs).select(key, F.explode(trigrams(F.col(text_col))).alias("trigram"))
-    tc = tg.groupBy(key, "trigram").agg(F.count(F.lit(1)).alias("cnt"))
-    n = tc.groupBy(key).agg(F.sum("cnt").alias("n"))
-    langs = profiles.select("lang", "log_unseen").distinct()  # one row per language
-    base = n.crossJoin(F.broadcast(langs)).select(key, "lang", (F.col("n") * F.col("log_unseen")).alias("s0"))
-    hit = tc.join(profiles, "trigram").groupBy(key, "lang").agg(F.sum(F.col("cnt") * (F.col("logp") - F.col("log_unseen"))).alias("s1"))
-    score = base.join(hit, [key, "lang"], "left").select(key, "lang", (F.col("s0") + F.coalesce("s1", F.lit(0.0))).alias("score"))
-    best = score.groupBy(key).agg(F.max_by("lang", F.struct("score", F.col("lang"))).alias("detected_language"))
-    return docs.select(key).join(best, key, "left")
+    """(key, detected_language) for every input row (NULL for a text without a
+    trigram); ``key`` is unique."""
+    langs = F.broadcast(
+        # one row: every language with its unseen score
+        profiles.select("lang", "log_unseen").distinct().agg(F.collect_list(F.struct("lang", "log_unseen")).alias("_langs"))
+    )
+    gains = profiles.groupBy("trigram").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.col("logp") - F.col("log_unseen")))).alias("_gain"))
+    n = F.greatest(F.length(F.lower(F.coalesce(F.col(text_col), F.lit("")))) - (NGRAM - 1), F.lit(0))
+    # dealt by key once (a row per text): the counts need no shuffle
+    dealt = docs.select(key, n.cast("double").alias("_n"), trigrams(F.col(text_col)).alias("_t")).repartition(key)
+    tg = dealt.select(key, "_n", F.explode_outer("_t").alias("trigram"))
+    tc = tg.groupBy(key, "_n", "trigram").agg(F.count(F.lit(1)).cast("double").alias("cnt"))
+    # every trigram meets every language, with no gain where it was not seen
+    each = tc.join(gains, "trigram", "left").crossJoin(langs).select(key, "_n", "cnt", "_gain", F.explode("_langs").alias("l"))
+    gain = F.coalesce(F.col("_gain")[F.col("l.lang")], F.lit(0.0))
+    score = each.groupBy(key, "_n", F.col("l.lang").alias("lang"), F.col("l.log_unseen").alias("u")).agg(F.sum(F.col("cnt") * gain).alias("s"))
+    best = score.groupBy(key, "_n").agg(F.max_by("lang", F.struct(F.col("_n") * F.col("u") + F.col("s"), "lang")).alias("lang"))
+    return best.select(key, F.when(F.col("_n") > 0, F.col("lang")).alias("detected_language"))

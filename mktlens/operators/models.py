@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -79,8 +80,10 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_size: floa
 
 
 def hash_split(df: DataFrame, keys: list[str], test_fraction: float = 0.33, seed: int = 42) -> DataFrame:
-    """M2: deterministic seeded hold-out by a hash threshold."""
-    u = (F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0)
+    """M2: deterministic seeded hold-out by a hash threshold: the first 48 bits of
+    the MD5 of seed and keys as text, a number that other engines can recompute."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    u = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     return df.withColumn("split", F.when(u < test_fraction, F.lit("test")).otherwise(F.lit("train")))
 
 
@@ -118,10 +121,23 @@ def scaler_moments(df: DataFrame, features: list[str]) -> list[tuple[str, float,
     return [(f, float(a), float(b)) for f, a, b in zip(features, m.mean.toArray(), m.std.toArray())]
 
 
+# The parameters that each estimator takes.
+PARAMETERS = {
+    "random_forest": {"n_estimators", "max_depth"},
+    "gradient_boosting": {"n_estimators", "max_depth", "learning_rate"},
+    "logistic_regression": {"C"},
+}
+
+
 def build_estimator(cfg: ModelConfig, n_rows: int | None = None, features_col: str = "features", label_col: str = "label"):
-    """M7: estimator by name (M4-M6); unknown names are an error."""
+    """M7: estimator by name (M4-M6); unknown names and parameters are an error.
+
+    A forest without a depth limit (``max_depth`` absent or None) gets 30, the
+    deepest tree that Spark ML builds."""
     name = cfg.estimator.lower()
     p = dict(cfg.params or {})
+    if unknown := set(p) - PARAMETERS.get(name, set(p)):
+        raise ValueError(f"Unsupported parameters of '{cfg.estimator}': {', '.join(sorted(unknown))}")
     if name == "random_forest":
         return RandomForestClassifier(
             featuresCol=features_col, labelCol=label_col, seed=cfg.random_state,
@@ -156,8 +172,6 @@ def detach(model: PipelineModel, spark) -> PipelineModel:
     Fitted classifiers keep a training summary that refers to the session,
     which cannot be shipped to executors; the reloaded model has no summary,
     and the saved copy survives the loss of the driver's in-memory state."""
-    import uuid
-
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/mktlens-models/{uuid.uuid4().hex[:12]}"
     model.write().overwrite().save(path)
     return PipelineModel.load(path)
@@ -191,8 +205,8 @@ def save_run(model: PipelineModel, metrics: DataFrame, root: str, estimator: str
     """Model under a timestamped name + metrics row appended to a runs
     table (Spark commit protocol, no driver-side file juggling)."""
     ts = time.strftime("%Y%m%d%H%M%S", time.gmtime())
-    path = f"{root.rstrip('/')}/models/{estimator}_{ts}"
-    model.write().overwrite().save(path)
+    path = f"{root.rstrip('/')}/models/{estimator}_{ts}_{uuid.uuid4().hex[:8]}"  # two runs may start in one second
+    model.write().save(path)
     run = metrics.select(F.lit(path).alias("path"), F.lit(estimator).alias("estimator"), F.current_timestamp().alias("run_ts"), "*")
     run.write.mode("append").parquet(f"{root.rstrip('/')}/runs")
     return path

@@ -280,11 +280,9 @@ def j6_fuzzy_alias_lookup(spark, sf_dir):
 
 @register("F12_sequence_ratio", dbl=("ratio",))
 def f12_sequence_ratio(spark, sf_dir):
-    """difflib ratio of every query token against every alias of equal first letter (rows-only)."""
+    """difflib ratio of every query token and alias that the exact pruning of J6 leaves (rows-only)."""
     q = fx.queries(spark, sf_dir).select(TX.strip_ws("query").alias("query")).where(F.col("query") != "").distinct()
-    toks = E.query_tokens(q).select("token").distinct()
-    al = E.alias_rows(registry_df(spark, sf_dir)).select("alias").distinct()
-    pairs = toks.join(al, F.substring("token", 1, 1) == F.substring("alias", 1, 1))
+    pairs = E.fuzzy_candidates(E.query_tokens(q), E.alias_rows(registry_df(spark, sf_dir))).select("token", "alias").distinct()
     return pairs.select("token", "alias", E.sequence_ratio(F.col("token"), F.col("alias")).alias("ratio"))
 
 

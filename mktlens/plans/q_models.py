@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from mktlens.config import ModelConfig
@@ -16,6 +18,7 @@ from mktlens.operators import samples as S
 from mktlens.plans.q_features import x1_build_features
 from mktlens.plans.q_metrics import X1_CTES
 from mktlens.plans.q_report import _summary_sql
+from mktlens.plans.q_windows import LABEL_CTES, SAMPLES_SQL, x10_window_samples
 from mktlens.plans.registry import register, with_ctes
 from mktlens.session import ensure_checkpoint_dir
 from mktlens.sources import fixtures as fx
@@ -46,13 +49,13 @@ def m1_stratified_split(spark, sf_dir):
     return s.groupBy("label", "split").agg(F.count(F.lit(1)).alias("count"))
 
 
-@register("M2_hash_split")
+@register("M2_hash_split", sql=with_ctes(*LABEL_CTES, SAMPLES_SQL, body="""SELECT ticker, window_no,
+  CASE WHEN CAST('0x' || substr(md5('42|' || ticker || '|' || window_no), 1, 12) AS BIGINT) / 281474976710656.0 < 0.33 THEN 'test' ELSE 'train' END AS split
+FROM samples"""))
 def m2_hash_split(spark, sf_dir):
-    """Seeded hash hold-out of 0.33 over the window samples: rows per split."""
-    from mktlens.plans.q_windows import x10_window_samples
-
+    """Seeded hash hold-out of 0.33 over the window samples."""
     s = MD.hash_split(x10_window_samples(spark, sf_dir), ["ticker", "window_no"], 0.33, 42)
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("count"))
+    return s.select("ticker", "window_no", "split")
 
 
 # ---------------------------------------------------------------- M3
@@ -78,8 +81,8 @@ def m4_random_forest(spark, sf_dir):
 
 @register("M5_gradient_boosting")
 def m5_gradient_boosting(spark, sf_dir):
-    """Gradient-boosted trees: hold-out metrics row."""
-    return _train(spark, sf_dir, ModelConfig(estimator="gradient_boosting", params={"n_estimators": 20, "max_depth": 3}))[2]
+    """Gradient-boosted trees (100 rounds): hold-out metrics row."""
+    return _train(spark, sf_dir, ModelConfig(estimator="gradient_boosting", params={"n_estimators": 100, "max_depth": 3}))[2]
 
 
 @register("M6_logistic_regression")
@@ -152,13 +155,12 @@ def f16_interval_features(spark, sf_dir):
     return _interval_frame(spark, sf_dir)
 
 
-@register("F19_series_vector")
+@register("F19_series_vector", sql="SELECT vec_id, CAST(label AS INTEGER) AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS features FROM embeddings",
+          arr=("features",))
 def f19_series_vector(spark, sf_dir):
-    """Series as fixed-shape ML vectors (size per row)."""
+    """Series as fixed-shape ML vectors (their values)."""
     v = S.to_vector(fx.series(spark, sf_dir), "values", "features")
-    from pyspark.ml.functions import vector_to_array
-
-    return v.select("vec_id", "label", F.size(vector_to_array("features")).alias("size"))
+    return v.select("vec_id", "label", vector_to_array("features").alias("features"))
 
 
 def _interval_split(spark, sf_dir):
@@ -178,9 +180,19 @@ def m11_interval_tree(spark, sf_dir):
 
 @register("M12_interval_forest")
 def m12_interval_forest(spark, sf_dir):
-    """Random forest on interval statistics: feature importances."""
+    """Random forest (100 trees) on interval statistics: hold-out predictions and probabilities."""
+    s = _interval_split(spark, sf_dir)
+    m = MD.interval_forest(s.where(F.col("split") == "train"), list(F16_DBL), "label")
+    p = m.transform(s.where(F.col("split") == "test"))
+    return p.select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
+                    vector_to_array("probability").alias("probabilities"))
+
+
+@register("M12_forest_importances")
+def m12_forest_importances(spark, sf_dir):
+    """Feature importances of the same forest."""
     s = _interval_split(spark, sf_dir)
-    m = MD.interval_forest(s.where(F.col("split") == "train"), list(F16_DBL), "label", 50)
+    m = MD.interval_forest(s.where(F.col("split") == "train"), list(F16_DBL), "label")
     return spark.createDataFrame(MD.importances(m, list(F16_DBL)), "feature string, importance double")
 
 
@@ -199,7 +211,12 @@ def s14_ucr_reader(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- M14 / M15
-@register("M14_text_scorer")
+@register("M14_text_scorer", sql="""SELECT doc_id, model_label, model_confidence,
+  CASE upper(model_label) WHEN 'POSITIVE' THEN model_confidence WHEN 'NEGATIVE' THEN -model_confidence ELSE 0.0 END AS sentiment_score
+FROM (SELECT doc_id, CASE WHEN t AND NOT e THEN 'POSITIVE' WHEN e AND NOT t THEN 'negative' WHEN n THEN '5 stars' ELSE 'neutral' END AS model_label,
+             CAST(CASE WHEN t AND NOT e THEN 0.9 WHEN e AND NOT t THEN 0.8 WHEN n THEN 0.7 ELSE 0.6 END AS DOUBLE) AS model_confidence
+      FROM (SELECT doc_id, instr(lower(text), 'the') > 0 AS t, instr(lower(text), 'ent') > 0 AS e, instr(lower(text), 'tion') > 0 AS n FROM documents))""",
+          dbl=("model_confidence", "sentiment_score"))
 def m14_text_scorer(spark, sf_dir):
     """Batch text scorer hook (batches of 16) with the signed-confidence rule."""
     d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -226,14 +243,15 @@ def s8_persist_run(spark, sf_dir):
 
 @register("S9_latest_model")
 def s9_latest_model(spark, sf_dir):
-    """Newest model artefact from the runs table (reloaded and its stage count reported)."""
-    cfg = ModelConfig(estimator="logistic_regression")
-    model, _, metrics = _train(spark, sf_dir, cfg)
+    """Of two saved runs the newer model, reloaded: the newest row per ticker scored by it."""
     root = scratch(spark, "runs")
-    MD.save_run(model, metrics, root, cfg.estimator)
-    latest = MD.latest_model_path(spark.read.parquet(f"{root}/runs"))
-    path = latest.first()["path"]
-    from pyspark.ml import PipelineModel
-
-    n = len(PipelineModel.load(path).stages)
-    return latest.select(F.lit(n).alias("n_stages"), F.lit(True).alias("found"))
+    paths = []
+    for c in (0.1, 1.0):
+        cfg = ModelConfig(estimator="logistic_regression", params={"C": c})
+        model, _, metrics = _train(spark, sf_dir, cfg)
+        paths.append(MD.save_run(model, metrics, root, cfg.estimator))
+    path = MD.latest_model_path(spark.read.parquet(f"{root}/runs")).first()["path"]
+    if path != paths[-1]:
+        raise RuntimeError("the newest run is not the last one")
+    feats = X.build_features_for_inference(fx.bars(spark, sf_dir), None)
+    return MD.score_latest(PipelineModel.load(path), feats, X.MODEL_FEATURES)

@@ -485,11 +485,11 @@ def o7_high_confidence_examples(spark, sf_dir):
     return s.where((F.col("p") > 0.7) & (F.col("y") == 1)).orderBy("l_orderkey", "l_linenumber").limit(5).select("l_orderkey", "l_linenumber", "p")
 
 
-@register("O8_seeded_shuffle")
+@register("O8_seeded_shuffle", sql=with_ctes(fx.SCORES_SQL, body="SELECT *, md5('42|' || l_orderkey || '|' || l_linenumber) AS k FROM scores ORDER BY k"), dbl=("p",))
 def o8_seeded_shuffle(spark, sf_dir):
-    """Rows in a seeded pseudo-random order (hash of key and seed)."""
-    s = fx.scores(spark, sf_dir)
-    return s.withColumn("_k", F.xxhash64("l_orderkey", "l_linenumber", F.lit(42))).orderBy("_k").drop("_k")
+    """Rows in a seeded pseudo-random order (MD5 of seed and key)."""
+    k = F.md5(F.concat_ws("|", F.lit("42"), "l_orderkey", "l_linenumber"))
+    return fx.scores(spark, sf_dir).withColumn("k", k).orderBy("k")
 
 
 @register("O9_distinct_tickers", sql=with_ctes(fx.BARS_SQL, body="SELECT DISTINCT ticker FROM bars ORDER BY ticker"))

@@ -7,7 +7,9 @@ points ``spark.checkpoint.dir`` at a fresh scratch folder.
 """
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,47 +38,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only if unset."""
+    """Return the shared checkpoint folder.  Where none is set, a scratch one of a
+    local session, deleted when the process ends; on a cluster that is an error,
+    as executors would not see it."""
     current = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="mktlens-ckpt-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set(CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def materialise(df: DataFrame, name: str = "table") -> tuple[DataFrame, int]:
-    """Write ``df`` once as a parquet table in the shared checkpoint folder,
-    counting its rows in the same job (``observe``), and read it back.
-    Returns (re-read frame, row count)."""
-    import uuid
-
-    from pyspark.sql import Observation
-    from pyspark.sql import functions as F
-
-    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{root}/mktlens-tables/{name}-{uuid.uuid4().hex[:12]}"
-    obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path), int(obs.get["n"])
-
-
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an input that has fewer partitions than the cluster has
-    cores before CPU-heavy per-row work (text normalisation, automaton scans,
-    trigram explosion).  Large inputs already come in many splits and are
-    left untouched (no extra shuffle)."""
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df

@@ -72,13 +72,13 @@ def test_summariser_fallback(spark):
     assert out[1] == "One. Two. Three." and out[2].startswith("Нет достаточной")
 
 
-@pytest.mark.parametrize("estimator", ["random_forest", "logistic_regression"])
-def test_train_scores_holdout(spark, estimator):
+@pytest.mark.parametrize("estimator,params", [("random_forest", {"n_estimators": 5, "max_depth": 3}), ("logistic_regression", {"C": 0.5})])
+def test_train_scores_holdout(spark, estimator, params):
     """Estimators that keep a training summary still score the hold-out (the
     fitted pipeline is reloaded before scoring) and report one metrics row."""
     rows = [(f"T{i % 3}", i, float(i % 7), float((i * 5) % 11), i % 2) for i in range(200)]
     d = spark.createDataFrame(rows, "ticker string, date int, a double, b double, target_direction int")
-    cfg = ModelConfig(estimator=estimator, test_size=0.2, random_state=42, params={"n_estimators": 5, "max_depth": 3})
+    cfg = ModelConfig(estimator=estimator, test_size=0.2, random_state=42, params=params)
     _, scored, rep = MD.train(d, ["a", "b"], cfg)
     assert scored.count() == 40
     assert rep.count() == 1
