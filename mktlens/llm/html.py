@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mktlens.llm._arrow import slices
+from mktlens.session import cut_lineage
 
 TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<rest>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -278,7 +279,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         rows.select("host", "text").mapInArrow(vote, "host string, path string, size long")
         .groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     )
-    winners = votes.groupBy("host").agg(F.max_by("path", F.struct("n", "size", "path")).alias("path"))
+    # stored (a row a host), so that both sides of the join are dealt anew and a hot
+    # host's pages can be split
+    winners = cut_lineage(votes.groupBy("host").agg(F.max_by("path", F.struct("n", "size", "path")).alias("path")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, _ in slices(batches, "text"):
