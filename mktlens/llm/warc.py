@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mktlens.llm._arrow import slices
+from mktlens.session import cut_lineage
 
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 DICTIONARY_MAGIC = 0x184D2A5D  # the skippable frame that holds the dictionary
@@ -92,7 +93,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", uri_col: str = "ur
     ).withColumn("_d", F.sha1(F.encode("text", "UTF-8")))
     large = rows.where(F.octet_length("text") >= smallest_revisit)
     first = large.groupBy("_d").agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first is not null").drop("_n")
-    joined = rows.join(first, "_d", "left")
+    # stored (a row per repeated payload), so that both sides of the join are dealt
+    # anew and a hot payload's pages can be split
+    joined = rows.join(cut_lineage(first), "_d", "left")
     refers = F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
