@@ -4,7 +4,7 @@ The registry and alias tables are dimensions (companies, not events).  They
 are joined by equality wherever the reference compares for equality; only the
 substring test (J3) and the fuzzy score (J6) are not equi-joins:
 
-* J3 joins on a short run of each alias's characters and then looks for the
+* J3 joins on a short run of each alias's bytes and then looks for the
   whole alias (exact substring semantics, no size limit).
 * J6 generates candidate pairs with a length-band *equi*-join and a
   character-multiset upper bound (both lossless for a cutoff c), so the
@@ -12,8 +12,11 @@ substring test (J3) and the fuzzy score (J6) are not equi-joins:
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -467,49 +470,76 @@ def search_aliases(sym_aliases: DataFrame, first: DataFrame) -> DataFrame:
     return j.select("symbol", F.explode(F.array_distinct(F.filter(allv, lambda x: x.isNotNull() & (x != "")))).alias("alias"))
 
 
-KEY = 4  # characters of an alias's join key
-
-
-def _key_grams(text: Column) -> Column:
-    """Distinct runs of 1 to KEY characters of a text (the text is cut into
-    characters once; indexing a UTF-8 string by position would rescan it)."""
-    chars = F.split(text, "")
-    n = F.size(chars)
-
-    def runs(k: int) -> Column:
-        parts = [F.slice(chars, j + 1, F.greatest(n - k + 1, F.lit(0))).alias(f"c{j}") for j in range(k)]
-        return F.transform(F.arrays_zip(*parts), lambda z: F.concat(*[z[f"c{j}"] for j in range(k)]))
-
-    return F.array_distinct(F.concat(*[runs(k) for k in range(1, KEY + 1)]))
+KEY = 4  # bytes of an alias's join key
+RUN_BYTES = 2 << 20  # of texts whose runs are made together
+
+
+def _byte_runs(df: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, n, run): the distinct runs of n = 1 to KEY bytes of every text, each as
+    a number.  Texts hold no NUL; null texts have no runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
+            start = 0
+            while start < len(texts):
+                size, end = 0, start
+                while end < len(texts) and (end == start or size + len(texts[end]) < RUN_BYTES):
+                    size += len(texts[end])
+                    end += 1
+                pad = bytes(KEY - 1)
+                raw = np.frombuffer(b"".join(t + pad for t in texts[start:end]) + pad, np.uint8)
+                own = np.repeat(np.arange(end - start, dtype=np.uint64), [len(t) + KEY - 1 for t in texts[start:end]])
+                n = len(own)
+                code = np.zeros(n, np.uint64)
+                for j in range(KEY):
+                    code |= raw[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+                code = np.unique((own << np.uint64(8 * KEY) | code)[raw[:n] != 0])
+                for k in range(KEY, 0, -1):
+                    # a run's bytes are low to high; one that reaches a text's end has a NUL on top
+                    whole = code[(code >> np.uint64(8 * (k - 1)) & np.uint64(255)) != 0]
+                    mask = np.uint64((1 << 8 * k) - 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array((whole >> np.uint64(8 * KEY)).astype(np.int64) + start)),
+                         pa.array(np.full(len(whole), k, np.int32)), pa.array((whole & mask).astype(np.int64))],
+                        names=[key, "n", "run"],
+                    )
+                    if k > 1:
+                        high = np.uint64(((1 << 64) - 1) ^ ((1 << 8 * KEY) - 1))
+                        code = np.unique(code & (high | np.uint64((1 << 8 * (k - 1)) - 1)))
+                start = end
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text_col).mapInArrow(run, f"{key} {kind}, n int, run long")
 
 
 def alias_keys(aliases: DataFrame) -> DataFrame:
-    """(gram, alias, symbol): each alias under one run of its characters, the whole
+    """(n, run, alias, symbol): each alias under one run of its bytes, the whole
     alias where it is shorter than KEY, else the run that the fewest aliases share
-    (then the first by text)."""
+    (then the first by number)."""
     a = aliases.select("alias", "symbol").where(F.length("alias") > 0).distinct()
-    names = a.select("alias").distinct()
-    n = F.length("alias")
-    grams = F.when(n <= KEY, F.array("alias")).otherwise(F.transform(F.sequence(F.lit(1), n - KEY + 1), lambda i: F.substr("alias", i, F.lit(KEY))))
-    each = names.select("alias", F.explode(F.array_distinct(grams)).alias("gram"))
-    shared = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rare = each.join(shared, "gram").groupBy("alias").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return a.join(rare, "alias").select("gram", "alias", "symbol")
+    names = a.select("alias", F.col("alias").alias("_text")).distinct()
+    each = _byte_runs(names, "alias", "_text").where(F.col("n") == F.least(F.octet_length("alias"), F.lit(KEY)))
+    shared = each.groupBy("n", "run").agg(F.count(F.lit(1)).alias("c"))
+    rare = each.join(shared, ["n", "run"]).groupBy("alias").agg(F.min_by(F.struct("n", "run"), F.struct("c", "run")).alias("r"))
+    return a.join(rare.select("alias", "r.n", "r.run"), "alias").select("n", "run", "alias", "symbol")
 
 
 def match_text(items: DataFrame, aliases: DataFrame, text_col: str = "combined_norm", key: str = "item_id") -> DataFrame:
     """(item, symbol) pairs where any alias of the symbol is a substring of the
     item text (T18 raw substring semantics).
 
-    Texts that can hold an alias share its key, a run of at most KEY characters:
-    the texts' distinct runs meet the alias keys in an equi-join (which Spark
-    broadcasts only after measuring the keys, and splits where a run is hot), and
-    the whole alias is looked for in the texts that are left.  One lazy plan, no
-    size limit.  ``key`` is unique among the items; null texts match nothing."""
-    keys = alias_keys(aliases)
-    grams = items.select(key, F.explode(_key_grams(F.col(text_col))).alias("gram"))
-    maybe = grams.join(keys, "gram").select(key, "alias", "symbol")
-    found = items.select(key, text_col).join(maybe, key).where(F.instr(F.col(text_col), F.col("alias")) > 0)
+    Texts that hold an alias hold its key, a run of at most KEY bytes: the texts'
+    distinct runs meet the alias keys in an equi-join (which Spark broadcasts only
+    after measuring the keys, and splits where a run is hot), and the whole alias is
+    looked for in the texts that are left.  One lazy plan, no size limit.  ``key``
+    is unique among the items; null texts match nothing."""
+    # dealt once, for the runs and for the last join, and into as many tasks as there
+    # are: little text makes many runs, so a size-based merge of tasks would be wrong
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = items.select(key, text_col).repartition(n, key)
+    maybe = _byte_runs(dealt, key, text_col).join(alias_keys(aliases), ["n", "run"]).select(key, "alias", "symbol")
+    found = dealt.join(maybe, key).where(F.instr(F.col(text_col), F.col("alias")) > 0)
     return found.select(key, "symbol").distinct()
 
 
