@@ -471,6 +471,7 @@ def search_aliases(sym_aliases: DataFrame, first: DataFrame) -> DataFrame:
 
 
 KEY = 4  # bytes of an alias's join key
+RUN_BITS = 1 << 22  # of the table of alias keys
 RUN_BYTES = 2 << 20  # of texts whose runs are made together
 
 
@@ -538,7 +539,15 @@ def match_text(items: DataFrame, aliases: DataFrame, text_col: str = "combined_n
     # are: little text makes many runs, so a size-based merge of tasks would be wrong
     n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = items.select(key, text_col).repartition(n, key)
-    maybe = _byte_runs(dealt, key, text_col).join(alias_keys(aliases), ["n", "run"]).select(key, "alias", "symbol")
+    keys = alias_keys(aliases)
+    # a bit table of fixed size (RUN_BITS / 64 rows at most, so a bounded broadcast)
+    # spares most runs the shuffle; it decides nothing
+    slot = F.xxhash64("n", "run").bitwiseAND(F.lit(RUN_BITS - 1))
+    word, bit = F.shiftright(slot, 6).alias("_w"), F.expr("cast(xxhash64(n, run) & 63 as int)")
+    words = keys.select(word, bit.alias("_b")).groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_bits"))
+    runs = _byte_runs(dealt, key, text_col).select("*", word, bit.alias("_b")).join(F.broadcast(words), "_w")
+    runs = runs.where(F.expr("(shiftright(_bits, _b) & 1) = 1")).select(key, "n", "run")
+    maybe = runs.join(keys, ["n", "run"]).select(key, "alias", "symbol")
     found = dealt.join(maybe, key).where(F.instr(F.col(text_col), F.col("alias")) > 0)
     return found.select(key, "symbol").distinct()
 
