@@ -31,50 +31,89 @@ CONTAINER = set("article blockquote body center dd details div dl li main ol sec
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 SKIPPED = set("nav footer aside form button dialog menu fieldset search label".split())
 ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|footer|header|masthead"
-    r"|side-?bar|comments?|comment-?list|respond|disqus|cookies?|consent|gdpr|notices?|banner|newsletter|subscribe|share|sharing|social|related"
-    r"|recommended|popup|modal|overlay|login|signup|widget|pagination|pager|toolbar|skip-?link)(?:$|[\s_-])",
-    re.I,
+COMMENTS = set("comment comments commentlist respond disqus".split())
+# A class or id is noise if each of its parts is such a word or a QUALIFIER ...
+NOISE = COMMENTS | set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer header"
+    " masthead sidebar cookie cookies consent gdpr notice notices banner newsletter subscribe share sharing social related recommended popup modal"
+    " overlay login signup widget pagination pager toolbar skiplink".split()
 )
+# ... so "site-footer" is, "has-sidebar", "page-with-banner" and "social-policy" are not
+QUALIFIER = set(
+    "site page main top bottom left right primary secondary global area list section sections container wrapper wrap inner outer box bar block item items"
+    " link links button buttons icons form slot unit post posts entry article articles stories news google wp mobile desktop sticky fixed side skip".split()
+)
+IDENTIFIED = set("center details div dl header ol table td ul".split())
 MAIN_HINT = {"article", "main"}
 CLOSES_P = BLOCK - {"body", "html"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 SCOPE = {"ul", "ol", "dl", "table", "body", "html"}
 CONTENT_SHARE = 0.8
+#: Kinds of noise, the stronger the higher: by class or id (also forms, which may wrap a page), comments, by element, role or hidden.
+PLAIN, NAMED, COMMENT, FIRM = range(4)
+#: An element with more than this share of the page's text outside links is not noise by its name.
+MOST = {NAMED: 0.5, COMMENT: 0.9}
 #: A page whose part under the host's path is less than this of its own best goes by the latter.
 LEAST_SHARE = 0.2
 
 
 class Element:
-    __slots__ = ("name", "key", "path", "noise", "parent", "size", "hint", "first", "last")
+    __slots__ = ("name", "key", "path", "kind", "noise", "parent", "size", "hint", "first", "last")
 
-    def __init__(self, name: str, key: str, path: str, noise: bool, parent: Element | None, hint: bool) -> None:
-        self.name, self.key, self.path, self.noise, self.parent, self.hint = name, key, path, noise, parent, hint
+    def __init__(self, name: str, key: str, path: str, kind: int, parent: Element | None, hint: int) -> None:
+        self.name, self.key, self.path, self.kind, self.parent, self.hint = name, key, path, kind, parent, hint
+        self.noise = False  # its own or inherited, known once measured
         self.size = 0  # characters of text outside links and noise
         self.first = self.last = 0  # range of its text pieces
 
 
-def describe(name: str, rest: str) -> tuple[str, bool, bool]:
+def describe(name: str, rest: str) -> tuple[str, int, int]:
     return short_tag(name, rest) if len(rest) < 200 else start_tag(name, rest)
 
 
-def start_tag(name: str, rest: str) -> tuple[str, bool, bool]:
-    """(generalised tag-class key, noise?, main-text hint?) of a start tag."""
+@lru_cache(maxsize=8192)
+def noise_of(token: str) -> int:
+    """Kind of noise that a whole class or id names.  Of block__element--modifier,
+    block and element count; the header of something is no noise, as it has a title."""
+    token = token.lower().replace("side-bar", "sidebar").replace("skip-link", "skiplink")
+    block, _, element = token.split("--")[0].partition("__")
+    for whole in (block, element):
+        parts = [x for x in re.split(r"[-_]", re.sub(r"\d+", "", whole)) if x]
+        named = NOISE.intersection(parts)
+        if not named or any(x not in NOISE and x not in QUALIFIER and not (x == "content" and x is parts[-1]) for x in parts):
+            continue
+        if named == {"header"} and (whole is element or {"page", "post", "entry", "article", "section", "block"}.intersection(parts)):
+            continue
+        return COMMENT if named & COMMENTS else NAMED
+    return PLAIN
+
+
+def start_tag(name: str, rest: str) -> tuple[str, int, int]:
+    """(generalised tag-class key, kind of noise, main-text hint: 1 an article, 2
+    the main element or an article's body) of a start tag."""
+    firm = (NAMED if name in ("form", "fieldset") else FIRM) if name in SKIPPED else PLAIN
     if not rest.strip(" \t\r\n/"):
-        return name, name in SKIPPED, name in MAIN_HINT
+        return name, firm, (name in MAIN_HINT) + (name == "main")
     attrs: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(rest):
         attrs.setdefault(m[1].lower(), unescape((m[2] or "").strip("\"'")))
     classes = attrs.get("class", "").split()
     key = ".".join([name, *sorted({re.sub(r"\d+", "#", c.lower()) for c in classes})])
     role = attrs.get("role", "").lower()
-    hint = name in MAIN_HINT or role in MAIN_HINT or attrs.get("itemprop", "").lower() == "articlebody"
+    hint = 2 if "main" in (name, role) or attrs.get("itemprop", "").lower() == "articlebody" else int("article" in (name, role))
     hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
-    words = " ".join([*classes, attrs.get("id", "")])
-    noisy = name in SKIPPED or role in ROLES or hidden
-    # a main element may be styled "with-sidebar" and stay the main text
-    return key, noisy or (not hint and name not in ("html", "body") and bool(NOISE.search(words))), hint
+    if hidden or (role in ROLES and role != "form"):
+        return key, FIRM, hint
+    kind = max(firm, NAMED if role == "form" else PLAIN)
+    # a main element may be styled "sidebar" and stay the main text
+    if not hint and name not in ("html", "body"):
+        kind = max([kind, *map(noise_of, classes)])
+        # headings and sections of an article have slugs as ids
+        slug = name == "section" or "section" in classes
+        named = noise_of(attrs.get("id", "")) if name in IDENTIFIED or slug else PLAIN
+        if not slug or named == COMMENT:
+            kind = max(kind, named)
+    return key, kind, hint
 
 
 short_tag = lru_cache(maxsize=8192)(start_tag)
@@ -83,7 +122,7 @@ short_tag = lru_cache(maxsize=8192)(start_tag)
 def parse(html: str) -> tuple[list[Element], list[tuple[str, Element, bool]]]:
     """(elements in page order, pieces (text or None for a block's edge, element,
     in a link?)).  Unclosed and misnested tags are taken as browsers roughly do."""
-    root = Element("html", "", "", False, None, False)
+    root = Element("html", "", "", PLAIN, None, 0)
     stack, elements, pieces = [root], [root], []
     link = 0
     pos, n = 0, len(html)
@@ -150,8 +189,8 @@ def parse(html: str) -> tuple[list[Element], list[tuple[str, Element, bool]]]:
             pieces.append((None if name == "hr" else " ", stack[-1], True))
             continue
         up = stack[-1]
-        key, noisy, hint = describe(name, rest)
-        e = Element(name, key, f"{up.path}>{key}" if name in CONTAINER and name != "body" else up.path, noisy or up.noise, up, hint)
+        key, kind, hint = describe(name, rest)
+        e = Element(name, key, f"{up.path}>{key}" if name in CONTAINER and name != "body" else up.path, kind, up, hint)
         e.first = len(pieces)
         if name in BLOCK:
             pieces.append((None, e, False))
@@ -176,10 +215,39 @@ def header_only(e: Element) -> bool:
 
 
 def measure(elements: list[Element], pieces: list) -> None:
-    """Characters of text outside links and noise, summed up the tree."""
+    """Noise of every element, then characters of text outside links and noise,
+    summed up the tree.
+
+    Noise is inherited, but an element that holds most of the page's text is not
+    noise by its name, and the main element or the largest article of the page is
+    not by the name of a wrapper."""
     for text, e, link in pieces:
-        if text and not link and not e.noise:
+        if text and not link:
             e.size += len(text) - text.count(" ") // 2 if not text.isspace() else 0
+    own = [e.size for e in elements]
+    for e in elements[1:]:
+        e.noise = e.kind == FIRM or e.parent.noise
+    summed(elements)
+    total = elements[0].size
+    article = max((e for e in elements if e.hint == 1 and not e.noise), key=lambda e: e.size, default=None)
+    kinds = {id(elements[0]): PLAIN}
+    for e in elements[1:]:
+        kind, above = e.kind, kinds[id(e.parent)]
+        if kind in MOST and e.size > MOST[kind] * total:
+            kind = PLAIN
+        if above == NAMED and (e is article or e.hint == 2):
+            above = PLAIN
+        kinds[id(e)] = max(kind, above)
+    for e, size in zip(elements, own):
+        e.noise, e.size = kinds[id(e)] != PLAIN, size
+    summed(elements)
+
+
+def summed(elements: list[Element]) -> None:
+    """Own sizes without noise, summed up the tree."""
+    for e in elements:
+        if e.noise:
+            e.size = 0
     for e in reversed(elements):
         if e.parent is not None:
             e.parent.size += e.size

@@ -122,3 +122,34 @@ def test_host_consensus(spark):
     assert got[0].text == ("main text " * 30).strip() and got[0].n_chars == 299 and got[0].host_path == ">div.p#.post"
     assert got[100].text == "main text" and got[101].text == "no host" and got[102].text == "" and got[102].n_chars == 0 and got[103].text == "plain"
     assert html.main_text(df.limit(0)).count() == 0
+
+
+ARTICLE = "<h1>Title</h1><p>" + "A sentence of the article. " * 12 + "</p>"
+TEXT = "Title\n" + ("A sentence of the article. " * 12).strip()
+SIDE = "<div class='sidebar'><p>Other news of today.</p></div><div class='site-footer'>Imprint</div>"
+WRAPPERS = [
+    "<div class='content has-sidebar'>{}</div>", "<div class='site no-sidebar'><article>{}</article></div>", "<div class='page-with-banner'>{}</div>",
+    "<div class='widget'><article>{}</article></div>", "<div id='social'>{}</div>", "<form id='form1'><div>{}</div></form>", "<div class='overlay'><main>{}</main></div>",
+    "<div class='content-sidebar-wrap'><div class='entry'>{}</div></div>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_layout_wrappers_are_no_noise(wrapper):
+    assert html.extract("<body>" + wrapper.format(ARTICLE) + SIDE + "</body>", None) == TEXT
+
+
+def test_parts_of_an_article_are_no_noise_by_their_slug():
+    page = (
+        f"<body><article>{ARTICLE}<section id='related-work'><p>Earlier papers.</p></section><div class='social-policy'><p>On policy.</p></div>"
+        f"<h2 id='comments-on-the-method'>Comments on the method</h2><p>Fine.</p><h2 id='notices'>Notices</h2></article>"
+        f"<div id='comments'><article class='comment'><p>First!</p></article></div>{SIDE}</body>"
+    )
+    assert html.extract(page, None) == TEXT + "\nEarlier papers.\nOn policy.\nComments on the method\nFine.\nNotices"
+
+
+def test_names_of_noise():
+    for token in "nav site-footer comment-list post-comments cookie-banner related-posts side-bar sidebar__inner footer--dark ad-slot-3 share_buttons newsletter-signup".split():
+        assert html.noise_of(token), token
+    for token in "has-sidebar no-sidebar page-with-banner related-work social-policy entry-header content-sidebar-wrap adventure page--with-banner".split():
+        assert not html.noise_of(token), token
