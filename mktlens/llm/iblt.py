@@ -18,7 +18,8 @@ BASE_CELLS = 12  # of a fingerprint; a comparison that does not peel is retried
 GROWTH = 4
 CONTEXT = 8  # bytes that decide a cut inside a long paragraph
 CUT_MASK = 63  # one cut in so many bytes, on average
-CHECK_BITS = 24
+CHECK_BITS = 32
+ENOUGH = 4  # cells a paragraph; pairs that do not peel then are counted exactly
 ROUNDS = 100
 GROUP_BYTES = 1 << 20
 
@@ -51,13 +52,12 @@ def paragraphs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     number = at - np.maximum.accumulate(np.where(first, at, 0))
     out = np.empty(len(h), np.uint64)
     out[order] = mix(h[order] + number.astype(np.uint64) * np.uint64(MIX_A))
-    # the low bits check the rest, so that a lone digest in a cell shows itself
-    top = out >> np.uint64(CHECK_BITS)
-    return top << np.uint64(CHECK_BITS) | check(top), poff
+    return out, poff
 
 
-def check(top: np.ndarray) -> np.ndarray:
-    return mix(top + np.uint64(0x51ED27)) & np.uint64((1 << CHECK_BITS) - 1)
+def check(digest: np.ndarray) -> np.ndarray:
+    """Summed beside the digests, so that a lone digest in a cell shows itself."""
+    return mix(digest + np.uint64(0x51ED27)) & np.uint64((1 << CHECK_BITS) - 1)
 
 
 def cells_of(digest: np.ndarray, cells: int) -> np.ndarray:
@@ -68,12 +68,13 @@ def cells_of(digest: np.ndarray, cells: int) -> np.ndarray:
 
 
 def tables(digest: np.ndarray, own: np.ndarray, sign: np.ndarray, n: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, digest sums modulo 2**64) of n tables with signed entries."""
+    """(counts, digest and check sums modulo 2**64) of n tables with signed entries."""
     at = (cells_of(digest, cells) + own * cells).ravel()
     signs = np.tile(sign, HASHES)
     count = np.bincount(at, signs, minlength=n * cells).astype(np.int64)
-    total = np.zeros(n * cells, np.uint64)
-    np.add.at(total, at, np.tile(digest, HASHES) * signs.astype(np.int64).view(np.uint64))
+    total = np.zeros((2, n * cells), np.uint64)
+    for row, value in zip(total, (digest, check(digest))):
+        np.add.at(row, at, np.tile(value, HASHES) * signs.astype(np.int64).view(np.uint64))
     return count, total
 
 
@@ -85,9 +86,8 @@ def peel(count: np.ndarray, total: np.ndarray, n: int, cells: int) -> tuple[np.n
     look = np.flatnonzero(np.abs(count) == 1)
     for _ in range(ROUNDS):
         c = count[look]
-        digest = np.where(c == 1, total[look], np.uint64(0) - total[look])
-        top = digest >> np.uint64(CHECK_BITS)
-        good = (np.abs(c) == 1) & ((digest & np.uint64((1 << CHECK_BITS) - 1)) == check(top))
+        digest, checked = np.where(c == 1, total[:, look], np.uint64(0) - total[:, look])
+        good = (np.abs(c) == 1) & (checked == check(digest))
         look, digest, c = look[good], digest[good], c[good]
         good = (cells_of(digest, cells) == look % cells).any(axis=0)
         own, digest, c = look[good] // cells, digest[good], c[good]
@@ -101,47 +101,69 @@ def peel(count: np.ndarray, total: np.ndarray, n: int, cells: int) -> tuple[np.n
         at = (cells_of(digest, cells) + own * cells).ravel()
         c3 = np.tile(c, HASHES)
         np.subtract.at(count, at, c3)
-        np.subtract.at(total, at, np.tile(digest, HASHES) * c3.view(np.uint64))
+        for row, value in zip(total, (digest, check(digest))):
+            np.subtract.at(row, at, np.tile(value, HASHES) * c3.view(np.uint64))
         look = np.unique(at)
-    empty = (count.reshape(n, cells) == 0).all(axis=1) & (total.reshape(n, cells) == 0).all(axis=1)
+    empty = (count.reshape(n, cells) == 0).all(axis=1) & (total.reshape(2, n, cells) == 0).all(axis=(0, 2))
     join = (lambda x, t: np.concatenate(x) if x else np.zeros(0, t))
     return join(table, np.int64), join(found, np.uint64), join(signs, np.int64), empty
 
 
+def exactly(digest: np.ndarray, own: np.ndarray, sign: np.ndarray, n: int) -> np.ndarray:
+    """Digests in which the two sides of each of n pairs differ, as multisets."""
+    order = np.lexsort((digest, own))
+    digest, own, sign = digest[order], own[order], sign[order]
+    first = np.ones(len(own), bool)
+    first[1:] = (digest[1:] != digest[:-1]) | (own[1:] != own[:-1])
+    start = np.flatnonzero(first)
+    if not len(start):
+        return np.zeros(n, np.int64)
+    return np.bincount(own[start], np.abs(np.add.reduceat(sign, start)), minlength=n).astype(np.int64)
+
+
 def differences(digest: np.ndarray, poff: np.ndarray, a: np.ndarray, b: np.ndarray, count: np.ndarray, total: np.ndarray) -> np.ndarray:
     """Paragraphs in which texts a[i] and b[i] differ, for all pairs at once.
 
     The fingerprints (count, total) are subtracted and peeled; pairs that do not
-    peel are compared again with larger tables."""
+    peel are compared again with larger tables, until these have ENOUGH cells for
+    each paragraph: what does not peel then never may, and is counted exactly."""
     out = np.zeros(len(a), np.int64)
     todo = np.arange(len(a))
     cells = BASE_CELLS
+    many = np.diff(poff)
     c = (count[a] - count[b]).ravel()
-    t = (total[a] - total[b]).ravel()
-    while len(todo):
-        table, _, _, empty = peel(c, t, len(todo), cells)
-        got = np.bincount(table, minlength=len(todo))
-        out[todo[empty]] = got[empty]
-        todo = todo[~empty]
-        cells *= GROWTH
-        if not len(todo):
-            break
+    t = (total[:, a] - total[:, b]).reshape(2, -1)
+
+    def entries() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = []
         for side, sign in ((a, 1), (b, -1)):
             s, e = poff[side[todo]], poff[side[todo] + 1]
             ends = np.cumsum(e - s)
             where = np.arange(int(ends[-1])) + np.repeat(s - (ends - (e - s)), e - s)
             parts.append((digest[where], np.repeat(np.arange(len(todo)), e - s), np.full(len(where), sign)))
-        d, own, sign = (np.concatenate(x) for x in zip(*parts))
-        c, t = tables(d, own, sign, len(todo), cells)
-    return out
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    while True:
+        table, _, _, empty = peel(c, t, len(todo), cells)
+        got = np.bincount(table, minlength=len(todo))
+        out[todo[empty]] = got[empty]
+        left = todo[~empty]
+        enough = cells >= ENOUGH * (many[a[left]] + many[b[left]])
+        todo = left[enough]
+        if len(todo):
+            out[todo] = exactly(*entries(), len(todo))
+        todo = left[~enough]
+        if not len(todo):
+            return out
+        cells *= GROWTH
+        c, t = tables(*entries(), len(todo), cells)
 
 
 def fingerprint_strings(count: np.ndarray, total: np.ndarray) -> list[str]:
-    """Counts (32 bits) and sums (64 bits) of the cells, in base64."""
-    head = count.astype("<i4").view(np.uint8).reshape(len(count), -1)
-    body = total.astype("<u8").view(np.uint8).reshape(len(total), -1)
-    return [base64.b64encode(x.tobytes()).decode() for x in np.concatenate([head, body], axis=1)]
+    """Counts (32 bits), digest sums (64) and check sums (32) of the cells, in base64."""
+    kinds = [(count, "<i4"), (total[0], "<u8"), (total[1], "<u4")]
+    parts = [np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(len(count), -1) for x, kind in kinds]
+    return [base64.b64encode(x.tobytes()).decode() for x in np.concatenate(parts, axis=1)]
 
 
 def compare(texts: list[str], nexts: list[str]) -> list[tuple]:
@@ -159,13 +181,13 @@ def compare(texts: list[str], nexts: list[str]) -> list[tuple]:
     digest, poff = paragraphs(raw, off)
     many = np.diff(poff)
     count, total = tables(digest, np.repeat(np.arange(3 * n), many), np.ones(len(digest), np.int64), 3 * n, BASE_CELLS)
-    count, total = count.reshape(3 * n, BASE_CELLS), total.reshape(3 * n, BASE_CELLS)
+    count, total = count.reshape(3 * n, BASE_CELLS), total.reshape(2, 3 * n, BASE_CELLS)
     first = np.tile(np.arange(n), 2)
     second = np.arange(n, 3 * n)
     apart = differences(digest, poff, first, second, count, total)
     both = many[first] + many[second]
     near = np.where(both > 0, (both - apart) / np.maximum(both, 1), 1.0)
-    prints = fingerprint_strings(count[: 2 * n], total[: 2 * n])
+    prints = fingerprint_strings(count[: 2 * n], total[:, : 2 * n])
     return [
         (size[i], hashlib.sha256(edited[i]).hexdigest(), prints[i], prints[n + i], float(near[i]), float(near[n + i])) for i in range(n)
     ]
@@ -186,10 +208,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the next row; only the first and last document of every partition meet again
     over a join on partition numbers.  The narrow result is checkpointed between.
 
-    A fingerprint is a table of HASHES x 4 cells (count and digest sum) that each
-    paragraph enters HASHES times.  Subtracting two and peeling lone digests gives
-    the differing paragraphs; where that fails, larger tables are tried.  Likeness:
-    2 * common / (paragraphs of both), 1 for two empty texts.
+    A fingerprint is a table of HASHES x 4 cells (count, digest sum, check sum) that
+    each paragraph enters HASHES times.  Subtracting two and peeling lone digests
+    gives the differing paragraphs; where that fails, larger tables are tried, and
+    at last the digests compared.  Likeness: 2 * common / (paragraphs of both), 1
+    for two empty texts.
 
     Null texts are empty.  Null ids come first; equal ids follow a hash of the
     text.  One document alone is its own next.  Other columns are ignored; an empty

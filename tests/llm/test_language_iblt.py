@@ -85,3 +85,33 @@ def test_peeling_recovers_the_digests():
     _, found, sign, empty = iblt.peel(tab[0][0] - tab[1][0], tab[0][1] - tab[1][1], 1, cells)
     assert empty.all()
     assert set(found[sign == 1].tolist()) == sets[0] - sets[1] and set(found[sign == -1].tolist()) == sets[1] - sets[0]
+
+
+def differing(digests, sides):
+    """Differing digests of the one pair of texts that these are (sides: how many in the first)."""
+    digest = np.array(digests, np.uint64)
+    poff = np.array([0, sides, len(digest)], np.int64)
+    count, total = iblt.tables(digest, np.repeat([0, 1], np.diff(poff)), np.ones(len(digest), np.int64), 2, iblt.BASE_CELLS)
+    count, total = count.reshape(2, -1), total.reshape(2, 2, -1)
+    return int(iblt.differences(digest, poff, np.array([0]), np.array([1]), count, total)[0])
+
+
+def test_digests_of_equal_upper_bits_differ():
+    rng = np.random.default_rng(5)
+    top = int(rng.integers(1, 2**40)) << 24
+    assert differing([top + 1, top + 2, 77], 2) == 3
+    # the digest has 64 free bits: the low ones are no function of the upper ones
+    digest, _ = iblt.paragraphs(np.frombuffer(b"a\nb\nc\nd\n", np.uint8), np.array([0, 8], np.int64))
+    upper = digest >> np.uint64(24)
+    again = iblt.check(upper) & np.uint64((1 << 24) - 1)
+    assert (again != digest & np.uint64((1 << 24) - 1)).any()
+
+
+def test_pairs_that_never_peel_are_counted_exactly(monkeypatch):
+    # one digest twice on a side: a count of 2 in the same cells at every size
+    assert differing([7, 7, 7, 9, 7, 8], 4) == 4
+    sizes = []
+    tables = iblt.tables
+    monkeypatch.setattr(iblt, "tables", lambda *x: sizes.append(x[-1]) or tables(*x))
+    assert differing([5] * 60, 50) == 40 and max(sizes) <= 4 * iblt.ENOUGH * 60
+    assert differing(list(range(100, 600)), 250) == 500
