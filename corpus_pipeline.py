@@ -46,8 +46,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one document of each class: that with the least id (then the least
     row hash); of wholly equal rows, one."""
     keyed = _keyed(docs)
-    classes = simhash.near_duplicates(keyed, words=3, distance=3, carry=KEY)
-    first = classes.groupBy("component_id").agg(F.min(F.struct("doc_id", KEY)).alias("first")).select("first.*")
+    classes = simhash.near_duplicates(keyed, words=3, distance=3, carry=KEY, with_root=True)
+    # not component_id: classes of null ids only share it, as do classes of a repeated id
+    first = classes.groupBy("root").agg(F.min(F.struct("doc_id", KEY)).alias("first")).select("first.*")
     kept = _joined(keyed, first, "left_semi")
     # rows of equal id and text lie together after the join: one of them stays
     one = kept.groupBy(KEY, "doc_id").agg(F.first(F.struct(*docs.columns)).alias("row"))

@@ -232,7 +232,7 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
     return keyed.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, words: int = 3, distance: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None, with_root: bool = False) -> DataFrame:
     """Class of near-duplicates of every row.
 
     Rows whose fingerprints differ in at most ``distance`` bits are linked, and
@@ -245,15 +245,16 @@ def near_duplicates(df: DataFrame, words: int = 3, distance: int = 3, id_col: st
     other.  Repeated rows each give a row.  Other columns are ignored; an empty
     table gives an empty result.  Columns: the id, fingerprint (16 hex digits),
     component_id, fp (the same as a long), and the column ``carry`` as it is, if
-    given.
+    given; with ``with_root`` also root, a fingerprint of the class (a long), which is
+    the key of the class whatever its ids are.
     """
     base = cut_lineage(fingerprints(df, words, id_col, text_col, carry))
     nodes = base.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(nodes.select("fp"), distance)).withColumnsRenamed({"node": "fp"})
     classed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = classed.select("fp", "root").join(least, "root").select("fp", "component_id")
+    of_fp = classed.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
     return base.join(of_fp, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp",
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp", *["root"] * with_root,
         *[F.col("_carry").alias(carry or "_carry")] * bool(carry),
     )

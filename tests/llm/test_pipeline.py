@@ -66,3 +66,16 @@ def test_extra_columns_that_clash_and_empty_documents(spark, tmp_path):
         out = stage(spark, docs, path)
         assert out.columns == docs.columns and out.count() > 0
         assert stage(spark, docs.limit(0), path).count() == 0
+
+
+def test_classes_of_null_and_repeated_ids_stay_apart(spark, tmp_path):
+    path, rows, _ = small(spark, tmp_path)
+    a, b, c, d = (r[1] for r in rows[4:8])
+    made = [(None, a), (None, b), (None, a), (9, c), (9, d), (9, c), (None, c)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = [tuple(r) for r in pipeline.STAGES[1][1](spark, docs, path).collect()]
+    assert sorted(t for _, t in got) == sorted([a, b, c, d]) and set(got) <= set(made)
+    # the whole pipeline packs them all
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(r.length for r in pipeline.run(spark, path).collect()) == sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in (a, b, c, d))
