@@ -33,12 +33,13 @@ def _joined(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language (null or without a letter).
+    """Rejects documents that can have no language (null or without a letter).
 
-    The model learns from labelled rows outside the held-out quarter."""
+    The model learns from labelled rows outside the held-out quarter; where there are
+    none it knows no language, which rejects nothing."""
     model = language.train(docs.where(~language.held_out("doc_id")))
     keyed = _keyed(docs)
-    rejected = language.identify(keyed, model, carry=KEY).where(F.col("lang_pred") == language.UNKNOWN)
+    rejected = language.identify(keyed, model, carry=KEY, with_letters=True).where(~F.col("letters"))
     return _joined(keyed, rejected.select("doc_id", KEY).distinct(), "left_anti").drop(KEY)
 
 

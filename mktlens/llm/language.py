@@ -170,7 +170,7 @@ def infer(word_logs: np.ndarray, woff: np.ndarray, most: int, rounds: int) -> tu
     return full, best
 
 
-def identify(df: DataFrame, model: Model, most: int = 3, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+def identify(df: DataFrame, model: Model, most: int = 3, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None, with_letters: bool = False) -> DataFrame:
     """Language proportions of every whole text, its main language and its share.
 
     Each word is drawn from one of the text's languages; its likelihood under a
@@ -183,7 +183,8 @@ def identify(df: DataFrame, model: Model, most: int = 3, rounds: int = 30, id_co
     result; other columns are ignored, repeated rows each give a row; languages of
     equal proportions: the first by name.  Columns: the id, lang_pred, score (the
     main language's share of the words before selection), languages (map), and the
-    column ``carry`` as it is, if given.
+    column ``carry`` as it is, if given; with ``with_letters`` also letters: whether
+    the text has one, whatever the model learned.
     """
     kind = df.schema[id_col].dataType.simpleString()
     spark = df.sparkSession
@@ -193,18 +194,19 @@ def identify(df: DataFrame, model: Model, most: int = 3, rounds: int = 30, id_co
         names, logp = shared.value
         for rows, raw, off in slices(batches, "text", 1 << 20):
             n = rows.num_rows
-            known = np.zeros(n, bool)
+            letters = np.zeros(n, bool)
             full = best = np.zeros((n, len(names)))
-            if len(raw) and names:
+            if len(raw):
                 bins, word, woff = trigrams(raw, off)
                 low = LOWER[raw]
                 ascii_letters = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])
-                known = ascii_letters[off[1:]] > ascii_letters[off[:-1]]
-                for i in np.flatnonzero(~known & (np.diff(woff) > 0)).tolist():
-                    known[i] = any(map(str.isalpha, raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")))
-                if len(word):
+                letters = ascii_letters[off[1:]] > ascii_letters[off[:-1]]
+                for i in np.flatnonzero(~letters & (np.diff(woff) > 0)).tolist():
+                    letters[i] = any(map(str.isalpha, raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")))
+                if len(word) and names:
                     logs = np.stack([np.add.reduceat(p[bins], word) for p in logp], axis=1).astype(np.float64)
                     full, best = infer(logs, woff, most, rounds)
+            known = letters if names else np.zeros(n, bool)
             main = best.argmax(axis=1) if names else np.zeros(n, np.int64)
             share = full[np.arange(n), main] if names else np.zeros(n)
             keys, items, ends = [], [], [0]
@@ -216,13 +218,14 @@ def identify(df: DataFrame, model: Model, most: int = 3, rounds: int = 30, id_co
                 ends.append(len(keys))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), *rows.columns[2:], pa.array([names[j] if k else UNKNOWN for j, k in zip(main.tolist(), known.tolist())], pa.string()),
-                 pa.array(np.where(known, np.clip(share, 0, 1), 0.0)), pa.MapArray.from_arrays(ends, pa.array(keys, pa.string()), pa.array(items, pa.float64()))],
-                names=["id", *["_carry"] * bool(carry), "lang_pred", "score", "languages"],
+                 pa.array(np.where(known, np.clip(share, 0, 1), 0.0)), pa.MapArray.from_arrays(ends, pa.array(keys, pa.string()), pa.array(items, pa.float64())),
+                 *[pa.array(letters)] * with_letters],
+                names=["id", *["_carry"] * bool(carry), "lang_pred", "score", "languages", *["letters"] * with_letters],
             )
 
     extra, more = carried(df, carry)
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra).mapInArrow(
-        run, f"id {kind}, {more}lang_pred string, score double, languages map<string,double>"
+        run, f"id {kind}, {more}lang_pred string, score double, languages map<string,double>{', letters boolean' * with_letters}"
     )
     return out.withColumnsRenamed({"id": id_col, "_carry": carry or "_carry"})
 

@@ -1,4 +1,5 @@
 import collections
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -79,3 +80,14 @@ def test_classes_of_null_and_repeated_ids_stay_apart(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{path}/documents.parquet")
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert sum(r.length for r in pipeline.run(spark, path).collect()) == sum(len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in (a, b, c, d))
+
+
+def test_readable_documents_pass_where_nothing_could_be_learned(spark):
+    made = [(1, "words here", None), (2, None, None), (3, "12 !", None), (4, "日本語", None), (None, "more words", None), (5, "", None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    kept = {"words here", "日本語", "more words"}
+    assert {r.text for r in pipeline.STAGES[0][1](spark, docs, "").collect()} == kept
+    # all labelled rows are held out
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    docs = spark.createDataFrame([(held, "the words", "en"), (held, "123", "en")], "doc_id long, text string, lang string")
+    assert [r.text for r in pipeline.STAGES[0][1](spark, docs, "").collect()] == ["the words"]
