@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -53,17 +54,22 @@ CONTENT_SHARE = 0.8
 PLAIN, NAMED, COMMENT, FIRM = range(4)
 #: An element with more than this share of the page's text outside links is not noise by its name.
 MOST = {NAMED: 0.5, COMMENT: 0.9}
+#: Kinds of noise, the stronger the higher: by class or id (also forms, which may wrap a page), comments, by element, role or hidden.
+PLAIN, NAMED, COMMENT, FIRM = range(4)
+#: An element with more than this share of the page's text outside links is not noise by its name.
+MOST = {NAMED: 0.5, COMMENT: 0.9}
 #: A page whose part under the host's path is less than this of its own best goes by the latter.
 LEAST_SHARE = 0.2
 
 
 class Element:
-    __slots__ = ("name", "key", "path", "kind", "noise", "parent", "size", "hint", "first", "last")
+    __slots__ = ("name", "key", "path", "kind", "noise", "parent", "size", "linked", "hint", "first", "last")
 
     def __init__(self, name: str, key: str, path: str, kind: int, parent: Element | None, hint: int) -> None:
         self.name, self.key, self.path, self.kind, self.parent, self.hint = name, key, path, kind, parent, hint
         self.noise = False  # its own or inherited, known once measured
         self.size = 0  # characters of text outside links and noise
+        self.linked = 0  # the same in links
         self.first = self.last = 0  # range of its text pieces
 
 
@@ -222,9 +228,13 @@ def measure(elements: list[Element], pieces: list) -> None:
     noise by its name, and the main element or the largest article of the page is
     not by the name of a wrapper."""
     for text, e, link in pieces:
-        if text and not link:
-            e.size += len(text) - text.count(" ") // 2 if not text.isspace() else 0
-    own = [e.size for e in elements]
+        if text and not text.isspace():
+            n = len(text) - text.count(" ") // 2
+            if link:
+                e.linked += n
+            else:
+                e.size += n
+    own = [(e.size, e.linked) for e in elements]
     for e in elements[1:]:
         e.noise = e.kind == FIRM or e.parent.noise
     summed(elements)
@@ -238,8 +248,9 @@ def measure(elements: list[Element], pieces: list) -> None:
         if above == NAMED and (e is article or e.hint == 2):
             above = PLAIN
         kinds[id(e)] = max(kind, above)
-    for e, size in zip(elements, own):
-        e.noise, e.size = kinds[id(e)] != PLAIN, size
+    for e, sizes in zip(elements, own):
+        e.noise = kinds[id(e)] != PLAIN
+        e.size, e.linked = sizes
     summed(elements)
 
 
@@ -247,10 +258,11 @@ def summed(elements: list[Element]) -> None:
     """Own sizes without noise, summed up the tree."""
     for e in elements:
         if e.noise:
-            e.size = 0
+            e.size = e.linked = 0
     for e in reversed(elements):
         if e.parent is not None:
             e.parent.size += e.size
+            e.parent.linked += e.linked
 
 
 def best(elements: list[Element]) -> Element:
@@ -287,24 +299,42 @@ def text_of(chosen: list[Element], pieces: list) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def extract(html: str, path: str | None) -> str:
-    """Main text under a host's path; a page without it goes by its own best
-    container.  Several elements of a path without a class count as one only
-    where they hold an article each; else the largest is taken."""
+def outside(elements: list[Element], chosen: list[Element], top: Element) -> list[Element]:
+    """Outermost containers with text inside ``top`` that neither hold nor lie in one
+    of the chosen elements, which are in page order and apart."""
+    ends = [c.last for c in chosen]
+    out: list[Element] = []
+    end = -1
+    for e in elements:
+        if e is top or e.name not in CONTAINER or e.noise or not e.size or e.first < max(end, top.first) or e.last > top.last:
+            continue
+        at = bisect_right(ends, e.first)
+        if at < len(chosen) and chosen[at].first < e.last:
+            continue
+        out.append(e)
+        end = e.last
+    return out
+
+
+def extract(html: str, path: str | None, others: frozenset[str] = frozenset()) -> str:
+    """Main text under a host's path: of all outermost elements there that are more
+    than links.  A page goes by its own best container where these lack the path or
+    hold less than CONTENT_SHARE of it, not counting ``others``: paths that lie beside
+    the main text on most pages of the host."""
     elements, pieces = parse(html)
     measure(elements, pieces)
-    found = [e for e in elements[1:] if path and e.path == path and e.name in CONTAINER and not e.noise and e.size]
+    found: list[Element] = []
+    for e in elements[1:] if path else ():
+        if e.path == path and e.name in CONTAINER and not e.noise and e.size and e.size >= e.linked and not (found and e.last <= found[-1].last):
+            found.append(e)
     if path == "":
         found = [elements[0]]
     own = best(elements)
-    if not found:
-        found = [own]
-    elif len(found) > 1:
-        named = "." in found[0].key or found[0].hint
-        found = [e for e in found if not any(e is not o and o.first <= e.first and e.last <= o.last for o in found)] if named else [max(found, key=lambda e: e.size)]
-    if sum(e.size for e in found) < LEAST_SHARE * own.size:
-        found = [own]  # the consensus does not fit this page
-    return text_of(found, pieces)
+    if found:
+        beside = sum(e.size for e in outside(elements, found, own) if e.path != path and e.path in others)
+        if sum(e.size for e in found) < CONTENT_SHARE * (own.size - beside):
+            found = []  # the consensus does not fit this page
+    return text_of(found or [own], pieces)
 
 
 def host_of(url):
@@ -332,34 +362,45 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, _ in slices(batches, "text"):
-            hosts, paths, sizes = [], [], []
+            hosts, paths, sizes, chosen = [], [], [], []
             for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 elements, pieces = parse(html)
                 measure(elements, pieces)
                 e = best(elements)
                 if e.size:
-                    hosts.append(host)
-                    paths.append(e.path)
-                    sizes.append(e.size)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], names=["host", "path", "size"])
-
-    votes = (
-        rows.select("host", "text").mapInArrow(vote, "host string, path string, size long")
-        .groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+                    beside = {o.path for o in outside(elements, [e], elements[0])}
+                    hosts += [host] * (1 + len(beside))
+                    paths += [e.path, *beside]
+                    sizes += [e.size] + [0] * len(beside)
+                    chosen += [True] + [False] * len(beside)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(chosen, pa.bool_())],
+                names=["host", "path", "size", "chosen"],
+            )
+
+    # stored, as it is counted twice: a row a host and path
+    votes = cut_lineage(
+        rows.select("host", "text").mapInArrow(vote, "host string, path string, size long, chosen boolean")
+        .groupBy("host", "path", "chosen").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     )
     # stored (a row a host), so that both sides of the join are dealt anew and a hot
     # host's pages can be split
-    winners = cut_lineage(votes.groupBy("host").agg(F.max_by("path", F.struct("n", "size", "path")).alias("path")))
+    winners = votes.where("chosen").groupBy("host").agg(F.max_by("path", F.struct("n", "size", "path")).alias("path"), F.sum("n").alias("pages"))
+    beside = (
+        votes.where("not chosen").join(winners.select("host", "pages"), "host").where("2 * n > pages")
+        .groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("others"))
+    )
+    winners = cut_lineage(winners.join(beside, "host", "left").select("host", "path", "others"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, _ in slices(batches, "text"):
-            texts = [extract(h, p) for h, p in zip(part.column(2).to_pylist(), part.column(4).to_pylist())]
+            texts = [extract(h, p, frozenset(o or ())) for h, p, o in zip(*(part.column(k).to_pylist() for k in (2, 4, 5)))]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), part.column(3), part.column(4)],
                 names=["id", "url", "text", "n_chars", "host", "host_path"],
             )
 
-    out = rows.join(winners, "host", "left").select("id", "url", "text", "host", "path").mapInArrow(
+    out = rows.join(winners, "host", "left").select("id", "url", "text", "host", "path", "others").mapInArrow(
         run, f"id {kind}, url string, text string, n_chars long, host string, host_path string"
     )
     return out.withColumnRenamed("id", id_col)

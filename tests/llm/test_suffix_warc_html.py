@@ -153,3 +153,18 @@ def test_names_of_noise():
         assert html.noise_of(token), token
     for token in "has-sidebar no-sidebar page-with-banner related-work social-policy entry-header content-sidebar-wrap adventure page--with-banner".split():
         assert not html.noise_of(token), token
+
+
+def test_articles_in_several_blocks_are_whole(spark):
+    # a host that votes for div>div; on some pages the article lies in three of them
+    one = "<body><div><div><p>{0}</p></div><div><a href='/x'>{1}</a></div></div><div class='extra'><p>Imprint and more of it.</p></div></body>"
+    part = [f"Part {i}. " + f"Sentence {i} of the article. " * 8 for i in range(3)]
+    three = "<body><div>" + "".join(f"<div><p>{p}</p></div>" for p in part) + "<div><a href='/x'>More links than text</a></div></div><div class='extra'><p>Imprint and more of it.</p></div></body>"
+    posts = "<body><div class='post'><p>{0}</p></div><div class='extra'><p>Imprint.</p></div></body>"
+    split = f"<body><div class='post'><p>{part[0]}</p></div><div class='more'><p>{part[1]}</p></div><div class='more'><p>{part[2]}</p></div></body>"
+    pages = [(i, f"http://a.example/{i}", one.format("main text " * 30, "Links " * 5)) for i in range(6)] + [(10, "http://a.example/x", three)]
+    pages += [(20 + i, f"http://b.example/{i}", posts.format("main text " * 30)) for i in range(6)] + [(30, "http://b.example/x", split)]
+    got = {r.page_id: r for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0].host_path == ">div>div" and got[0].text == ("main text " * 30).strip()
+    assert got[10].text == "\n".join(p.strip() for p in part)
+    assert got[20].host_path == ">div.post" and got[30].text == "\n".join(p.strip() for p in part)
