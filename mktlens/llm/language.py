@@ -135,12 +135,12 @@ def mixtures(like: np.ndarray, woff: np.ndarray, allowed: np.ndarray, rounds: in
     return pi, total
 
 
-def infer(word_logs: np.ndarray, woff: np.ndarray, most: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def infer(word_logs: np.ndarray, woff: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """(proportions over all languages, proportions over the selected set).
 
-    The candidates are the best single language and the 2 to ``most`` languages of
-    the largest proportions; the set of the highest log likelihood less half a
-    log(words) per extra language wins."""
+    The candidates are the best single language, the two and three languages of the
+    largest proportions, and one more as long as the last gained; the set of the
+    highest log likelihood less half a log(words) per extra language wins."""
     count = np.diff(woff)
     texts, langs = len(count), word_logs.shape[1]
     top = word_logs.max(axis=1, keepdims=True) if len(word_logs) else word_logs
@@ -153,9 +153,10 @@ def infer(word_logs: np.ndarray, woff: np.ndarray, most: int, rounds: int) -> tu
     best = np.eye(langs)[total.argmax(axis=1)]
     score = total.max(axis=1)
     order = np.argsort(-full, axis=1, kind="stable")
-    for m in range(2, min(most, langs) + 1):
+    gained = np.ones(texts, bool)
+    for m in range(2, langs + 1):
         # only texts where an m-th language has any weight can gain from it
-        may = np.flatnonzero(np.take_along_axis(full, order[:, m - 1 : m], axis=1)[:, 0] > 1e-3)
+        may = np.flatnonzero(gained & (np.take_along_axis(full, order[:, m - 1 : m], axis=1)[:, 0] > 1e-3))
         if not len(may):
             break
         allowed = np.zeros((len(may), langs))
@@ -167,15 +168,17 @@ def infer(word_logs: np.ndarray, woff: np.ndarray, most: int, rounds: int) -> tu
         better = ll > score[may]
         best[may[better]] = pi[better]
         score[may[better]] = ll[better]
+        if m > 2:
+            gained[may[~better]] = False
     return full, best
 
 
-def identify(df: DataFrame, model: Model, most: int = 3, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None, with_letters: bool = False) -> DataFrame:
+def identify(df: DataFrame, model: Model, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None, with_letters: bool = False) -> DataFrame:
     """Language proportions of every whole text, its main language and its share.
 
     Each word is drawn from one of the text's languages; its likelihood under a
     language is that of its trigrams.  Expectation-maximisation finds the
-    proportions, penalised likelihood the set of languages (up to ``most``).  No
+    proportions, penalised likelihood the set of languages, however many.  No
     shuffle; the model (languages x BINS numbers, bounded) goes to every task.
 
     Null texts, texts without a letter, and all texts of a model without
@@ -205,7 +208,7 @@ def identify(df: DataFrame, model: Model, most: int = 3, rounds: int = 30, id_co
                     letters[i] = any(map(str.isalpha, raw[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")))
                 if len(word) and names:
                     logs = np.stack([np.add.reduceat(p[bins], word) for p in logp], axis=1).astype(np.float64)
-                    full, best = infer(logs, woff, most, rounds)
+                    full, best = infer(logs, woff, rounds)
             known = letters if names else np.zeros(n, bool)
             main = best.argmax(axis=1) if names else np.zeros(n, np.int64)
             share = full[np.arange(n), main] if names else np.zeros(n)

@@ -115,3 +115,13 @@ def test_pairs_that_never_peel_are_counted_exactly(monkeypatch):
     monkeypatch.setattr(iblt, "tables", lambda *x: sizes.append(x[-1]) or tables(*x))
     assert differing([5] * 60, 50) == 40 and max(sizes) <= 4 * iblt.ENOUGH * 60
     assert differing(list(range(100, 600)), 250) == 500
+
+
+def test_mixtures_of_many_languages(spark):
+    names = "abcdefg"
+    words = {n: [f"{n}{x}{n}{y}" for x in "kmst" for y in "kmst"] for n in names}
+    model = language.train(spark.createDataFrame([(" ".join(w) * 20, n) for n, w in words.items()], "text string, lang string"))
+    texts = [" ".join(" ".join(words[n]) for n in names[:k]) for k in range(1, 8)]
+    got = {r.doc_id: r.languages for r in language.identify(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id int, text string"), model).collect()}
+    for k, shares in got.items():
+        assert set(shares) == set(names[:k]) and all(abs(v - 1 / k) < 0.02 for v in shares.values())
