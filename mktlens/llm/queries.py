@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mktlens.llm import decontamination, html, iblt, language, packing, sharding, simhash, suffix, tokens, warc
+from mktlens.llm import automata, decontamination, html, iblt, language, packing, sharding, simhash, suffix, tokens, warc
 from mktlens.session import cut_lineage
 
 
@@ -69,10 +69,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3).drop("fp")
 
 
+def op12_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.remove_repeats(table(spark, sf_dir, "documents"), n=13, with_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_token_counts, op2_sharding, op3_main_text, op4_packing, op5_language_id, op6_fingerprints, op7_decontamination,
-        op8_suffix_dedup, op9_warc, op10_simhash,
+        op8_suffix_dedup, op9_warc, op10_simhash, op12_automata_dedup,
     )}
 
 
@@ -98,5 +102,15 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {BASE32_SQL} AS
        CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to, url AS target_uri FROM p"""
 
 
+AUTOMATA_SQL = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, j, w[j:j + 12] AS win FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS j FROM d)),
+hit AS (SELECT r, j FROM win JOIN (SELECT win, min(doc_id) AS least FROM win GROUP BY win) USING (win) WHERE least < doc_id),
+cut AS (SELECT DISTINCT r, unnest(range(j, j + 13)) AS p FROM hit),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN cut USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": DECONTAMINATION_SQL, "op9_warc": WARC_SQL}
+    return {"op7_decontamination": DECONTAMINATION_SQL, "op9_warc": WARC_SQL, "op12_automata_dedup": AUTOMATA_SQL}
