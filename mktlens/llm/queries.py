@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mktlens.llm import automata, decontamination, html, iblt, language, packing, sharding, simhash, suffix, tokens, warc
+from mktlens.llm import automata, conversations, decontamination, html, iblt, language, packing, phrases, sharding, simhash, suffix, tokens, warc
 from mktlens.session import cut_lineage
 
 
@@ -69,14 +69,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3).drop("fp")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=5, threshold=100, top=2000)
+
+
 def op12_automata_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.remove_repeats(table(spark, sf_dir, "documents"), n=13, with_text=False)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations"))).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_token_counts, op2_sharding, op3_main_text, op4_packing, op5_language_id, op6_fingerprints, op7_decontamination,
-        op8_suffix_dedup, op9_warc, op10_simhash, op12_automata_dedup,
+        op8_suffix_dedup, op9_warc, op10_simhash, op11_collocations, op12_automata_dedup,
+        op13_conversation_repair,
     )}
 
 
@@ -112,5 +121,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_r
 FROM d LEFT JOIN kept USING (r)"""
 
 
+COLLOCATIONS_SQL = """WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+cut AS (SELECT lang, k, phrase, a, c, array_to_string(ws[1:c], ' ') AS x, array_to_string(ws[c + 1:k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS c FROM c)),
+scored AS (SELECT cut.lang, cut.k, cut.phrase, cut.a, cut.c, l.a AS l, r.a AS r, n, CAST((CAST(1000 AS HUGEINT) * cut.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y JOIN total ON total.lang = cut.lang),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS o FROM scored),
+kept AS (SELECT * FROM lowest s WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.lang = s.lang AND b.k > s.k AND 100 * b.a >= 100 * s.a AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": DECONTAMINATION_SQL, "op9_warc": WARC_SQL, "op12_automata_dedup": AUTOMATA_SQL}
+    return {"op7_decontamination": DECONTAMINATION_SQL, "op9_warc": WARC_SQL, "op11_collocations": COLLOCATIONS_SQL, "op12_automata_dedup": AUTOMATA_SQL}
