@@ -29,13 +29,15 @@ BUCKET_DAYS = 128
 
 
 def _bucket(order: str) -> Column:
-    return F.floor(F.unix_date(F.col(order).cast("date")) / BUCKET_DAYS).cast("int")
+    """The calendar bucket; rows without a date come first, in one of their own."""
+    return F.coalesce(F.floor(F.unix_date(F.col(order).cast("date")) / BUCKET_DAYS).cast("int"), F.lit(-(1 << 31)))
 
 
 def positions(df: DataFrame, key: str, order: str) -> DataFrame:
     """0-based position ``_i`` of each row in its ``key`` series by the date or
-    timestamp ``order``, and the series length ``_n``; rows that carry theirs from
-    an earlier step keep them."""
+    timestamp ``order`` (nulls first; rows of one time by a hash of all their columns),
+    and the series length ``_n``; rows that carry theirs from an earlier step keep
+    them."""
     if {"_i", "_n"} <= set(df.columns):
         return df
     b = df.withColumn("_b", _bucket(order))
@@ -44,7 +46,7 @@ def positions(df: DataFrame, key: str, order: str) -> DataFrame:
         b.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c"))
         .select(key, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"), F.sum("_c").over(Window.partitionBy(key)).alias("_n"))
     )
-    inside = Window.partitionBy(key, "_b").orderBy(order)
+    inside = Window.partitionBy(key, "_b").orderBy(order, F.xxhash64(*df.columns))
     return b.join(counts, [key, "_b"]).withColumn("_i", F.col("_off") + F.row_number().over(inside) - 1).drop("_b", "_off")
 
 

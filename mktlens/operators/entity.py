@@ -4,11 +4,11 @@ The registry and alias tables are dimensions (companies, not events).  They
 are joined by equality wherever the reference compares for equality; only the
 substring test (J3) and the fuzzy score (J6) are not equi-joins:
 
-* J3 joins on a short run of each alias's bytes and then looks for the
-  whole alias (exact substring semantics, no size limit).
-* J6 generates candidate pairs with a length-band *equi*-join and a
-  character-multiset upper bound (both lossless for a cutoff c), so the
-  Ratcliff-Obershelp score (F12) is computed only for surviving pairs.
+* J3 looks a short run of each alias's bytes up in the texts and then compares
+  the whole alias (exact substring semantics, no size limit).
+* J6 generates candidate pairs with an equi-join on both lengths and a rare
+  character, and bounds the characters in common by bit sets (both lossless for a
+  cutoff c), so the Ratcliff-Obershelp score (F12) is computed for few pairs.
 """
 from __future__ import annotations
 
@@ -224,53 +224,55 @@ def _ceildiv(a: Column, b: int) -> Column:
     return _floordiv(a + F.lit(b - 1), b)
 
 
+def _signature(tags: Column) -> list[Column]:
+    """Two 64-bit sets of the elements' hashes."""
+    bit = F.transform(tags, lambda t: F.pmod(F.xxhash64(t), F.lit(128)).cast("int"))
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x)
+    return [
+        F.aggregate(F.filter(bit, lambda x: (x >= 64 * k) & (x < 64 * k + 64)), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(one(x - 64 * k)))
+        for k in (0, 1)
+    ]
+
+
 def fuzzy_candidates(tokens: DataFrame, aliases: DataFrame, cutoff: float = FUZZY_CUTOFF) -> DataFrame:
     """J6 candidate pairs (query, pos, token, alias) that can reach ``cutoff``.
 
-    Lossless pruning, all by equi-joins on distinct strings (integer
-    arithmetic with the cutoff as a fraction p/q, so pairs exactly on the
-    cutoff are kept):
-    * ratio <= 2*min(la,lb)/(la+lb): an admissible length band;
-    * ratio <= 2*overlap/(la+lb) with overlap the character-multiset
-      intersection, so overlap >= T = ceil(c*(la+lb)/2); by the prefix-filter
-      lemma the first |s|-T+1 elements (global rarest-first order) of both
-      multisets then share an element — candidates come from an equi-join on
-      those prefix elements, and the exact bound is checked afterwards with
-      the multisets computed once per distinct string.
+    Lossless pruning on distinct strings (integer arithmetic with the cutoff as a
+    fraction p/q, so pairs exactly on the cutoff are kept).  Strings of lengths la and
+    lb reach it only with T = ceil(p (la + lb) / 2q) characters in common, so:
+    * lb lies in a band around la, and only as many element prefixes are compared as
+      the prefix-filter lemma asks for these two lengths: the first la - T + 1 and
+      lb - T + 1 elements of the character multisets (global rarest-first order) share
+      one.  Lengths and element are one equi-join key.
+    * la less the elements that the other string cannot have (its 128-bit signature
+      lacks them) is at least T, and likewise lb; two bit counts per pair.
     """
     frac = Fraction(cutoff).limit_denominator(10_000)
     p, q = frac.numerator, frac.denominator
     al = aliases.select("alias").distinct()
     rank = F.broadcast(_alphabet_rank(al))  # one row
 
-    def band_lo(n: Column) -> Column:  # ceil(n * c / (2 - c))
-        return _ceildiv(n * p, 2 * q - p)
-
-    def band_hi(n: Column) -> Column:  # floor(n * (2 - c) / c)
-        return _floordiv(n * (2 * q - p), p)
-
-    def prefix_len(n: Column) -> Column:
-        t = _ceildiv((n + band_lo(n)) * p, 2 * q)  # smallest required overlap over the band
-        return F.greatest(n - t + 1, F.lit(0)).cast("int")
-
-    # Distinct strings with their multisets are read by several joins below:
-    # write them once to the shared checkpoint folder (cuts the lineage, so
-    # the query and alias plans are not recomputed per use).
-    dt = tokens.select("token").distinct().crossJoin(rank).select(
-        "token", F.length("token").cast("long").alias("la"), _tags(_elements(F.col("token"), F.col("_rank"))).alias("ta"))
-    dt = cut_lineage(dt.select("token", "la", "ta", F.slice("ta", 1, prefix_len(F.col("la"))).alias("pa")))
-    da = al.crossJoin(rank).select("alias", F.length("alias").cast("long").alias("lb"), _tags(_elements(F.col("alias"), F.col("_rank"))).alias("tb"))
-    da = cut_lineage(da.select("alias", "lb", "tb", F.slice("tb", 1, prefix_len(F.col("lb"))).alias("pb")))
-    te = dt.select("token", "la", F.explode("pa").alias("e"))
-    ae = da.select("alias", "lb", F.explode("pb").alias("e"))
-    band = (F.col("lb") >= band_lo(F.col("la"))) & (F.col("lb") <= band_hi(F.col("la")))
-    # The per-pair checks below are CPU work on little data: spread the pairs
-    # explicitly (AQE would coalesce such a small shuffle into one task); the
-    # distinct reuses this partitioning.
+    def keyed(strings: DataFrame, name: str, own: str, other: str, sig: str) -> DataFrame:
+        """A row per string, length of a partner, and element of its prefix."""
+        tags = _tags(_elements(F.col(name), F.col("_rank")))
+        d = strings.crossJoin(rank).select(name, F.length(name).cast("long").alias(own), tags.alias("_tags")).where(F.col(own) > 0)
+        one, two = _signature(F.col("_tags"))
+        n = F.col(own)
+        # partners of ceil(n c / (2 - c)) to floor(n (2 - c) / c) characters
+        band = F.sequence(_ceildiv(n * p, 2 * q - p), _floordiv(n * (2 * q - p), p))
+        d = d.withColumn(f"{sig}0", one).withColumn(f"{sig}1", two).withColumn(other, F.explode(band))
+        need = _ceildiv((n + F.col(other)) * p, 2 * q)
+        prefix = F.slice("_tags", 1, F.greatest(n - need + 1, F.lit(0)).cast("int"))
+        return d.withColumn("_need", need).withColumn("_e", F.explode(F.transform(prefix, lambda t: F.xxhash64(t)))).drop("_tags")
+
+    t = keyed(tokens.select("token").distinct(), "token", "la", "lb", "s")
+    a = keyed(al, "alias", "lb", "la", "t").drop("_need")
+    lacks = lambda x, y: F.bit_count(F.col(f"{x}0").bitwiseAND(F.bitwise_not(f"{y}0"))) + F.bit_count(F.col(f"{x}1").bitwiseAND(F.bitwise_not(f"{y}1")))
+    pairs = t.join(a, ["la", "lb", "_e"]).where((F.col("la") - lacks("s", "t") >= F.col("_need")) & (F.col("lb") - lacks("t", "s") >= F.col("_need")))
+    # CPU-heavy checks follow on little data: as many tasks as there are (AQE would
+    # merge so small a shuffle into one); the distinct reuses this partitioning
     n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    pairs = te.join(ae, "e").where(band).select("token", "alias").repartition(n, "token", "alias").distinct()
-    full = pairs.join(dt.select("token", "la", "ta"), "token").join(da.select("alias", "lb", "tb"), "alias")
-    ok = full.where(2 * q * F.size(F.array_intersect("ta", "tb")) >= p * (F.col("la") + F.col("lb"))).select("token", "alias")
+    ok = pairs.select("token", "alias").repartition(n, "token", "alias").distinct()
     return tokens.select("query", "pos", "token").join(ok, "token")
 
 
@@ -470,16 +472,76 @@ def search_aliases(sym_aliases: DataFrame, first: DataFrame) -> DataFrame:
     return j.select("symbol", F.explode(F.array_distinct(F.filter(allv, lambda x: x.isNotNull() & (x != "")))).alias("alias"))
 
 
-KEY = 4  # bytes of an alias's join key
+KEY = 8  # bytes of an alias's join key at most
 RUN_BITS = 1 << 22  # of the table of alias keys
-RUN_BYTES = 2 << 20  # of texts whose runs are made together
+RUN_BYTES = 2 << 20  # of texts whose runs are looked up together
+
+
+def _slots(run: np.ndarray, n: int) -> np.ndarray:
+    h = run * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(20)) + np.uint64(n * 0x9E3779B9) & np.uint64(RUN_BITS - 1)
+
+
+def _codes(raw: np.ndarray) -> np.ndarray:
+    """The number that the KEY bytes from every place on make (zeros after the end)."""
+    padded = np.concatenate([raw, np.zeros(KEY - 1, np.uint8)])
+    code = np.zeros(len(raw), np.uint64)
+    for j in range(KEY):
+        code |= padded[j : j + len(raw)].astype(np.uint64) << np.uint64(8 * j)
+    return code
+
+
+def _mask(n: int) -> np.uint64:
+    return np.uint64((1 << 8 * n) - 1)
+
+
+def alias_keys(aliases: DataFrame) -> DataFrame:
+    """(n, run, offset, slot, alias, symbol): each alias under one run of its bytes: the
+    whole alias where it is shorter than KEY, else the KEY bytes that the fewest
+    aliases share (then the first by number and place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for alias in batch.column(0).to_pylist():
+                raw = np.frombuffer(alias.encode(), np.uint8)
+                n = min(len(raw), KEY)
+                code = _codes(raw)[: len(raw) - n + 1]
+                first = np.sort(np.unique(code, return_index=True)[1])
+                out += zip([alias] * len(first), [n] * len(first), code[first].view(np.int64).tolist(), first.tolist(), _slots(code[first], n).astype(np.int64).tolist())
+            cols = zip(*out) if out else [()] * 5
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["alias", "n", "run", "offset", "slot"])
+
+    a = aliases.select("alias", "symbol").where(F.length("alias") > 0).distinct()
+    each = a.select("alias").distinct().mapInArrow(run, "alias string, n int, run long, offset int, slot long")
+    shared = each.groupBy("n", "run").agg(F.count(F.lit(1)).alias("c"))
+    best = F.min_by(F.struct("n", "run", "offset", "slot"), F.struct("c", "run"))
+    rare = each.join(shared, ["n", "run"]).groupBy("alias").agg(best.alias("r"))
+    return a.join(rare.select("alias", "r.*"), "alias").select("n", "run", "offset", "slot", "alias", "symbol")
+
 
+def _key_table(keys: DataFrame):
+    """The keys as a bit table, shared with the tasks, and how far an alias reaches
+    before and after its key.  Of fixed size: RUN_BITS / 64 rows and KEY lengths."""
+    words = keys.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b"))
+    table = np.zeros(RUN_BITS // 64, np.int64)
+    for part in words.toArrow().to_batches():
+        table[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    after = F.octet_length("alias") - F.col("offset")
+    reach = keys.groupBy("n").agg(F.max("offset").alias("before"), F.max(after).alias("after")).collect()
+    return keys.sparkSession.sparkContext.broadcast((table.tobytes(), {r.n: (r.before, r.after) for r in reach}))
 
-def _byte_runs(df: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, n, run): the distinct runs of n = 1 to KEY bytes of every text, each as
-    a number.  Texts hold no NUL; null texts have no runs."""
+
+def _key_hits(df: DataFrame, key: str, text_col: str, known) -> DataFrame:
+    """(key, n, run, around, at): where a text may hold an alias key, with the bytes
+    around it, the key at byte ``at``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, reach = known.value
+        table = np.frombuffer(bits, np.uint64)
         for batch in batches:
             texts = [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
             start = 0
@@ -488,67 +550,49 @@ def _byte_runs(df: DataFrame, key: str, text_col: str) -> DataFrame:
                 while end < len(texts) and (end == start or size + len(texts[end]) < RUN_BYTES):
                     size += len(texts[end])
                     end += 1
-                pad = bytes(KEY - 1)
-                raw = np.frombuffer(b"".join(t + pad for t in texts[start:end]) + pad, np.uint8)
-                own = np.repeat(np.arange(end - start, dtype=np.uint64), [len(t) + KEY - 1 for t in texts[start:end]])
-                n = len(own)
-                code = np.zeros(n, np.uint64)
-                for j in range(KEY):
-                    code |= raw[j : j + n].astype(np.uint64) << np.uint64(8 * j)
-                code = np.unique((own << np.uint64(8 * KEY) | code)[raw[:n] != 0])
-                for k in range(KEY, 0, -1):
-                    # a run's bytes are low to high; one that reaches a text's end has a NUL on top
-                    whole = code[(code >> np.uint64(8 * (k - 1)) & np.uint64(255)) != 0]
-                    mask = np.uint64((1 << 8 * k) - 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array((whole >> np.uint64(8 * KEY)).astype(np.int64) + start)),
-                         pa.array(np.full(len(whole), k, np.int32)), pa.array((whole & mask).astype(np.int64))],
-                        names=[key, "n", "run"],
-                    )
-                    if k > 1:
-                        high = np.uint64(((1 << 64) - 1) ^ ((1 << 8 * KEY) - 1))
-                        code = np.unique(code & (high | np.uint64((1 << 8 * (k - 1)) - 1)))
+                data = b"".join(texts[start:end])
+                off = np.concatenate([[0], np.cumsum([len(t) for t in texts[start:end]])])
+                code = _codes(np.frombuffer(data, np.uint8))
+                left = np.repeat(off[1:], np.diff(off)) - np.arange(len(code))
+                out: dict[tuple, None] = {}
+                for n, (before, after) in reach.items():
+                    run_ = code & _mask(n)
+                    slot = _slots(run_, n)
+                    hit = (table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool) & (left >= n)
+                    place = np.flatnonzero(hit)
+                    own = np.searchsorted(off, place, side="right") - 1
+                    low = np.maximum(place - before, off[own])
+                    high = np.minimum(place + after, off[own + 1])
+                    # of equal surroundings in a text, one
+                    for i, p, r, a, b in zip(own.tolist(), place.tolist(), run_[place].view(np.int64).tolist(), low.tolist(), high.tolist()):
+                        out[i, n, r, data[a:b], p - a] = None
+                cols = list(zip(*out)) if out else [()] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([i + start for i in cols[0]], pa.int64())), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
+                     pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int32())], names=[key, "n", "run", "around", "at"],
+                )
                 start = end
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text_col).mapInArrow(run, f"{key} {kind}, n int, run long")
-
-
-def alias_keys(aliases: DataFrame) -> DataFrame:
-    """(n, run, alias, symbol): each alias under one run of its bytes, the whole
-    alias where it is shorter than KEY, else the run that the fewest aliases share
-    (then the first by number)."""
-    a = aliases.select("alias", "symbol").where(F.length("alias") > 0).distinct()
-    names = a.select("alias", F.col("alias").alias("_text")).distinct()
-    each = _byte_runs(names, "alias", "_text").where(F.col("n") == F.least(F.octet_length("alias"), F.lit(KEY)))
-    shared = each.groupBy("n", "run").agg(F.count(F.lit(1)).alias("c"))
-    rare = each.join(shared, ["n", "run"]).groupBy("alias").agg(F.min_by(F.struct("n", "run"), F.struct("c", "run")).alias("r"))
-    return a.join(rare.select("alias", "r.n", "r.run"), "alias").select("n", "run", "alias", "symbol")
+    return df.select(key, text_col).mapInArrow(run, f"`{key}` {kind}, n int, run long, around binary, at int")
 
 
 def match_text(items: DataFrame, aliases: DataFrame, text_col: str = "combined_norm", key: str = "item_id") -> DataFrame:
     """(item, symbol) pairs where any alias of the symbol is a substring of the
     item text (T18 raw substring semantics).
 
-    Texts that hold an alias hold its key, a run of at most KEY bytes: the texts'
-    distinct runs meet the alias keys in an equi-join (which Spark broadcasts only
-    after measuring the keys, and splits where a run is hot), and the whole alias is
-    looked for in the texts that are left.  One lazy plan, no size limit.  ``key``
-    is unique among the items; null texts match nothing."""
-    # dealt once, for the runs and for the last join, and into as many tasks as there
-    # are: little text makes many runs, so a size-based merge of tasks would be wrong
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = items.select(key, text_col).repartition(n, key)
+    Texts that hold an alias hold its key, a run of at most KEY bytes.  Tasks look every
+    place of a text up in a bit table of the keys (fixed size, made beforehand from the
+    alias dimension; false positives cost time only), so little but true candidates
+    leaves Python, each with the few bytes around it.  These meet the keys in an
+    equi-join (which Spark broadcasts only after measuring the keys, and splits where a
+    key is hot) and are verified at once; texts are never shuffled.  One plan for every
+    size.  ``key`` is unique among the items; null texts match nothing."""
     keys = alias_keys(aliases)
-    # a bit table of fixed size (RUN_BITS / 64 rows at most, so a bounded broadcast)
-    # spares most runs the shuffle; it decides nothing
-    slot = F.xxhash64("n", "run").bitwiseAND(F.lit(RUN_BITS - 1))
-    word, bit = F.shiftright(slot, 6).alias("_w"), F.expr("cast(xxhash64(n, run) & 63 as int)")
-    words = keys.select(word, bit.alias("_b")).groupBy("_w").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_bits"))
-    runs = _byte_runs(dealt, key, text_col).select("*", word, bit.alias("_b")).join(F.broadcast(words), "_w")
-    runs = runs.where(F.expr("(shiftright(_bits, _b) & 1) = 1")).select(key, "n", "run")
-    maybe = runs.join(keys, ["n", "run"]).select(key, "alias", "symbol")
-    found = dealt.join(maybe, key).where(F.instr(F.col(text_col), F.col("alias")) > 0)
+    hits = _key_hits(items, key, text_col, _key_table(keys))
+    name = F.encode("alias", "UTF-8")
+    whole = F.substring("around", F.col("at") - F.col("offset") + 1, F.octet_length("alias")) == name
+    found = hits.join(keys.drop("slot"), ["n", "run"]).where((F.col("at") >= F.col("offset")) & whole)
     return found.select(key, "symbol").distinct()
 
 

@@ -96,8 +96,8 @@ def histogram(df: DataFrame, value: str | Column, by: list[str] | None = None, b
         F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
         F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"),
     )
-    # The range table has one row per group (a handful of classes / series).
-    j = v.join(F.broadcast(rng), by) if by else v.crossJoin(F.broadcast(rng))
+    # one row per group, of which there may be many; without groups one row
+    j = v.join(rng, by) if by else v.crossJoin(F.broadcast(rng))
     b = F.least(F.floor((F.col("v") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo")))), F.lit(bins - 1))
     counts = j.groupBy(*by, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = rng.select(*by, "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))

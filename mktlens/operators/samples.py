@@ -33,21 +33,25 @@ def window_samples(df: DataFrame, value: str, label: str | None, key: str = "tic
     lab = F.col(label) if label else F.lit(None)
     known = [c for c in ("_i", "_n") if c in df.columns]
     p = positions(df.select(key, F.col(order).alias("_at"), F.col(value).cast("double").alias("_v"), lab.alias("_label"), *known), key, "_at")
+    many = -(-length // step)
+    # a window's last row stands at the same place of its last block, whatever the window
+    ends = F.when(F.col("_i") % step == (length - 1) % step, F.struct("_at", "_label"))
     blocks = (
         p.where(F.col("_n") >= length)
         .groupBy(key, F.floor(F.col("_i") / step).alias("_block"))
-        .agg(F.array_sort(F.collect_list(F.struct("_i", "_v", "_at", "_label"))).alias("_pts"))
+        .agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_pts"), F.max_by(ends, ends.isNotNull()).alias("_end"))
+        .withColumn("_pts", F.transform("_pts", lambda x: x["_v"]))
     )
-    many = -(-length // step)
     size = max(BLOCKS, many)
     chunk = F.floor(F.col("_block") / size)
     back = F.when((F.col("_block") % size < many - 1) & (chunk > 0), chunk - 1)
     dealt = blocks.withColumn("_chunk", F.explode(F.filter(F.array(chunk, back), lambda x: x.isNotNull()))).withColumn("_home", F.col("_chunk") == chunk)
-    w = Window.partitionBy(key, "_chunk").orderBy("_block").rowsBetween(0, many - 1)
-    whole = dealt.withColumn("_pts", F.slice(F.flatten(F.collect_list("_pts").over(w)), 1, length))
-    out = whole.where(F.col("_home") & (F.size("_pts") == length)).select(
-        key, F.col("_block").cast("int").alias("window_no"), F.element_at("_pts", length)["_at"].alias("end_date"),
-        F.element_at("_pts", length)["_label"].alias("label"), F.transform("_pts", lambda s: s["_v"]).alias("values"),
+    w = Window.partitionBy(key, "_chunk").orderBy("_block")
+    over = w.rowsBetween(0, many - 1)
+    whole = dealt.withColumn("_pts", F.flatten(F.collect_list("_pts").over(over))).withColumn("_end", F.lead("_end", many - 1).over(w))
+    out = whole.where(F.col("_home") & (F.size("_pts") >= length)).select(
+        key, F.col("_block").cast("int").alias("window_no"), F.col("_end._at").alias("end_date"),
+        F.col("_end._label").alias("label"), F.slice("_pts", 1, length).alias("values"),
     )
     return out if label else out.drop("label")
 

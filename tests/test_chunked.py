@@ -63,6 +63,15 @@ def test_positions_and_lengths(spark):
     assert rows(C.positions(b, "ticker", "date").select("ticker", "date", "_i", "_n")) == rows(want)
 
 
+def test_rows_without_a_date_and_of_one_time_have_a_place(spark):
+    rows = [("A", None, float(i)) for i in range(3)] + [("A", "2024-01-01", 1.0), ("A", "2024-01-01", 2.0), ("A", "2025-06-01", 3.0), ("B", None, 9.0)]
+    df = spark.createDataFrame(rows, "ticker string, date string, v double").withColumn("date", F.to_date("date"))
+    got = [{tuple(r) for r in C.positions(df.repartition(n), "ticker", "date").select("ticker", "date", "v", "_i", "_n").collect()} for n in (1, 2, 5)]
+    assert got[0] == got[1] == got[2]
+    assert sorted((r[0], r[3], r[4]) for r in got[0]) == [("A", i, 6) for i in range(6)] + [("B", 0, 1)]
+    assert {r[3] for r in got[0] if r[0] == "A" and r[1] is None} == {0, 1, 2}
+
+
 @pytest.mark.parametrize("length,step", [(100, 10), (25, 10), (7, 3), (5, 8)])
 def test_window_samples_against_lists(spark, monkeypatch, length, step):
     monkeypatch.setattr(S, "BLOCKS", 6)
@@ -92,7 +101,7 @@ def test_a_hot_series_is_cut_into_bounded_tasks(spark, monkeypatch):
     assert hot.groupBy(C._bucket("date")).count().agg(F.max("count")).first()[0] <= C.BUCKET_DAYS
 
 
-@pytest.mark.parametrize("name", ["W3_rolling_mean", "W12_change_vs_lag", "X1_build_features", "X8_enrich_history", "X10_window_samples", "J3_alias_text_match", "P6_inf_to_zero"])
+@pytest.mark.parametrize("name", ["W3_rolling_mean", "W12_change_vs_lag", "X1_build_features", "X8_enrich_history", "X10_window_samples", "P6_inf_to_zero"])
 def test_building_a_plan_runs_no_job_but_the_footers(spark, name):
     from mktlens.plans import REGISTRY
 
