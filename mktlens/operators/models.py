@@ -32,8 +32,9 @@ from pyspark.sql import types as T
 
 from mktlens.config import ModelConfig
 from mktlens.functions.sentiment import signed_confidence
-from mktlens.functions.text import extractive_summary
+from mktlens.functions.text import SUMMARY_EMPTY_INPUT, extractive_summary, join_docs, summarise_docs
 from mktlens.operators.metrics import binary_report, roc_auc
+from mktlens.operators.scoring import score
 from mktlens.session import cut_lineage, ensure_checkpoint_dir
 
 HASH_BUCKET_BITS = 16
@@ -55,9 +56,11 @@ def label_quotas(counts: DataFrame, label: str, test_size: float) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str, keys: list[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """M1: adds ``split`` in {'train','test'} with exact per-label test sizes."""
-    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
-    d = df.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 64 - HASH_BUCKET_BITS))
+    """M1: adds ``split`` in {'train','test'} with exact per-label test sizes.  Rows are
+    drawn in the order of the first 60 bits of the MD5 of seed and keys as text, a
+    number that other engines can recompute, then of the keys."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    d = df.withColumn("_h", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")).withColumn("_b", F.shiftright("_h", 60 - HASH_BUCKET_BITS))
     counts = d.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
     quotas = label_quotas(counts, label, test_size)  # one row per class
     bc = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
@@ -87,14 +90,6 @@ def hash_split(df: DataFrame, keys: list[str], test_fraction: float = 0.33, seed
     return df.withColumn("split", F.when(u < test_fraction, F.lit("test")).otherwise(F.lit("train")))
 
 
-def time_split(df: DataFrame, date_col: str, test_fraction: float = 0.2) -> DataFrame:
-    """Opt-in leak-free split: the newest dates form the test set (the cut is
-    one approximate quantile, a single number on the driver)."""
-    d = F.unix_date(F.col(date_col).cast("date"))
-    q = df.select(d.alias("_d")).approxQuantile("_d", [1 - test_fraction], 0.001)[0]
-    return df.withColumn("split", F.when(d > F.lit(int(q)), F.lit("test")).otherwise(F.lit("train")))
-
-
 # ---------------------------------------------------------------- M3-M7
 def assembler_scaler(features: list[str], out: str = "features") -> list:
     """M3: VectorAssembler + StandardScaler(withMean=True).  Spark divides by
@@ -224,14 +219,15 @@ def latest_rows(features: DataFrame, key: str = "ticker") -> DataFrame:
     return features.groupBy(key).agg(F.max_by(F.struct(*cols), "date").alias("r")).select(key, "r.*")
 
 
-def score_latest(model: PipelineModel, features: DataFrame, columns: list[str], cfg: ModelConfig = ModelConfig()) -> DataFrame:
+def score_latest(model: PipelineModel | dict, features: DataFrame, columns: list[str], cfg: ModelConfig = ModelConfig()) -> DataFrame:
     """M9 + M10: newest row per ticker -> model columns (P20) -> probability
-    -> 2-way direction (P22) and 4-way band (P13)."""
+    -> 2-way direction (P22) and 4-way band (P13).  ``model``: a fitted pipeline, or
+    its export (``scoring``), which is scored by native expressions."""
     from mktlens.operators.features import model_matrix
     from mktlens.operators.report import direction_2way, signal_band
 
     latest = model_matrix(latest_rows(features), columns)
-    scored = prob_up(model.transform(latest))
+    scored = score(latest, model) if isinstance(model, dict) else prob_up(model.transform(latest))
     return scored.select(
         "ticker", "date", "close", "probability_up",
         direction_2way("probability_up").alias("direction"),
@@ -239,7 +235,7 @@ def score_latest(model: PipelineModel, features: DataFrame, columns: list[str],
     )
 
 
-# ---------------------------------------------------------------- M11 / M12
+# ---------------------------------------------------------------- M11 (M12: forest.py)
 def interval_tree(train_df: DataFrame, feature_cols: list[str], label: str = "label", depth: int = 10, seed: int = 42) -> PipelineModel:
     """Decision tree (depth 10) on interval statistics."""
     va = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
@@ -247,19 +243,6 @@ def interval_tree(train_df: DataFrame, feature_cols: list[str], label: str = "la
     return Pipeline(stages=[va, dt]).fit(train_df)
 
 
-def interval_forest(train_df: DataFrame, feature_cols: list[str], label: str = "label", trees: int = 100, seed: int = 42) -> PipelineModel:
-    """Random forest on interval statistics."""
-    va = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, seed=seed)
-    return detach(Pipeline(stages=[va, rf]).fit(train_df), train_df.sparkSession)
-
-
-def importances(model: PipelineModel, feature_cols: list[str]) -> list[tuple[str, float]]:
-    """Feature importances (a fixed-length vector of the fitted model)."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    return list(zip(feature_cols, imp))
-
-
 # ---------------------------------------------------------------- M14 / M15
 def text_scorer(df: DataFrame, text_col: str, model_factory: Callable[[], Callable[[list[str]], list[tuple[str, float]]]],
                 batch_size: int = 16) -> DataFrame:
@@ -289,23 +272,43 @@ def text_scorer(df: DataFrame, text_col: str, model_factory: Callable[[], Callab
     )
 
 
-def summariser(docs_text: DataFrame, text_col: str, model_factory: Callable[[], Callable[[list[str]], list[str | None]]] | None = None) -> DataFrame:
-    """Summariser hook with fallback to the extractive summary (F9) when
-    no model is given or it returns NULL."""
+def summariser(df: DataFrame, docs_col: str, model_factory: Callable[[], Callable[[list[str]], list[str | None]]] | None = None,
+               model_name: str = "model", batch_size: int = 16) -> DataFrame:
+    """The summary of an array of texts, joined and cut (F10), by a model.
+
+    ``model_factory`` is called once per task and returns a function texts ->
+    summaries.  Where there is no model, it gives NULL or nothing, or fails (a batch
+    that fails is tried text by text), the extractive summary (F9) is taken and
+    ``used_model`` is NULL, else ``model_name``.  Nothing to summarise: the default
+    sentence, without the model.  Adds summary and used_model."""
+    joined = df.withColumn("_joined", F.coalesce(join_docs(docs_col), F.lit("")))
     if model_factory is None:
-        return docs_text.withColumn("summary", extractive_summary(text_col)).withColumn("used_model", F.lit(None).cast("string"))
+        return joined.withColumn("summary", summarise_docs(docs_col)).withColumn("used_model", F.lit(None).cast("string")).drop("_joined")
+
+    def attempt(fn, texts: list[str]) -> list[str | None]:
+        try:
+            found = list(fn(texts))
+            if len(found) == len(texts):
+                return found
+        except Exception:  # a user's model may fail in any way; the row falls back
+            pass
+        return [None] if len(texts) == 1 else [x for t in texts for x in attempt(fn, [t])]
 
     def run(batches):
         fn = model_factory()
         for pdf in batches:
-            out = pdf.copy()
-            out["_model_summary"] = pd.Series(fn(pdf[text_col].fillna("").astype(str).tolist()), dtype="object", index=pdf.index)
-            yield out
-
-    s = docs_text.mapInPandas(run, schema=T.StructType(list(docs_text.schema.fields) + [T.StructField("_model_summary", T.StringType())]))
-    return s.withColumn("summary", F.coalesce("_model_summary", extractive_summary(text_col))).withColumn(
-        "used_model", F.when(F.col("_model_summary").isNotNull(), F.lit("model"))
-    ).drop("_model_summary")
+            known = [i for i, t in enumerate(pdf["_joined"]) if t]
+            out: list[str | None] = [None] * len(pdf)
+            for at in range(0, len(known), batch_size):
+                part = known[at : at + batch_size]
+                for i, x in zip(part, attempt(fn, [pdf["_joined"].iloc[i] for i in part])):
+                    out[i] = x or None
+            yield pdf.assign(_model=pd.Series(out, dtype="object", index=pdf.index))
+
+    s = joined.mapInPandas(run, schema=T.StructType([*joined.schema.fields, T.StructField("_model", T.StringType())]))
+    return s.withColumn("summary", F.coalesce("_model", F.when(F.col("_joined") == "", F.lit(SUMMARY_EMPTY_INPUT)).otherwise(extractive_summary("_joined")))).withColumn(
+        "used_model", F.when(F.col("_model").isNotNull(), F.lit(model_name))
+    ).drop("_model", "_joined")
 
 
 def n_test_rows(n: int, test_size: float) -> int:

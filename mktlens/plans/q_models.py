@@ -5,24 +5,31 @@ sizes, scaler moments, interval statistics, the summariser fallback) has an
 oracle."""
 from __future__ import annotations
 
+import os
 import uuid
+from functools import lru_cache
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from mktlens.config import ModelConfig
+from mktlens.functions import text as TX
 from mktlens.operators import features as X
+from mktlens.operators import forest as TF
 from mktlens.operators import models as MD
 from mktlens.operators import samples as S
-from mktlens.plans.q_features import x1_build_features
+from mktlens.operators import scoring as SC
+from mktlens.operators.news import NEWS_FEATURE_COLUMNS
+from mktlens.plans.q_features import annotated_news, x1_build_features
 from mktlens.plans.q_metrics import X1_CTES
-from mktlens.plans.q_report import _summary_sql
+from mktlens.plans.q_report import SIGNAL_SQL, _joined_sql, _summary_sql
 from mktlens.plans.q_windows import LABEL_CTES, SAMPLES_SQL, x10_window_samples
 from mktlens.plans.registry import register, with_ctes
+from mktlens.plans.sqlparts import feature_matrix_sql, news_aggregates_sql, price_features_sql
 from mktlens.session import ensure_checkpoint_dir
 from mktlens.sources import fixtures as fx
-from mktlens.sources.stubs import stub_model_factory
+from mktlens.sources.stubs import stub_model_factory, stub_summariser_factory
 
 # Configured forest of the reference training config (fixed values).
 TRAIN_CFG = ModelConfig(estimator="random_forest", test_size=0.2, random_state=42, params={"n_estimators": 200, "max_depth": 5})
@@ -40,13 +47,14 @@ def scratch(spark, name: str) -> str:
 q0 AS (SELECT label, count, ceil(n * 0.2) AS n_test, count * ceil(n * 0.2) / n AS ex FROM c, (SELECT sum(count) AS n FROM c)),
 q1 AS (SELECT label, count, floor(ex) AS base, ex - floor(ex) AS rem, n_test - sum(floor(ex)) OVER () AS lft,
               row_number() OVER (ORDER BY ex - floor(ex) DESC, label) AS k FROM q0),
-q AS (SELECT label, count, CAST(base + CASE WHEN k <= lft THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q1)""",
-    body="SELECT label, 'test' AS split, quota AS count FROM q UNION ALL SELECT label, 'train', count - quota FROM q"))
+q AS (SELECT label, count, CAST(base + CASE WHEN k <= lft THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q1),
+drawn AS (SELECT ticker, date, CAST(target_direction AS DOUBLE) AS label, row_number() OVER (PARTITION BY target_direction
+  ORDER BY CAST('0x' || substr(md5('42|' || ticker || '|' || strftime(date, '%Y-%m-%d')), 1, 15) AS BIGINT), ticker, date) AS place FROM x1)""",
+    body="SELECT ticker, date, label, CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS split FROM drawn JOIN q USING (label)"))
 def m1_stratified_split(spark, sf_dir):
-    """Exact stratified hold-out (20 %, seed 42): rows per (label, split)."""
+    """Exact stratified hold-out (20 %, seed 42): the split of every row."""
     d = x1_build_features(spark, sf_dir).withColumn("label", F.col("target_direction").cast("double"))
-    s = MD.stratified_split(d, "label", ["ticker", "date"], 0.2, 42)
-    return s.groupBy("label", "split").agg(F.count(F.lit(1)).alias("count"))
+    return MD.stratified_split(d, "label", ["ticker", "date"], 0.2, 42).select("ticker", "date", "label", "split")
 
 
 @register("M2_hash_split", sql=with_ctes(*LABEL_CTES, SAMPLES_SQL, body="""SELECT ticker, window_no,
@@ -106,22 +114,44 @@ def m8_train(spark, sf_dir):
     return _train(spark, sf_dir, TRAIN_CFG)[2]
 
 
-@register("M9_latest_prediction")
+# Models fitted by tools/export_model.py on the feature matrix, as saved for scoring.
+HERE = os.path.dirname(os.path.abspath(__file__))
+SAVED_LOGISTIC = SC.load(f"{HERE}/saved_logistic.json")
+SAVED_FOREST = SC.load(f"{HERE}/saved_forest.json")
+LIST_SUM = "list_reduce([0E0, {0}], lambda a, x: a + x)"
+
+M9_SQL = with_ctes(fx.BARS_SQL, price_features_sql(), "latest AS (SELECT *, " + ", ".join(
+    f"0 AS {c}" for c in NEWS_FEATURE_COLUMNS if c in X.MODEL_FEATURES) + " FROM price QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1)",
+    body=f"""SELECT ticker, date, close, probability_up, CASE WHEN probability_up >= 0.5 THEN 'up' ELSE 'down' END AS direction
+FROM (SELECT ticker, date, close, {SC.probability_sql(SAVED_LOGISTIC, LIST_SUM)} AS probability_up FROM latest)""")
+
+
+@register("M9_latest_prediction", sql=M9_SQL, dbl=("close", "probability_up"))
 def m9_latest_prediction(spark, sf_dir):
-    """Newest row per ticker scored by a fitted model: probability and direction."""
-    model, _, _ = _train(spark, sf_dir, ModelConfig(estimator="logistic_regression"))
+    """Newest row per ticker scored by a saved logistic regression as an expression: probability and direction."""
     feats = X.build_features_for_inference(fx.bars(spark, sf_dir), None)
-    return MD.score_latest(model, feats, X.MODEL_FEATURES).select("ticker", "date", "close", "probability_up", "direction")
+    return MD.score_latest(SAVED_LOGISTIC, feats, X.MODEL_FEATURES).select("ticker", "date", "close", "probability_up", "direction")
 
 
-@register("M10_score_probability")
-def m10_score_probability(spark, sf_dir):
-    """Probability + four-way band for the latest inference row per ticker."""
-    model, _, _ = _train(spark, sf_dir, ModelConfig(estimator="logistic_regression"))
-    from mktlens.plans.q_features import annotated_news
+M10_SQL = with_ctes(fx.BARS_SQL, fx.NEWS_SQL, fx.ANNOTATED_SQL, price_features_sql(), news_aggregates_sql(), "x2 AS (" + feature_matrix_sql(train=False) + ")",
+                    body=f"""SELECT ticker, p AS probability_up, {SIGNAL_SQL} AS signal
+FROM (SELECT ticker, {SC.probability_sql(SAVED_FOREST, LIST_SUM)} AS p FROM x2 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1)""")
+
 
+@register("M10_score_probability", sql=M10_SQL, dbl=("probability_up",))
+def m10_score_probability(spark, sf_dir):
+    """Probability of a saved forest + four-way band for the latest inference row per ticker."""
     feats = X.build_features_for_inference(fx.bars(spark, sf_dir), annotated_news(spark, sf_dir))
-    return MD.score_latest(model, feats, X.MODEL_FEATURES).select("ticker", "probability_up", "signal")
+    return MD.score_latest(SAVED_FOREST, feats, X.MODEL_FEATURES).select("ticker", "probability_up", "signal")
+
+
+@register("M10_fitted_expressions")
+def m10_fitted_expressions(spark, sf_dir):
+    """A regression fitted on the feature matrix, then the newest rows scored by the pipeline and by its expression."""
+    model, _, _ = _train(spark, sf_dir, ModelConfig(estimator="logistic_regression"))
+    latest = X.model_matrix(MD.latest_rows(X.build_features_for_inference(fx.bars(spark, sf_dir), annotated_news(spark, sf_dir))), X.MODEL_FEATURES)
+    scored = MD.prob_up(model.transform(latest), "by_pipeline").drop("features", "_raw", "rawPrediction", "probability", "prediction")
+    return SC.score(scored, SC.export(model), "by_expression").select("ticker", "date", "by_pipeline", "by_expression")
 
 
 # ---------------------------------------------------------------- F16 / F19 / M11 / M12
@@ -170,30 +200,38 @@ def _interval_split(spark, sf_dir):
 
 @register("M11_interval_tree")
 def m11_interval_tree(spark, sf_dir):
-    """Depth-10 decision tree on interval statistics: accuracy per split."""
+    """Depth-10 decision tree on interval statistics: predictions of both splits."""
     s = _interval_split(spark, sf_dir)
     m = MD.interval_tree(s.where(F.col("split") == "train"), list(F16_DBL), "label", 10)
-    p = m.transform(s)
-    return p.groupBy("split").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-                                  F.count(F.lit(1)).alias("n"))
+    return m.transform(s).select("vec_id", "split", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"))
+
+
+@lru_cache(maxsize=1)
+def _forest(spark, sf_dir):
+    """(series with their split, a forest of 100 trees fitted on the training part)."""
+    s = MD.hash_split(fx.series(spark, sf_dir), ["vec_id"], 0.33, 42)
+    return s, TF.fit(s.where(F.col("split") == "train"), "values", "label", trees=100)
 
 
 @register("M12_interval_forest")
 def m12_interval_forest(spark, sf_dir):
-    """Random forest (100 trees) on interval statistics: hold-out predictions and probabilities."""
-    s = _interval_split(spark, sf_dir)
-    m = MD.interval_forest(s.where(F.col("split") == "train"), list(F16_DBL), "label")
-    p = m.transform(s.where(F.col("split") == "test"))
-    return p.select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
-                    vector_to_array("probability").alias("probabilities"))
+    """Time-series forest (100 trees, each on intervals of its own): hold-out predictions and probabilities."""
+    s, forest = _forest(spark, sf_dir)
+    p = TF.predict(s.where(F.col("split") == "test"), forest)
+    return p.select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"), "probabilities")
 
 
 @register("M12_forest_importances")
 def m12_forest_importances(spark, sf_dir):
-    """Feature importances of the same forest."""
-    s = _interval_split(spark, sf_dir)
-    m = MD.interval_forest(s.where(F.col("split") == "train"), list(F16_DBL), "label")
-    return spark.createDataFrame(MD.importances(m, list(F16_DBL)), "feature string, importance double")
+    """Importances of the same forest by tree, interval and statistic."""
+    return TF.importances(spark, _forest(spark, sf_dir)[1])
+
+
+@register("M12_temporal_importances")
+def m12_temporal_importances(spark, sf_dir):
+    """Importances of the same forest by statistic and point of time."""
+    forest = _forest(spark, sf_dir)[1]
+    return TF.temporal_importances(TF.importances(spark, forest), forest.length)
 
 
 # ---------------------------------------------------------------- S14
@@ -223,11 +261,15 @@ def m14_text_scorer(spark, sf_dir):
     return MD.text_scorer(d, "text", stub_model_factory, 16).select("doc_id", "model_label", "model_confidence", "sentiment_score")
 
 
-@register("M15_summariser", sql=f"SELECT doc_id, {_summary_sql('text')} AS summary, CAST(NULL AS VARCHAR) AS used_model FROM documents")
+M15_JOINED = _joined_sql("[text]")
+
+
+@register("M15_summariser", sql=f"""SELECT doc_id, CASE WHEN j = '' THEN '{TX.SUMMARY_EMPTY_INPUT}' WHEN length(j) % 5 > 2 THEN length(j) || ': ' || substr(j, 1, 60) ELSE {_summary_sql('j')} END AS summary,
+  CASE WHEN j <> '' AND length(j) % 5 > 2 THEN 'stub' END AS used_model FROM (SELECT doc_id, coalesce({M15_JOINED}, '') AS j FROM documents)""")
 def m15_summariser(spark, sf_dir):
-    """Summariser hook without a model: falls back to the extractive summary."""
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return MD.summariser(d, "text", None).select("doc_id", "summary", "used_model")
+    """Summariser hook over whole documents: the model's text, or the extractive summary where it fails or gives nothing."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("docs"))
+    return MD.summariser(d, "docs", stub_summariser_factory, "stub").select("doc_id", "summary", "used_model")
 
 
 # ---------------------------------------------------------------- S8 / S9

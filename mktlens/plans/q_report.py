@@ -2,17 +2,21 @@
 (P9, P13-P15, P22, O2-O5, F9-F11, F13, F18, A6, U1, U2, U4, X5, X6)."""
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from mktlens.config import ModelConfig
 from mktlens.functions import text as TX
 from mktlens.operators import bars as B
 from mktlens.operators import features as X
+from mktlens.operators import models as MD
 from mktlens.operators import news as N
 from mktlens.operators import report as R
+from mktlens.operators import scoring as SC
 from mktlens.plans.q_features import annotated_news
 from mktlens.plans.registry import register, with_ctes
-from mktlens.plans.sqlparts import strip_sql
+from mktlens.plans.sqlparts import feature_matrix_sql, news_aggregates_sql, price_features_sql, strip_sql
 from mktlens.sources import fixtures as fx
 
 AS_OF = "1996-10-01"
@@ -221,19 +225,26 @@ def p15_explanation(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- X5 / X6
+# The model that the report asks, as saved by tools/export_model.py.
+SAVED_FOREST = SC.load(os.path.join(os.path.dirname(os.path.abspath(__file__)), "saved_forest.json"))
 PRICE_WINDOW_SQL = f"""pw AS (SELECT * FROM bars WHERE ticker IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL
   AND date >= DATE '{AS_OF}' - {PRICE_DAYS} AND date < DATE '{AS_OF}' + 1),
+{price_features_sql("pw")},
+{news_aggregates_sql("nw")},
+inference AS ({feature_matrix_sql(train=False)}),
+prob AS (SELECT ticker AS symbol, {SC.probability_sql(SAVED_FOREST, "list_reduce([0E0, {0}], lambda a, x: a + x)")} AS p
+         FROM inference QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1),
 pm AS (SELECT ticker AS symbol, close AS latest_close, CASE WHEN base IS NOT NULL AND base <> 0 THEN close / base - 1 END AS price_change_30d
        FROM (SELECT ticker, close, lag(close, 21) OVER (PARTITION BY ticker ORDER BY date) AS base,
                     row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rk FROM pw) WHERE rk = 1),
 sent AS (SELECT ticker AS symbol, avg(sentiment_score) AS sentiment_mean, count(*) AS news_count FROM nw GROUP BY ticker),
 comp AS (SELECT DISTINCT ticker AS symbol, ticker AS company FROM bars),
 rep AS (
-  SELECT c.symbol, c.company, CAST(NULL AS DOUBLE) AS probability_up, CAST(NULL AS VARCHAR) AS direction,
+  SELECT c.symbol, c.company, p AS probability_up, {SIGNAL_SQL} AS direction,
          pm.latest_close, pm.price_change_30d, s.sentiment_mean, coalesce(s.news_count, 0) AS news_count,
          {_summarise_docs_sql('coalesce(d.docs, CAST([] AS VARCHAR[]))')} AS summary,
-         {explanation_sql('CAST(NULL AS DOUBLE)', 'pm.price_change_30d', 's.sentiment_mean')} AS explanation
-  FROM comp c LEFT JOIN pm USING (symbol) LEFT JOIN sent s USING (symbol) LEFT JOIN docs d ON d.ticker = c.symbol)"""
+         {explanation_sql('p', 'pm.price_change_30d', 's.sentiment_mean')} AS explanation
+  FROM comp c LEFT JOIN prob USING (symbol) LEFT JOIN pm USING (symbol) LEFT JOIN sent s USING (symbol) LEFT JOIN docs d ON d.ticker = c.symbol)"""
 
 REPORT_CTES = (fx.BARS_SQL, fx.NEWS_SQL, fx.ANNOTATED_SQL, NEWS_WINDOW_SQL, DOCS_SQL, PRICE_WINDOW_SQL)
 
@@ -245,13 +256,14 @@ def _reports(spark, sf_dir):
     nw = news_window(spark, sf_dir)
     feats = X.build_features_for_inference(pw, nw)
     comps = bars.select(F.col("ticker").alias("symbol"), F.col("ticker").alias("company")).distinct()
-    return R.company_report(comps, feats, nw, None, MC), nw
+    probabilities = MD.score_latest(SAVED_FOREST, feats, X.MODEL_FEATURES, MC)
+    return R.company_report(comps, feats, nw, probabilities, MC), nw
 
 
 @register("X5_company_report", sql=with_ctes(*REPORT_CTES, body="SELECT * FROM rep"),
           dbl=("probability_up", "latest_close", "price_change_30d", "sentiment_mean"))
 def x5_company_report(spark, sf_dir):
-    """One advisory report row per company (no model column)."""
+    """One advisory report row per company, with a saved forest's probability and signal."""
     return _reports(spark, sf_dir)[0]
 
 

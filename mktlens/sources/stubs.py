@@ -24,3 +24,18 @@ def stub_model_factory():
         return out
 
     return predict
+
+
+def stub_summariser_factory():
+    """Stand-in for a user summariser that sometimes gives nothing and sometimes fails."""
+
+    def summarise(texts):
+        out = []
+        for t in texts:
+            kind = len(t) % 5
+            if kind == 0:
+                raise RuntimeError("the model failed")
+            out.append(None if kind == 1 else "" if kind == 2 else f"{len(t)}: {t[:60]}")
+        return out
+
+    return summarise

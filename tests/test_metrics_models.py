@@ -68,7 +68,7 @@ def test_text_scorer_sign_rule(spark):
 
 def test_summariser_fallback(spark):
     df = spark.createDataFrame([(1, "One. Two. Three. Four."), (2, "...")], "id long, text string")
-    out = {r.id: r.summary for r in MD.summariser(df, "text", None).collect()}
+    out = {r.id: r.summary for r in MD.summariser(df.select("id", F.array("text").alias("docs")), "docs").collect()}
     assert out[1] == "One. Two. Three." and out[2].startswith("Нет достаточной")
 
 
