@@ -450,10 +450,9 @@ def x11_company_news(spark, sf_dir):
     return N.annotate_news(local, "full_text", FIXTURE_LEXICON)
 
 
-@register("S17_feed_company_news", sql=with_ctes(*J3_CTES, body=f"""SELECT ticker, count(*) AS n_items, min(seen_datetime) AS first_seen, max(seen_datetime) AS last_seen
-FROM ({X11_BODY}) GROUP BY ticker"""))
+@register("S17_feed_company_news", sql=with_ctes(*J3_CTES, body=f"""SELECT ticker, seen_datetime, date, title, url, language, source, sentiment_label
+FROM ({X11_BODY})"""))
 def s17_feed_company_news(spark, sf_dir):
-    """Feed items -> per-company news for the last 60 days (counts per company)."""
+    """Feed items -> per-company news of the last 60 days, in the news schema."""
     n = x11_company_news(spark, sf_dir)
-    return n.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_items"), F.min("seen_datetime").alias("first_seen"),
-                                   F.max("seen_datetime").alias("last_seen"))
+    return n.select("ticker", "seen_datetime", "date", "title", "url", "language", "source", "sentiment_label")

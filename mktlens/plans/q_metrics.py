@@ -2,12 +2,16 @@
 (A7, A10-A16, A18, F17, M13 metrics part)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mktlens.operators import metrics as M
+from mktlens.operators import sketches as SK
 from mktlens.plans.q_features import x1_build_features
 from mktlens.plans.registry import register, with_ctes
 from mktlens.plans.sqlparts import feature_matrix_sql, news_aggregates_sql, price_features_sql
+from mktlens.session import ensure_checkpoint_dir
 from mktlens.sources import fixtures as fx
 
 X1_CTES = (fx.BARS_SQL, fx.NEWS_SQL, fx.ANNOTATED_SQL, price_features_sql(), news_aggregates_sql(),
@@ -126,6 +130,19 @@ def a18_distinct_tickers(spark, sf_dir):
     return fx.bars(spark, sf_dir).agg(F.countDistinct("ticker").alias("n_tickers"))
 
 
+@register("A18_distinct_sketches", sql=with_ctes(fx.NEWS_SQL, body="""SELECT coalesce(strftime(date, '%Y-%m'), '') AS month, count(DISTINCT url) AS n_urls, true AS close
+FROM news GROUP BY ALL"""))
+def a18_distinct_sketches(spark, sf_dir):
+    """Distinct urls by month: exact, and whether the union of stored daily sketches comes within four standard errors."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/mktlens-scratch/sketches-{uuid.uuid4().hex[:12]}"
+    n = fx.news(spark, sf_dir).withColumn("month", F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("")))
+    SK.sketches(n, ["month", "date"], "url").write.parquet(path)
+    about = SK.counts(SK.united(spark.read.parquet(path), ["month"]), "about")
+    exact = n.groupBy("month").agg(F.countDistinct("url").alias("n_urls"))
+    close = F.abs(F.col("about") - F.col("n_urls")) <= F.greatest(F.lit(1.0), 4 * SK.error() * F.col("n_urls"))
+    return exact.join(about, "month").select("month", "n_urls", close.alias("close"))
+
+
 @register("F17_argmax_class", sql=with_ctes(fx.SCORES_SQL, body="""SELECT l_orderkey, l_linenumber,
   CASE WHEN (1 - p) / 2 >= p THEN 0 ELSE 1 END AS pred FROM scores"""))
 def f17_argmax_class(spark, sf_dir):

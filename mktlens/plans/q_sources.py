@@ -4,6 +4,8 @@ feature-matrix parts (A1-A5, J1, J2, X3, F6-F8), sorts (O1, O7-O9) and the
 training run (X7)."""
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from mktlens.config import FeatureConfig, ModelConfig
@@ -181,21 +183,29 @@ def s4_feed_read(spark, sf_dir):
 
 @register("S7_persist_features", sql=with_ctes(*X1_CTES, body="SELECT * FROM x1"), dbl=FEATURE_DOUBLES)
 def s7_persist_features(spark, sf_dir):
-    """Features persisted partitioned by ticker and read back."""
+    """Features persisted by month, ranged by (date, ticker), and read back."""
     path = scratch(spark, "features-parquet")
     x = x1_build_features(spark, sf_dir)
-    x.write.mode("overwrite").partitionBy("ticker").parquet(path)
-    return spark.read.schema(x.schema).parquet(path).select(*x.columns)
+    RD.write_by_period(x, path)
+    return RD.read_periods(spark, path, schema=x.schema).select(*x.columns)
+
+
+@register("S7_recent_features", sql=with_ctes(*X1_CTES, body=f"SELECT * FROM x1 WHERE date BETWEEN DATE '{AS_OF}' - 60 AND DATE '{AS_OF}'"), dbl=FEATURE_DOUBLES)
+def s7_recent_features(spark, sf_dir):
+    """Features persisted by month, the last 60 days read back from their months' folders."""
+    path = scratch(spark, "features-by-month")
+    x = x1_build_features(spark, sf_dir)
+    RD.write_by_period(x, path)
+    since = str(dt.date.fromisoformat(AS_OF) - dt.timedelta(days=60))
+    return RD.read_periods(spark, path, since, AS_OF, schema=x.schema).select(*x.columns)
 
 
 # ---------------------------------------------------------------- S10 / S11 / S12 / S13
 FILE_SQL = "CAST(substr(ticker, 7) AS INTEGER) % 3"
 
 
-@register("S10_history_files", sql=with_ctes(fx.BARS_SQL, body=f"""SELECT {FILE_SQL} AS file_no, ticker AS Ticker, strftime(date, '%Y-%m-%d') AS Date,
-  close, CASE WHEN {FILE_SQL} <> 1 THEN volume END AS volume FROM bars"""), dbl=("close", "volume"))
-def s10_history_files(spark, sf_dir):
-    """History files with their columns in different orders, one without volume, united by name."""
+def history_files(spark, sf_dir):
+    """History CSV files, their columns in different orders, one without volume: their paths."""
     root = scratch(spark, "history")
     b = fx.bars(spark, sf_dir).select((F.substring("ticker", 7, 10).cast("int") % 3).alias("file_no"), F.col("ticker").alias("Ticker"),
                                       F.date_format("date", "yyyy-MM-dd").alias("Date"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
@@ -203,9 +213,34 @@ def s10_history_files(spark, sf_dir):
     paths = [f"{root}/part_{k}" for k in range(3)]
     for k, names in enumerate(headers):
         b.where(F.col("file_no") == k).select(*names).write.option("header", True).mode("overwrite").csv(paths[k])
-    h = RD.read_history_files(spark, paths)
-    return h.select(F.regexp_extract("source_file", r"part_(\d+)", 1).cast("int").alias("file_no"), "Ticker", "Date",
-                    F.col("Close").cast("double").alias("close"), F.col("Volume").cast("double").alias("volume"))
+    return paths
+
+
+FILE_NO = F.regexp_extract("source_file", r"part_(\d+)/", 1).cast("int").alias("file_no")
+
+
+@register("S10_history_files", sql=with_ctes(fx.BARS_SQL, body=f"""SELECT {FILE_SQL} AS file_no, ticker AS Ticker, strftime(date, '%Y-%m-%d') AS Date,
+  close, CASE WHEN {FILE_SQL} <> 1 THEN volume END AS volume FROM bars"""), dbl=("close", "volume"))
+def s10_history_files(spark, sf_dir):
+    """History files with their columns in different orders, one without volume, united by name."""
+    h = RD.read_history_files(spark, history_files(spark, sf_dir))
+    return h.select(FILE_NO, "Ticker", "Date", F.col("Close").cast("double").alias("close"), F.col("Volume").cast("double").alias("volume"))
+
+
+@register("S10_running_tickers", sql=with_ctes(fx.BARS_SQL, f"""f AS (
+  SELECT {FILE_SQL} AS file_no, ticker FROM bars UNION ALL SELECT 3 + {FILE_SQL}, 'X' || ticker FROM bars WHERE volume > 30 UNION ALL SELECT 3 + {FILE_SQL}, ticker FROM bars),
+firsts AS (SELECT ticker, min(file_no) AS file_no FROM f GROUP BY ticker)""", body="""SELECT file_no, n_rows, coalesce(c, 0) AS new,
+  CAST(sum(coalesce(c, 0)) OVER (ORDER BY file_no) AS BIGINT) AS so_far
+FROM (SELECT file_no, count(*) AS n_rows FROM f GROUP BY file_no) LEFT JOIN (SELECT file_no, count(*) AS c FROM firsts GROUP BY file_no) USING (file_no)"""))
+def s10_running_tickers(spark, sf_dir):
+    """Rows, new tickers and distinct tickers so far, file by file, over history read twice with some new names."""
+    from mktlens.operators.ingest import running_distinct
+
+    h = RD.read_history_files(spark, history_files(spark, sf_dir)).select(FILE_NO, "Ticker")
+    b = fx.bars(spark, sf_dir).withColumn("file_no", F.substring("ticker", 7, 10).cast("int") % 3 + 3)
+    again = b.select("file_no", F.col("ticker").alias("Ticker"))
+    renamed = b.where("volume > 30").select("file_no", F.concat(F.lit("X"), "ticker").alias("Ticker"))
+    return running_distinct(h.unionByName(again).unionByName(renamed), "file_no", "Ticker")
 
 
 @register("S11_wide_to_long", sql=with_ctes(fx.BARS_SQL, body="SELECT date, ticker, close AS Close, volume AS Volume FROM bars"), dbl=("Close", "Volume"))
@@ -213,10 +248,8 @@ def s11_wide_to_long(spark, sf_dir):
     """Wide (date x ticker|field) table of all tickers reshaped back to long rows; all-missing rows dropped."""
     b = fx.bars(spark, sf_dir)
     brands = fx.table(spark, sf_dir, "part").select("p_brand").distinct()
-    # the columns of a wide table are its schema: read once, a bounded list
-    tickers = sorted(r[0] for r in brands.limit(10_001).collect())
-    if len(tickers) > 10_000:
-        raise ValueError("too many tickers for a wide table")
+    # the columns of a wide table are its schema, which the driver holds in any case
+    tickers = sorted(r[0] for r in brands.collect())
     wide = b.groupBy("date").pivot("ticker", tickers).agg(F.first("close").alias("Close"), F.first("volume").alias("Volume"))
     wide = wide.select("date", *[F.col(f"`{t}_{f}`").alias(f"{t}|{f}") for t in tickers for f in ("Close", "Volume")])
     long = RD.wide_to_long(wide, "date", tickers, ["Close", "Volume"])
@@ -283,35 +316,57 @@ def s15_news_sources(spark, sf_dir):
     return filter_sources(cat, ids)
 
 
-@register("S16_news_query_plan", sql=with_ctes(fx.NEWS_SQL, """win AS (
-  SELECT t.ticker, unnest(generate_series(DATE '1996-01-01', DATE '1996-10-01', INTERVAL 7 DAY)) AS ws FROM (SELECT DISTINCT ticker FROM news) t),
-w2 AS (SELECT ticker, CAST(ws AS DATE) AS window_start, CAST(least(ws + INTERVAL 6 DAY, DATE '1996-10-01') AS DATE) AS window_end FROM win),
-hits AS (SELECT w2.ticker, w2.window_start, n.doc_id,
-                row_number() OVER (PARTITION BY w2.ticker, w2.window_start ORDER BY n.seen_datetime DESC, n.doc_id) AS rn
-         FROM w2 JOIN news n ON n.ticker = w2.ticker AND n.date BETWEEN w2.window_start AND w2.window_end)""",
-    body="""SELECT w2.ticker, w2.window_start, w2.window_end, coalesce(h.n_kept, 0) AS n_kept FROM w2 LEFT JOIN (
-  SELECT ticker, window_start, count(*) AS n_kept FROM hits WHERE rn <= 3 GROUP BY ALL) h USING (ticker, window_start)"""))
+PERIOD_START, PERIOD_END = "1996-01-01", "1996-10-01"
+QUERY_TERMS = ["the", "tion", "ent", "que", "der"]
+TERMS_SQL = f"""tick AS (SELECT DISTINCT ticker FROM news WHERE ticker IS NOT NULL),
+qterms AS (SELECT ticker, term FROM (SELECT ticker, unnest([ticker, {QUERY_TERMS}[CAST(substr(ticker, 7) AS INTEGER) % 5 + 1], {QUERY_TERMS}[(CAST(substr(ticker, 7) AS INTEGER) + 2) % 5 + 1]]) AS term FROM tick)),
+win AS (SELECT ticker, term, unnest(generate_series(DATE '{PERIOD_START}', DATE '{PERIOD_END}', INTERVAL 7 DAY)) AS ws FROM qterms),
+w2 AS (SELECT ticker, term, CAST(ws AS DATE) AS window_start, CAST(least(ws + INTERVAL 6 DAY, DATE '{PERIOD_END}') AS DATE) AS window_end FROM win)"""
+
+
+def query_terms(news):
+    """(ticker, term): the symbol and two words."""
+    number = F.substring("ticker", 7, 10).cast("int")
+    words = F.array(*[F.lit(t) for t in QUERY_TERMS])
+    pick = lambda k: F.element_at(words, ((number + k) % 5 + 1).cast("int"))
+    return news.select("ticker").where("ticker is not null").distinct().select("ticker", F.explode(F.array("ticker", pick(0), pick(2))).alias("term"))
+
+
+@register("S16_query_windows", sql=with_ctes(fx.NEWS_SQL, TERMS_SQL, body="SELECT * FROM w2"))
+def s16_query_windows(spark, sf_dir):
+    """Query plan: 7-day windows per ticker and term over the period."""
+    from mktlens.operators.ingest import query_windows
+
+    return query_windows(query_terms(fx.news(spark, sf_dir)), PERIOD_START, PERIOD_END, 7)
+
+
+@register("S16_news_query_plan", sql=with_ctes(fx.NEWS_SQL, TERMS_SQL, """hits AS (
+  SELECT w2.ticker, w2.term, w2.window_start, w2.window_end, n.doc_id, n.title, n.url, n.seen_datetime,
+         row_number() OVER (PARTITION BY w2.ticker, w2.term, w2.window_start ORDER BY n.seen_datetime DESC, n.doc_id) AS rn
+  FROM w2 JOIN news n ON n.ticker = w2.ticker AND n.date BETWEEN w2.window_start AND w2.window_end
+       AND contains(lower(n.title || ' ' || n.full_text), lower(w2.term)))""",
+    body="""SELECT ticker, window_start, window_end, doc_id, list_sort(list(term)) AS terms, title, url, seen_datetime
+FROM hits WHERE rn <= 3 GROUP BY ticker, window_start, window_end, doc_id, title, url, seen_datetime"""))
 def s16_news_query_plan(spark, sf_dir):
-    """Query plan: 7-day windows per ticker over the period, at most 3 items kept per window."""
-    from mktlens.operators.ingest import capped_window_hits, query_windows
+    """What the plan finds: per ticker, term and 7-day window the newest 3 items, terms united, a row per item."""
+    from mktlens.operators.ingest import window_items
 
-    n = fx.news(spark, sf_dir)
-    tick = n.select("ticker").distinct()
-    w = query_windows(tick, "1996-01-01", "1996-10-01", 7)
-    return capped_window_hits(w, n, 3)
+    n = fx.news(spark, sf_dir).select("ticker", "doc_id", "date", "seen_datetime", "title", "url", "full_text")
+    found = window_items(n, query_terms(n), PERIOD_START, PERIOD_END, 7, 3, F.concat("title", F.lit(" "), "full_text"))
+    return found.select("ticker", "window_start", "window_end", "doc_id", "terms", "title", "url", "seen_datetime")
 
 
-@register("S18_quick_train_window", sql=with_ctes(fx.BARS_SQL, fx.NEWS_SQL, body=f"""SELECT 'prices' AS kind, count(*) AS n_rows FROM bars
+@register("S18_quick_train_window", sql=with_ctes(fx.BARS_SQL, fx.NEWS_SQL, body=f"""SELECT 'prices' AS kind, ticker, date, close, CAST(NULL AS BIGINT) AS doc_id FROM bars
   WHERE date BETWEEN DATE '{AS_OF}' - 90 AND DATE '{AS_OF}'
-UNION ALL SELECT 'news', count(*) FROM news WHERE date BETWEEN DATE '{AS_OF}' - 90 AND DATE '{AS_OF}'"""))
+UNION ALL SELECT 'news', ticker, date, NULL, doc_id FROM news WHERE date BETWEEN DATE '{AS_OF}' - 90 AND DATE '{AS_OF}'"""), dbl=("close",))
 def s18_quick_train_window(spark, sf_dir):
-    """Both date ranges rewritten to the last 90 days before as_of."""
+    """Both date ranges rewritten to the last 90 days before as_of: the rows that are left."""
     from mktlens.operators.ingest import last_days
 
     as_of = F.lit(AS_OF).cast("date")
-    p = last_days(fx.bars(spark, sf_dir), as_of, 90).select(F.lit("prices").alias("kind"))
-    n = last_days(fx.news(spark, sf_dir), as_of, 90).select(F.lit("news").alias("kind"))
-    return p.unionByName(n).groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows"))
+    p = last_days(fx.bars(spark, sf_dir), as_of, 90).select(F.lit("prices").alias("kind"), "ticker", "date", "close", F.lit(None).cast("long").alias("doc_id"))
+    n = last_days(fx.news(spark, sf_dir), as_of, 90).select(F.lit("news").alias("kind"), "ticker", "date", F.lit(None).cast("double").alias("close"), F.col("doc_id").cast("long"))
+    return p.unionByName(n)
 
 
 # ---------------------------------------------------------------- A1-A5 / J1 / J2 / P11 / P12
@@ -504,8 +559,8 @@ def x7_prepare_and_train(spark, sf_dir):
     """Annotate -> features -> persist -> train -> metrics (logistic regression)."""
     feats = x1_build_features(spark, sf_dir)
     path = scratch(spark, "prepared")
-    feats.write.mode("overwrite").partitionBy("ticker").parquet(path)
-    back = spark.read.parquet(path)
+    RD.write_by_period(feats, path)
+    back = RD.read_periods(spark, path, schema=feats.schema)
     _, _, metrics = MD.train(back, X.MODEL_FEATURES, ModelConfig(estimator="logistic_regression"))
     return metrics
 

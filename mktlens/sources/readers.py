@@ -7,12 +7,16 @@ the schema), coerces leniently (P3, ``try_cast``; T26) and parses timestamps
 """
 from __future__ import annotations
 
+import csv
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The folder column of tables written by month.
+PERIOD = "stored_month"
 S, TS = T.StringType(), T.TimestampNTZType()
 NEWS_SCHEMA = T.StructType([T.StructField(n, t) for n, t in [
     ("ticker", S), ("seen_datetime", TS), ("date", TS), ("title", S), ("full_text", S), ("url", S), ("language", S), ("source", S)]])
@@ -135,21 +139,51 @@ def read_feed(spark: SparkSession, path: str, streaming: bool = False) -> DataFr
     return conform_feed(reader.schema(FEED_SCHEMA).json(path))
 
 
+def csv_headers(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) for every different header: the first line of every file,
+    read in one job."""
+    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    head = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("line"))
+    # one row per header: files are listed on the driver in any case
+    found = head.groupBy("line").agg(F.array_sort(F.collect_list("file_path")).alias("files")).collect()
+    return [(next(csv.reader([line.removeprefix("\ufeff")])), files) for line, files in sorted(found)]
+
+
 def read_history_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Many history CSV files united by column name, with the source file
-    name.  Files are grouped by their header, so each group is one scan; a column
-    that a file lacks is NULL."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:
-        groups.setdefault(tuple(spark.read.option("header", True).csv(p).columns), []).append(p)
+    name.  Files of one header are one scan; a column that a file lacks is NULL."""
     out = None
-    for names, own in groups.items():
+    for names, own in csv_headers(spark, paths):
         schema = T.StructType([T.StructField(n, S) for n in names])
-        part = spark.read.option("header", True).schema(schema).csv(own).withColumn("source_file", F.input_file_name())
+        part = spark.read.option("header", True).schema(schema).csv([unquote(f) for f in own]).withColumn("source_file", F.input_file_name())
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+def write_by_period(df: DataFrame, path: str, date: str = "date", keys: tuple[str, ...] = ("ticker",), rows_per_file: int = 5_000_000, mode: str = "overwrite") -> None:
+    """A table in folders by month, rows ranged by (date, keys) first: a task holds
+    a stretch of time, so it writes few files (at most one a month it touches, and
+    rows_per_file rows), not tasks x keys of them; a hot key or month is dealt to
+    several tasks.  Rows without a date are a folder of their own."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn(PERIOD, F.date_format(date, "yyyy-MM")).repartitionByRange(parts, F.col(date).asc_nulls_first(), *keys)
+    ranged.sortWithinPartitions(PERIOD, *keys, date).write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy(PERIOD).parquet(path)
+
+
+def read_periods(spark: SparkSession, path: str, since: str | None = None, until: str | None = None, date: str = "date", schema: T.StructType | None = None) -> DataFrame:
+    """A table of ``write_by_period``, its rows from ``since`` to ``until``: only the
+    folders of these months are read."""
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(T.StructType([*schema.fields, T.StructField(PERIOD, S)]))
+    df = reader.parquet(path)
+    for bound, op in ((since, "__ge__"), (until, "__le__")):
+        if bound is not None:
+            day = F.lit(bound).cast("date")
+            df = df.where(getattr(F.col(PERIOD), op)(F.date_format(day, "yyyy-MM")) & getattr(F.to_date(date), op)(day))
+    return df.drop(PERIOD)
+
+
 def read_ucr(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated series, column 0 = label, the rest = values."""
     raw = spark.read.option("sep", "\t").option("inferSchema", False).csv(path)
