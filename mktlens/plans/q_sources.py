@@ -216,7 +216,8 @@ def history_files(spark, sf_dir):
     return paths
 
 
-FILE_NO = F.regexp_extract("source_file", r"part_(\d+)/", 1).cast("int").alias("file_no")
+def file_no():
+    return F.regexp_extract("source_file", r"part_(\d+)/", 1).cast("int").alias("file_no")
 
 
 @register("S10_history_files", sql=with_ctes(fx.BARS_SQL, body=f"""SELECT {FILE_SQL} AS file_no, ticker AS Ticker, strftime(date, '%Y-%m-%d') AS Date,
@@ -224,7 +225,7 @@ FILE_NO = F.regexp_extract("source_file", r"part_(\d+)/", 1).cast("int").alias("
 def s10_history_files(spark, sf_dir):
     """History files with their columns in different orders, one without volume, united by name."""
     h = RD.read_history_files(spark, history_files(spark, sf_dir))
-    return h.select(FILE_NO, "Ticker", "Date", F.col("Close").cast("double").alias("close"), F.col("Volume").cast("double").alias("volume"))
+    return h.select(file_no(), "Ticker", "Date", F.col("Close").cast("double").alias("close"), F.col("Volume").cast("double").alias("volume"))
 
 
 @register("S10_running_tickers", sql=with_ctes(fx.BARS_SQL, f"""f AS (
@@ -236,7 +237,7 @@ def s10_running_tickers(spark, sf_dir):
     """Rows, new tickers and distinct tickers so far, file by file, over history read twice with some new names."""
     from mktlens.operators.ingest import running_distinct
 
-    h = RD.read_history_files(spark, history_files(spark, sf_dir)).select(FILE_NO, "Ticker")
+    h = RD.read_history_files(spark, history_files(spark, sf_dir)).select(file_no(), "Ticker")
     b = fx.bars(spark, sf_dir).withColumn("file_no", F.substring("ticker", 7, 10).cast("int") % 3 + 3)
     again = b.select("file_no", F.col("ticker").alias("Ticker"))
     renamed = b.where("volume > 30").select("file_no", F.concat(F.lit("X"), "ticker").alias("Ticker"))

@@ -11,6 +11,7 @@ from mktlens.config import ModelConfig  # noqa: E402
 from mktlens.operators import features as X  # noqa: E402
 from mktlens.operators import models as MD  # noqa: E402
 from mktlens.operators import scoring as SC  # noqa: E402
+from mktlens.plans.q_features import x1_build_features  # noqa: E402
 from mktlens.session import cut_lineage, local_session  # noqa: E402
 
 CONFIGS = {
@@ -21,8 +22,6 @@ CONFIGS = {
 
 def main(folder: str = "/root/testdata/sf0.01") -> None:
     spark = local_session(4, 8, "mktlens-export")
-    from mktlens.plans.q_features import x1_build_features  # the queries' columns need a session
-
     matrix = cut_lineage(x1_build_features(spark, folder))
     to = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "mktlens", "plans")
     for name, cfg in CONFIGS.items():
