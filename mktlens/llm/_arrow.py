@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,11 +101,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
+#: Ranges longer than this are hashed one by one where a hash tells texts apart: sums
+#: modulo 2**64 collide on crafted (Thue-Morse) ranges of 1,024 bytes and more.
+LONG_RANGE = 512
+
+
 class RollingHash:
     """64-bit hashes of arbitrary byte ranges of one buffer from prefix sums."""
 
     def __init__(self, raw: np.ndarray) -> None:
         n = len(raw)
+        self.raw = raw
         up, self.down = POWERS.upto(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         terms = BYTE_VALUES[raw]
@@ -117,6 +124,13 @@ class RollingHash:
         h += (end - start).astype(np.uint64) * np.uint64(MIX_B)
         return mix(h)
 
+    def firm(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """As ``of``, with long ranges hashed one by one."""
+        h = self.of(start, end)
+        for i in np.flatnonzero(end - start > LONG_RANGE).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(self.raw[start[i] : end[i]].tobytes())
+        return h
+
     def all(self, k: int) -> np.ndarray:
         """Hashes of every range of ``k`` bytes, by start: sums of random byte values
         times powers, which are spread evenly as they are."""

@@ -18,10 +18,8 @@ from mktlens.session import cut_lineage
 
 #: Windows of one container at most: a periodic text is cut into many.
 RUN = 64
-#: Words longer than this are hashed one by one: sums modulo 2**64 collide on
-#: crafted words of 1,024 bytes and more.
-LONG_WORD = 512
-#: Bytes of passages that one automaton is compiled from (a group of equal keys more).
+#: Bytes of passages that one automaton is compiled from (a group of equal keys more):
+#: its nodes search their children one by one, and its root has one for every passage.
 SHARD_BYTES = 2 << 20
 
 IS_GAP = np.zeros(256, bool)
@@ -41,10 +39,7 @@ def word_table(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stop = word.copy()
     stop[:-1] &= ~word[1:] | edge[1:n]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    h = RollingHash(raw).of(start, end)
-    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
-        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
-    return start, end, h, np.searchsorted(start, off)
+    return start, end, RollingHash(raw).firm(start, end), np.searchsorted(start, off)
 
 
 def containers(h: np.ndarray, woff: np.ndarray, n: int, k: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,8 +104,8 @@ def _recurring(spark: SparkSession, anchors: DataFrame, bits: int, hot: int):
 
 def _containers(docs: DataFrame, n: int, k: int, bits: int, recurring, whole: bool) -> DataFrame:
     """Containers whose anchor may recur, with their digest ``sd``: (g, sub, sd,
-    bytes, id) if ``whole``, else where they stand: (id, rk, lo, sd).  ``sub`` tells
-    the windows of a hot anchor apart."""
+    bytes, least, most) if ``whole``, equal ones of a slice combined; else where they
+    stand: (id, rk, lo, sd).  ``sub`` tells the windows of a hot anchor apart."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,29 +118,41 @@ def _containers(docs: DataFrame, n: int, k: int, bits: int, recurring, whole: bo
             row = pa.array(np.searchsorted(woff, first, side="right") - 1)
             data = raw.tobytes()
             text = [b" ".join(data[a:b].split()) for a, b in zip(start[first].tolist(), end[first + size + n - 2].tolist())]
-            sd = pa.array([xxhash.xxh3_128_digest(x) for x in text], pa.binary())
+            sd = [xxhash.xxh3_128_digest(x) for x in text]
             if whole:
+                seen: dict[bytes, list] = {}
+                for i, (x, d) in enumerate(zip(sd, rows.column(0).take(row).to_pylist())):
+                    old = seen.setdefault(x, [i, d, d])
+                    if d < old[1]:
+                        old[1] = d
+                    elif d > old[2]:
+                        old[2] = d
+                own = np.array([x[0] for x in seen.values()], np.int64)
+                text, g = [text[i] for i in own.tolist()], g[own]
                 sub = np.zeros(len(g), np.int64)
                 if len(hot):
                     is_hot = hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g
                     sub[is_hot] = [xxhash.xxh3_64_intdigest(text[i]) >> 1 for i in np.flatnonzero(is_hot).tolist()]
+                ids = (pa.array([x[j] for x in seen.values()], rows.column(0).type) for j in (1, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(sub), sd, pa.array(text, pa.binary()), rows.column(0).take(row)], names=["g", "sub", "sd", "bytes", "id"]
+                    [pa.array(g.view(np.int64)), pa.array(sub), pa.array(seen.keys(), pa.binary()), pa.array(text, pa.binary()), *ids],
+                    names=["g", "sub", "sd", "bytes", "least", "most"],
                 )
             else:
                 lo = first - woff[row.to_numpy()]
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(row), rows.column(2).take(row), pa.array(lo), sd], names=["id", "rk", "lo", "sd"])
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(row), rows.column(2).take(row), pa.array(lo), pa.array(sd, pa.binary())], names=["id", "rk", "lo", "sd"])
 
-    return docs.select("id", "text", "rk").mapInArrow(run, f"g long, sub long, sd binary, bytes binary, id {kind}" if whole else f"id {kind}, rk long, lo long, sd binary")
+    return docs.select("id", "text", "rk").mapInArrow(run, f"g long, sub long, sd binary, bytes binary, least {kind}, most {kind}" if whole else f"id {kind}, rk long, lo long, sd binary")
 
 
-def located(passages: list[bytes], least: list, most: list, n: int) -> list[list[tuple[int, object]]]:
-    """For each passage its windows of ``n`` words that lie in two documents, as
-    (first word, least document id); ``least`` and ``most`` are the ids of the
-    documents that hold a passage.
+def located(passages: list[bytes], least: list, most: list, n: int) -> list[list[tuple[int, int, object]]]:
+    """For each passage its windows of ``n`` words that lie in two documents, as runs
+    (first window, last window, least document id); ``least`` and ``most`` are the ids
+    of the documents that hold a passage.
 
     Confirms the recurring windows word by word, compiles them into an Aho-Corasick
-    automaton over word numbers, and streams the passages through it."""
+    automaton over word numbers (windows that no other passage has, run by run), and
+    streams the passages through it."""
     import ahocorasick
 
     number: dict[bytes, int] = {}
@@ -159,70 +166,83 @@ def located(passages: list[bytes], least: list, most: list, n: int) -> list[list
     windows = size - n + 1
     own = np.repeat(np.arange(len(passages)), windows)
     start = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows) + at[own]
-    order = {x: i for i, x in enumerate(sorted({*least, *most}))}
+    names = sorted({*least, *most})
+    order = {x: i for i, x in enumerate(names)}
     lo, hi = (np.array([order[x] for x in ids_])[own] for ids_ in (least, most))
 
     digest = grams(mix(ids.astype(np.uint64) * np.uint64(MIX_A)), start, n, BASE)
     words = np.lib.stride_tricks.sliding_window_view(ids, n)[start]
     same = np.argsort(digest, kind="stable")
-    differ = (words[same[1:]] != words[same[:-1]]).any(axis=1)
-    if (differ & (digest[same[1:]] == digest[same[:-1]])).any():  # two windows of one digest
+    equal = digest[same[1:]] == digest[same[:-1]]
+    pairs = np.flatnonzero(equal)
+    if (words[same[pairs + 1]] != words[same[pairs]]).any():  # two windows of one digest
         same = np.lexsort(words.T)
-        differ = (words[same[1:]] != words[same[:-1]]).any(axis=1)
-    first = np.flatnonzero(np.concatenate([[True], differ]))
+        equal = (words[same[1:]] == words[same[:-1]]).all(axis=1)
+    first = np.flatnonzero(np.concatenate([[True], ~equal]))
     lowest, highest = np.minimum.reduceat(lo[same], first), np.maximum.reduceat(hi[same], first)
-    found: list[list[tuple[int, object]]] = [[] for _ in passages]
-    recurs = np.flatnonzero(lowest != highest)
-    if len(recurs) == 0:
+    number_of = np.diff(np.append(first, len(same)))
+    recurs = lowest != highest
+    found: list[list[tuple[int, int, object]]] = [[] for _ in passages]
+    if not recurs.any():
         return found
+
+    shared = np.flatnonzero(recurs & (number_of > 1))
+    begin, end, value = start[same[first[shared]]], start[same[first[shared]]] + n, lowest[shared]
+    alone = np.zeros(len(start), bool)
+    alone[same[first[recurs & (number_of == 1)]]] = True
+    head = alone & ~np.concatenate([[False], alone[:-1] & (own[1:] == own[:-1])])
+    tail = alone & ~np.concatenate([alone[1:] & (own[1:] == own[:-1]), [False]])
+    begin, end, value = np.append(begin, start[head]), np.append(end, start[tail] + n), np.append(value, lo[head])
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for phrase, value in zip(words[same[first[recurs]]].tolist(), lowest[recurs].tolist()):
-        automaton.add_word(tuple(phrase), value)
+    text = tuple(ids.tolist())
+    for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist())):
+        automaton.add_word(text[a:b], i)
     automaton.make_automaton()
-    hits = np.array(list(automaton.iter(tuple(ids.tolist()))), np.int64).reshape(-1, 2)
-    begin = hits[:, 0] - n + 1
-    owner = np.searchsorted(at, begin, side="right") - 1
-    names = sorted(order, key=order.get)
-    for o, b, v in zip(owner.tolist(), (begin - at[owner]).tolist(), hits[:, 1].tolist()):
-        found[o].append((b, names[v]))
+    hits = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
+    to = hits[:, 0] - n + 1
+    since = hits[:, 0] + 1 - (end - begin)[hits[:, 1]]
+    owner = np.searchsorted(at, since, side="right") - 1
+    for o, a, b, v in zip(owner.tolist(), (since - at[owner]).tolist(), (to - at[owner]).tolist(), value[hits[:, 1]].tolist()):
+        found[o].append((a, b, names[v]))
     return found
 
 
-def _locate(groups: DataFrame, n: int) -> DataFrame:
+def _locate(groups: DataFrame, n: int, shard_bytes: int) -> DataFrame:
     """(sd, windows): the recurring windows of every container."""
     kind = groups.schema["least"].dataType.simpleString()
 
-    def solve(part: list[tuple]) -> pa.RecordBatch:
+    def solve(part: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
         found = located([r[3] for r in part], [r[4] for r in part], [r[5] for r in part], n)
         keep = [i for i, f in enumerate(found) if f]
         ends = np.concatenate([[0], np.cumsum([len(found[i]) for i in keep])]).astype(np.int32)
         flat = [x for i in keep for x in found[i]]
-        items = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], id_type)], names=["at", "least"])
+        items = pa.StructArray.from_arrays([*[pa.array([x[j] for x in flat], pa.int32()) for j in (0, 1)], pa.array([x[2] for x in flat], id_type)], names=["a", "b", "least"])
         return pa.RecordBatch.from_arrays([pa.array([part[i][2] for i in keep], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=["sd", "windows"])
 
-    id_type = None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal id_type
         part: list[tuple] = []
-        size, last = 0, None
+        size, last, id_type = 0, None, None
         for b in batches:
             id_type = b.schema.field("least").type
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if size >= SHARD_BYTES and row[:2] != last:
-                    yield solve(part)
+                if part and row[2] == part[-1][2]:
+                    old = part[-1]
+                    part[-1] = (*old[:4], min(old[4], row[4]), max(old[5], row[5]))
+                    continue
+                if size >= shard_bytes and row[:2] != last:
+                    yield solve(part, id_type)
                     part, size = [], 0
                 part.append(row)
                 size += len(row[3])
                 last = row[:2]
         if part:
-            yield solve(part)
+            yield solve(part, id_type)
 
-    dealt = groups.select("g", "sub", "sd", "bytes", "least", "most").repartition("g", "sub").sortWithinPartitions("g", "sub")
-    return dealt.mapInArrow(run, f"sd binary, windows array<struct<at:int,least:{kind}>>")
+    dealt = groups.select("g", "sub", "sd", "bytes", "least", "most").repartition("g", "sub").sortWithinPartitions("g", "sub", "sd")
+    return dealt.mapInArrow(run, f"sd binary, windows array<struct<a:int,b:int,least:{kind}>>")
 
 
-def remove_repeats(df: DataFrame, n: int = 13, k: int = 5, bits: int = 1 << 25, hot: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
+def remove_repeats(df: DataFrame, n: int = 13, k: int = 5, bits: int = 1 << 25, hot: int = 1000, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text",
                    with_text: bool = True, carry: str | None = None) -> DataFrame:
     """Remove every word that is covered by ``n`` consecutive words which also stand
     in a document with a smaller id; windows are judged on the input.  Words are runs
@@ -230,8 +250,8 @@ def remove_repeats(df: DataFrame, n: int = 13, k: int = 5, bits: int = 1 << 25,
 
     1. Every window has an anchor, its least k-gram; anchors of two documents set a
     bit in a table of fixed size.  2. Neighbouring windows of such an anchor are one
-    container (the windows of a hot anchor stand alone); equal containers are combined
-    before the shuffle, which keeps a passage of many documents one row.
+    container (the windows of a hot anchor stand alone); equal containers of a slice
+    are combined before the shuffle, so a passage of all documents is a row per slice.
     3. Containers are dealt by anchor; each shard confirms the windows that lie in two
     documents, compiles them into an Aho-Corasick automaton, and streams its containers
     through it.  4. The occurrences of containers in all documents meet the located
@@ -253,17 +273,14 @@ def remove_repeats(df: DataFrame, n: int = 13, k: int = 5, bits: int = 1 << 25,
     docs = whole.select("id", "text", "rk").where("id is not null")
 
     recurring = _recurring(spark, _anchors(docs, n, k), bits, hot)
-    groups = _containers(docs, n, k, bits, recurring, True).groupBy("g", "sub", "sd").agg(
-        F.first("bytes").alias("bytes"), F.min("id").alias("least"), F.max("id").alias("most")
-    )
     # stored, so that both sides of the next join are dealt anew and a hot container split
-    windows = cut_lineage(_locate(groups, n))
+    windows = cut_lineage(_locate(_containers(docs, n, k, bits, recurring, True), n, shard_bytes))
     place = _containers(docs, n, k, bits, recurring, False).join(windows, "sd")
-    later = F.transform(F.filter("windows", lambda w: w["least"] < F.col("id")), lambda w: w["at"])
+    later = F.filter("windows", lambda w: w["least"] < F.col("id"))
     # the windows of a container overlap, but for those of a periodic text
-    low, high = F.array_min("later"), F.array_max("later")
+    low, high = F.array_min(F.transform("later", lambda w: w["a"])), F.array_max(F.transform("later", lambda w: w["b"]))
     one = F.array(F.struct((F.col("lo") + low).alias("a"), (F.col("lo") + high + n).alias("b")))
-    each = F.transform("later", lambda a: F.struct((F.col("lo") + a).alias("a"), (F.col("lo") + a + n).alias("b")))
+    each = F.transform("later", lambda w: F.struct((F.col("lo") + w["a"]).alias("a"), (F.col("lo") + w["b"] + n).alias("b")))
     spans = (
         place.select("id", "rk", "lo", later.alias("later")).where("size(later) > 0")
         .select("id", "rk", F.explode(F.when(high - low < n, one).otherwise(each)).alias("span"))
