@@ -20,7 +20,7 @@ from mktlens.session import cut_lineage
 RUN = 64
 #: Bytes of passages that one automaton is compiled from (a group of equal keys more):
 #: its nodes search their children one by one, and its root has one for every passage.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 64 << 10
 
 IS_GAP = np.zeros(256, bool)
 IS_GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
