@@ -135,5 +135,46 @@ kept AS (SELECT * FROM lowest s WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM c b WH
 SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000"""
 
 
+def _repair_sql() -> str:
+    """The cheapest edits from the last row to the first: a row's states hold (cost,
+    letters, lines) to the end, the least of which is the least audit too."""
+    after, then = {"n": "u", "s": "u", "u": "a", "a": "u"}, {"u": "user", "a": "assistant"}
+
+    def least(found: list[str]) -> str:
+        return f"list_sort(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL))[1]"
+
+    def made(x: str, cost: str, letter: str, line: str | None) -> str:
+        return f"{{'c': {x}.c + {cost}, 'a': '{letter}' || {x}.a, 't': {f'list_prepend({line}, {x}.t)' if line else f'{x}.t'}}}"
+
+    own, closed = [], []
+    for s, to in after.items():
+        found = [made(f"r.{s}", "3", "D", None), f"CASE WHEN NOT blank AND NOT dup THEN {made(f'r.{to}', '(2 + late)', 'R', f"""'{then[to]}:' || text""")} END"]
+        found += [f"CASE WHEN NOT blank AND NOT dup AND ini = '{x}' THEN {made(f'r.{x}', 'late', 'K', "role || ':' || text")} END" for x in ([to] if s != "n" else [to, "s"])]
+        own.append(f"{least(found)} AS {s}")
+        once = made(to, "2", "I", f"'{then[to]}:'")
+        twice = f"{{'c': {after[to]}.c + 4, 'a': 'II' || {after[to]}.a, 't': list_concat(['{then[to]}:', '{then[after[to]]}:'], {after[to]}.t)}}"
+        closed.append(f"{least([s, once, twice])} AS {s}")
+    nothing = "{'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])}"
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+raw AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, CAST(i AS INTEGER), 1)) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS d FROM keyed, crc),
+live AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN replace(replace(replace(text, '.', ''), '!', ''), '?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN d = 0 THEN 0 WHEN d = 3 THEN 2 ELSE 1 END)) FROM raw)),
+pos AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS occ, rtrim(text, {blanks}) AS core, substr(role, 1, 1) AS ini
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM live)),
+f AS (SELECT *, core = '' AS blank, core <> '' AND occ > 1 AS dup, CAST(core <> '' AND occ = 1 AND right(core, 1) NOT IN ('.', '!', '?') AS INTEGER) AS late,
+  lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS up FROM pos),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+  CAST(sum(late) AS BIGINT) AS truncated, count(*) FILTER (up IS NOT NULL AND up || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+rec AS (SELECT conv_id, n AS i, {nothing} AS n, {{'c': 4, 'a': 'II', 't': ['user:', 'assistant:']}} AS s, {{'c': 2, 'a': 'I', 't': ['assistant:']}} AS u, {nothing} AS a FROM counts
+  UNION ALL SELECT conv_id, i - 1, {', '.join(closed)} FROM (SELECT r.conv_id, r.i, {', '.join(own)} FROM rec r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i)),
+ends AS (SELECT conv_id, n FROM rec WHERE i = 0)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(e.n.c, 0) AS BIGINT) AS cost, coalesce(e.n.a, '') AS audit, sha256(coalesce(array_to_string(e.n.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": DECONTAMINATION_SQL, "op9_warc": WARC_SQL, "op11_collocations": COLLOCATIONS_SQL, "op12_automata_dedup": AUTOMATA_SQL}
+    return {"op7_decontamination": DECONTAMINATION_SQL, "op9_warc": WARC_SQL, "op11_collocations": COLLOCATIONS_SQL, "op12_automata_dedup": AUTOMATA_SQL, "op13_conversation_repair": _repair_sql()}

@@ -117,3 +117,16 @@ def test_chunked_vectors_equal_whole_ones():
         first, s, c1 = C.trace(left, C.vectors(left, middle)[1:], 0, False)
         rest, _, c2 = C.trace(right, C.vectors(right, C.ENDS)[1:], s, True)
         assert (rows, cost) == (first + rest, c1 + c2)
+
+
+def test_statement_equals_brute_force():
+    duckdb = pytest.importorskip("duckdb")
+    from mktlens.llm.queries import oracle_sql
+
+    rng = random.Random(11)
+    rows = [(c, t if rng.random() < 0.9 else None, r, x) for c in [*range(40), None] for t, r, x in make(rng.randrange(1, 9), rng)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = sorted((tuple(r) for r in con.execute(oracle_sql()["op13_conversation_repair"]).fetchall()), key=str)
+    assert got == brute(rows)
