@@ -157,13 +157,13 @@ def suffix_order(raw: np.ndarray, depth: int, starts: np.ndarray) -> tuple[np.nd
 
 
 def earlier_and_other(order: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix: does its longest previous factor reach the depth, and does
-    its longest match anywhere?
+    """For each suffix: do its first ``depth`` bytes start at an earlier place, and at
+    any other?
 
-    Suffixes of one rank stand side by side in the suffix order, by position.  So
-    the previous smaller position of a suffix is its left neighbour if that has
-    its rank, and no suffix of its rank is smaller otherwise; the next smaller
-    position always has another rank, where the match is shorter than the depth.
+    Suffixes of one rank stand side by side in the suffix order, by position: one
+    whose left neighbour has its rank has an earlier copy, one with either neighbour
+    of its rank any.  No longest previous factors are computed: whether they reach
+    the depth is all that is asked.
     """
     r = rank[order]
     same = np.concatenate([[False], r[1:] == r[:-1]])
@@ -286,9 +286,9 @@ def repeats(df: DataFrame, length: int = 200, keep_first: bool = False, bits: in
     1. Anchor hashes are counted (a map-side combined aggregate); those met twice
        set a bit in a table of fixed size.  2. Occurrences with that bit are grouped
        by segment: a segment met twice repeats as a whole, however hot it is.
-       3. Anchors with several different segments: their suffixes are sorted, and
-       the longest previous factor (earlier copies) and the neighbours in suffix
-       order (any copy) tell which windows repeat.  Anchors with over HOT segments
+       3. Anchors with several different segments: their suffixes are sorted by their
+       first ``length`` bytes, and the neighbours in that order tell which windows
+       repeat (the left one: which have an earlier copy).  Anchors with over HOT segments
        are counted window by window.  4. The verdicts join the occurrences, and a
        document's spans join its text.  Hot keys of both joins are split by AQE.
 
