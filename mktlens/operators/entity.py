@@ -249,7 +249,9 @@ def fuzzy_candidates(tokens: DataFrame, aliases: DataFrame, cutoff: float = FUZZ
     """
     frac = Fraction(cutoff).limit_denominator(10_000)
     p, q = frac.numerator, frac.denominator
-    al = aliases.select("alias").distinct()
+    # both are read twice: stored once, so that their plans are not computed again
+    al = cut_lineage(aliases.select("alias").distinct())
+    tokens = cut_lineage(tokens.select("query", "pos", "token"))
     rank = F.broadcast(_alphabet_rank(al))  # one row
 
     def keyed(strings: DataFrame, name: str, own: str, other: str, sig: str) -> DataFrame:
@@ -525,14 +527,15 @@ def alias_keys(aliases: DataFrame) -> DataFrame:
 
 def _key_table(keys: DataFrame):
     """The keys as a bit table, shared with the tasks, and how far an alias reaches
-    before and after its key.  Of fixed size: RUN_BITS / 64 rows and KEY lengths."""
-    words = keys.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b"))
+    before and after its key.  Of fixed size: RUN_BITS / 64 rows for each of KEY lengths."""
+    found = keys.groupBy("n", F.shiftright("slot", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b"), F.max("offset").alias("before"), F.max(F.octet_length("alias") - F.col("offset")).alias("after")
+    ).toArrow()
+    n, w, b, before, after = (found[c].to_numpy() for c in ("n", "w", "b", "before", "after"))
     table = np.zeros(RUN_BITS // 64, np.int64)
-    for part in words.toArrow().to_batches():
-        table[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    after = F.octet_length("alias") - F.col("offset")
-    reach = keys.groupBy("n").agg(F.max("offset").alias("before"), F.max(after).alias("after")).collect()
-    return keys.sparkSession.sparkContext.broadcast((table.tobytes(), {r.n: (r.before, r.after) for r in reach}))
+    np.bitwise_or.at(table, w, b)
+    reach = {int(k): (int(before[n == k].max()), int(after[n == k].max())) for k in np.unique(n)}
+    return keys.sparkSession.sparkContext.broadcast((table.tobytes(), reach))
 
 
 def _key_hits(df: DataFrame, key: str, text_col: str, known) -> DataFrame:
@@ -588,7 +591,7 @@ def match_text(items: DataFrame, aliases: DataFrame, text_col: str = "combined_n
     equi-join (which Spark broadcasts only after measuring the keys, and splits where a
     key is hot) and are verified at once; texts are never shuffled.  One plan for every
     size.  ``key`` is unique among the items; null texts match nothing."""
-    keys = alias_keys(aliases)
+    keys = cut_lineage(alias_keys(aliases))  # read twice: for the table and by the join
     hits = _key_hits(items, key, text_col, _key_table(keys))
     name = F.encode("alias", "UTF-8")
     whole = F.substring("around", F.col("at") - F.col("offset") + 1, F.octet_length("alias")) == name

@@ -96,14 +96,15 @@ def daily_news_aggregates(news: DataFrame, cfg: FeatureConfig = FeatureConfig())
         F.avg("impact").alias("news_impact_mean"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter("langs", lambda x: x.isNotNull()))))).alias("_langs"),
     )
-    # both sides hold one row per (ticker, date): an unskewed join
-    med = group_median(base, ["ticker", "date"], "s", out="sentiment_median")
-    agg = agg.join(med, ["ticker", "date"], "left").select(*agg.columns[:4], "sentiment_median", *agg.columns[4:])
     agg = agg.withColumn("languages", F.array_join("_langs", ",")).withColumn("languages_count", F.size("_langs").cast("bigint")).drop("_langs")
     days = cfg.sentiment_rolling_days
     out = apply_windows(
         agg, lambda a, w: a.withColumn("sentiment_roll_mean", zero_if_null(F.avg("sentiment_mean").over(rows_frame(w, days)))), lookback=days - 1
     )
+    # after the windows, which would compute it once more to count rows; both sides hold
+    # one row per (ticker, date): an unskewed join
+    med = group_median(base, ["ticker", "date"], "s", out="sentiment_median")
+    out = out.join(med, ["ticker", "date"], "left").select(*out.columns[:4], "sentiment_median", *out.columns[4:])
     return out.where(F.col("news_count") >= cfg.min_news_per_day)
 
 

@@ -54,41 +54,61 @@ def ordered_prefix_sums(df: DataFrame, order_cols: list[str], value_cols: list[s
     return out.drop("_part", *[f"_o_{c}" for c in value_cols])
 
 
-def group_median(df: DataFrame, keys: list[str], value: str, out: str = "median", buckets: int = 4096) -> DataFrame:
+#: Buckets of one level of ``group_median``.
+BUCKETS = 4096
+
+
+def group_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
     """Exact median of ``value`` per ``keys`` group (NULLs ignored), with
     Spark's ``median`` interpolation, without gathering a group in one task.
 
     ``percentile`` merges a value -> count map per group in a single reducer,
-    so a hot group of continuous values is one unbounded buffer.  Instead:
-    distinct (key, value) counts and each key's least and largest value (both
-    combined map-side), counts per equal-width value bucket with their running
-    sum (at most ``buckets`` + 1 rows per key), and a running count inside the one
-    or two buckets that hold the middle ranks.  One lazy plan."""
+    so a hot group of continuous values is one unbounded buffer.  Instead the middle
+    ranks are closed in on, from distinct (key, value) counts (combined map-side):
+    1. counts per bucket of the values' signed logarithm between each key's least and
+    greatest, and their running sum (at most BUCKETS + 1 rows per key); 2. the same in
+    the one or two buckets that hold the middle, by value, between the least and the
+    greatest of the bucket, so that neither a few huge values nor many close ones fill
+    one bucket of both levels; 3. a running count of values in what is left.  One
+    lazy plan."""
     v = F.col(value)
     vc = df.where(v.isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    span = vc.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.floor((v - F.col("_lo")) / width * buckets)).otherwise(F.lit(0)).cast("int")
-    placed = vc.join(span, keys).select(*keys, value, "_c", bucket.alias("_b"))
-    per_key = Window.partitionBy(*keys)
-    before = per_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc")).select(
-        *keys, "_b", "_bc", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_off"), F.sum("_bc").over(per_key).alias("_n")
-    )
+    # order-preserving, and finite for infinite values
+    scaled = F.signum(v) * F.least(F.log1p(F.abs(v)), F.lit(1e3))
+    vc = vc.withColumn("_x", scaled)
+    span = vc.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_c").alias("_n")).withColumn("_off", F.lit(0))
+    rows, at = vc, list(keys)
+    for level, x in ((1, F.col("_x")), (2, v)):
+        rows, spans = _closed_in(rows, span, at, x, f"_b{level}", value)
+        span, at = spans, [*at, f"_b{level}"]
     lo, hi = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
-
-    def holds(first, count, rank):
-        return (first <= rank) & (rank < first + count)
-
-    middle = per.where(holds(F.col("_off"), F.col("_bc"), lo) | holds(F.col("_off"), F.col("_bc"), hi))
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(middle, [*keys, "_b"]).withColumn("_first", F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    inside = Window.partitionBy(*at).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.join(span.select(*at, "_off", "_n"), at).withColumn("_first", F.col("_off") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
     mids = ranked.groupBy(*keys).agg(
-        F.max(F.when(holds(F.col("_first"), F.col("_c"), lo), v)).alias("_lo"),
-        F.max(F.when(holds(F.col("_first"), F.col("_c"), hi), v)).alias("_hi"),
+        F.max(F.when(_holds(F.col("_first"), F.col("_c"), lo), v)).alias("_lo"),
+        F.max(F.when(_holds(F.col("_first"), F.col("_c"), hi), v)).alias("_hi"),
         F.first("_n").alias("_n"),
     )
     # percentile at 0.5: position (n-1)/2; odd n -> the middle value, even n ->
     # (higher - pos) * lower + (pos - lower) * higher = 0.5 * lower + 0.5 * higher.
     med = F.when(F.col("_n") % 2 == 1, F.col("_lo")).otherwise(F.lit(0.5) * F.col("_lo") + F.lit(0.5) * F.col("_hi"))
     return mids.select(*keys, med.cast("double").alias(out))
+
+
+def _holds(first, count, rank):
+    return (first <= rank) & (rank < first + count)
+
+
+def _closed_in(rows: DataFrame, span: DataFrame, at: list[str], x, bucket: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with their bucket of ``x`` between the span's ends, the buckets that hold
+    a middle rank: their ends by value, rows before them, and the key's rows)."""
+    width = F.col("_hi") - F.col("_lo")
+    place = F.when((width > 0) & (width < float("inf")), F.floor((x - F.col("_lo")) / width * BUCKETS)).otherwise(F.lit(0)).cast("int")
+    placed = rows.join(span, at).select(*at, value, "_c", place.alias(bucket), "_off", "_n")
+    before = Window.partitionBy(*at).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    per = placed.groupBy(*at, bucket).agg(
+        F.sum("_c").alias("_bc"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.first("_off").alias("_off"), F.first("_n").alias("_n")
+    ).withColumn("_off", F.col("_off") + F.coalesce(F.sum("_bc").over(before), F.lit(0)))
+    lo, hi = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    middle = per.where(_holds(F.col("_off"), F.col("_bc"), lo) | _holds(F.col("_off"), F.col("_bc"), hi)).drop("_bc")
+    return placed.drop("_off", "_n"), middle

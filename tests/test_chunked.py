@@ -131,6 +131,29 @@ def test_group_median_matches_spark_median(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("outliers", [[1e300], [-1e300, 1e300, float("inf")], [1e300, 1e-300, -5e-324, 0.0]])
+def test_group_median_bounds_its_tasks_whatever_the_outliers(spark, outliers, monkeypatch):
+    import random
+
+    from mktlens.operators import prefix as P
+
+    rnd = random.Random(3)
+    rows = [("a", 7.0 + rnd.random()) for _ in range(6000)] + [("a", x) for x in outliers] + [("b", x) for x in outliers] + [("c", -3.0 - 1e-9 * rnd.random()) for _ in range(501)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    ranked = []
+    closed_in = P._closed_in
+
+    def watched(*a):
+        ranked.append((closed_in(*a), [*a[2], a[4]]))
+        return ranked[-1][0]
+
+    monkeypatch.setattr(P, "_closed_in", watched)
+    got = {r.k: r.median for r in P.group_median(df, ["k"], "v").collect()}
+    assert got == {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    (left, middle), at = ranked[-1]
+    assert left.join(middle.select(*at), at).groupBy(*at).count().agg(F.max("count")).first()[0] <= 60
+
+
 def test_daily_news_median(spark):
     """The per-day news aggregate holds Spark's own median."""
     from mktlens.operators.news import daily_news_aggregates
