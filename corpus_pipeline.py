@@ -1,7 +1,7 @@
 """The corpus pipeline: documents to packed training sequences in five stages.
 
 Each stage calls one operator of ``mktlens.llm`` on all documents that its
-predecessor kept, and its decisions take effect: texts without a language go, one
+predecessor kept, and its decisions take effect: texts without a sure language go, one
 document of each near-duplicate group stays, later copies of long repeats are cut
 out, contaminated documents go, and the rest is packed.  A stage takes
 (spark, docs, sf_dir); all but the last return the columns of ``docs``.
@@ -32,15 +32,25 @@ def _joined(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     return docs.join(right, (F.col(KEY) == F.col("_r_key")) & F.col("doc_id").eqNullSafe(F.col("_r_id")), how)
 
 
+#: Languages that the language stage keeps (None: all that the labels have), and the
+#: least score of the predicted one: below, no language has half of the text.
+LANGUAGES: tuple[str, ...] | None = None
+MIN_SCORE = 0.5
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that can have no language (null or without a letter).
+    """Rejects documents that can have no language (null or without a letter), whose
+    language is undecided (predicted with a score under MIN_SCORE), or is not one of
+    LANGUAGES.
 
     The model learns from labelled rows outside the held-out quarter; where there are
-    none it knows no language, which rejects nothing."""
+    none it knows no language, and only texts without a letter are rejected."""
     model = language.train(docs.where(~language.held_out("doc_id")))
-    keyed = _keyed(docs)
-    rejected = language.identify(keyed, model, carry=KEY, with_letters=True).where(~F.col("letters"))
-    return _joined(keyed, rejected.select("doc_id", KEY).distinct(), "left_anti").drop(KEY)
+    wanted = F.lit(True) if LANGUAGES is None else F.col("lang_pred").isin(*LANGUAGES)
+    decided = (F.col("lang_pred") == "und") | (wanted & (F.col("score") >= MIN_SCORE))
+    # the rows ride along and are filtered in place: no text is shuffled
+    judged = language.identify(docs.withColumn("_row", F.struct(*docs.columns)), model, carry="_row", with_letters=True)
+    return judged.where(F.col("letters") & decided).select("_row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +61,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # not component_id: classes of null ids only share it, as do classes of a repeated id
     first = classes.groupBy("root").agg(F.min(F.struct("doc_id", KEY)).alias("first")).select("first.*")
     kept = _joined(keyed, first, "left_semi")
-    # rows of equal id and text lie together after the join: one of them stays
-    one = kept.groupBy(KEY, "doc_id").agg(F.first(F.struct(*docs.columns)).alias("row"))
+    # rows of equal id and text lie together after the join: one of them stays, that
+    # with the least hash of all its columns
+    one = kept.groupBy(KEY, "doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
     return one.select("row.*")
 
 
