@@ -11,10 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mktlens.llm._arrow import BASE, MIX_A, mix, slices
+from mktlens.llm._arrow import BASE, MIX_A, RollingHash, mix, slices
 from mktlens.llm.suffix import _marked
 from mktlens.session import cut_lineage, ensure_checkpoint_dir
 
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+#: Tasks that the phrases of one language are joined in.
+SALTS = 64
 #: Bytes of text that a task counts at a time.
 COUNT_BYTES = 4 << 20
 
@@ -48,8 +51,8 @@ def pieces(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.repeat(first[1:], np.diff(first)) - np.arange(len(start)), text
 
 
-def numbered(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of every word, a 64-bit hash of every word); equal numbers are equal words."""
+def numbered(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Numbers of words; equal numbers are equal words."""
     size = end - start
     inner = np.zeros(len(low) + 1, np.int8)
     inner[start] += 1
@@ -57,21 +60,26 @@ def numbered(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     data = low[np.cumsum(inner[:-1], dtype=np.int8).astype(bool)]
     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
-    ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    return ids, hashes[ids]
+    return words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def lang_hash(lang: str) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode(), seed=1)
 
 
-def phrase_key(lang: str, words: list[bytes]) -> int:
-    """The key of a phrase in the activation table."""
-    g = np.array([lang_hash(lang)], np.uint64)
-    for w in words:
-        g = g * np.uint64(BASE) + np.uint64(xxhash.xxh3_64_intdigest(w))
-    return int(mix(g * np.uint64(MIX_A))[0])
+def phrase_keys(langs: list[str], phrases: list[bytes]) -> np.ndarray:
+    """The keys of phrases (words joined by a space) in the activation table."""
+    low = np.frombuffer(b" ".join(phrases), np.uint8)
+    stop = np.append(np.flatnonzero(low == 0x20), len(low))
+    start = np.concatenate([[0], stop[:-1] + 1])
+    h = RollingHash(low).firm(start, stop)
+    size = np.array([p.count(b" ") + 1 for p in phrases])
+    first = np.cumsum(size) - size
+    g = np.array([lang_hash(x) for x in langs], np.uint64)
+    for k in range(int(size.max())):
+        more = np.flatnonzero(size > k)
+        g[more] = g[more] * np.uint64(BASE) + h[first[more] + k]
+    return mix(g * np.uint64(MIX_A))
 
 
 def _isin(table: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -86,21 +94,34 @@ def count_slice(low: np.ndarray, off: np.ndarray, langs: list[str], now: np.ndar
     start, end, left, text = pieces(low, off)
     if len(start) == 0:
         return []
-    ids, h = numbered(low, start, end)
+    h = RollingHash(low).firm(start, end)
     names = sorted(set(langs))
     code = np.array([names.index(x) for x in langs])[text]
-    vocabulary = int(ids.max()) + 1
     data = low.tobytes()
     out: list[tuple[str, int, bytes, int]] = []
+    ids = None  # of all words, where many are needed
 
     def emit(pos: np.ndarray, k: int) -> None:
         # exact numbers of the phrases: those of their words one after another
+        if len(pos) == 0:
+            return
+        nonlocal ids
+        if ids is None and 4 * len(pos) >= len(start):
+            ids = numbered(low, start, end)
+        own = ids
+        if own is None:
+            needed = np.zeros(len(start), bool)
+            for j in range(k):
+                needed[pos + j] = True
+            own = np.zeros(len(start), np.int64)
+            own[needed] = numbered(low, start[needed], end[needed])
+        vocabulary = int(own.max()) + 1
         c, bound = code[pos], len(names)
         for j in range(k):
             if bound * vocabulary >= 1 << 62:
                 u, c = np.unique(c, return_inverse=True)
                 bound = len(u)
-            c = c * vocabulary + ids[pos + j]
+            c = c * vocabulary + own[pos + j]
             bound *= vocabulary
         _, first, n = np.unique(c, return_index=True, return_counts=True)
         first = pos[first]
@@ -144,32 +165,39 @@ def _scan(shard: DataFrame, now: bytes, old: bytes | None, longest: int) -> Data
     return shard.select("lang", "text").mapInArrow(run, ROWS).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
-def _reached(rows: DataFrame, threshold: int, shards: int) -> DataFrame:
-    """Phrases counted ``threshold`` times and more so far.  One that reached it has
-    a shard with its share of the threshold: a bit table of these (fixed size) keeps
-    the many rare phrases out of the shuffle."""
+def _totals(rows: DataFrame, threshold: int) -> DataFrame:
+    """Phrases of stored counts that sum up to the threshold.  One that reaches it has
+    a ``heavy`` count, of its share of the threshold, in some shard: a bit table of
+    these (fixed size) keeps the many rare phrases out of the shuffle."""
     keyed = rows.withColumn("h", F.xxhash64("lang", "k", "phrase"))
-    heavy = keyed.where(F.col("n") * shards >= threshold).select("h")
-    return _marked(keyed, "h", heavy).where("_has").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= threshold)
+    heavy = keyed.where("heavy")
+    may = _marked(keyed.where("not heavy"), "h", heavy).where("_has").drop("_has")
+    return _summed(heavy.unionByName(may), threshold)
 
 
-def _activated(reached: DataFrame, longest: int, bits: int) -> bytes:
+def _summed(rows: DataFrame, threshold: int) -> DataFrame:
+    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= threshold)
+
+
+def _activated(reached: DataFrame, bits: int) -> np.ndarray:
     """The activation table: a bit for each phrase that reached the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = np.array([phrase_key(x, p.encode().split(b" ")) for x, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.uint64)
+            if b.num_rows == 0:
+                continue
+            keys = phrase_keys(b.column(0).to_pylist(), [p.encode() for p in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array((keys & np.uint64(bits - 1)).view(np.int64))], names=["slot"])
 
-    slots = reached.where((F.col("k") >= 1) & (F.col("k") < longest)).select("lang", "phrase").mapInArrow(run, "slot long")
+    slots = reached.where("k >= 1").select("lang", "phrase").mapInArrow(run, "slot long")
     words = slots.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("b"))
     table = np.zeros(bits // 64, np.int64)
     for part in words.toArrow().to_batches():  # bits / 64 rows at most
         table[part.column(0).to_numpy()] = part.column(1).to_numpy()
-    return table.tobytes()
+    return table
 
 
-def frequent_phrases(df: DataFrame, longest: int = 5, threshold: int = 100, shards: int = 4, bits: int = 1 << 25, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def frequent_phrases(df: DataFrame, longest: int = 5, threshold: int = 100, shards: int = 2, bits: int = 1 << 25, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Phrases of 1 to ``longest`` words that occur ``threshold`` times and more in
     their language, with their exact counts: (lang, k, phrase, f); k = 0 has a
     language's number of words.
@@ -178,10 +206,13 @@ def frequent_phrases(df: DataFrame, longest: int = 5, threshold: int = 100, shar
     after another in cycles.  The first scan of a shard counts its words; a longer
     phrase is counted from the next scan on once both of its subphrases have reached
     the threshold, through one full cycle: a scan of a shard counts what is active now
-    and was not at the shard's last scan, so every phrase meets every shard once.  It
-    ends when all shards were scanned with the last activations, after at most
-    ``longest`` cycles.  Activations are a bit table of fixed size: a false positive
-    counts a phrase in vain and cannot change a result.
+    and was not at the shard's last scan, so every phrase meets every shard once.
+    After a scan, a phrase has reached the threshold if its counts of a share of it and
+    more sum up to it; after cycle k, when all phrases of k words have gone their cycle,
+    if all of its counts do, so the many rare counts are read once.  It ends when all
+    shards were scanned with the last activations, after at most ``longest`` cycles.
+    Activations are a bit table of fixed size: a false positive counts a phrase in vain
+    and cannot change a result.
 
     What a scan finds is stored in the checkpoint folder and deleted at the end.
     """
@@ -191,26 +222,66 @@ def frequent_phrases(df: DataFrame, longest: int = 5, threshold: int = 100, shar
     texts.where("text <> ''").withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(f"{root}/texts")
     texts = spark.read.schema("lang string, text string, shard int").parquet(f"{root}/texts")
 
-    now = bytes(bits // 8)
+    def stored(lengths: list[int]) -> DataFrame:
+        paths = [p for k in lengths for p in counts.get(k, ())]
+        return spark.read.schema("lang string, phrase string, n long, k int, heavy boolean").option("basePath", f"{root}/scans").parquet(*paths) if paths else empty
+
+    def settle(k: int) -> None:
+        """The exact counts of phrases of k words (with words, of languages)."""
+        _totals(stored([0, 1] if k == 1 else [k]), threshold).write.parquet(f"{root}/settled/{k}")
+        settled.append(f"{root}/settled/{k}")
+
+    def known() -> DataFrame:
+        return spark.read.schema("lang string, k int, phrase string, f long").parquet(*settled) if settled else empty.select("lang", "k", "phrase", F.col("n").alias("f"))
+
+    empty = spark.createDataFrame([], "lang string, phrase string, n long, k int, heavy boolean")
+    settled: list[str] = []
+    counts: dict[int, list[str]] = {}  # folders by length
+    now = np.zeros(bits // 64, np.int64)
     last: list[bytes | None] = [None] * shards
-    scans: list[str] = []
-    at = 0
-    while any(x != now for x in last):
-        j = at % shards
-        at += 1
-        if last[j] == now:
-            continue
-        scans.append(f"{root}/scan={at}")
-        _scan(texts.where(F.col("shard") == j), now, last[j], longest).write.parquet(scans[-1])
-        last[j] = now
-        now = _activated(_reached(spark.read.schema(ROWS).parquet(*scans), threshold, shards), longest, bits)
-    out = cut_lineage(_reached(spark.read.schema(ROWS).parquet(*scans), threshold, shards))
+    for step in range(shards * longest):
+        j = step % shards
+        if last[j] != now.tobytes():
+            old, last[j] = last[j], now.tobytes()
+            found = _scan(texts.where(F.col("shard") == j), last[j], old, longest).withColumn("heavy", F.col("n") * shards >= threshold)
+            _store(found.withColumn("scan", F.lit(step)), f"{root}/scans")
+            for k in _lengths(spark, f"{root}/scans/scan={step}"):
+                counts.setdefault(k, []).append(f"{root}/scans/scan={step}/k={k}")
+        reached = _summed(stored(range(len(settled) + 1, longest)).where("heavy"), threshold)
+        if j == shards - 1:
+            settle(len(settled) + 1)
+        if len(settled) < longest:
+            now = now | _activated(known().unionByName(reached), bits)
+        if all(x == now.tobytes() for x in last):
+            break
+    for k in range(len(settled) + 1, longest + 1):
+        settle(k)
+    out = cut_lineage(known())
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return out
 
 
-def collocations(df: DataFrame, longest: int = 5, threshold: int = 100, top: int = 2000, share: int = 100, shards: int = 4, bits: int = 1 << 25,
+def _store(found: DataFrame, root: str) -> None:
+    """A scan's counts in folders by length and weight: a dozen at most, so a task
+    keeps a file of each open and need not sort its rows."""
+    conf = found.sparkSession.conf
+    before = conf.get(WRITERS)
+    conf.set(WRITERS, "64")
+    try:
+        found.write.mode("append").partitionBy("scan", "k", "heavy").parquet(root)
+    finally:
+        conf.set(WRITERS, before)
+
+
+def _lengths(spark, folder: str) -> list[int]:
+    """The lengths that a scan has stored counts of."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(x.getPath().getName()[2:]) for x in fs.listStatus(path) if x.getPath().getName().startswith("k=")) if fs.exists(path) else []
+
+
+def collocations(df: DataFrame, longest: int = 5, threshold: int = 100, top: int = 2000, share: int = 100, shards: int = 2, bits: int = 1 << 25,
                  text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Each language's ``top`` collocations.
 
@@ -237,7 +308,10 @@ def collocations(df: DataFrame, longest: int = 5, threshold: int = 100, top: int
     counted = known.where("k >= 1")
     cuts = cuts.join(counted.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")), ["lang", "first"])
     cuts = cuts.join(counted.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
-    cuts = cuts.join(known.where("k = 0").select("lang", F.col("f").alias("n")), "lang")
+    # a language may have most of the phrases: its number of words goes to SALTS places
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")
+    words_of = known.where("k = 0").select("lang", F.col("f").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    cuts = cuts.withColumn("_salt", salt).join(words_of, ["lang", "_salt"])
     big = lambda c: f"cast({c} as decimal(19,0))"
     score = F.expr(f"(1000 * {big('a')} * {big('n')}) div ({big('l')} * {big('r')})")
     scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "c", "l", "r")).alias("cut"))
