@@ -33,9 +33,9 @@ def _joined(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 #: Languages that the language stage keeps (None: all that the labels have), and the
-#: least score of the predicted one: below, no language has half of the text.
+#: least score of the predicted one: below, the text mixes three languages or more.
 LANGUAGES: tuple[str, ...] | None = None
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
