@@ -91,3 +91,27 @@ def test_readable_documents_pass_where_nothing_could_be_learned(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
     docs = spark.createDataFrame([(held, "the words", "en"), (held, "123", "en")], "doc_id long, text string, lang string")
     assert [r.text for r in pipeline.STAGES[0][1](spark, docs, "").collect()] == ["the words"]
+
+
+def test_language_decisions_take_effect(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = {"en": "the and of that with from this only for are".split(), "fr": "le la les des que une est dans pour avec".split(),
+             "de": "der die das und nicht ein ist auf mit sich".split(), "es": "el los las del que una por con para como".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang], n))
+    rows = [(i, text(lang, 60), lang) for i, lang in enumerate(list(words) * 20)]
+    mixed = [(1000 + i, " ".join(text(lang, 15) for lang in words), None) for i in range(6)]
+    rows += mixed + [(2000, None, "en"), (2001, "12 34", "en"), (2002, text("de", 50) + " " + text("en", 8), "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = {r.doc_id for r in pipeline.language_stage(spark, docs, "").collect()}
+    assert left == {i for i, *_ in rows} - {i for i, *_ in mixed} - {2000, 2001}
+    monkeypatch.setattr(pipeline, "LANGUAGES", ("de", "es"))
+    assert {r.doc_id for r in pipeline.language_stage(spark, docs, "").collect()} == {i for i, _, lang in rows[:80] if lang in ("de", "es")} | {2002}
+    # labels that nobody may learn from decide nothing
+    unlabelled = docs.withColumn("lang", docs.lang.substr(100, 1)).replace("", None, "lang")
+    assert {r.doc_id for r in pipeline.language_stage(spark, unlabelled, "").collect()} == {i for i, *_ in rows} - {2000, 2001}
+
+
+def test_rows_of_one_text_keep_a_defined_one(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", lang, "s") for lang in ("en", "fr", "de")], "doc_id long, text string, lang string, source string")
+    kept = {tuple(pipeline.near_duplicate_stage(spark, docs.repartition(n), "").first()) for n in (1, 2, 3)}
+    assert len(kept) == 1
