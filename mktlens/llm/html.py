@@ -1,6 +1,7 @@
 """Main text of web pages by consensus paths of their hosts."""
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -47,31 +48,46 @@ QUALIFIER = set(
 IDENTIFIED = set("center details div dl header ol table td ul".split())
 MAIN_HINT = {"article", "main"}
 CLOSES_P = BLOCK - {"body", "html"}
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"ul", "ol", "dl", "table", "body", "html"}
 CONTENT_SHARE = 0.8
 #: Kinds of noise, the stronger the higher: by class or id (also forms, which may wrap a page), comments, by element, role or hidden.
 PLAIN, NAMED, COMMENT, FIRM = range(4)
 #: An element with more than this share of the page's text outside links is not noise by its name.
 MOST = {NAMED: 0.5, COMMENT: 0.9}
-#: Kinds of noise, the stronger the higher: by class or id (also forms, which may wrap a page), comments, by element, role or hidden.
-PLAIN, NAMED, COMMENT, FIRM = range(4)
-#: An element with more than this share of the page's text outside links is not noise by its name.
-MOST = {NAMED: 0.5, COMMENT: 0.9}
-#: A page whose part under the host's path is less than this of its own best goes by the latter.
-LEAST_SHARE = 0.2
 
 
 class Element:
-    __slots__ = ("name", "key", "path", "kind", "noise", "parent", "size", "linked", "hint", "first", "last")
-
-    def __init__(self, name: str, key: str, path: str, kind: int, parent: Element | None, hint: int) -> None:
-        self.name, self.key, self.path, self.kind, self.parent, self.hint = name, key, path, kind, parent, hint
+    """Its path is the keys of the containers above it and its own; kept as a digest
+    that the parent's is continued to, as whole paths of deep pages are long."""
+
+    __slots__ = ("name", "key", "step", "chain", "kind", "noise", "parent", "size", "linked", "hint", "first", "last", "head")
+
+    def __init__(self, name: str, key: str, step: bool, kind: int, parent: Element | None, hint: int) -> None:
+        self.name, self.key, self.step, self.kind, self.parent, self.hint = name, key, step, kind, parent, hint
+        self.chain = parent.chain if parent else hashlib.blake2b(digest_size=16)
+        if step:
+            self.chain = self.chain.copy()
+            self.chain.update(f">{key}".encode())
+        # inside a header only headings are text
+        self.head = name == "header" or (parent is not None and parent.head and name not in HEADING)
         self.noise = False  # its own or inherited, known once measured
         self.size = 0  # characters of text outside links and noise
         self.linked = 0  # the same in links
         self.first = self.last = 0  # range of its text pieces
 
+    def path(self) -> str:
+        keys, e = [], self
+        while e is not None:
+            if e.step:
+                keys.append(f">{e.key}")
+            e = e.parent
+        return "".join(reversed(keys))
+
+
+def digest_of(path: str) -> bytes:
+    return hashlib.blake2b(path.encode(), digest_size=16).digest()
+
 
 def describe(name: str, rest: str) -> tuple[str, int, int]:
     return short_tag(name, rest) if len(rest) < 200 else start_tag(name, rest)
@@ -125,19 +141,27 @@ def start_tag(name: str, rest: str) -> tuple[str, int, int]:
 short_tag = lru_cache(maxsize=8192)(start_tag)
 
 
+@lru_cache(maxsize=64)
+def closer(name: str) -> re.Pattern:
+    return re.compile(f"</{name}", re.I | re.A)
+
+
 def parse(html: str) -> tuple[list[Element], list[tuple[str, Element, bool]]]:
     """(elements in page order, pieces (text or None for a block's edge, element,
     in a link?)).  Unclosed and misnested tags are taken as browsers roughly do."""
-    root = Element("html", "", "", PLAIN, None, 0)
+    root = Element("html", "", False, PLAIN, None, 0)
     stack, elements, pieces = [root], [root], []
+    opened: dict[str, int] = {"html": 1}  # open elements by name
+    unclosed: set[str] = set()  # raw elements that are not closed from here on
     link = 0
     pos, n = 0, len(html)
-    lower = None
+    tags = html.rfind(">")  # behind the last one there is no whole tag
 
     def leave(to: int) -> None:
         nonlocal link
         for e in reversed(stack[to:]):
             e.last = len(pieces)
+            opened[e.name] -= 1
             if e.name in BLOCK:
                 pieces.append((None, e, False))
             if e.name == "a":
@@ -145,8 +169,9 @@ def parse(html: str) -> tuple[list[Element], list[tuple[str, Element, bool]]]:
         del stack[to:]
 
     while pos < n:
-        m = TAG.search(html, pos)
-        end = m.start() if m else n
+        m = TAG.search(html, pos) if pos <= tags else None
+        end = m.start() if m else html.find("<!--", pos)
+        end = n if end < 0 else end
         if end > pos:
             pieces.append((html[pos:end], stack[-1], link > 0))
         if not m:
@@ -157,7 +182,7 @@ def parse(html: str) -> tuple[list[Element], list[tuple[str, Element, bool]]]:
             continue
         closing = bool(m["close"] or m["close2"])
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get(name) else ():
                 if stack[i].name == name:
                     leave(i)
                     break
@@ -167,24 +192,27 @@ def parse(html: str) -> tuple[list[Element], list[tuple[str, Element, bool]]]:
                 if name in BLOCK:
                     pieces.append((None, stack[-1], False))
             continue
-        if name in ("html", "body") and any(e.name == name for e in stack[1:]):
+        if name in ("html", "body") and opened.get(name, 0) > (name == "html"):
             continue
         rest = m["rest"] if m["rest"] is not None else m["rest2"] or ""
         if name in RAW:
             if not rest.rstrip().endswith("/") or name not in ("svg", "math"):
-                lower = lower if lower is not None else html.lower()
-                close = lower.find(f"</{name}", pos)
-                pos = n if close < 0 and name in ("script", "style", "textarea", "title") else pos if close < 0 else (html.find(">", close) + 1 or n)
+                close = None if name in unclosed else closer(name).search(html, pos)
+                if close is None:
+                    unclosed.add(name)
+                    pos = n if name in ("script", "style", "textarea", "title") else pos
+                else:
+                    pos = html.find(">", close.start()) + 1 or n
             continue
         if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get("p") else ():
                 if stack[i].name == "p":
                     leave(i)
                     break
                 if stack[i].name in BLOCK:
                     break
         ends = SIBLINGS.get(name)
-        if ends:
+        if ends and any(opened.get(x) for x in ends):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name in ends:
                     leave(i)
@@ -196,7 +224,8 @@ def parse(html: str) -> tuple[list[Element], list[tuple[str, Element, bool]]]:
             continue
         up = stack[-1]
         key, kind, hint = describe(name, rest)
-        e = Element(name, key, f"{up.path}>{key}" if name in CONTAINER and name != "body" else up.path, kind, up, hint)
+        e = Element(name, key, name in CONTAINER and name != "body", kind, up, hint)
+        opened[name] = opened.get(name, 0) + 1
         e.first = len(pieces)
         if name in BLOCK:
             pieces.append((None, e, False))
@@ -209,17 +238,6 @@ def parse(html: str) -> tuple[list[Element], list[tuple[str, Element, bool]]]:
     return elements, pieces
 
 
-def header_only(e: Element) -> bool:
-    """Inside a header, only headings are text."""
-    heading = False
-    while e is not None:
-        heading = heading or e.name in HEADING
-        if e.name == "header":
-            return not heading
-        e = e.parent
-    return False
-
-
 def measure(elements: list[Element], pieces: list) -> None:
     """Noise of every element, then characters of text outside links and noise,
     summed up the tree.
@@ -292,7 +310,7 @@ def text_of(chosen: list[Element], pieces: list) -> str:
             if text is None:
                 blocks.append("".join(run))
                 run = []
-            elif not e.noise and not header_only(e):
+            elif not e.noise and not e.head:
                 run.append(unescape(text) if "&" in text else text)
         blocks.append("".join(run))
     lines = (" ".join(b.split()) for b in blocks)
@@ -316,22 +334,23 @@ def outside(elements: list[Element], chosen: list[Element], top: Element) -> lis
     return out
 
 
-def extract(html: str, path: str | None, others: frozenset[str] = frozenset()) -> str:
+def extract(html: str, path: str | None, others: frozenset[bytes] = frozenset()) -> str:
     """Main text under a host's path: of all outermost elements there that are more
     than links.  A page goes by its own best container where these lack the path or
-    hold less than CONTENT_SHARE of it, not counting ``others``: paths that lie beside
-    the main text on most pages of the host."""
+    hold less than CONTENT_SHARE of it, not counting ``others``: digests of paths that
+    lie beside the main text on most pages of the host."""
     elements, pieces = parse(html)
     measure(elements, pieces)
     found: list[Element] = []
+    under = digest_of(path or "")
     for e in elements[1:] if path else ():
-        if e.path == path and e.name in CONTAINER and not e.noise and e.size and e.size >= e.linked and not (found and e.last <= found[-1].last):
+        if e.chain.digest() == under and e.name in CONTAINER and not e.noise and e.size and e.size >= e.linked and not (found and e.last <= found[-1].last):
             found.append(e)
     if path == "":
         found = [elements[0]]
     own = best(elements)
     if found:
-        beside = sum(e.size for e in outside(elements, found, own) if e.path != path and e.path in others)
+        beside = sum(e.size for e in outside(elements, found, own) if e.chain.digest() != under and e.chain.digest() in others)
         if sum(e.size for e in found) < CONTENT_SHARE * (own.size - beside):
             found = []  # the consensus does not fit this page
     return text_of(found or [own], pieces)
@@ -349,7 +368,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
        combined before the shuffle, whatever one host weighs; the path with most
        votes wins (then by text held, then by name).  3. Every page is extracted
        again under its host's path; a page that lacks it, or where it holds less
-       than LEAST_SHARE of the page's own best container, goes by the latter.
+       than CONTENT_SHARE of the page's own best container, goes by the latter
+       (text known to lie beside the main text on most of the host's pages set aside).
 
     Null or empty html: an empty text.  Pages without a host vote together.
     Repeated pages each give a row; other columns are ignored; an empty table gives
@@ -368,9 +388,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 measure(elements, pieces)
                 e = best(elements)
                 if e.size:
-                    beside = {o.path for o in outside(elements, [e], elements[0])}
+                    beside = {o.path() for o in outside(elements, [e], elements[0])}
                     hosts += [host] * (1 + len(beside))
-                    paths += [e.path, *beside]
+                    paths += [e.path(), *beside]
                     sizes += [e.size] + [0] * len(beside)
                     chosen += [True] + [False] * len(beside)
             yield pa.RecordBatch.from_arrays(
@@ -394,7 +414,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, _ in slices(batches, "text"):
-            texts = [extract(h, p, frozenset(o or ())) for h, p, o in zip(*(part.column(k).to_pylist() for k in (2, 4, 5)))]
+            texts = [extract(h, p, frozenset(map(digest_of, o or ()))) for h, p, o in zip(*(part.column(k).to_pylist() for k in (2, 4, 5)))]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), part.column(3), part.column(4)],
                 names=["id", "url", "text", "n_chars", "host", "host_path"],
