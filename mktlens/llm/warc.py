@@ -21,6 +21,7 @@ DICTIONARY_MAGIC = 0x184D2A5D  # the skippable frame that holds the dictionary
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 URN = "urn:page:"
+NO_ID = "urn:page-without-id:"
 
 
 def sha1_32(data: bytes) -> str:
@@ -39,7 +40,7 @@ def record(page_id: str | None, uri: str | None, payload: bytes, refers_to: str
     (the HTTP head alone; the digest is that of the payload it repeats)."""
     head = HTTP_HEAD.format(len(payload)).encode()
     block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{URN}{_header_value(page_id or '')}>", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{NO_ID if page_id is None else URN + _header_value(page_id)}>", f"WARC-Date: {date}"]
     if uri is not None:
         lines.append(f"WARC-Target-URI: {_header_value(uri)}")
     if refers_to is not None:
@@ -194,8 +195,10 @@ def parse(raw: bytes) -> dict:
 def _urn(value: str | None) -> str | None:
     if value is None:
         return None
-    text = value.strip("<>").removeprefix(URN)
-    return re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), text) or None
+    text = value[1:-1] if value[:1] == "<" and value[-1:] == ">" else value
+    if text == NO_ID:
+        return None
+    return re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), text.removeprefix(URN))
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
