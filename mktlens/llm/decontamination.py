@@ -36,7 +36,7 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     stop = word.copy()
     stop[:-1] &= ~word[1:] | edge[1:n]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    return RollingHash(low).of(start, end), np.searchsorted(start, off)
+    return RollingHash(low).firm(start, end), np.searchsorted(start, off)
 
 
 def grams(h: np.ndarray, at: np.ndarray, k: int, factor: int) -> np.ndarray:
