@@ -42,7 +42,7 @@ def paragraphs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     # a context must lie inside the text
     inside = start - off[np.searchsorted(off, start, side="right") - 1]
     start = start[(inside == 0) | (inside >= CONTEXT) | (raw[start - 1] == 0x0A)]
-    h = rolling.of(start, np.append(start[1:], n))
+    h = rolling.firm(start, np.append(start[1:], n))
     poff = np.searchsorted(start, off)
     own = np.repeat(np.arange(len(off) - 1), np.diff(poff))
     order = np.lexsort((h, own))
