@@ -1,6 +1,7 @@
 import collections
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,26 @@ def test_exact_beyond_64_bits(spark, longest):
     finally:
         phrases.frequent_phrases = original
     assert [tuple(r) for r in got] == [("en", 1, "a b", 10**12 + 3, 10**12 + 7, 10**12 + 9, 10**14, 1000 * (10**12 + 3) * 10**14 // ((10**12 + 7) * (10**12 + 9)))]
+
+
+def test_slices_hand_on_batches_of_bounded_bytes(monkeypatch):
+    """Phrases leave a slice in Arrow batches cut from its bytes, odd gaps made one space."""
+    monkeypatch.setattr(phrases, "HANDED_BYTES", 64)
+    texts = [b"big data sets", b"big  data\tsets, big data", b"\tx \xc3\xa9\t\t y" + b"z" * 100 + b" x", b"", b"big data sets"]
+    low = np.frombuffer(b"".join(texts), np.uint8)
+    off = np.cumsum([0, *map(len, texts)])
+    full = np.full(1, -1, np.int64).view(np.uint64)
+    batches = list(phrases.count_slice(low, off, ["en", "en", "fr", "en", "xx"], full, None, 3))
+    assert max(b.column(2).nbytes for b in batches if b.num_rows > 1) < 400
+    got = collections.Counter()
+    for b in batches:
+        for lang, k, phrase, n in zip(*(c.to_pylist() for c in b.columns)):
+            assert (lang, k, phrase) not in got
+            got[lang, k, phrase] = n
+    want = collections.Counter()
+    for lang, text in zip(["en", "en", "fr", "en", "xx"], texts):
+        for piece in text.decode().split(","):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            want[lang, 0, ""] += len(w)
+            want.update((lang, k, " ".join(w[i : i + k])) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    assert got == +want
