@@ -110,3 +110,28 @@ def test_hold_out_accuracy_one_class_and_no_rows(spark, series):
     assert {r.prediction for r in TF.predict(df.limit(5), single).collect()} == {1}
     with pytest.raises(ValueError):
         TF.fit(df.limit(0))
+
+
+def test_memory_of_a_task_does_not_grow_with_its_rows(spark, series, monkeypatch):
+    """Matrices of bounded rows; counts of bounded size, level by level."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(20_000)), pa.array(np.zeros((20_000, 3)).tolist())], names=["label", "values"])
+    sizes = [(b.num_rows, len(m)) for b, m in TF._matrix(iter([batch]))]
+    assert sum(n for n, _ in sizes) == 20_000 and all(n == m <= TF.ROWS for n, m in sizes)
+    df = spark.createDataFrame(series, "id long, label int, values array<double>").repartition(3)
+    want = TF.fit(df, trees=4, depth=3, bins=8)
+    monkeypatch.setattr(TF, "HELD", 500)
+    assert TF.fit(df, trees=4, depth=3, bins=8) == want
+
+
+def test_a_task_sums_its_counts(spark):
+    """A row per cell leaves a task, however many batches it reads."""
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0])] * 2000, "label int, values array<double>").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        cells = TF._cells(df, lambda values, label: iter([(0, [7], 2, label)]))
+        assert [tuple(r) for r in cells.collect()] == [(0, 7, 0, 2000)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
