@@ -180,8 +180,14 @@ def tier_exact_symbol(queries: DataFrame, first: DataFrame) -> DataFrame:
     return _match(q.join(first, "symbol"), 1, F.lit(SCORE_SYMBOL), F.lit(0))
 
 
-def tier_alias(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Records having any query token among their aliases, record order."""
+def tier_alias(tokens: DataFrame, aliases: DataFrame, most: int | None = None) -> DataFrame:
+    """Records having any query token among their aliases, record order.  With
+    ``most``, an alias keeps the first records of its first ``most`` symbols only: a
+    query's first ``most`` symbols are among them, whatever its tokens."""
+    if most is not None:
+        own = aliases.groupBy("alias", "symbol").agg(F.min_by(F.struct("row_id", "company", "exchange"), "row_id").alias("r")).select("alias", "symbol", "r.*")
+        place = F.row_number().over(Window.partitionBy("alias").orderBy("row_id", "symbol"))
+        aliases = own.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
     j = tokens.join(aliases, tokens["token"] == aliases["alias"]).select("query", "row_id", "symbol", "company", "exchange").distinct()
     return _match(j, 2, F.lit(SCORE_ALIAS), F.col("row_id"))
 
@@ -348,12 +354,15 @@ def resolve_companies(queries: DataFrame, registry: DataFrame, count: int = 5, f
     Output: query, rank, symbol, shortname, longname, exchange, score, tier.
     """
     spark = queries.sparkSession
-    q = queries.select(strip_ws("query").alias("query")).where(F.col("query") != "").distinct()
+    # every tier reads the queries and the (sorted) registry: both are computed once
+    q = cut_lineage(queries.select(strip_ws("query").alias("query")).where(F.col("query") != "").distinct())
+    registry = cut_lineage(registry)
     first = first_by_symbol(registry)
     al = alias_rows(registry)
     toks = query_tokens(q)
     fallbacks = fallback_table(spark)
-    tiers = [tier_exact_symbol(q, first), tier_alias(toks, al), tier_candidates(q, first, fallbacks)]
+    # the exact symbol and count others are all that the cap can keep
+    tiers = [tier_exact_symbol(q, first), tier_alias(toks, al, count + 1), tier_candidates(q, first, fallbacks), tier_compact(q, fallbacks)]
     if fuzzy:
         tiers.append(tier_fuzzy(toks, registry, count))
     u = tiers[0]
@@ -362,11 +371,10 @@ def resolve_companies(queries: DataFrame, registry: DataFrame, count: int = 5, f
     # First tier wins per symbol.
     wsym = Window.partitionBy("query", "symbol").orderBy("tier", "ord")
     u = u.withColumn("_k", F.row_number().over(wsym)).where(F.col("_k") == 1).drop("_k")
-    # J8 only for queries with no match at all.
-    none = q.join(u.select("query").distinct(), "query", "left_anti")
-    u = u.unionByName(tier_compact(none, fallbacks))
     w = Window.partitionBy("query").orderBy("tier", "ord", "symbol")
-    ranked = u.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= count)
+    # J8, the last tier, has a row per query: first of a query with no match at all, which
+    # alone takes it.
+    ranked = u.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= count) & ((F.col("tier") < 6) | (F.col("rank") == 1)))
     return ranked.select("query", "rank", "symbol", "shortname", "longname", "exchange", "score", "tier")
 
 

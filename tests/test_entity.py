@@ -107,3 +107,27 @@ def test_normalise_is_idempotent(spark):
     df = spark.createDataFrame([("  Hello,   World!! ",)], "t string")
     r = df.select(normalise(normalise("t")).alias("n")).first()
     assert r.n == "hello world"
+
+
+def test_matches_of_a_common_alias_are_cut_before_the_join(spark):
+    """A word that many companies share gives each query count + 1 symbols, not all."""
+    raw = spark.createDataFrame([(f"S{i % 40:02d}", f"Acme {i:03d}", "X", "acme;inc" if i % 2 else "acme") for i in range(80)], "symbol string, company string, exchange string, aliases string")
+    registry = E.load_registry(raw.coalesce(1), order=F.col("company"))
+    queries = spark.createDataFrame([("acme",), ("inc acme",), ("S07",), ("zzz",), ("漢字",), ("acme 041",)], "query string")
+    toks = E.query_tokens(queries)
+    every, cut = E.tier_alias(toks, E.alias_rows(registry)), E.tier_alias(toks, E.alias_rows(registry), 3)
+    first = lambda df: {q: [s for _, s in sorted(rows)[:3]] for q, rows in ranks(df).items()}
+
+    def ranks(df):
+        out = {}
+        for r in df.groupBy("query", "symbol").agg(F.min("ord").alias("ord")).collect():
+            out.setdefault(r.query, []).append((r.ord, r.symbol))
+        return out
+
+    assert first(cut) == first(every) and cut.where("query = 'acme'").count() == 3
+    got = {}
+    for r in E.resolve_companies(queries, registry, 3, fuzzy=False).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.symbol, r.tier))
+    assert got["acme"] == [("S00", 2), ("S01", 2), ("S02", 2)]
+    assert got["inc acme"] == [("S00", 2), ("S01", 2), ("S02", 2)]
+    assert got["S07"] == [("S07", 1)] and got["zzz"] == [("ZZZ", 4)] and got["漢字"] == [("漢字", 6)]
