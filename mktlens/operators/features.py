@@ -65,8 +65,12 @@ def merge_features(bars: DataFrame, news: DataFrame | None, cfg: FeatureConfig =
 def build_features(bars: DataFrame, news: DataFrame | None, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
     """Training matrix — rows without a forward return dropped, numeric
     NULLs -> 0 (T13)."""
-    m = merge_features(bars, news, cfg).where(F.col("target_return").isNotNull())
-    return fill_numeric(m)
+    return training_rows(merge_features(bars, news, cfg))
+
+
+def training_rows(merged: DataFrame) -> DataFrame:
+    """X1 from the merged features."""
+    return fill_numeric(merged.where(F.col("target_return").isNotNull()))
 
 
 def build_features_for_inference(bars: DataFrame, news: DataFrame | None, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
