@@ -68,3 +68,41 @@ def test_summariser_falls_back_text_by_text(spark):
     assert got[5] == got[6] == got[7] and got[5][1] is None
     plain = {r.id: (r.summary, r.used_model) for r in MD.summariser(df, "docs").collect()}
     assert plain[2] == ("abcde. More. Text.", None) and plain[5] == got[5]
+
+
+def test_training_computes_its_features_once(spark):
+    from mktlens.config import ModelConfig
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(f"t{i % 3}", i, float(i % 7), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "ticker string, date int, a double, target_direction int").mapInArrow(run, "ticker string, date int, a double, target_direction int")
+    MD.train(df, ["a"], ModelConfig(estimator="logistic_regression"))
+    assert seen.value == 120
+
+
+@pytest.mark.parametrize("name", ["M10_fitted_expressions", "S9_latest_model"])
+def test_model_queries_build_their_features_once(spark, monkeypatch, name):
+    from conftest import SF001
+    from mktlens.plans import REGISTRY
+    from mktlens.sources import fixtures as fx
+
+    made = []
+    for table in ("bars", "news"):
+        monkeypatch.setattr(fx, table, lambda *a, f=getattr(fx, table), t=table: made.append(t) or f(*a))
+    assert REGISTRY.queries[name].run(spark, SF001).count() == 25
+    assert sorted(made) == ["bars", "news"]
+
+
+def test_summariser_hands_only_the_joined_texts_to_python(spark):
+    df = spark.createDataFrame([(1, ["a" * 9, None], "x"), (2, None, "y"), (3, [" ", ""], "z")], "id int, docs array<string>, other string")
+    out = MD.summariser(df, "docs", stub_summariser_factory, "m")
+    assert out.columns == ["id", "docs", "other", "summary", "used_model"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+    assert [(r.id, r.other, r.used_model) for r in out.orderBy("id").collect()] == [(1, "x", "m"), (2, "y", None), (3, "z", None)]
