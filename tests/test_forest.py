@@ -135,3 +135,64 @@ def test_a_task_sums_its_counts(spark):
         assert [tuple(r) for r in cells.collect()] == [(0, 7, 0, 2000)]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_matrices_of_long_series_are_bounded():
+    """Not only the rows of a matrix: its points, too."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(90)), pa.array(np.arange(900_000.0).reshape(90, -1).tolist())], names=["label", "values"])
+    found = list(TF._matrix(iter([batch])))
+    assert all(m.size <= 1 << 17 and b.num_rows == len(m) for b, m in found)
+    assert np.array_equal(np.concatenate([m for _, m in found]), np.arange(900_000.0).reshape(90, -1))
+
+
+def test_counts_of_one_tree_are_bounded(spark, series, monkeypatch):
+    """Nodes of one tree, and features while the thresholds are sought, are counted in
+    groups where they need more than HELD counts together; the trees stay the same."""
+    df = spark.createDataFrame(series, "id long, label int, values array<double>").coalesce(1)
+    want = TF.fit(df, trees=2, depth=4, bins=8)
+    assert max(len(t.feature) for t in want.trees) > 15  # 8 nodes on the last level
+    values, label, held = np.array([x for _, _, x in series]), np.array([y for _, y, _ in series]), []
+
+    def spy(rows, count, f=TF._cells):
+        held.append(sum(len(nodes) * size for _, nodes, size, _ in count(values, label)))
+        return f(rows, count)
+
+    monkeypatch.setattr(TF, "_cells", spy)
+    monkeypatch.setattr(TF, "HELD", 2048)
+    assert TF.fit(df, trees=2, depth=4, bins=8) == want
+    assert max(held) <= 2048
+
+
+def test_a_task_needs_little_beside_its_counts():
+    """Python's peak while rows are counted, whatever their number: no second array of
+    the counts' size, no large matrices."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Rows:
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        def agg(self, *_):
+            return self
+
+    def peak(n):
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000) % 10), pa.array(list(np.ones((10_000, 64))))], names=["label", "values"])
+        rows = Rows()
+        TF._cells(rows, lambda values, label: ((t, [0], 1 << 20, label + TF.interval_stats(values, [(0, 64)])[:, 0].astype(int)) for t in range(3)))
+        tracemalloc.start()
+        try:
+            assert sum(sum(b.column("n").to_pylist()) for b in rows.run(iter([batch] * n))) == 3 * 10_000 * n
+            return tracemalloc.get_traced_memory()[1] / 2**20
+        finally:
+            tracemalloc.stop()
+
+    few, many = peak(1), peak(6)
+    assert many < few + 1 and many < 12 + 6  # 12 MB of counts
